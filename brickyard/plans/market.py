@@ -66,8 +66,8 @@ def market_pulse_value(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
                     F.col("n").alias("transactions"),
                     round_int("median").alias("median_price"),
                     round_int("mean").alias("avg_price"),
-                    rnd("p25", 2).alias("p25"),
-                    rnd("p75", 2).alias("p75"),
+                    round_int("p25").alias("p25"),
+                    round_int("p75").alias("p75"),
                     rnd(momentum("median", w, 1), 1).alias("yoy_growth_pct"),
                     rnd(pct_change("median", base), 1).alias("growth_since_base_pct"),
                     rnd(F.col("total") / F.lit(1e9), 3).alias("total_value_bn"))

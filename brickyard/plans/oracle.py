@@ -106,7 +106,7 @@ def _inv_cte(cfg: Config) -> str:
 def _pulse_value_cte(cfg: Config) -> str:
     return f"""
     SELECT county, region, year, n AS transactions, {RI('median')} AS median_price, {RI('mean')} AS avg_price,
-           {R('p25', 2)} AS p25, {R('p75', 2)} AS p75,
+           {RI('p25')} AS p25, {RI('p75')} AS p75,
            {R(MOM('median', f'lag(median) OVER {W("county", "year")}'), 1)} AS yoy_growth_pct,
            {R(PCT('median', f'max(CASE WHEN year = {cfg.base_year} THEN median END) OVER (PARTITION BY county)'), 1)}
              AS growth_since_base_pct,
