@@ -39,6 +39,11 @@ def _profile(spark, sf, cfg):
     return ingest.load_profile(S.transactions(spark, sf, cfg))
 
 
+@job("register_cleaning")
+def _reg(spark, sf, cfg):
+    return ingest.register_cleaning(spark.read.parquet(f"{sf}/customer.parquet"), cfg)
+
+
 @job("affordability_table")
 def _aff(spark, sf, cfg):
     return S.affordability(spark, sf, cfg)

@@ -20,3 +20,64 @@ def load_profile(tx: DataFrame) -> DataFrame:
                    F.max("price_eur").alias("max_price"))
     med = grouped_profile(tx, [], "price_eur", {"median": 0.5}).select(round_half_away("median", 2).alias("median_price"))
     return stats.crossJoin(F.broadcast(med))
+
+
+# ---------------------------------------------------------------------------
+# Register cleaning over text derived from the customer table (oracle-checked)
+# ---------------------------------------------------------------------------
+
+def register_text(customer: DataFrame) -> DataFrame:
+    """Register-style raw text (price, place, date) derived from every customer row.
+
+    Each row gets one of several spellings of a price, a place and a date,
+    chosen by its key, so every cleaning rule meets good and bad input.
+    """
+    from ..functions.cleaning import COUNTY_REGIONS
+
+    k = F.col("c_custkey")
+    cents = round_half_away(F.abs(F.col("c_acctbal")) * F.lit(100.0), 0).cast("bigint").cast("string")
+    thousands = F.floor(round_half_away(F.abs(F.col("c_acctbal")) * F.lit(100.0), 0) / F.lit(1000)).cast("string")
+    rest = F.lpad((round_half_away(F.abs(F.col("c_acctbal")) * F.lit(100.0), 0).cast("bigint") % 1000)
+                  .cast("string"), 3, "0")
+    pk = k % 6
+    price = (F.when(pk == 0, F.concat(F.lit("€"), cents))
+              .when(pk == 1, F.concat(cents, F.lit(".50")))
+              .when(pk == 2, F.concat(thousands, F.lit(","), rest))
+              .when(pk == 3, F.lit("n/a"))
+              .when(pk == 4, F.concat(F.lit("1.2."), cents))
+              .otherwise(F.concat(F.lit(" "), cents, F.lit(" "))))
+    name = F.element_at(F.array(*[F.lit(n) for n in COUNTY_REGIONS]), (k % 26 + 1).cast("int"))
+    ck = F.floor(k / 26) % 6
+    county = (F.when(ck == 0, name)
+               .when(ck == 1, F.concat(F.lit("Co. "), name))
+               .when(ck == 2, F.concat(F.lit("County "), F.upper(name)))
+               .when(ck == 3, F.lower(name))
+               .when(ck == 4, F.concat(F.lit("Dublin "), (k % 24 + 1).cast("string")))
+               .otherwise(F.concat(name, F.lit(" City"))))
+    day, month, year = (k % 28 + 1).cast("string"), (k % 12 + 1).cast("string"), (k % 5 + 2020).cast("string")
+    dk = F.floor(k / 7) % 5
+    date = (F.when(dk == 0, F.concat_ws("/", day, month, year))
+             .when(dk == 1, F.concat_ws("/", F.lpad(day, 2, "0"), F.lpad(month, 2, "0"), year))
+             .when(dk == 2, F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
+             .when(dk == 3, F.concat(F.lit("31/02/"), year))
+             .otherwise(F.lit("")))
+    return customer.select(k.alias("sale_id"), date.alias("date_of_sale"), county.alias("county"),
+                           price.alias("price_eur"))
+
+
+def register_cleaning(customer: DataFrame, cfg=None) -> DataFrame:
+    from ..config import DEFAULT
+    from ..functions import cleaning as C
+    from ..sources.register import regions_table
+
+    cfg = cfg or DEFAULT
+    raw = register_text(customer)
+    clean = (raw.select("sale_id", C.parse_sale_date("date_of_sale").alias("date_of_sale"),
+                        C.clean_county("county").alias("county"), C.clean_price("price_eur").alias("price_eur"))
+                .dropna(subset=["date_of_sale", "county", "price_eur"])
+                .where((F.col("price_eur") > F.lit(cfg.min_price)) & (F.col("price_eur") < F.lit(cfg.max_price))))
+    d = F.col("date_of_sale")
+    return (clean.join(F.broadcast(regions_table(customer.sparkSession)), "county")
+                 .select("sale_id", "date_of_sale", "county", "region", "price_eur",
+                         F.year(d).cast("int").alias("year"), F.month(d).cast("int").alias("month"),
+                         C.quarter_label(d).alias("quarter")))

@@ -239,6 +239,55 @@ def _heat_cte(cfg: Config) -> str:
                         ON m.county = v.county) j) s) h"""
 
 
+def _register_cleaning_sql(cfg: Config) -> str:
+    from ..functions import cleaning as C
+    names = ", ".join(f"'{n}'" for n in C.COUNTY_REGIONS)
+    regions = ", ".join(f"('{k}', '{v}')" for k, v in C.COUNTY_REGIONS.items())
+    variants = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.COUNTY_VARIANTS.items())
+    cents = RI("abs(c_acctbal) * 100.0")
+    initcap = "array_to_string(list_transform(string_split(lower(s3), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+    return f"""
+    WITH b AS (
+      SELECT c_custkey AS k, CAST({cents} AS VARCHAR) AS cents,
+             CAST(CAST(floor({R('abs(c_acctbal) * 100.0')} / 1000) AS BIGINT) AS VARCHAR) AS thousands,
+             lpad(CAST({cents} % 1000 AS VARCHAR), 3, '0') AS rest,
+             [{names}][c_custkey % 26 + 1] AS name,
+             CAST(c_custkey % 28 + 1 AS VARCHAR) AS d, CAST(c_custkey % 12 + 1 AS VARCHAR) AS m,
+             CAST(c_custkey % 5 + 2020 AS VARCHAR) AS y
+      FROM customer),
+    raw AS (
+      SELECT k AS sale_id,
+             CASE k % 6 WHEN 0 THEN '€' || cents WHEN 1 THEN cents || '.50'
+                        WHEN 2 THEN thousands || ',' || rest WHEN 3 THEN 'n/a'
+                        WHEN 4 THEN '1.2.' || cents ELSE ' ' || cents || ' ' END AS price_text,
+             CASE CAST(floor(k / 26) AS BIGINT) % 6 WHEN 0 THEN name WHEN 1 THEN 'Co. ' || name
+                        WHEN 2 THEN 'County ' || upper(name) WHEN 3 THEN lower(name)
+                        WHEN 4 THEN 'Dublin ' || CAST(k % 24 + 1 AS VARCHAR) ELSE name || ' City' END AS county_text,
+             CASE CAST(floor(k / 7) AS BIGINT) % 5 WHEN 0 THEN concat_ws('/', d, m, y)
+                        WHEN 1 THEN concat_ws('/', lpad(d, 2, '0'), lpad(m, 2, '0'), y)
+                        WHEN 2 THEN concat_ws('-', y, lpad(m, 2, '0'), lpad(d, 2, '0'))
+                        WHEN 3 THEN '31/02/' || y ELSE '' END AS date_text
+      FROM b),
+    c1 AS (
+      SELECT sale_id,
+             coalesce(CAST(try_strptime(trim(date_text), '%d/%m/%Y') AS DATE),
+                      CAST(try_strptime(trim(date_text), '%Y-%m-%d') AS DATE)) AS date_of_sale,
+             CASE WHEN regexp_matches(trim(price_text), '{C.PRICE_TEXT_RE}')
+                  THEN TRY_CAST(regexp_replace(trim(price_text), '[^0-9.\\-]', '', 'g') AS DOUBLE) END AS price_eur,
+             regexp_replace(trim(county_text), '{C.COUNTY_PREFIX_RE}', '') AS s2
+      FROM raw),
+    c2 AS (SELECT *, CASE WHEN regexp_matches(s2, '{C.CAPITAL_DISTRICT_RE}') THEN 'Dublin' ELSE s2 END AS s3 FROM c1),
+    c3 AS (SELECT *, trim({initcap}) AS s4 FROM c2),
+    c4 AS (SELECT sale_id, date_of_sale, price_eur,
+                  CASE WHEN s4 <> '' THEN CASE s4 {variants} ELSE s4 END END AS county FROM c3)
+    SELECT c.sale_id, c.date_of_sale, c.county, r.region, c.price_eur,
+           CAST(year(c.date_of_sale) AS INTEGER) AS year, CAST(month(c.date_of_sale) AS INTEGER) AS month,
+           'Q' || CAST(quarter(c.date_of_sale) AS VARCHAR) AS quarter
+    FROM c4 c JOIN (VALUES {regions}) r(county, region) ON c.county = r.county
+    WHERE c.date_of_sale IS NOT NULL AND c.price_eur IS NOT NULL
+      AND c.price_eur > {cfg.min_price} AND c.price_eur < {cfg.max_price}"""
+
+
 def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
     b, lt = cfg.base_year, cfg.latest_year
     q: dict[str, str] = {}
@@ -252,6 +301,7 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
            min(price_eur) AS min_price, max(price_eur) AS max_price,
            {R('quantile_cont(price_eur, 0.5)', 2)} AS median_price
     FROM tx"""
+    q["register_cleaning"] = _register_cleaning_sql(cfg)
     q["affordability_table"] = sql_with(cfg, "aff") + "SELECT * FROM aff"
     q["supply_demand_table"] = sql_with(cfg, "sd") + "SELECT * FROM sd"
 
