@@ -10,10 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Config, TEST
-from ..sources import synthetic as S
+from ..sources.tables import DerivedSources
 from . import afford, findings, ingest, invest, market, supply
 
-Job = Callable[[SparkSession, str, Config], DataFrame]
+Job = Callable[[DerivedSources, Config], DataFrame]
 _JOBS: dict[str, Job] = {}
 
 
@@ -24,253 +24,256 @@ def job(name: str):
     return deco
 
 
-def _ms(spark, sf, cfg):
-    return S.market_sales(spark, sf, cfg)
-
-
 # --- canonical tables -------------------------------------------------------
 @job("clean_transactions")
-def _clean(spark, sf, cfg):
-    return S.transactions(spark, sf, cfg)
+def _clean(src, cfg):
+    return src.tx()
 
 
 @job("load_profile")
-def _profile(spark, sf, cfg):
-    return ingest.load_profile(S.transactions(spark, sf, cfg))
+def _profile(src, cfg):
+    return ingest.load_profile(src.tx())
 
 
 @job("register_cleaning")
-def _reg(spark, sf, cfg):
-    return ingest.register_cleaning(spark.read.parquet(f"{sf}/customer.parquet"), cfg)
+def _reg(src, cfg):
+    return ingest.register_cleaning(src.customer(), cfg)
 
 
 @job("affordability_table")
-def _aff(spark, sf, cfg):
-    return S.affordability(spark, sf, cfg)
+def _aff(src, cfg):
+    return src.aff()
 
 
 @job("supply_demand_table")
-def _sd(spark, sf, cfg):
-    return S.supply_demand(spark, sf, cfg)
+def _sd(src, cfg):
+    return src.sd()
 
 
 # --- market ---------------------------------------------------------------
 @job("market_pulse")
-def _mp(spark, sf, cfg):
-    return market.market_pulse(_ms(spark, sf, cfg), cfg)
+def _mp(src, cfg):
+    return market.market_pulse(src.ms(), cfg)
 
 
 @job("market_pulse_value")
-def _mpv(spark, sf, cfg):
-    return market.market_pulse_value(_ms(spark, sf, cfg), cfg)
+def _mpv(src, cfg):
+    return market.market_pulse_value(src.ms(), cfg)
 
 
 @job("focus_vs_rest")
-def _fvr(spark, sf, cfg):
-    return market.focus_vs_rest(_ms(spark, sf, cfg), cfg)
+def _fvr(src, cfg):
+    return market.focus_vs_rest(src.ms(), cfg)
 
 
 @job("regional_trends")
-def _rt(spark, sf, cfg):
-    return market.regional_trends(_ms(spark, sf, cfg), cfg)
+def _rt(src, cfg):
+    return market.regional_trends(src.ms(), cfg)
 
 
 @job("monthly_momentum")
-def _mm(spark, sf, cfg):
-    return market.monthly_momentum(_ms(spark, sf, cfg), cfg)
+def _mm(src, cfg):
+    return market.monthly_momentum(src.ms(), cfg)
 
 
 @job("momentum_signals")
-def _ms_sig(spark, sf, cfg):
-    return market.momentum_signals(market.monthly_momentum(_ms(spark, sf, cfg), cfg), cfg)
+def _ms_sig(src, cfg):
+    return market.momentum_signals(market.monthly_momentum(src.ms(), cfg), cfg)
 
 
 @job("velocity_annual")
-def _va(spark, sf, cfg):
-    return market.velocity_annual(_ms(spark, sf, cfg), cfg)
+def _va(src, cfg):
+    return market.velocity_annual(src.ms(), cfg)
 
 
 @job("velocity_monthly")
-def _vm(spark, sf, cfg):
-    return market.velocity_monthly(_ms(spark, sf, cfg), cfg)
+def _vm(src, cfg):
+    return market.velocity_monthly(src.ms(), cfg)
 
 
 @job("property_type")
-def _pt(spark, sf, cfg):
-    return market.property_type(_ms(spark, sf, cfg), cfg)
+def _pt(src, cfg):
+    return market.property_type(src.ms(), cfg)
 
 
 @job("new_vs_secondhand")
-def _nvs(spark, sf, cfg):
-    return market.new_vs_secondhand(market.property_type(_ms(spark, sf, cfg), cfg), cfg)
+def _nvs(src, cfg):
+    return market.new_vs_secondhand(market.property_type(src.ms(), cfg), cfg)
 
 
 @job("new_build_premium_vat")
-def _nbv(spark, sf, cfg):
-    return market.new_build_premium_vat(_ms(spark, sf, cfg), cfg)
+def _nbv(src, cfg):
+    return market.new_build_premium_vat(src.ms(), cfg)
 
 
 @job("new_premium_avg")
-def _npa(spark, sf, cfg):
-    return market.new_premium_avg(_ms(spark, sf, cfg), cfg)
+def _npa(src, cfg):
+    return market.new_premium_avg(src.ms(), cfg)
 
 
 @job("postcode_annual")
-def _pa(spark, sf, cfg):
-    return market.postcode_annual(_ms(spark, sf, cfg), cfg)
+def _pa(src, cfg):
+    return market.postcode_annual(src.ms(), cfg)
 
 
 @job("postcode_snapshot")
-def _ps(spark, sf, cfg):
-    return market.postcode_snapshot(market.postcode_annual(_ms(spark, sf, cfg), cfg), cfg)
+def _ps(src, cfg):
+    return market.postcode_snapshot(market.postcode_annual(src.ms(), cfg), cfg)
 
 
 @job("monthly_volume")
-def _mv(spark, sf, cfg):
-    return market.monthly_volume(_ms(spark, sf, cfg), cfg)
+def _mv(src, cfg):
+    return market.monthly_volume(src.ms(), cfg)
 
 
 @job("seasonality")
-def _sea(spark, sf, cfg):
-    return market.seasonality(_ms(spark, sf, cfg), cfg)
+def _sea(src, cfg):
+    return market.seasonality(src.ms(), cfg)
 
 
 @job("seasonal_pattern")
-def _sp(spark, sf, cfg):
-    return market.seasonal_pattern(market.seasonality(_ms(spark, sf, cfg), cfg), cfg)
+def _sp(src, cfg):
+    return market.seasonal_pattern(market.seasonality(src.ms(), cfg), cfg)
 
 
 @job("price_distribution")
-def _pd(spark, sf, cfg):
-    return market.price_distribution(_ms(spark, sf, cfg), cfg)
+def _pd(src, cfg):
+    return market.price_distribution(src.ms(), cfg)
 
 
 # --- affordability -----------------------------------------------------------
 @job("mortgage_stress")
-def _mst(spark, sf, cfg):
-    return afford.mortgage_stress(_ms(spark, sf, cfg), S.affordability(spark, sf, cfg), cfg)
+def _mst(src, cfg):
+    return afford.mortgage_stress(src.ms(), src.aff(), cfg)
 
 
 @job("ftb_gap")
-def _ftb(spark, sf, cfg):
-    return afford.ftb_gap(S.affordability(spark, sf, cfg), cfg)
+def _ftb(src, cfg):
+    return afford.ftb_gap(src.aff(), cfg)
 
 
 @job("affordability_ranking")
-def _ar(spark, sf, cfg):
-    return afford.affordability_ranking(S.affordability(spark, sf, cfg), cfg)
+def _ar(src, cfg):
+    return afford.affordability_ranking(src.aff(), cfg)
 
 
 @job("affordability_deterioration")
-def _ad(spark, sf, cfg):
-    return afford.affordability_deterioration(S.affordability(spark, sf, cfg), cfg)
+def _ad(src, cfg):
+    return afford.affordability_deterioration(src.aff(), cfg)
 
 
 # --- supply -----------------------------------------------------------------
 @job("supply_gap")
-def _sg(spark, sf, cfg):
-    return supply.supply_gap(S.supply_demand(spark, sf, cfg), cfg)
+def _sg(src, cfg):
+    return supply.supply_gap(src.sd(), cfg)
 
 
 @job("supply_vs_growth")
-def _svg(spark, sf, cfg):
-    return supply.supply_vs_growth(S.supply_demand(spark, sf, cfg), S.affordability(spark, sf, cfg), cfg)
+def _svg(src, cfg):
+    return supply.supply_vs_growth(src.sd(), src.aff(), cfg)
 
 
 @job("commuter_belt")
-def _cb(spark, sf, cfg):
-    return supply.commuter_belt(_ms(spark, sf, cfg), S.affordability(spark, sf, cfg),
-                                S.supply_demand(spark, sf, cfg), cfg)
+def _cb(src, cfg):
+    return supply.commuter_belt(src.ms(), src.aff(),
+                                src.sd(), cfg)
 
 
 # --- scores -----------------------------------------------------------------
-def _inv(spark, sf, cfg):
-    return invest.investment_scores(S.affordability(spark, sf, cfg), S.supply_demand(spark, sf, cfg), cfg)
+def _inv(src, cfg):
+    return invest.investment_scores(src.aff(), src.sd(), cfg)
 
 
 @job("investment_scorecard")
-def _card(spark, sf, cfg):
-    return invest.investment_scorecard(_inv(spark, sf, cfg), cfg)
+def _card(src, cfg):
+    return invest.investment_scorecard(_inv(src, cfg), cfg)
 
 
 @job("tier_summary")
-def _tier(spark, sf, cfg):
-    return invest.tier_summary(_inv(spark, sf, cfg), cfg)
+def _tier(src, cfg):
+    return invest.tier_summary(_inv(src, cfg), cfg)
 
 
 @job("undervalued_median")
-def _um(spark, sf, cfg):
-    return invest.undervalued_median(_inv(spark, sf, cfg), cfg)
+def _um(src, cfg):
+    return invest.undervalued_median(_inv(src, cfg), cfg)
 
 
 @job("undervalued_mean")
-def _umean(spark, sf, cfg):
-    return invest.undervalued_mean(_inv(spark, sf, cfg), cfg)
+def _umean(src, cfg):
+    return invest.undervalued_mean(_inv(src, cfg), cfg)
 
 
 @job("risk_adjusted_ranking")
-def _rar(spark, sf, cfg):
-    return invest.risk_adjusted_ranking(_inv(spark, sf, cfg), cfg)
+def _rar(src, cfg):
+    return invest.risk_adjusted_ranking(_inv(src, cfg), cfg)
 
 
-def _heat(spark, sf, cfg):
-    ms = _ms(spark, sf, cfg)
+def _heat(src, cfg):
+    ms = src.ms()
     return invest.heat_index(market.market_pulse_value(ms, cfg), market.velocity_annual(ms, cfg), cfg)
 
 
 @job("heat_index")
-def _hi(spark, sf, cfg):
-    return _heat(spark, sf, cfg)
+def _hi(src, cfg):
+    return _heat(src, cfg)
 
 
 @job("national_summary")
-def _ns(spark, sf, cfg):
-    return invest.national_summary(market.market_pulse_value(_ms(spark, sf, cfg), cfg), cfg)
+def _ns(src, cfg):
+    return invest.national_summary(market.market_pulse_value(src.ms(), cfg), cfg)
 
 
 @job("national_latest")
-def _nl(spark, sf, cfg):
-    return invest.national_latest(market.market_pulse_value(_ms(spark, sf, cfg), cfg), cfg)
+def _nl(src, cfg):
+    return invest.national_latest(market.market_pulse_value(src.ms(), cfg), cfg)
 
 
 # --- key findings (top-k reports) -----------------------------------------------
 @job("top_momentum")
-def _tm(spark, sf, cfg):
-    return findings.top_momentum(_ms_sig(spark, sf, cfg), cfg)
+def _tm(src, cfg):
+    return findings.top_momentum(_ms_sig(src, cfg), cfg)
 
 
 @job("top_unaffordable")
-def _tu(spark, sf, cfg):
-    return findings.top_unaffordable(_ar(spark, sf, cfg), cfg)
+def _tu(src, cfg):
+    return findings.top_unaffordable(_ar(src, cfg), cfg)
 
 
 @job("top_heat")
-def _th(spark, sf, cfg):
-    return findings.top_heat(_heat(spark, sf, cfg), cfg)
+def _th(src, cfg):
+    return findings.top_heat(_heat(src, cfg), cfg)
 
 
 @job("postcode_spread")
-def _psp(spark, sf, cfg):
-    return findings.postcode_spread(_ps(spark, sf, cfg), cfg)
+def _psp(src, cfg):
+    return findings.postcode_spread(_ps(src, cfg), cfg)
 
 
 @job("top_premium")
-def _tp(spark, sf, cfg):
-    return findings.top_premium(_nvs(spark, sf, cfg), cfg)
+def _tp(src, cfg):
+    return findings.top_premium(_nvs(src, cfg), cfg)
 
 
 @job("cannot_afford")
-def _ca(spark, sf, cfg):
-    return findings.cannot_afford(_mst(spark, sf, cfg), cfg)
+def _ca(src, cfg):
+    return findings.cannot_afford(_mst(src, cfg), cfg)
 
 
 @job("top_investment")
-def _ti(spark, sf, cfg):
-    return findings.top_investment(_card(spark, sf, cfg), cfg)
+def _ti(src, cfg):
+    return findings.top_investment(_card(src, cfg), cfg)
 
 
 def queries(cfg: Config = TEST) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, _fn=fn: _fn(spark, sf_dir, cfg)) for name, fn in _JOBS.items()}
+    """Every job reading the driver tables under ``sf_dir`` (canonical tables derived on use)."""
+    return {name: (lambda spark, sf_dir, _fn=fn: _fn(DerivedSources(spark, sf_dir, cfg), cfg))
+            for name, fn in _JOBS.items()}
+
+
+def jobs_on(src: DerivedSources, cfg: Config = TEST) -> dict[str, Callable[[], DataFrame]]:
+    """Every job bound to one set of sources (e.g. tables stored once by ``sources.tables.materialize``)."""
+    return {name: (lambda _fn=fn: _fn(src, cfg)) for name, fn in _JOBS.items()}
 
 
 def names() -> list[str]:

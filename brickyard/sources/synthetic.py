@@ -37,7 +37,7 @@ SECOND_TYPE_TEXT = "Second-Hand Dwelling house /Apartment"
 NOT_FULL_PRIORITY = "4-NOT SPECIFIED"
 NEW_STATUS = "F"
 WAGE_BASE, WAGE_PER_PLACE, WAGE_PER_YEAR, WAGE_YEAR0 = 15000, 1500, 500, 1995
-RENT_YIELD = 0.05
+RENT_YIELD_BASE, RENT_YIELD_PER_PLACE = 0.04, 0.001   # gross yield 4.0 % .. 6.4 % by place
 POPULATION_PER_CUSTOMER = 1000
 COMPLETIONS_BASE_PCT, COMPLETIONS_PER_PLACE = 20, 3
 
@@ -111,10 +111,11 @@ def affordability(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> Da
             + F.lit(WAGE_PER_YEAR) * (F.col("year") - F.lit(WAGE_YEAR0))).cast("double")
     a = prof.select("county", "region", "place_key", "year", median.alias("median_price"),
                     wage.alias("avg_annual_wage"))
+    rent_yield = F.lit(RENT_YIELD_BASE) + F.lit(RENT_YIELD_PER_PLACE) * F.col("place_key")
     return (a.join(pop, a.place_key == pop.c_nationkey, "left")
              .select("county", "region", "year", "median_price", "avg_annual_wage",
                      round_half_away(safe_div("median_price", "avg_annual_wage"), 1).alias("years_salary_to_buy"),
-                     round_half_away(F.col("median_price") * F.lit(RENT_YIELD) / F.lit(12.0), 0)
+                     round_half_away(F.col("median_price") * rent_yield / F.lit(12.0), 0)
                      .alias("monthly_rent_estimate"),
                      round_half_away(safe_div("median_price", "avg_annual_wage"), 2).alias("price_to_income_ratio"),
                      F.col("population").cast("bigint").alias("population")))
@@ -168,7 +169,8 @@ def sql_ctes(cfg: Config = DEFAULT) -> dict[str, str]:
     aff = f"""
     SELECT a.county, a.region, a.year, a.median_price, a.avg_annual_wage,
            {r1('a.median_price / nullif(a.avg_annual_wage, 0)')} AS years_salary_to_buy,
-           {sql_round(f'a.median_price * {RENT_YIELD} / 12.0', 0)} AS monthly_rent_estimate,
+           {sql_round(f'a.median_price * (CAST({RENT_YIELD_BASE} AS DOUBLE) + CAST({RENT_YIELD_PER_PLACE} AS DOUBLE) * a.place_key) / 12.0', 0)}
+             AS monthly_rent_estimate,
            {sql_round('a.median_price / nullif(a.avg_annual_wage, 0)', 2)} AS price_to_income_ratio,
            CAST(p.population AS BIGINT) AS population
     FROM (SELECT county, region, place_key, year,
