@@ -76,6 +76,11 @@ def _mm(src, cfg):
     return market.monthly_momentum(src.ms(), cfg)
 
 
+@job("monthly_momentum_sql")
+def _mm_sql(src, cfg):
+    return market.monthly_momentum_sql(src.ms(), cfg)
+
+
 @job("momentum_signals")
 def _ms_sig(src, cfg):
     return market.momentum_signals(market.monthly_momentum(src.ms(), cfg), cfg)
@@ -184,6 +189,11 @@ def _inv(src, cfg):
     return invest.investment_scores(src.aff(), src.sd(), cfg)
 
 
+@job("investment_scores_table")
+def _inv_table(src, cfg):
+    return _inv(src, cfg)
+
+
 @job("investment_scorecard")
 def _card(src, cfg):
     return invest.investment_scorecard(_inv(src, cfg), cfg)

@@ -121,6 +121,16 @@ def monthly_momentum(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         round_int(rolling_mean("n", w, 3, 2)).alias("vol_rolling_3m"))
 
 
+def monthly_momentum_sql(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The SQL form: rolling 6-month mean with no minimum count, 3-month momentum."""
+    m = ms.withColumn("sale_month", F.trunc("date_of_sale", "month"))
+    p = _profile(m, ["county", "sale_month"], cfg, {"median": 0.5})
+    w = series("county", "sale_month")
+    return p.select("county", "sale_month", round_int("median").alias("median_price"),
+                    round_int(rolling_mean("median", w, 6)).alias("rolling_6m_avg"),
+                    rnd(momentum("median", w, 3), 1).alias("momentum_3m_pct"))
+
+
 def momentum_signals(monthly: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Rows of the latest month overall, with the 3-month momentum signal."""
     latest = with_scalars(monthly, monthly.agg(F.max("sale_month").alias("__latest")))

@@ -348,6 +348,14 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
     SELECT *, {R(MOM('median_price', f'lag(median_price) OVER {W("region", "year")}'), 1)} AS yoy_growth_pct FROM g"""
 
     q["monthly_momentum"] = sql_with(cfg, "ms", extra=[("mm", _monthly_cte())]) + "SELECT * FROM mm"
+    w6 = W("county", "sale_month", "ROWS BETWEEN 5 PRECEDING AND CURRENT ROW")
+    q["monthly_momentum_sql"] = sql_with(cfg, "ms", extra=[("g", """
+    SELECT county, CAST(date_trunc('month', date_of_sale) AS DATE) AS sale_month,
+           quantile_cont(price_eur, 0.5) AS median
+    FROM ms GROUP BY county, CAST(date_trunc('month', date_of_sale) AS DATE)""")]) + f"""
+    SELECT county, sale_month, {RI('median')} AS median_price, {RI(f'avg(median) OVER {w6}')} AS rolling_6m_avg,
+           {R(MOM('median', f'lag(median, 3) OVER {W("county", "sale_month")}'), 1)} AS momentum_3m_pct
+    FROM g"""
     q["momentum_signals"] = sql_with(cfg, "ms", extra=[("mm", _monthly_cte()), ("sig", _signals_cte())]) + \
         "SELECT * FROM sig"
 
@@ -464,6 +472,7 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
 
     # --- scores ---
     inv = sql_with(cfg, "aff", "sd", extra=[("inv", _inv_cte(cfg))])
+    q["investment_scores_table"] = inv + "SELECT * FROM inv"
     q["investment_scorecard"] = inv + """
     SELECT rank, county, region, investment_tier, composite_investment_score, median_price_latest, price_growth_pct,
            rental_yield_est_pct, years_salary_to_buy, supply_deficit_pct, growth_score, supply_score, yield_score,

@@ -64,3 +64,12 @@ def materialize(spark: SparkSession, sf_dir: str, store: str, cfg: Config = DEFA
     src.aff().write.mode("overwrite").parquet(f"{store}/affordability")
     src.sd().write.mode("overwrite").parquet(f"{store}/supply_demand")
     return StoredSources(spark, sf_dir, store, cfg)
+
+
+def register_views(src: DerivedSources, cfg: Config = DEFAULT) -> None:
+    """Typed temp views for ``spark.sql``: transactions, affordability, supply_demand, investment_scores."""
+    from ..plans.invest import investment_scores
+    src.tx().createOrReplaceTempView("transactions")
+    src.aff().createOrReplaceTempView("affordability")
+    src.sd().createOrReplaceTempView("supply_demand")
+    investment_scores(src.aff(), src.sd(), cfg).createOrReplaceTempView("investment_scores")
