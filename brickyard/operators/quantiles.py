@@ -31,7 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from ..session import materialize
 
@@ -60,6 +60,23 @@ def _ns_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
+def approx_profile(df: DataFrame, keys: Sequence[str], value: str,
+                   quantiles: Mapping[str, float] | None = None, accuracy: int = 10_000) -> DataFrame:
+    """Opt-in approximate form: one aggregation with a bounded-size quantile sketch per group
+    (``percentile_approx``, rank error <= 1/accuracy).  Same columns as ``grouped_profile``."""
+    keys = list(keys)
+    quantiles = dict(quantiles or {})
+    v = F.col(value).cast("double")
+    aggs = [F.count(v).alias("n"), F.sum(v).alias("total"), F.min(v).alias("min"), F.max(v).alias("max"),
+            F.avg(v).alias("mean"), F.stddev_samp(v).alias("stddev")]
+    if quantiles:
+        aggs.append(F.percentile_approx(v, list(quantiles.values()), accuracy).alias("__q"))
+    out = df.where(v.isNotNull() & ~F.isnan(v)).groupBy(*keys).agg(*aggs)
+    for i, name in enumerate(quantiles):
+        out = out.withColumn(name, F.col("__q")[i])
+    return out.drop("__q") if quantiles else out
+
+
 def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
                     quantiles: Mapping[str, float] | None = None,
                     broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
@@ -69,8 +86,9 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
     ``max``, ``stddev`` (sample, NULL when n = 1), and one column per entry
     of ``quantiles`` (name -> probability in [0, 1]).
 
-    Runs two small Spark jobs eagerly (the histogram checkpoint and the size
-    check of the target-bucket list); the returned DataFrame is lazy.
+    Runs the histogram checkpoint eagerly (plus a count of the target-bucket
+    list only when the histogram exceeds ``broadcast_rows``); the returned
+    DataFrame is lazy.
     """
     keys = list(keys)
     quantiles = dict(quantiles or {})
@@ -86,7 +104,9 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
         F.min(v).alias("__mn"),
         F.max(v).alias("__mx"),
         (F.var_pop(v) * F.count(F.lit(1))).alias("__m2"))
-    hist = materialize(hist)
+    seen = Observation()
+    hist = materialize(hist.observe(seen, F.count(F.lit(1)).alias("rows")))
+    hist_rows = seen.get["rows"]
 
     # group moments: combine bucket moments around the group mean
     gw = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -126,8 +146,10 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
                 .select(*keys, "__b", "__q", "__side", "__frac", (F.col("__k") - start).alias("__r")))
 
     # pass 2: only rows of target buckets, de-duplicated map-side, ranked per bucket
+    # the target buckets are a subset of the histogram rows, so the histogram's
+    # row count (observed while it was written) bounds them without another job
     needed = targets.select(*keys, "__b").distinct()
-    if needed.count() <= broadcast_rows:
+    if hist_rows <= broadcast_rows or needed.count() <= broadcast_rows:
         needed = F.broadcast(needed)
     vals = (_ns_join(base, needed, keys + ["__b"], "left_semi")
               .groupBy(*keys, "__b", v).agg(F.count(F.lit(1)).alias("__vc")))

@@ -39,7 +39,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     A cluster must name a shared folder in ``spark.checkpoint.dir``; a
     machine-local folder would not survive the loss of an executor.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server's spark.checkpoint.dir applies
+        return spark.conf.get("spark.checkpoint.dir", "")
     current = sc.getCheckpointDir()
     if current:
         return current

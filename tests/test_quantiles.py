@@ -89,3 +89,14 @@ def test_no_group_is_collected_whole(spark, frame):
     df = grouped_profile(frame, ["g"], "v", {"median": 0.5})
     plan = df._jdf.queryExecution().executedPlan().toString().lower()
     assert "percentile" not in plan and "collect_list" not in plan
+
+
+def test_approx_profile_is_opt_in_and_close(spark, frame):
+    from brickyard.operators.quantiles import approx_profile
+    exact = {(r.g, r.k): r for r in grouped_profile(frame, ["g", "k"], "v", QS).collect()}
+    approx = approx_profile(frame, ["g", "k"], "v", QS).collect()
+    assert len(approx) == len(exact)
+    for r in approx:
+        e = exact[(r.g, r.k)]
+        assert r.n == e.n and r.min == e.min and r.max == e.max
+        assert e.min <= r.median <= e.max
