@@ -134,3 +134,27 @@ TRANSACTIONS_SCHEMA = T.StructType([
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     """The clean table written by ``sinks.write_clean_table`` (partition pruning on ``year``)."""
     return spark.read.schema(TRANSACTIONS_SCHEMA).parquet(path)
+
+
+AFFORDABILITY_SCHEMA = T.StructType([
+    T.StructField("county", T.StringType()), T.StructField("region", T.StringType()),
+    T.StructField("year", T.IntegerType()), T.StructField("median_price", T.DoubleType()),
+    T.StructField("avg_annual_wage", T.DoubleType()), T.StructField("years_salary_to_buy", T.DoubleType()),
+    T.StructField("monthly_rent_estimate", T.DoubleType()), T.StructField("price_to_income_ratio", T.DoubleType()),
+    T.StructField("population", T.LongType()),
+])
+SUPPLY_SCHEMA = T.StructType([
+    T.StructField("county", T.StringType()), T.StructField("region", T.StringType()),
+    T.StructField("year", T.IntegerType()), T.StructField("new_completions", T.LongType()),
+    T.StructField("estimated_demand", T.LongType()), T.StructField("supply_deficit", T.LongType()),
+    T.StructField("supply_ratio", T.DoubleType()), T.StructField("supply_deficit_pct", T.DoubleType()),
+])
+
+
+def read_dimension_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A stored dimension table (header CSV) read with a fixed schema, columns matched by name."""
+    raw = spark.read.option("header", True).csv(path)
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: missing column(s) {missing}")
+    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])

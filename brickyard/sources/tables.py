@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Config, DEFAULT
 from . import synthetic as S
-from .register import read_transactions
+from .register import AFFORDABILITY_SCHEMA, SUPPLY_SCHEMA, read_dimension_csv, read_transactions
 from .sinks import write_clean_table
 
 
@@ -73,3 +73,27 @@ def register_views(src: DerivedSources, cfg: Config = DEFAULT) -> None:
     src.aff().createOrReplaceTempView("affordability")
     src.sd().createOrReplaceTempView("supply_demand")
     investment_scores(src.aff(), src.sd(), cfg).createOrReplaceTempView("investment_scores")
+
+
+class RegisterSources(DerivedSources):
+    """A real deployment: the clean transactions table plus the two stored dimension CSVs."""
+
+    def __init__(self, spark: SparkSession, transactions_path: str, affordability_csv: str, supply_csv: str,
+                 cfg: Config = DEFAULT):
+        super().__init__(spark, "", cfg)
+        self.transactions_path, self.affordability_csv, self.supply_csv = transactions_path, affordability_csv, supply_csv
+
+    def tx(self) -> DataFrame:
+        return read_transactions(self.spark, self.transactions_path)
+
+    def ms(self) -> DataFrame:
+        return self.tx().where(~F.col("not_full_market"))
+
+    def aff(self) -> DataFrame:
+        return read_dimension_csv(self.spark, self.affordability_csv, AFFORDABILITY_SCHEMA)
+
+    def sd(self) -> DataFrame:
+        return read_dimension_csv(self.spark, self.supply_csv, SUPPLY_SCHEMA)
+
+    def customer(self) -> DataFrame:
+        raise NotImplementedError("register_cleaning runs on the driver's customer table only")

@@ -1,0 +1,57 @@
+"""The deployment path: clean table + stored dimension CSVs -> every job -> result directories."""
+
+import csv
+import datetime as dt
+import glob
+import os
+
+from brickyard.__main__ import main
+from brickyard.sources.sinks import write_clean_table
+
+SCHEMA = ("date_of_sale date, county string, region string, price_eur double, property_type string, "
+          "not_full_market boolean, vat_exclusive boolean, year int, month int, quarter string, eircode string")
+PLACES = [("Dublin", "Leinster"), ("Kildare", "Leinster"), ("Cork", "Munster"), ("Leitrim", "Connacht")]
+
+
+def _sales():
+    rows = []
+    for y in range(2020, 2025):
+        for pi, (c, r) in enumerate(PLACES):
+            for m in range(1, 13):
+                for k in range(3):
+                    p = 150000 + 60000 * pi + 8000 * (y - 2020) + 1000 * m + 137 * k
+                    new = (m + k) % 3 == 0
+                    rows.append((dt.date(y, m, 1 + k), c, r, float(p), "New Dwelling house /Apartment" if new else
+                                 "Second-Hand Dwelling house /Apartment", False, new, y, m, f"Q{(m - 1) // 3 + 1}",
+                                 f"D{(m % 24) + 1} X" if c == "Dublin" else None))
+    return rows
+
+
+def _write_csv(path, header, rows):
+    with open(path, "w", newline="") as f:
+        w = csv.writer(f)
+        w.writerow(header)
+        w.writerows(rows)
+
+
+def test_run_all_jobs_from_stored_tables(spark, tmpdir_path):
+    tx = os.path.join(tmpdir_path, "transactions")
+    write_clean_table(spark.createDataFrame(_sales(), SCHEMA), tx)
+    aff, sd = os.path.join(tmpdir_path, "aff.csv"), os.path.join(tmpdir_path, "sd.csv")
+    _write_csv(aff, ["county", "region", "year", "median_price", "avg_annual_wage", "years_salary_to_buy",
+                     "monthly_rent_estimate", "price_to_income_ratio", "population"],
+               [(c, r, y, 200000 + 10000 * i + 5000 * (y - 2020), 40000 + 1000 * i, round((200000 + 10000 * i + 5000 * (y - 2020)) / (40000 + 1000 * i), 1),
+                 900 + 50 * i, 5.0, 100000) for i, (c, r) in enumerate(PLACES) for y in range(2020, 2025)])
+    _write_csv(sd, ["county", "region", "year", "new_completions", "estimated_demand", "supply_deficit",
+                    "supply_ratio", "supply_deficit_pct"],
+               [(c, r, y, 400 + 100 * i, 1000, 600 - 100 * i, (400 + 100 * i) / 1000, 60.0 - 10 * i)
+                for i, (c, r) in enumerate(PLACES) for y in range(2020, 2025)])
+    out = os.path.join(tmpdir_path, "out")
+    assert main(["run", "--transactions", tx, "--affordability", aff, "--supply", sd, "--out", out]) == 0
+    written = sorted(os.path.basename(p) for p in glob.glob(os.path.join(out, "*")))
+    assert "market_pulse" in written and "investment_scorecard" in written and "register_cleaning" not in written
+    assert len(written) == 46
+    pulse = spark.read.option("header", True).csv(os.path.join(out, "market_pulse"))
+    assert pulse.count() == 20
+    heat = spark.read.option("header", True).csv(os.path.join(out, "heat_index")).collect()
+    assert sorted(r.county for r in heat) == sorted(c for c, _ in PLACES)
