@@ -7,14 +7,13 @@ The defaults describe the synthetic driver tables (see ``sources.synthetic``);
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 
 @dataclass(frozen=True)
 class Config:
     # --- places -------------------------------------------------------------
     focus_place: str = "NATION_0"          # the "capital" market compared with the rest
-    rest_label: str = "Rest of Ireland"    # label of every other place in the focus split
     commuter_places: tuple[str, ...] = ("NATION_1", "NATION_2", "NATION_3", "NATION_4", "NATION_5")
 
     # --- periods ------------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..config import Config, DEFAULT
 from ..functions import labels as L
 from ..functions.numeric import pct_change, round_half_away as rnd, round_int, safe_div
-from ..functions.windows import (lag_pct_change, momentum, rolling_mean, series,
+from ..functions.windows import (momentum, rolling_mean, series,
                                  truncated_average_rank, value_at)
 from ..operators.quantiles import grouped_profile
 from ..operators.scalars import with_scalars

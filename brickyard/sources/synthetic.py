@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Config, DEFAULT
-from ..functions.numeric import round_half_away, round_int, safe_div, sql_round, sql_round_int
+from ..functions.numeric import round_half_away, safe_div, sql_round
 from ..operators.quantiles import grouped_profile
 
 # ---------------------------------------------------------------------------
@@ -101,10 +101,15 @@ def market_sales(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT, keep_k
 def affordability(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
     """affordability(county, region, year, median_price, avg_annual_wage, years_salary_to_buy,
     monthly_rent_estimate, price_to_income_ratio, population)."""
-    ms = market_sales(spark, sf_dir, cfg, keep_keys=True)
-    prof = grouped_profile(ms, ["county", "region", "place_key", "year"], "price_eur", {"median": 0.5},
+    return affordability_from(market_sales(spark, sf_dir, cfg, keep_keys=True),
+                              _read(spark, sf_dir, "customer"), cfg)
+
+
+def affordability_from(keyed_ms: DataFrame, customer: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The affordability dimension from market sales that carry ``place_key``."""
+    prof = grouped_profile(keyed_ms, ["county", "region", "place_key", "year"], "price_eur", {"median": 0.5},
                            broadcast_rows=cfg.quantile_broadcast_rows)
-    pop = (_read(spark, sf_dir, "customer").groupBy("c_nationkey")
+    pop = (customer.groupBy("c_nationkey")
            .agg((F.count(F.lit(1)) * POPULATION_PER_CUSTOMER).alias("population")))
     median = round_half_away(F.col("median"), 0)
     wage = (F.lit(WAGE_BASE) + F.lit(WAGE_PER_PLACE) * F.col("place_key")
@@ -124,9 +129,13 @@ def affordability(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> Da
 def supply_demand(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
     """supply_demand(county, region, year, new_completions, estimated_demand, supply_deficit,
     supply_ratio, supply_deficit_pct)."""
-    ms = market_sales(spark, sf_dir, cfg, keep_keys=True)
+    return supply_demand_from(market_sales(spark, sf_dir, cfg, keep_keys=True))
+
+
+def supply_demand_from(keyed_ms: DataFrame) -> DataFrame:
+    """The supply dimension from market sales that carry ``sale_key`` and ``place_key``."""
     done = (F.col("sale_key") % 100) < (F.lit(COMPLETIONS_BASE_PCT) + F.lit(COMPLETIONS_PER_PLACE) * F.col("place_key"))
-    g = ms.groupBy("county", "region", "year").agg(
+    g = keyed_ms.groupBy("county", "region", "year").agg(
         F.count_if(done).cast("bigint").alias("new_completions"),
         F.count(F.lit(1)).alias("estimated_demand"))
     deficit = F.col("estimated_demand") - F.col("new_completions")

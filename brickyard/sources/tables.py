@@ -57,12 +57,17 @@ class StoredSources(DerivedSources):
 
 
 def materialize(spark: SparkSession, sf_dir: str, store: str, cfg: Config = DEFAULT) -> StoredSources:
-    """Write the canonical tables once; return sources reading them."""
-    src = DerivedSources(spark, sf_dir, cfg)
+    """Write the canonical tables once; return sources reading them.
+
+    The one large join (orders -> customers) runs once: the keyed sales are
+    stored partitioned by year, and both dimensions are derived from them.
+    """
     store = store.rstrip("/")
-    write_clean_table(src.tx(), f"{store}/transactions")
-    src.aff().write.mode("overwrite").parquet(f"{store}/affordability")
-    src.sd().write.mode("overwrite").parquet(f"{store}/supply_demand")
+    write_clean_table(S.sales(spark, sf_dir, cfg), f"{store}/transactions")
+    keyed_ms = spark.read.parquet(f"{store}/transactions").where(~F.col("not_full_market"))
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    S.affordability_from(keyed_ms, customer, cfg).write.mode("overwrite").parquet(f"{store}/affordability")
+    S.supply_demand_from(keyed_ms).write.mode("overwrite").parquet(f"{store}/supply_demand")
     return StoredSources(spark, sf_dir, store, cfg)
 
 
