@@ -97,57 +97,60 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
               .where(F.col(v).isNotNull() & ~F.isnan(F.col(v)))
               .withColumn("__b", value_bucket(F.col(v))))
 
-    # pass 1: per-bucket histogram with mergeable moments
+    # pass 1: per-bucket histogram with mergeable moments; every per-group window
+    # (running count, group totals, merged moments) is computed before the
+    # checkpoint, so later stages only project, filter and join small tables
     hist = base.groupBy(*keys, "__b").agg(
         F.count(F.lit(1)).alias("__c"),
         F.sum(v).alias("__s"),
         F.min(v).alias("__mn"),
         F.max(v).alias("__mx"),
         (F.var_pop(v) * F.count(F.lit(1))).alias("__m2"))
+    gw = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    cw = gw.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    gmean = F.sum("__s").over(gw) / F.sum("__c").over(gw)
+    hist = (hist.select(*keys, "__b", "__c",
+                        F.sum("__c").over(cw).alias("__end"),
+                        F.sum("__c").over(gw).alias("n"),
+                        F.sum("__s").over(gw).alias("total"),
+                        F.min("__mn").over(gw).alias("min"),
+                        F.max("__mx").over(gw).alias("max"),
+                        (F.col("__m2") + F.col("__c") * F.pow(F.col("__s") / F.col("__c") - gmean, 2)).alias("__dev"))
+                .withColumn("__m2", F.sum("__dev").over(gw))
+                .drop("__dev"))
     seen = Observation()
     hist = materialize(hist.observe(seen, F.count(F.lit(1)).alias("rows")))
     hist_rows = seen.get["rows"]
 
-    # group moments: combine bucket moments around the group mean
-    gw = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    gmean = F.sum("__s").over(gw) / F.sum("__c").over(gw)
-    dev = F.col("__m2") + F.col("__c") * F.pow(F.col("__s") / F.col("__c") - gmean, 2)
-    stats = (hist.withColumn("__dev", dev)
-                 .groupBy(*keys)
-                 .agg(F.sum("__c").alias("n"),
-                      F.sum("__s").alias("total"),
-                      F.min("__mn").alias("min"),
-                      F.max("__mx").alias("max"),
-                      F.sum("__dev").alias("__m2"))
-                 .withColumn("mean", F.col("total") / F.col("n"))
-                 .withColumn("stddev", F.when(F.col("n") > 1, F.sqrt(F.greatest(F.col("__m2"), F.lit(0.0))
-                                                                         / (F.col("n") - 1))))
-                 .drop("__m2"))
+    stat_cols = ["n", "total", "min", "max", "__m2"]
+
+    def finish(df: DataFrame) -> DataFrame:
+        return (df.withColumn("mean", F.col("total") / F.col("n"))
+                  .withColumn("stddev", F.when(F.col("n") > 1, F.sqrt(F.greatest(F.col("__m2"), F.lit(0.0))
+                                                                      / (F.col("n") - 1))))
+                  .drop("__m2"))
+
     if not quantiles:
-        return stats
+        return finish(hist.where(F.col("__end") == F.col("n")).select(*keys, *stat_cols))
 
     # locate the buckets holding ranks floor(pos) and ceil(pos)
-    cw = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("__b")
-    cum = (hist.select(*keys, "__b", "__c")
-               .withColumn("__end", F.sum("__c").over(cw.rowsBetween(Window.unboundedPreceding, 0)))
-               .withColumn("__n", F.sum("__c").over(gw)))
     probs = F.array(*[F.struct(F.lit(name).alias("__q"), F.lit(float(p)).alias("__p"))
                       for name, p in quantiles.items()])
-    pos = (F.col("__n") - 1) * F.col("__p")
-    t = (cum.select("*", F.inline(probs))
-            .withColumn("__pos", pos)
-            .withColumn("__frac", F.col("__pos") - F.floor(F.col("__pos")))
-            .select(*keys, "__b", "__c", "__end", "__q", "__frac",
-                    F.inline(F.array(
-                        F.struct(F.lit("lo").alias("__side"), F.floor("__pos").alias("__k")),
-                        F.struct(F.lit("hi").alias("__side"), F.ceil("__pos").alias("__k"))))))
+    pos = (F.col("n") - 1) * F.col("__p")
+    t = (hist.select("*", F.inline(probs))
+             .withColumn("__pos", pos)
+             .withColumn("__frac", F.col("__pos") - F.floor(F.col("__pos")))
+             .select(*keys, *stat_cols, "__b", "__c", "__end", "__q", "__frac",
+                     F.inline(F.array(
+                         F.struct(F.lit("lo").alias("__side"), F.floor("__pos").alias("__k")),
+                         F.struct(F.lit("hi").alias("__side"), F.ceil("__pos").alias("__k"))))))
     start = F.col("__end") - F.col("__c")
     targets = (t.where((F.col("__k") >= start) & (F.col("__k") < F.col("__end")))
-                .select(*keys, "__b", "__q", "__side", "__frac", (F.col("__k") - start).alias("__r")))
+                .select(*keys, *stat_cols, "__b", "__q", "__side", "__frac", (F.col("__k") - start).alias("__r")))
 
-    # pass 2: only rows of target buckets, de-duplicated map-side, ranked per bucket
-    # the target buckets are a subset of the histogram rows, so the histogram's
-    # row count (observed while it was written) bounds them without another job
+    # pass 2: only rows of target buckets, de-duplicated map-side, ranked per bucket.
+    # The target buckets are a subset of the histogram rows, so the histogram's
+    # row count (observed while it was written) bounds them without another job.
     needed = targets.select(*keys, "__b").distinct()
     if hist_rows <= broadcast_rows or needed.count() <= broadcast_rows:
         needed = F.broadcast(needed)
@@ -158,12 +161,11 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
     picked = (_ns_join(targets, vals, keys + ["__b"], "inner")
                 .where((F.col("__r") >= F.col("__vend") - F.col("__vc")) & (F.col("__r") < F.col("__vend"))))
 
-    aggs = []
+    aggs = [F.first(c).alias(c) for c in stat_cols]
     for name in quantiles:
         is_q = F.col("__q") == F.lit(name)
         lo = F.max(F.when(is_q & (F.col("__side") == "lo"), F.col(v)))
         hi = F.max(F.when(is_q & (F.col("__side") == "hi"), F.col(v)))
         frac = F.max(F.when(is_q, F.col("__frac")))
         aggs.append((lo + (hi - lo) * frac).alias(name))
-    qdf = picked.groupBy(*keys).agg(*aggs)
-    return _ns_join(stats, qdf, keys, "left")
+    return finish(picked.groupBy(*keys).agg(*aggs))
