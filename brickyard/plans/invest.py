@@ -13,7 +13,6 @@ from ..config import Config, DEFAULT
 from ..functions import labels as L
 from ..functions.numeric import pct_change, round_half_away as rnd, round_int, safe_div
 from ..functions.windows import truncated_average_rank
-from ..operators.quantiles import grouped_profile
 from ..operators.scalars import min_max_scores, with_scalars
 from .market import mean_of_rounded
 
@@ -21,6 +20,16 @@ WEIGHTS_INVEST = (("growth_score", 0.30), ("supply_score", 0.30), ("yield_score"
 WEIGHTS_HEAT = (("price_score", 0.30), ("growth_score", 0.30), ("volume_score", 0.25), ("vol_growth_score", 0.15))
 
 
+def place_median(c: str) -> F.Column:
+    """Exact median over a *place-level* table (one row per place, or per place and year).
+
+    A group here holds at most one value per place, a bound fixed by the place
+    dimension, so Spark's exact ``percentile`` is safe; sale-level medians use
+    ``grouped_profile`` instead.
+    """
+    return F.percentile(F.col(c), 0.5)
+
+
 def weighted(weights) -> F.Column:
     expr = None
     for name, w in weights:
@@ -90,7 +99,7 @@ def risk_adjusted_return(growth="price_growth_pct", yld="rental_yield_est_pct",
 
 def undervalued_median(inv: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Every place with discount to the national *median*, risk-adjusted return and the flag."""
-    nat = grouped_profile(inv, [], "median_price_latest", {"median": 0.5}).select(F.col("median").alias("nat_median"))
+    nat = inv.agg(place_median("median_price_latest").alias("nat_median"))
     j = with_scalars(inv, nat)
     return j.select("county", "region", "median_price_latest", "nat_median",
                     rnd((F.col("nat_median") - F.col("median_price_latest")) / F.col("nat_median") * F.lit(100.0), 1)
@@ -139,19 +148,16 @@ def heat_index(pulse_value: DataFrame, velocity: DataFrame, cfg: Config = DEFAUL
 
 def national_summary(pulse_value: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Per year: median of place medians, total sales, mean of place growth."""
-    med = grouped_profile(pulse_value, ["year"], "median_price", {"median": 0.5}).select("year", "median")
-    agg = pulse_value.groupBy("year").agg(F.sum("transactions").alias("total_transactions"),
-                                          rnd(mean_of_rounded("yoy_growth_pct", 1), 1).alias("avg_yoy"))
-    return med.join(agg, "year").select("year", round_int("median").alias("national_median"),
-                                        "total_transactions", "avg_yoy")
+    return pulse_value.groupBy("year").agg(
+        round_int(place_median("median_price")).alias("national_median"),
+        F.sum("transactions").alias("total_transactions"),
+        rnd(mean_of_rounded("yoy_growth_pct", 1), 1).alias("avg_yoy"))
 
 
 def national_latest(pulse_value: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """One row for the latest year: median, sum and mean over places."""
     latest = pulse_value.where(F.col("year") == F.lit(cfg.latest_year))
-    med = grouped_profile(latest, [], "median_price", {"median": 0.5}).select("median")
-    agg = latest.agg(F.sum("transactions").alias("transactions"),
-                     mean_of_rounded("yoy_growth_pct", 1).alias("yoy_growth_pct"))
-    return with_scalars(med, agg).select(
-        F.lit(cfg.latest_year).alias("year"), F.lit("National").alias("description"),
-        F.col("median").alias("median_price"), "transactions", "yoy_growth_pct")
+    return latest.agg(F.lit(cfg.latest_year).alias("year"), F.lit("National").alias("description"),
+                      place_median("median_price").alias("median_price"),
+                      F.sum("transactions").alias("transactions"),
+                      mean_of_rounded("yoy_growth_pct", 1).alias("yoy_growth_pct"))
