@@ -7,6 +7,8 @@ import __spark_entry__ as E
 from tools.check_oracle import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+         "boolean": "BOOLEAN"}
 QUERIES = E.queries()
 SQL = E.oracle_sql()
 
@@ -31,6 +33,9 @@ def test_query_matches_oracle(spark, con, name):
     ocols = [d[0] for d in cur.description]
     orows = cur.fetchall()
     assert sorted(df.columns) == sorted(ocols)
+    spark_types = {f.name: TYPES.get(f.dataType.simpleString()) for f in df.schema.fields}
+    rel = con.sql(SQL[name])
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
     assert len(rows) == len(orows)
     assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
 
