@@ -60,7 +60,7 @@ def main(argv=None) -> int:
     jobs = catalog.jobs_on(src, cfg)
     names = [n for n in a.jobs.split(",") if n] or [n for n in jobs if a.sf_dir or n != "register_cleaning"]
     for name in names:
-        write_result(jobs[name](), f"{a.out.rstrip('/')}/{name}", a.format)
+        write_result(catalog.ordered(name, jobs[name]()), f"{a.out.rstrip('/')}/{name}", a.format)
     return 0
 
 

@@ -275,6 +275,42 @@ def _ti(src, cfg):
     return findings.top_investment(_card(src, cfg), cfg)
 
 
+# Presentation order of each result at the sink (the reference's ORDER BY;
+# "-col" = descending with NULLs first, as PostgreSQL sorts).  Jobs never rely
+# on it; the large clean table is written unsorted.
+ORDER: dict[str, tuple[str, ...]] = {
+    "market_pulse": ("county", "year"), "market_pulse_value": ("county", "year"), "focus_vs_rest": ("year",),
+    "regional_trends": ("region", "year"), "monthly_momentum": ("county", "sale_month"),
+    "monthly_momentum_sql": ("county", "sale_month"), "momentum_signals": ("county",),
+    "velocity_annual": ("county", "year"), "velocity_monthly": ("county", "year", "month"),
+    "property_type": ("county", "year", "type_label"), "new_vs_secondhand": ("county", "year"),
+    "new_build_premium_vat": ("-new_build_premium_pct", "county", "year"), "new_premium_avg": ("county", "year"),
+    "postcode_annual": ("postcode", "year"), "postcode_snapshot": ("price_rank", "postcode"),
+    "monthly_volume": ("year", "month"), "seasonality": ("year", "month"), "seasonal_pattern": ("month",),
+    "price_distribution": ("county", "year"), "mortgage_stress": ("county", "year"), "ftb_gap": ("-gap_pct", "county"),
+    "affordability_ranking": ("year", "-years_salary_to_buy", "county"),
+    "affordability_deterioration": ("-yrs_salary_deterioration", "county"), "supply_gap": ("county", "year"),
+    "supply_vs_growth": ("-price_growth_pct", "county"), "commuter_belt": ("county", "year"),
+    "investment_scores_table": ("rank", "county"), "investment_scorecard": ("rank", "county"),
+    "tier_summary": ("-avg_score",), "undervalued_median": ("county",),
+    "undervalued_mean": ("-composite_investment_score", "county"),
+    "risk_adjusted_ranking": ("-risk_adj_return_score", "county"), "heat_index": ("rank",),
+    "national_summary": ("year",), "affordability_table": ("county", "year"), "supply_demand_table": ("county", "year"),
+    "top_momentum": ("-momentum_3m", "county"), "top_unaffordable": ("-years_salary_to_buy", "county"),
+    "top_heat": ("rank",), "postcode_spread": ("position", "-median_price", "postcode"),
+    "top_premium": ("-new_build_premium_pct", "county"), "cannot_afford": ("county",), "top_investment": ("rank", "county"),
+}
+
+
+def ordered(name: str, df: DataFrame) -> DataFrame:
+    from pyspark.sql import functions as F
+    keys = ORDER.get(name)
+    if not keys:
+        return df
+    return df.orderBy(*[F.col(k[1:]).desc_nulls_first() if k.startswith("-") else F.col(k).asc_nulls_first()
+                        for k in keys])
+
+
 def queries(cfg: Config = TEST) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Every job reading the driver tables under ``sf_dir`` (canonical tables derived on use)."""
     return {name: (lambda spark, sf_dir, _fn=fn: _fn(DerivedSources(spark, sf_dir, cfg), cfg))

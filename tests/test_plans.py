@@ -32,3 +32,10 @@ def test_price_filter_pushed_and_columns_pruned(spark):
     assert "o_orderpriority" in pushed                         # the market-sale filter reaches the scan too
     read = scan.split("ReadSchema: struct<")[1]
     assert "o_orderstatus" not in read and "o_orderkey" not in read     # unused columns are not read
+
+
+def test_every_order_names_existing_columns(spark):
+    from brickyard.plans import catalog
+    for name, keys in catalog.ORDER.items():
+        df = E.queries()[name](spark, SF)
+        assert all(k.lstrip("-") in df.columns for k in keys), name
