@@ -14,6 +14,7 @@ import sys
 
 from .config import Config, TEST
 from .plans import catalog
+from .operators.scalars import require_unique
 from .session import ensure_checkpoint_dir, get_session
 from .sources.register import read_register
 from .sources.sinks import write_clean_table, write_result
@@ -57,6 +58,8 @@ def main(argv=None) -> int:
     else:
         cfg = Config.register()
         src = RegisterSources(spark, a.transactions, a.affordability, a.supply, cfg)
+        require_unique(src.aff(), ["county", "year"], a.affordability)
+        require_unique(src.sd(), ["county", "year"], a.supply)
     jobs = catalog.jobs_on(src, cfg)
     names = [n for n in a.jobs.split(",") if n] or [n for n in jobs if a.sf_dir or n != "register_cleaning"]
     for name in names:

@@ -41,3 +41,16 @@ def min_max_scores(df: DataFrame, specs: Mapping[str, tuple], digits: int = 1) -
         out.append(round_half_away(num / F.nullif(hi - lo, F.lit(0)) * F.lit(100.0), digits).alias(name))
     keep = [c for c in df.columns]
     return j.select(*keep, *out)
+
+
+def require_unique(df: DataFrame, keys, what: str = "table", sample: int = 5) -> DataFrame:
+    """Raise if ``keys`` repeat in ``df`` (a dimension joined on them would multiply rows).
+
+    One aggregation job; at most ``sample`` offending keys reach the driver.
+    """
+    keys = list(keys)
+    dup = df.groupBy(*keys).count().where(F.col("count") > 1).limit(sample).collect()
+    if dup:
+        shown = ", ".join(str(tuple(r[k] for k in keys)) for r in dup)
+        raise ValueError(f"{what}: keys {keys} are not unique, e.g. {shown}")
+    return df

@@ -55,3 +55,12 @@ def test_partition_count_invariance(spark, q):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert one == many
+
+
+def test_dimensions_unique_on_place_year(spark, q):
+    from brickyard.operators.scalars import require_unique
+    require_unique(q["affordability_table"](spark, SF), ["county", "year"], "affordability")
+    require_unique(q["supply_demand_table"](spark, SF), ["county", "year"], "supply_demand")
+    dup = spark.createDataFrame([("A", 2020), ("A", 2020), ("B", 2020)], "county string, year int")
+    with pytest.raises(ValueError, match="not unique"):
+        require_unique(dup, ["county", "year"])
