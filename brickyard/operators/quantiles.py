@@ -169,3 +169,10 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
         frac = F.max(F.when(is_q, F.col("__frac")))
         aggs.append((lo + (hi - lo) * frac).alias(name))
     return finish(picked.groupBy(*keys).agg(*aggs))
+
+
+def profile(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float] | None, cfg) -> DataFrame:
+    """The jobs' entry point: exact by default, approximate only when ``cfg.exact_quantiles`` is False."""
+    if cfg.exact_quantiles:
+        return grouped_profile(df, keys, value, quantiles, broadcast_rows=cfg.quantile_broadcast_rows)
+    return approx_profile(df, keys, value, quantiles, accuracy=cfg.approx_accuracy)

@@ -16,12 +16,12 @@ from ..functions import labels as L
 from ..functions.numeric import pct_change, round_half_away as rnd, round_int, safe_div
 from ..functions.windows import (momentum, rolling_mean, series,
                                  truncated_average_rank, value_at)
-from ..operators.quantiles import grouped_profile
+from ..operators.quantiles import profile
 from ..operators.scalars import with_scalars
 
 
 def _profile(df: DataFrame, keys, cfg: Config, quantiles=None) -> DataFrame:
-    return grouped_profile(df, keys, "price_eur", quantiles or {}, broadcast_rows=cfg.quantile_broadcast_rows)
+    return profile(df, keys, "price_eur", quantiles or {}, cfg)
 
 
 def month_name(month_col) -> F.Column:

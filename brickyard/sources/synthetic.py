@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Config, DEFAULT
 from ..functions.numeric import round_half_away, safe_div, sql_round
-from ..operators.quantiles import grouped_profile
+from ..operators.quantiles import profile
 
 # ---------------------------------------------------------------------------
 # Property-type texts of the register, used for synthetic rows.
@@ -107,8 +107,7 @@ def affordability(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> Da
 
 def affordability_from(keyed_ms: DataFrame, customer: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """The affordability dimension from market sales that carry ``place_key``."""
-    prof = grouped_profile(keyed_ms, ["county", "region", "place_key", "year"], "price_eur", {"median": 0.5},
-                           broadcast_rows=cfg.quantile_broadcast_rows)
+    prof = profile(keyed_ms, ["county", "region", "place_key", "year"], "price_eur", {"median": 0.5}, cfg)
     pop = (customer.groupBy("c_nationkey")
            .agg((F.count(F.lit(1)) * POPULATION_PER_CUSTOMER).alias("population")))
     median = round_half_away(F.col("median"), 0)

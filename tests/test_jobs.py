@@ -110,3 +110,11 @@ def test_risk_adjusted_ranks_with_ties(spark):
     got = {r.county: (r.risk_adj_return_score, r.risk_adj_rank, r.risk_adj_rank_avg)
            for r in invest.risk_adjusted_ranking(inv, CFG).collect()}
     assert got == {"C": (26.0, 1, 1), "A": (22.0, 2, 2), "B": (22.0, 2, 2), "D": (18.0, 4, 4)}
+
+
+def test_approximate_quantiles_only_when_asked(spark):
+    rows = [sale(2022, 1, "A", 100000 + 1000 * i) for i in range(101)]
+    exact = market.market_pulse(frame(spark, rows), CFG).first()
+    approx = market.market_pulse(frame(spark, rows), CFG.with_(exact_quantiles=False)).first()
+    assert exact.median_price == 150000
+    assert abs(approx.median_price - 150000) <= 1000
