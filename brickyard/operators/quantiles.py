@@ -46,7 +46,7 @@ def value_bucket(v: Column) -> Column:
 def _ns_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Equi-join on ``keys`` that also matches NULL keys (SQL GROUP BY keeps a NULL group)."""
     if not keys:
-        return left.crossJoin(right) if how != "left_semi" else left
+        raise ValueError("join keys required")
     r = right
     for k in keys:
         r = r.withColumnRenamed(k, f"__r_{k}")

@@ -16,8 +16,9 @@ from ..functions.numeric import round_half_away
 
 
 def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row aggregate to every row of ``df``."""
-    return df.crossJoin(F.broadcast(one_row))
+    """Attach the columns of a one-row aggregate to every row of ``df`` (one scalar subquery)."""
+    s = one_row.select(F.struct(*one_row.columns).alias("__s")).scalar()
+    return df.select("*", *[s[c].alias(c) for c in one_row.columns])
 
 
 def min_max_scores(df: DataFrame, specs: Mapping[str, tuple], digits: int = 1) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import round_half_away
 from ..operators.quantiles import grouped_profile
+from ..operators.scalars import with_scalars
 
 
 def load_profile(tx: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def load_profile(tx: DataFrame) -> DataFrame:
                    F.min("price_eur").alias("min_price"),
                    F.max("price_eur").alias("max_price"))
     med = grouped_profile(tx, [], "price_eur", {"median": 0.5}).select(round_half_away("median", 2).alias("median_price"))
-    return stats.crossJoin(F.broadcast(med))
+    return with_scalars(stats, med)
 
 
 # ---------------------------------------------------------------------------
