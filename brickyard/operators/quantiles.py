@@ -37,27 +37,49 @@ from ..session import materialize
 
 RES = 512.0  # buckets per unit of log1p(|v|)
 DEFAULT_BROADCAST_ROWS = 1_000_000
+DEFAULT_MAX_RANGE_ROWS = 2_000_000  # rows one task may rank for one target range
 
 
 def value_bucket(v: Column) -> Column:
     return F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(RES))
 
 
-def _ns_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Equi-join on ``keys`` that also matches NULL keys (SQL GROUP BY keeps a NULL group)."""
-    if not keys:
-        raise ValueError("join keys required")
-    r = right
-    for k in keys:
-        r = r.withColumnRenamed(k, f"__r_{k}")
+def _ns_cond(left: DataFrame, right: DataFrame, keys: Sequence[str]):
+    """Null-safe equality on ``keys`` (SQL GROUP BY keeps a NULL group)."""
     cond = None
     for k in keys:
-        c = left[k].eqNullSafe(r[f"__r_{k}"])
+        c = left[k].eqNullSafe(right[f"__r_{k}"])
         cond = c if cond is None else cond & c
-    out = left.join(r, cond, how)
-    if how == "left_semi":
-        return out
-    return out.drop(*[f"__r_{k}" for k in keys])
+    return cond
+
+
+def _renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    for k in keys:
+        df = df.withColumnRenamed(k, f"__r_{k}")
+    return df
+
+
+def _ns_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Equi-join on ``keys`` that also matches NULL keys."""
+    if not keys:
+        raise ValueError("join keys required")
+    r = _renamed(right, keys)
+    out = left.join(r, _ns_cond(left, r, keys), how)
+    return out if how == "left_semi" else out.drop(*[f"__r_{k}" for k in keys])
+
+
+def _in_ranges(base: DataFrame, ranges: DataFrame, keys: Sequence[str], v: str, broadcast: bool) -> DataFrame:
+    """Rows of ``base`` inside one of the (disjoint) value ranges of their group and level-0 bucket.
+
+    Equi-join on (keys, bucket) plus ``lo <= v <= hi``: a hot group is spread
+    over its buckets; a hot bucket is split by AQE's skew-join handling.
+    """
+    jk = list(keys) + ["__b"]
+    r = _renamed(ranges, jk)
+    if broadcast:
+        r = F.broadcast(r)
+    cond = _ns_cond(base, r, jk) & (base[v] >= r["__lo"]) & (base[v] <= r["__hi"])
+    return base.join(r, cond, "inner").drop(*[f"__r_{k}" for k in jk])
 
 
 def approx_profile(df: DataFrame, keys: Sequence[str], value: str,
@@ -79,7 +101,9 @@ def approx_profile(df: DataFrame, keys: Sequence[str], value: str,
 
 def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
                     quantiles: Mapping[str, float] | None = None,
-                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+                    max_range_rows: int = DEFAULT_MAX_RANGE_ROWS,
+                    sub_buckets: int = 4096, max_levels: int = 8) -> DataFrame:
     """One row per group of ``keys`` over the non-null ``value`` rows.
 
     Columns: keys, ``n`` (bigint count), ``total`` (sum), ``mean``, ``min``,
@@ -109,7 +133,7 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
     gw = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     cw = gw.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     gmean = F.sum("__s").over(gw) / F.sum("__c").over(gw)
-    hist = (hist.select(*keys, "__b", "__c",
+    hist = (hist.select(*keys, "__b", "__c", "__mn", "__mx",
                         F.sum("__c").over(cw).alias("__end"),
                         F.sum("__c").over(gw).alias("n"),
                         F.sum("__s").over(gw).alias("total"),
@@ -119,8 +143,9 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
                 .withColumn("__m2", F.sum("__dev").over(gw))
                 .drop("__dev"))
     seen = Observation()
-    hist = materialize(hist.observe(seen, F.count(F.lit(1)).alias("rows")))
-    hist_rows = seen.get["rows"]
+    hist = materialize(hist.observe(seen, F.count(F.lit(1)).alias("rows"), F.max("__c").alias("biggest"),
+                                    F.count(F.when(F.col("__end") == F.col("n"), F.lit(1))).alias("groups")))
+    groups, biggest = seen.get["groups"], seen.get["biggest"] or 0
 
     stat_cols = ["n", "total", "min", "max", "__m2"]
 
@@ -133,33 +158,72 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
     if not quantiles:
         return finish(hist.where(F.col("__end") == F.col("n")).select(*keys, *stat_cols))
 
-    # locate the buckets holding ranks floor(pos) and ceil(pos)
+    # locate the buckets holding ranks floor(pos) and ceil(pos): each target is a
+    # value range [lo, hi] (the bucket's own min and max), a row count and the
+    # rank r wanted inside it
     probs = F.array(*[F.struct(F.lit(name).alias("__q"), F.lit(float(p)).alias("__p"))
                       for name, p in quantiles.items()])
     pos = (F.col("n") - 1) * F.col("__p")
     t = (hist.select("*", F.inline(probs))
              .withColumn("__pos", pos)
              .withColumn("__frac", F.col("__pos") - F.floor(F.col("__pos")))
-             .select(*keys, *stat_cols, "__b", "__c", "__end", "__q", "__frac",
+             .select(*keys, *stat_cols, "__b", "__c", "__end", "__mn", "__mx", "__q", "__frac",
                      F.inline(F.array(
                          F.struct(F.lit("lo").alias("__side"), F.floor("__pos").alias("__k")),
                          F.struct(F.lit("hi").alias("__side"), F.ceil("__pos").alias("__k"))))))
     start = F.col("__end") - F.col("__c")
+    tcols = [*keys, *stat_cols, "__b", "__q", "__side", "__frac", "__r", "__cnt", "__lo", "__hi"]
     targets = (t.where((F.col("__k") >= start) & (F.col("__k") < F.col("__end")))
-                .select(*keys, *stat_cols, "__b", "__q", "__side", "__frac", (F.col("__k") - start).alias("__r")))
-
-    # pass 2: only rows of target buckets, de-duplicated map-side, ranked per bucket.
-    # The target buckets are a subset of the histogram rows, so the histogram's
-    # row count (observed while it was written) bounds them without another job.
-    needed = targets.select(*keys, "__b").distinct()
-    if hist_rows <= broadcast_rows or needed.count() <= broadcast_rows:
-        needed = F.broadcast(needed)
-    vals = (_ns_join(base, needed, keys + ["__b"], "left_semi")
-              .groupBy(*keys, "__b", v).agg(F.count(F.lit(1)).alias("__vc")))
-    vw = Window.partitionBy(*keys, "__b").orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
+                .select(*keys, *stat_cols, "__b", "__q", "__side", "__frac", (F.col("__k") - start).alias("__r"),
+                        F.col("__c").alias("__cnt"), F.col("__mn").alias("__lo"), F.col("__mx").alias("__hi")))
+    # one value range per target at most: 2 x len(quantiles) per group, a bound
+    # observed exactly while the histogram was written
+    small = 2 * len(quantiles) * groups <= broadcast_rows
+
+    # refine any target range holding more than max_range_rows rows: split it into
+    # sub_buckets linear sub-ranges (a partial-aggregated histogram of only its
+    # rows), keep the sub-range holding the wanted rank, repeat; a range whose
+    # min equals its max needs no further work
+    big_cond = (F.col("__cnt") > F.lit(max_range_rows)) & (F.col("__lo") < F.col("__hi"))
+    level = 0
+    while biggest > max_range_rows and level < max_levels and not targets.where(big_cond).isEmpty():
+        big = targets.where(big_cond)
+        ranges = big.select(*keys, "__b", "__lo", "__hi").distinct()
+        rows = _in_ranges(base, ranges, keys, v, small)
+        sb = F.least(F.floor((F.col(v) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * F.lit(float(sub_buckets))),
+                     F.lit(sub_buckets - 1))
+        rk = [*keys, "__b", "__lo", "__hi"]
+        sub = (rows.withColumn("__sb", sb)
+                   .groupBy(*rk, "__sb").agg(F.count(F.lit(1)).alias("__sc"), F.min(v).alias("__smn"),
+                                             F.max(v).alias("__smx")))
+        sw = Window.partitionBy(*rk).orderBy("__sb").rowsBetween(Window.unboundedPreceding, 0)
+        sub = sub.withColumn("__send", F.sum("__sc").over(sw))
+        refined = (_ns_join(big, sub.withColumnRenamed("__lo", "__rlo").withColumnRenamed("__hi", "__rhi"),
+                            [*keys, "__b"], "inner")
+                   .where((F.col("__lo") == F.col("__rlo")) & (F.col("__hi") == F.col("__rhi"))
+                          & (F.col("__r") >= F.col("__send") - F.col("__sc")) & (F.col("__r") < F.col("__send")))
+                   .select(*keys, *stat_cols, "__b", "__q", "__side", "__frac",
+                           (F.col("__r") - (F.col("__send") - F.col("__sc"))).alias("__r"),
+                           F.col("__sc").alias("__cnt"), F.col("__smn").alias("__lo"), F.col("__smx").alias("__hi")))
+        targets = materialize(targets.where(~big_cond).select(*tcols).unionByName(refined.select(*tcols)))
+        level += 1
+
+    # resolve: a single-valued range is its value; otherwise rank the range's
+    # distinct values (de-duplicated map-side; at most max_range_rows of them)
+    single = targets.where(F.col("__lo") == F.col("__hi")).select(*tcols, F.col("__lo").alias(v))
+    multi = targets.where(F.col("__lo") < F.col("__hi"))
+    ranges = multi.select(*keys, "__b", "__lo", "__hi").distinct()
+    rk = [*keys, "__b", "__lo", "__hi"]
+    vals = (_in_ranges(base, ranges, keys, v, small)
+              .groupBy(*rk, v).agg(F.count(F.lit(1)).alias("__vc")))
+    vw = Window.partitionBy(*rk).orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
     vals = vals.withColumn("__vend", F.sum("__vc").over(vw))
-    picked = (_ns_join(targets, vals, keys + ["__b"], "inner")
-                .where((F.col("__r") >= F.col("__vend") - F.col("__vc")) & (F.col("__r") < F.col("__vend"))))
+    vals = vals.withColumnRenamed("__lo", "__rlo").withColumnRenamed("__hi", "__rhi")
+    found = (_ns_join(multi, vals, [*keys, "__b"], "inner")
+               .where((F.col("__lo") == F.col("__rlo")) & (F.col("__hi") == F.col("__rhi"))
+                      & (F.col("__r") >= F.col("__vend") - F.col("__vc")) & (F.col("__r") < F.col("__vend")))
+               .select(*tcols, v))
+    picked = found.unionByName(single)
 
     aggs = [F.first(c).alias(c) for c in stat_cols]
     for name in quantiles:

@@ -100,3 +100,33 @@ def test_approx_profile_is_opt_in_and_close(spark, frame):
         e = exact[(r.g, r.k)]
         assert r.n == e.n and r.min == e.min and r.max == e.max
         assert e.min <= r.median <= e.max
+
+
+@pytest.mark.parametrize("max_range_rows,broadcast_rows", [(2, 1_000_000), (1, 0), (50, 1_000_000)])
+def test_refined_ranges_match(spark, frame, max_range_rows, broadcast_rows):
+    """Target ranges above ``max_range_rows`` are split until small or single-valued; results unchanged."""
+    got = grouped_profile(frame, ["g", "k"], "v", QS, broadcast_rows=broadcast_rows,
+                          max_range_rows=max_range_rows, sub_buckets=4).collect()
+    ref = _reference(_data())
+    assert len(got) == len(ref)
+    for r in got:
+        e = ref[(r.g, r.k)]
+        for i, name in enumerate(QS):
+            assert _close(r[name], e[5 + i]), (r.g, r.k, name, r[name], e[5 + i])
+
+
+def test_continuous_hot_bucket(spark):
+    """A third of all rows inside one narrow band of distinct doubles (one log bucket)."""
+    import random
+    rnd = random.Random(3)
+    rows = [("a", 300000.0 + rnd.random() * 10.0) for _ in range(3000)] + \
+           [("a", rnd.uniform(1e4, 1e6)) for _ in range(6000)] + [("b", float(i)) for i in range(1, 50)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in grouped_profile(df, ["g"], "v", QS, max_range_rows=100, sub_buckets=16).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (g VARCHAR, v DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", rows)
+    for g, *qs in con.execute("SELECT g, " + ", ".join(f"quantile_cont(v, {p})" for p in QS.values())
+                              + " FROM t GROUP BY g").fetchall():
+        for name, q in zip(QS, qs):
+            assert _close(got[g][name], q), (g, name)
