@@ -3,28 +3,31 @@
 Spark's ``percentile`` keeps, per group, a map of every distinct value and
 merges a group's maps in one task: one heavy place (the capital may hold a
 third of all sales) then sits in a single task's memory.  This operator
-computes the same numbers in two bounded passes:
+computes the same numbers with bounded state per task:
 
 1. **Histogram.**  Each value falls in a log-scale bucket
    ``floor(sign(v) * log1p(|v|) * RES)`` (monotone in ``v``; ~0.2 % wide).
    ``groupBy(keys, bucket)`` with map-side partial aggregation gives per
-   bucket: count, sum, min, max and the central second moment.  Its size is
-   groups x occupied buckets (a few thousand per group at most), not rows.
-   It is checkpointed, so pass 2 does not recompute pass 1.
-2. **Target buckets.**  A running count over each group's buckets tells,
-   for every requested probability ``q`` with ``pos = (n - 1) * q``, which
-   buckets hold ranks ``floor(pos)`` and ``ceil(pos)``.  Only rows of those
-   buckets are read again (semi-join; broadcast when the bucket list is
-   below ``broadcast_rows``, a shuffle join beyond it), de-duplicated into
-   (value, count) map-side, and ranked inside their bucket.  A hot value
-   collapses to one row per map task; a bucket spans at most ~0.2 % of the
-   value range, so a window over one bucket is bounded by the data's
-   resolution, not by the group size.
+   bucket: count, sum, min, max and the central second moment; per-group
+   windows add the running count, group totals and merged moments (Chan et
+   al.).  Its size is groups x occupied buckets, not rows.  It is
+   checkpointed (lineage cut; pass 2 does not recompute pass 1) while its
+   row count, group count and largest bucket are observed.
+2. **Targets.**  For each probability ``q`` with ``pos = (n - 1) * q``, the
+   buckets holding ranks ``floor(pos)`` and ``ceil(pos)`` become target
+   value ranges [bucket min, bucket max] with the rank wanted inside.
+3. **Refinement** (only if some bucket exceeds ``max_range_rows``).  A big
+   target range is split into ``sub_buckets`` linear sub-ranges over only
+   its rows (partial-aggregated count/min/max), the sub-range holding the
+   rank becomes the target; repeat until small or single-valued.
+4. **Resolve.**  A single-valued range is its own answer.  Otherwise the
+   range's rows (join on keys + level-0 bucket + ``lo <= v <= hi``;
+   broadcast when the observed target count allows) are de-duplicated into
+   (value, count) map-side and ranked: at most ``max_range_rows`` rows per
+   range, whatever the group size.
 
 The result is ``lo + (hi - lo) * (pos - floor(pos))``: the definition of
 PERCENTILE_CONT / DuckDB ``quantile_cont`` / Spark ``percentile``.
-Group moments are merged from the per-bucket moments (Chan et al.), so
-mean and sample standard deviation come from the same single scan.
 """
 
 from __future__ import annotations
