@@ -215,16 +215,24 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
     # distinct values (de-duplicated map-side; at most max_range_rows of them)
     single = targets.where(F.col("__lo") == F.col("__hi")).select(*tcols, F.col("__lo").alias(v))
     multi = targets.where(F.col("__lo") < F.col("__hi"))
-    ranges = multi.select(*keys, "__b", "__lo", "__hi").distinct()
-    rk = [*keys, "__b", "__lo", "__hi"]
-    vals = (_in_ranges(base, ranges, keys, v, small)
-              .groupBy(*rk, v).agg(F.count(F.lit(1)).alias("__vc")))
+    if level == 0:
+        # every range is a whole level-0 bucket: a semi-join on (keys, bucket) selects it
+        needed = multi.select(*keys, "__b").distinct()
+        rows = _ns_join(base, F.broadcast(needed) if small else needed, [*keys, "__b"], "left_semi")
+        rk = [*keys, "__b"]
+    else:
+        ranges = multi.select(*keys, "__b", "__lo", "__hi").distinct()
+        rows = _in_ranges(base, ranges, keys, v, small)
+        rk = [*keys, "__b", "__lo", "__hi"]
+    vals = rows.groupBy(*rk, v).agg(F.count(F.lit(1)).alias("__vc"))
     vw = Window.partitionBy(*rk).orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
     vals = vals.withColumn("__vend", F.sum("__vc").over(vw))
-    vals = vals.withColumnRenamed("__lo", "__rlo").withColumnRenamed("__hi", "__rhi")
+    same_range = F.lit(True)
+    if level > 0:
+        vals = vals.withColumnRenamed("__lo", "__rlo").withColumnRenamed("__hi", "__rhi")
+        same_range = (F.col("__lo") == F.col("__rlo")) & (F.col("__hi") == F.col("__rhi"))
     found = (_ns_join(multi, vals, [*keys, "__b"], "inner")
-               .where((F.col("__lo") == F.col("__rlo")) & (F.col("__hi") == F.col("__rhi"))
-                      & (F.col("__r") >= F.col("__vend") - F.col("__vc")) & (F.col("__r") < F.col("__vend")))
+               .where(same_range & (F.col("__r") >= F.col("__vend") - F.col("__vc")) & (F.col("__r") < F.col("__vend")))
                .select(*tcols, v))
     picked = found.unionByName(single)
 
