@@ -29,8 +29,15 @@ def write_results(results: Mapping[str, DataFrame], directory: str, fmt: str = "
 
 
 def write_clean_table(tx: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:
-    """No repartition: every scan task writes its own files for the years it holds,
-    so a year holding a third of all sales is still written by many tasks."""
-    (tx.write.mode("overwrite")
+    """Parquet partitioned by year, rows clustered by place and date inside each file.
+
+    No repartition: every scan task writes its own files for the years it
+    holds, so a year holding a third of all sales is still written by many
+    tasks.  The per-task sort (no shuffle) gives row groups tight min/max
+    statistics on ``county`` and ``date_of_sale``, so place or date filters
+    skip row groups.
+    """
+    (tx.sortWithinPartitions("year", "county", "date_of_sale")
+       .write.mode("overwrite")
        .option("maxRecordsPerFile", max_records_per_file)
        .partitionBy("year").parquet(path))
