@@ -8,7 +8,6 @@ from ..config import Config, DEFAULT
 from ..functions import labels as L
 from ..functions.numeric import round_half_away as rnd, round_int, safe_div
 from ..functions.windows import value_at
-from ..operators.quantiles import profile
 
 
 def annuity_factor(rate: float, years: int) -> float:
@@ -19,9 +18,9 @@ def annuity_factor(rate: float, years: int) -> float:
     return r * g / (g - 1.0)
 
 
-def mortgage_stress(ms: DataFrame, aff: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def mortgage_stress(prof: DataFrame, aff: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Deposit, max mortgage, gap and stressed repayment per place-year (inner join with wages)."""
-    med = profile(ms, ["county", "year"], "price_eur", {"median": 0.5}, cfg).select("county", "year", "median")
+    med = prof.select("county", "year", "median")
     df = med.join(aff.select("county", "year", "avg_annual_wage", "population"), ["county", "year"])
     wage = F.col("avg_annual_wage")
     deposit = round_int(F.col("median") * F.lit(cfg.deposit_pct))

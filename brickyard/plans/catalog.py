@@ -53,12 +53,12 @@ def _sd(src, cfg):
 # --- market ---------------------------------------------------------------
 @job("market_pulse")
 def _mp(src, cfg):
-    return market.market_pulse(src.ms(), cfg)
+    return market.market_pulse(src.profile(), cfg)
 
 
 @job("market_pulse_value")
 def _mpv(src, cfg):
-    return market.market_pulse_value(src.ms(), cfg)
+    return market.market_pulse_value(src.profile(), cfg)
 
 
 @job("focus_vs_rest")
@@ -143,13 +143,13 @@ def _sp(src, cfg):
 
 @job("price_distribution")
 def _pd(src, cfg):
-    return market.price_distribution(src.ms(), cfg)
+    return market.price_distribution(src.profile(), cfg)
 
 
 # --- affordability -----------------------------------------------------------
 @job("mortgage_stress")
 def _mst(src, cfg):
-    return afford.mortgage_stress(src.ms(), src.aff(), cfg)
+    return afford.mortgage_stress(src.profile(), src.aff(), cfg)
 
 
 @job("ftb_gap")
@@ -180,7 +180,7 @@ def _svg(src, cfg):
 
 @job("commuter_belt")
 def _cb(src, cfg):
-    return supply.commuter_belt(src.ms(), src.aff(),
+    return supply.commuter_belt(src.profile(), src.aff(),
                                 src.sd(), cfg)
 
 
@@ -220,8 +220,7 @@ def _rar(src, cfg):
 
 
 def _heat(src, cfg):
-    ms = src.ms()
-    return invest.heat_index(market.market_pulse_value(ms, cfg), market.velocity_annual(ms, cfg), cfg)
+    return invest.heat_index(market.market_pulse_value(src.profile(), cfg), market.velocity_annual(src.ms(), cfg), cfg)
 
 
 @job("heat_index")
@@ -231,12 +230,12 @@ def _hi(src, cfg):
 
 @job("national_summary")
 def _ns(src, cfg):
-    return invest.national_summary(market.market_pulse_value(src.ms(), cfg), cfg)
+    return invest.national_summary(market.market_pulse_value(src.profile(), cfg), cfg)
 
 
 @job("national_latest")
 def _nl(src, cfg):
-    return invest.national_latest(market.market_pulse_value(src.ms(), cfg), cfg)
+    return invest.national_latest(market.market_pulse_value(src.profile(), cfg), cfg)
 
 
 # --- key findings (top-k reports) -----------------------------------------------

@@ -30,12 +30,25 @@ def month_name(month_col) -> F.Column:
 
 
 # ---------------------------------------------------------------------------
-# P1 market pulse
+# The shared place-year profile and P1 market pulse
 # ---------------------------------------------------------------------------
 
-def market_pulse(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+PROFILE_QUANTILES = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
+
+
+def place_year_profile(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """(county, region, year) -> n, total, mean, min, max, stddev, p10, p25, median, p75, p90.
+
+    Computed once and shared: market pulse (both forms), the price
+    distribution, mortgage stress and the commuter belt all read it, so a
+    full run scans the sales for it once (``sources.tables`` stores it).
+    """
+    return _profile(ms, ["county", "region", "year"], cfg, PROFILE_QUANTILES)
+
+
+def market_pulse(prof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Place-year price levels and growth; growth from the rounded median (SQL form)."""
-    p = _profile(ms, ["county", "region", "year"], cfg, {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    p = prof
     a = p.select("county", "region", "year",
                  F.col("n").alias("transaction_count"),
                  round_int("median").alias("median_price"),
@@ -57,9 +70,9 @@ def market_pulse(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
                     .alias("growth_since_first_pct"))
 
 
-def market_pulse_value(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def market_pulse_value(prof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """The enhanced form: growth from the unrounded median, total value in billions."""
-    p = _profile(ms, ["county", "region", "year"], cfg, {"p25": 0.25, "median": 0.5, "p75": 0.75})
+    p = prof
     w = series("county", "year")
     base = value_at("median", F.col("year") == F.lit(cfg.base_year), "county")
     return p.select("county", "region", "year",
@@ -281,9 +294,8 @@ def seasonal_pattern(season: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
                     (F.col("avg_price_index") > F.lit(101.0)).alias("best_time_to_sell"))
 
 
-def price_distribution(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    qs = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
-    p = _profile(ms, ["county", "year"], cfg, qs)
+def price_distribution(prof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    p = prof
     return p.select("county", "year", F.col("n").alias("count"),
                     *[rnd(c, 0).alias(c if c != "stddev" else "std")
                       for c in ["mean", "stddev", "min", "p10", "p25", "median", "p75", "p90", "max"]])

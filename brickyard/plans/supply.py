@@ -8,7 +8,6 @@ from ..config import Config, DEFAULT
 from ..functions import labels as L
 from ..functions.numeric import round_half_away as rnd, round_int
 from ..functions.windows import momentum, running_sum, series
-from ..operators.quantiles import profile
 from .market import mean_of_rounded
 
 
@@ -29,10 +28,9 @@ def supply_vs_growth(sd: DataFrame, aff: DataFrame, cfg: Config = DEFAULT) -> Da
                      L.market_pressure("avg_supply_ratio", "price_growth_pct").alias("market_pressure_label")))
 
 
-def commuter_belt(ms: DataFrame, aff: DataFrame, sd: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def commuter_belt(prof: DataFrame, aff: DataFrame, sd: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Aggregate first, then join the two (county, year) dimensions (both unique on the key)."""
-    c = ms.where(F.col("county").isin(*cfg.commuter_places))
-    p = profile(c, ["county", "year"], "price_eur", {"median": 0.5}, cfg)
+    p = prof.where(F.col("county").isin(*cfg.commuter_places))
     a = p.select("county", "year", F.col("n").alias("transactions"), round_int("median").alias("median_price"))
     j = (a.join(aff.select("county", "year", "years_salary_to_buy", "monthly_rent_estimate"), ["county", "year"])
           .join(sd.select("county", "year", "supply_ratio", "supply_deficit"), ["county", "year"]))

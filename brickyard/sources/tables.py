@@ -37,6 +37,11 @@ class DerivedSources:
     def customer(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/customer.parquet")
 
+    def profile(self) -> DataFrame:
+        """The shared place-year price profile (computed from market sales on each use)."""
+        from ..plans.market import place_year_profile
+        return place_year_profile(self.ms(), self.cfg)
+
 
 class StoredSources(DerivedSources):
     def __init__(self, spark: SparkSession, sf_dir: str, store: str, cfg: Config = DEFAULT):
@@ -55,12 +60,16 @@ class StoredSources(DerivedSources):
     def sd(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.store}/supply_demand")
 
+    def profile(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.store}/place_year_profile")
+
 
 def materialize(spark: SparkSession, sf_dir: str, store: str, cfg: Config = DEFAULT) -> StoredSources:
     """Write the canonical tables once; return sources reading them.
 
     The one large join (orders -> customers) runs once: the keyed sales are
-    stored partitioned by year, and both dimensions are derived from them.
+    stored partitioned by year, and both dimensions and the shared place-year
+    price profile are derived from them.
     """
     store = store.rstrip("/")
     write_clean_table(S.sales(spark, sf_dir, cfg), f"{store}/transactions")
@@ -68,7 +77,9 @@ def materialize(spark: SparkSession, sf_dir: str, store: str, cfg: Config = DEFA
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
     S.affordability_from(keyed_ms, customer, cfg).write.mode("overwrite").parquet(f"{store}/affordability")
     S.supply_demand_from(keyed_ms).write.mode("overwrite").parquet(f"{store}/supply_demand")
-    return StoredSources(spark, sf_dir, store, cfg)
+    stored = StoredSources(spark, sf_dir, store, cfg)
+    DerivedSources.profile(stored).write.mode("overwrite").parquet(f"{store}/place_year_profile")
+    return stored
 
 
 def register_views(src: DerivedSources, cfg: Config = DEFAULT) -> None:

@@ -25,7 +25,8 @@ def frame(spark, rows):
 def test_market_pulse_base_year_vs_first_year(spark):
     rows = [sale(2020, 1, "A", 100000), sale(2021, 1, "A", 110000), sale(2022, 1, "A", 121000),
             sale(2021, 1, "B", 200000), sale(2022, 1, "B", 150000), sale(2022, 2, "B", 150001)]
-    got = {(r.county, r.year): r for r in market.market_pulse(frame(spark, rows), CFG).collect()}
+    prof = market.place_year_profile(frame(spark, rows), CFG)
+    got = {(r.county, r.year): r for r in market.market_pulse(prof, CFG).collect()}
     assert got[("A", 2022)].yoy_growth_pct == 10.0 and got[("A", 2022)].growth_since_base_pct == 21.0
     # B has no base year: the base-year form is NULL, the first-year form uses 2021
     assert got[("B", 2022)].growth_since_base_pct is None
@@ -35,7 +36,8 @@ def test_market_pulse_base_year_vs_first_year(spark):
 
 
 def test_single_sale_distribution(spark):
-    (r,) = market.price_distribution(frame(spark, [sale(2020, 1, "A", 123456.4)]), CFG).collect()
+    prof = market.place_year_profile(frame(spark, [sale(2020, 1, "A", 123456.4)]), CFG)
+    (r,) = market.price_distribution(prof, CFG).collect()
     assert r.std is None and r.p10 == r.median == r.p90 == r.min == r.max == 123456.0
 
 
@@ -83,7 +85,7 @@ def test_mortgage_stress_by_hand(spark):
     ms = frame(spark, [sale(2022, 1, "A", 300000)])
     aff = spark.createDataFrame([("A", 2022, 50000.0, 1000)], "county string, year int, avg_annual_wage double, "
                                                               "population bigint")
-    (r,) = afford.mortgage_stress(ms, aff, CFG).collect()
+    (r,) = afford.mortgage_stress(market.place_year_profile(ms, CFG), aff, CFG).collect()
     assert (r.deposit_needed, r.years_to_deposit, r.max_mortgage, r.max_affordable_price) == (30000, 4.0, 200000, 222222)
     assert (r.affordability_gap, r.gap_pct, r.ftb_status) == (77778.0, 25.9, "Cannot Afford — Major Gap")
     assert (r.stressed_monthly_repayment, r.repayment_to_income_pct) == (1199, 28.8)
@@ -114,7 +116,8 @@ def test_risk_adjusted_ranks_with_ties(spark):
 
 def test_approximate_quantiles_only_when_asked(spark):
     rows = [sale(2022, 1, "A", 100000 + 1000 * i) for i in range(101)]
-    exact = market.market_pulse(frame(spark, rows), CFG).first()
-    approx = market.market_pulse(frame(spark, rows), CFG.with_(exact_quantiles=False)).first()
+    exact = market.market_pulse(market.place_year_profile(frame(spark, rows), CFG), CFG).first()
+    approx_cfg = CFG.with_(exact_quantiles=False)
+    approx = market.market_pulse(market.place_year_profile(frame(spark, rows), approx_cfg), approx_cfg).first()
     assert exact.median_price == 150000
     assert abs(approx.median_price - 150000) <= 1000
