@@ -73,17 +73,17 @@ def _rt(src, cfg):
 
 @job("monthly_momentum")
 def _mm(src, cfg):
-    return market.monthly_momentum(src.ms(), cfg)
+    return market.monthly_momentum(src.month_profile(), cfg)
 
 
 @job("monthly_momentum_sql")
 def _mm_sql(src, cfg):
-    return market.monthly_momentum_sql(src.ms(), cfg)
+    return market.monthly_momentum_sql(src.month_profile(), cfg)
 
 
 @job("momentum_signals")
 def _ms_sig(src, cfg):
-    return market.momentum_signals(market.monthly_momentum(src.ms(), cfg), cfg)
+    return market.momentum_signals(market.monthly_momentum(src.month_profile(), cfg), cfg)
 
 
 @job("velocity_annual")
@@ -93,17 +93,17 @@ def _va(src, cfg):
 
 @job("velocity_monthly")
 def _vm(src, cfg):
-    return market.velocity_monthly(src.ms(), cfg)
+    return market.velocity_monthly(src.month_profile(), cfg)
 
 
 @job("property_type")
 def _pt(src, cfg):
-    return market.property_type(src.ms(), cfg)
+    return market.property_type(src.type_profile(), cfg)
 
 
 @job("new_vs_secondhand")
 def _nvs(src, cfg):
-    return market.new_vs_secondhand(market.property_type(src.ms(), cfg), cfg)
+    return market.new_vs_secondhand(market.property_type(src.type_profile(), cfg), cfg)
 
 
 @job("new_build_premium_vat")

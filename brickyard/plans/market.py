@@ -119,9 +119,15 @@ def regional_trends(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 # P4 monthly momentum and latest-month signals
 # ---------------------------------------------------------------------------
 
-def monthly_momentum(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def place_month_profile(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """(county, region, sale_month) -> n, median, ... plus year and month; shared by the monthly jobs."""
     m = ms.withColumn("sale_month", F.trunc("date_of_sale", "month"))
     p = _profile(m, ["county", "region", "sale_month"], cfg, {"median": 0.5})
+    return p.select("*", F.year("sale_month").cast("int").alias("year"), F.month("sale_month").cast("int").alias("month"))
+
+
+def monthly_momentum(mprof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    p = mprof
     w = series("county", "sale_month")
     return p.select(
         "county", "region", "sale_month",
@@ -134,10 +140,9 @@ def monthly_momentum(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         round_int(rolling_mean("n", w, 3, 2)).alias("vol_rolling_3m"))
 
 
-def monthly_momentum_sql(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def monthly_momentum_sql(mprof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """The SQL form: rolling 6-month mean with no minimum count, 3-month momentum."""
-    m = ms.withColumn("sale_month", F.trunc("date_of_sale", "month"))
-    p = _profile(m, ["county", "sale_month"], cfg, {"median": 0.5})
+    p = mprof
     w = series("county", "sale_month")
     return p.select("county", "sale_month", round_int("median").alias("median_price"),
                     round_int(rolling_mean("median", w, 6)).alias("rolling_6m_avg"),
@@ -162,8 +167,8 @@ def velocity_annual(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return a.withColumn("prev_vol_yoy_pct", F.lag("vol_yoy_pct").over(w))
 
 
-def velocity_monthly(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    p = _profile(ms, ["county", "year", "month"], cfg, {"median": 0.5})
+def velocity_monthly(mprof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    p = mprof
     w = series(["county", "month"], "year")
     return p.select("county", "year", "month", F.col("n").alias("volume"),
                     round_int("median").alias("median_price"),
@@ -180,9 +185,14 @@ def _type_label() -> F.Column:
     return F.when(is_new, F.lit(L.NEW_BUILD)).otherwise(F.lit(L.SECOND_HAND))
 
 
-def property_type(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    p = _profile(ms.withColumn("type_label", _type_label()), ["county", "region", "year", "type_label"], cfg,
-                 {"median": 0.5})
+def place_year_type_profile(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """(county, region, year, type_label) -> n, median, ...; shared by the new-build jobs."""
+    return _profile(ms.withColumn("type_label", _type_label()), ["county", "region", "year", "type_label"], cfg,
+                    {"median": 0.5})
+
+
+def property_type(tprof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    p = tprof
     return p.select("county", "region", "year", "type_label", F.col("n").alias("transactions"),
                     round_int("median").alias("median_price"))
 

@@ -18,6 +18,14 @@ from .register import AFFORDABILITY_SCHEMA, SUPPLY_SCHEMA, read_dimension_csv, r
 from .sinks import write_clean_table
 
 
+def shared_aggregates():
+    """Aggregates of the market sales that several jobs read: name -> (ms, cfg) -> DataFrame."""
+    from ..plans import market
+    return {"place_year_profile": market.place_year_profile,
+            "place_month_profile": market.place_month_profile,
+            "place_year_type_profile": market.place_year_type_profile}
+
+
 class DerivedSources:
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT):
         self.spark, self.sf_dir, self.cfg = spark, sf_dir, cfg
@@ -37,10 +45,18 @@ class DerivedSources:
     def customer(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/customer.parquet")
 
+    def shared(self, name: str) -> DataFrame:
+        """A shared aggregate of the market sales (computed on each use here)."""
+        return shared_aggregates()[name](self.ms(), self.cfg)
+
     def profile(self) -> DataFrame:
-        """The shared place-year price profile (computed from market sales on each use)."""
-        from ..plans.market import place_year_profile
-        return place_year_profile(self.ms(), self.cfg)
+        return self.shared("place_year_profile")
+
+    def month_profile(self) -> DataFrame:
+        return self.shared("place_month_profile")
+
+    def type_profile(self) -> DataFrame:
+        return self.shared("place_year_type_profile")
 
 
 class StoredSources(DerivedSources):
@@ -60,8 +76,8 @@ class StoredSources(DerivedSources):
     def sd(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.store}/supply_demand")
 
-    def profile(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.store}/place_year_profile")
+    def shared(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.store}/{name}")
 
 
 def materialize(spark: SparkSession, sf_dir: str, store: str, cfg: Config = DEFAULT) -> StoredSources:
@@ -78,7 +94,8 @@ def materialize(spark: SparkSession, sf_dir: str, store: str, cfg: Config = DEFA
     S.affordability_from(keyed_ms, customer, cfg).write.mode("overwrite").parquet(f"{store}/affordability")
     S.supply_demand_from(keyed_ms).write.mode("overwrite").parquet(f"{store}/supply_demand")
     stored = StoredSources(spark, sf_dir, store, cfg)
-    DerivedSources.profile(stored).write.mode("overwrite").parquet(f"{store}/place_year_profile")
+    for name in shared_aggregates():
+        DerivedSources.shared(stored, name).write.mode("overwrite").parquet(f"{store}/{name}")
     return stored
 
 

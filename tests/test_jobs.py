@@ -45,7 +45,7 @@ def test_new_vs_secondhand_drops_place_with_one_type(spark):
     rows = [sale(2022, 1, "A", 300000, new=True), sale(2022, 2, "A", 310000, new=True),
             sale(2022, 3, "A", 320000, new=True),
             sale(2022, 1, "B", 240000, new=True), sale(2022, 1, "B", 200000)]
-    by_type = market.property_type(frame(spark, rows), CFG)
+    by_type = market.property_type(market.place_year_type_profile(frame(spark, rows), CFG), CFG)
     got = market.new_vs_secondhand(by_type, CFG).collect()
     assert [(r.county, r.new_build_premium_eur, r.new_build_premium_pct, r.premium_signal) for r in got] == \
         [("B", 40000, 20.0, "Moderate Premium")]
@@ -64,7 +64,7 @@ def test_postcode_minimum_support(spark):
 def test_momentum_signals_latest_month_only(spark):
     rows = [sale(2022, m, "A", 100000 * (1.02 ** m)) for m in range(1, 8)]
     rows += [sale(2022, m, "B", 100000) for m in range(1, 6)]           # B stops in May
-    monthly = market.monthly_momentum(frame(spark, rows), CFG)
+    monthly = market.monthly_momentum(market.place_month_profile(frame(spark, rows), CFG), CFG)
     sig = market.momentum_signals(monthly, CFG).collect()
     assert [(r.county, r.sale_month, r.momentum_3m, r.signal) for r in sig] == \
         [("A", dt.date(2022, 7, 1), 6.1, "Strong Acceleration")]
