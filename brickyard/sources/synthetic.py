@@ -27,7 +27,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Config, DEFAULT
 from ..functions.numeric import round_half_away, safe_div, sql_round
-from ..operators.quantiles import profile
 
 # ---------------------------------------------------------------------------
 # Property-type texts of the register, used for synthetic rows.
@@ -101,20 +100,22 @@ def market_sales(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT, keep_k
 def affordability(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
     """affordability(county, region, year, median_price, avg_annual_wage, years_salary_to_buy,
     monthly_rent_estimate, price_to_income_ratio, population)."""
-    return affordability_from(market_sales(spark, sf_dir, cfg, keep_keys=True),
-                              _read(spark, sf_dir, "customer"), cfg)
+    from ..plans.market import place_year_profile
+    prof = place_year_profile(market_sales(spark, sf_dir, cfg), cfg)
+    return affordability_from(prof, places(spark, sf_dir), _read(spark, sf_dir, "customer"))
 
 
-def affordability_from(keyed_ms: DataFrame, customer: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """The affordability dimension from market sales that carry ``place_key``."""
-    prof = profile(keyed_ms, ["county", "region", "place_key", "year"], "price_eur", {"median": 0.5}, cfg)
+def affordability_from(prof: DataFrame, place_dim: DataFrame, customer: DataFrame) -> DataFrame:
+    """The affordability dimension from the place-year price profile (its median) and the
+    place dimension (25 rows: the place key drives wage and rent)."""
     pop = (customer.groupBy("c_nationkey")
            .agg((F.count(F.lit(1)) * POPULATION_PER_CUSTOMER).alias("population")))
     median = round_half_away(F.col("median"), 0)
     wage = (F.lit(WAGE_BASE) + F.lit(WAGE_PER_PLACE) * F.col("place_key")
             + F.lit(WAGE_PER_YEAR) * (F.col("year") - F.lit(WAGE_YEAR0))).cast("double")
-    a = prof.select("county", "region", "place_key", "year", median.alias("median_price"),
-                    wage.alias("avg_annual_wage"))
+    keyed = prof.join(F.broadcast(place_dim.select("county", "place_key")), "county")
+    a = keyed.select("county", "region", "place_key", "year", median.alias("median_price"),
+                     wage.alias("avg_annual_wage"))
     rent_yield = F.lit(RENT_YIELD_BASE) + F.lit(RENT_YIELD_PER_PLACE) * F.col("place_key")
     return (a.join(pop, a.place_key == pop.c_nationkey, "left")
              .select("county", "region", "year", "median_price", "avg_annual_wage",

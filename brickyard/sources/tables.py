@@ -89,13 +89,14 @@ def materialize(spark: SparkSession, sf_dir: str, store: str, cfg: Config = DEFA
     """
     store = store.rstrip("/")
     write_clean_table(S.sales(spark, sf_dir, cfg), f"{store}/transactions")
-    keyed_ms = spark.read.parquet(f"{store}/transactions").where(~F.col("not_full_market"))
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    S.affordability_from(keyed_ms, customer, cfg).write.mode("overwrite").parquet(f"{store}/affordability")
-    S.supply_demand_from(keyed_ms).write.mode("overwrite").parquet(f"{store}/supply_demand")
     stored = StoredSources(spark, sf_dir, store, cfg)
     for name in shared_aggregates():
         DerivedSources.shared(stored, name).write.mode("overwrite").parquet(f"{store}/{name}")
+    keyed_ms = spark.read.parquet(f"{store}/transactions").where(~F.col("not_full_market"))
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    S.affordability_from(stored.profile(), S.places(spark, sf_dir), customer) \
+        .write.mode("overwrite").parquet(f"{store}/affordability")
+    S.supply_demand_from(keyed_ms).write.mode("overwrite").parquet(f"{store}/supply_demand")
     return stored
 
 
