@@ -29,6 +29,7 @@ def shared_aggregates():
 class DerivedSources:
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT):
         self.spark, self.sf_dir, self.cfg = spark, sf_dir, cfg
+        self._shared: dict[str, DataFrame] = {}
 
     def tx(self) -> DataFrame:
         return S.transactions(self.spark, self.sf_dir, self.cfg)
@@ -37,7 +38,7 @@ class DerivedSources:
         return S.market_sales(self.spark, self.sf_dir, self.cfg)
 
     def aff(self) -> DataFrame:
-        return S.affordability(self.spark, self.sf_dir, self.cfg)
+        return S.affordability_from(self.profile(), S.places(self.spark, self.sf_dir), self.customer())
 
     def sd(self) -> DataFrame:
         return S.supply_demand(self.spark, self.sf_dir, self.cfg)
@@ -46,8 +47,10 @@ class DerivedSources:
         return self.spark.read.parquet(f"{self.sf_dir}/customer.parquet")
 
     def shared(self, name: str) -> DataFrame:
-        """A shared aggregate of the market sales (computed on each use here)."""
-        return shared_aggregates()[name](self.ms(), self.cfg)
+        """A shared aggregate of the market sales, computed once per sources object."""
+        if name not in self._shared:
+            self._shared[name] = shared_aggregates()[name](self.ms(), self.cfg)
+        return self._shared[name]
 
     def profile(self) -> DataFrame:
         return self.shared("place_year_profile")
