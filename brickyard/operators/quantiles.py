@@ -113,9 +113,9 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
     ``max``, ``stddev`` (sample, NULL when n = 1), and one column per entry
     of ``quantiles`` (name -> probability in [0, 1]).
 
-    Runs the histogram checkpoint eagerly (plus a count of the target-bucket
-    list only when the histogram exceeds ``broadcast_rows``); the returned
-    DataFrame is lazy.
+    Runs the histogram checkpoint eagerly (plus, only when some bucket holds
+    more than ``max_range_rows`` rows, one small check and one checkpoint per
+    refinement level); the returned DataFrame is lazy.
     """
     keys = list(keys)
     quantiles = dict(quantiles or {})
