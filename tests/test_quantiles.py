@@ -23,6 +23,7 @@ def _data(seed=7):
     rows += [("negative", 0, -5.5), ("negative", 0, 0.0), ("negative", 0, 7.25)]
     rows += [(None, 1, 10.0), (None, 1, 30.0)]          # NULL key is a group (SQL semantics)
     rows += [("nullval", 0, None), ("nullval", 0, 42.0)]  # NULL values are ignored
+    rows += [("band", 0, 300000.0 + i * 0.001) for i in range(400)]   # 400 distinct values in one bucket
     return rows
 
 
@@ -130,3 +131,44 @@ def test_continuous_hot_bucket(spark):
                               + " FROM t GROUP BY g").fetchall():
         for name, q in zip(QS, qs):
             assert _close(got[g][name], q), (g, name)
+
+
+def test_refinement_levels_run_when_forced(spark, frame, monkeypatch):
+    import brickyard.operators.quantiles as Q
+    calls = []
+    real = Q.materialize
+    monkeypatch.setattr(Q, "materialize", lambda df: calls.append(1) or real(df))
+    Q.grouped_profile(frame, ["g"], "v", {"median": 0.5}, max_range_rows=1_000_000).collect()
+    assert len(calls) == 1                     # histogram only
+    calls.clear()
+    got = {r.g: r.median for r in
+           Q.grouped_profile(frame, ["g"], "v", {"median": 0.5}, max_range_rows=2, sub_buckets=4).collect()}
+    assert len(calls) > 1                      # histogram + refinement levels
+    assert _close(got["band"], 300000.0 + 199.5 * 0.001)
+
+
+try:
+    from hypothesis import HealthCheck, given, settings, strategies as st
+except ImportError:  # pragma: no cover
+    given = None
+
+if given is not None:
+    values = st.one_of(st.integers(-50, 50).map(float),
+                       st.floats(-1e7, 1e7, allow_nan=False, allow_infinity=False))
+
+    @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), values), min_size=1, max_size=60),
+           st.lists(st.floats(0.0, 1.0), min_size=1, max_size=3),
+           st.sampled_from([1_000_000, 3]))
+    def test_property_equals_numpy(spark, rows, probs, max_range_rows):
+        import numpy as np
+        qs = {f"q{i}": p for i, p in enumerate(probs)}
+        df = spark.createDataFrame(rows, "g string, v double")
+        got = {r.g: r for r in grouped_profile(df, ["g"], "v", qs, max_range_rows=max_range_rows,
+                                               sub_buckets=4).collect()}
+        for g in {x for x, _ in rows}:
+            vals = np.array(sorted(v for x, v in rows if x == g))
+            assert got[g].n == len(vals)
+            for name, p in qs.items():
+                want = float(np.quantile(vals, p))       # linear interpolation = PERCENTILE_CONT
+                assert abs(got[g][name] - want) <= 1e-9 * max(1.0, abs(want)), (g, name, got[g][name], want)
