@@ -88,7 +88,7 @@ def _ms_sig(src, cfg):
 
 @job("velocity_annual")
 def _va(src, cfg):
-    return market.velocity_annual(src.ms(), cfg)
+    return market.velocity_annual(src.profile(), cfg)
 
 
 @job("velocity_monthly")
@@ -128,7 +128,7 @@ def _ps(src, cfg):
 
 @job("monthly_volume")
 def _mv(src, cfg):
-    return market.monthly_volume(src.ms(), cfg)
+    return market.monthly_volume(src.month_profile(), cfg)
 
 
 @job("seasonality")
@@ -220,7 +220,7 @@ def _rar(src, cfg):
 
 
 def _heat(src, cfg):
-    return invest.heat_index(market.market_pulse_value(src.profile(), cfg), market.velocity_annual(src.ms(), cfg), cfg)
+    return invest.heat_index(market.market_pulse_value(src.profile(), cfg), market.velocity_annual(src.profile(), cfg), cfg)
 
 
 @job("heat_index")

@@ -160,8 +160,9 @@ def momentum_signals(monthly: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 # P5 transaction velocity
 # ---------------------------------------------------------------------------
 
-def velocity_annual(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    a = ms.groupBy("county", "year").agg(F.count(F.lit(1)).alias("volume"))
+def velocity_annual(prof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Annual sales volume per place (the place-year profile's count) and its growth."""
+    a = prof.select("county", "year", F.col("n").alias("volume"))
     w = series("county", "year")
     a = a.withColumn("vol_yoy_pct", rnd(momentum("volume", w, 1), 1))
     return a.withColumn("prev_vol_yoy_pct", F.lag("vol_yoy_pct").over(w))
@@ -271,9 +272,11 @@ def postcode_snapshot(annual: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 # P12 monthly volume, P13 seasonality, P19 distribution
 # ---------------------------------------------------------------------------
 
-def monthly_volume(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    a = ms.groupBy("year", "month").agg(F.count(F.lit(1)).alias("transaction_count"),
-                                         round_int(F.avg("price_eur")).alias("avg_price"))
+def monthly_volume(mprof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """National monthly volume and mean price, rolled up from the place-month profile
+    (counts and sums add up exactly across places)."""
+    a = mprof.groupBy("year", "month").agg(F.sum("n").alias("transaction_count"),
+                                           round_int(F.sum("total") / F.sum("n")).alias("avg_price"))
     w = series("month", "year")
     return a.select("*", month_name("month").alias("month_name"),
                     round_int(rolling_mean("transaction_count", w, 3)).alias("rolling_3yr_avg_volume"))
