@@ -145,6 +145,9 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
                         (F.col("__m2") + F.col("__c") * F.pow(F.col("__s") / F.col("__c") - gmean, 2)).alias("__dev"))
                 .withColumn("__m2", F.sum("__dev").over(gw))
                 .drop("__dev"))
+    # Observed while the histogram is written (no extra job).  Safe under task or
+    # stage retries: "biggest" is a max, and an over-counted "groups" only makes
+    # the broadcast decision more conservative.
     seen = Observation()
     hist = materialize(hist.observe(seen, F.count(F.lit(1)).alias("rows"), F.max("__c").alias("biggest"),
                                     F.count(F.when(F.col("__end") == F.col("n"), F.lit(1))).alias("groups")))

@@ -28,3 +28,15 @@ def test_stored_equals_derived(spark, stored, name):
 def test_stored_transactions_prune_years(spark, stored):
     plan = stored.ms().where("year = 2000")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan and "(year" in plan
+
+
+def test_temp_views_for_spark_sql(spark):
+    from brickyard.sources.tables import register_views
+    register_views(DerivedSources(spark, SF, TEST), TEST)
+    got = spark.sql("""
+        SELECT t.county, count(*) AS n, max(a.years_salary_to_buy) AS yrs, max(i.rank) AS rk
+        FROM transactions t
+        JOIN affordability a ON a.county = t.county AND a.year = t.year
+        JOIN investment_scores i ON i.county = t.county
+        WHERE NOT t.not_full_market GROUP BY t.county""").collect()
+    assert len(got) == 25 and all(r.n > 0 and r.yrs is not None for r in got)
