@@ -55,3 +55,20 @@ def test_run_all_jobs_from_stored_tables(spark, tmpdir_path):
     assert pulse.count() == 20
     heat = spark.read.option("header", True).csv(os.path.join(out, "heat_index")).collect()
     assert sorted(r.county for r in heat) == sorted(c for c, _ in PLACES)
+
+
+def test_cli_load_registers(spark, tmpdir_path):
+    from brickyard.sources.register import read_transactions
+    reg = os.path.join(tmpdir_path, "ppr")
+    os.makedirs(reg)
+    head = "Date of Sale (dd/mm/yyyy),Address,County,Eircode,Price (€),Not Full Market Price,VAT Exclusive," \
+           "Description of Property\n"
+    rows = ['05/03/2021,1 Main St,Co. Cork,,"€250,000.00",No,No,Second-Hand Dwelling house /Apartment\n',
+            '06/03/2021,2 Main St,Dublin 8,D08 X1,"€410,000.00",No,Yes,New Dwelling house /Apartment\n',
+            '07/03/2021,3 Main St,Kerry,,"€300,000.00",Yes,No,Second-Hand Dwelling house /Apartment\n']
+    with open(os.path.join(reg, "PPR-2021.csv"), "wb") as f:
+        f.write((head + "".join(rows)).encode("cp1252"))
+    out = os.path.join(tmpdir_path, "clean")
+    assert main(["load", "--register", reg, "--years", "2020-2022", "--out", out]) == 0
+    got = sorted((r.county, r.region, r.price_eur, r.vat_exclusive) for r in read_transactions(spark, out).collect())
+    assert got == [("Cork", "Munster", 250000.0, False), ("Dublin", "Leinster", 410000.0, True)]
