@@ -121,3 +121,43 @@ def test_approximate_quantiles_only_when_asked(spark):
     approx = market.market_pulse(market.place_year_profile(frame(spark, rows), approx_cfg), approx_cfg).first()
     assert exact.median_price == 150000
     assert abs(approx.median_price - 150000) <= 1000
+
+
+def test_zero_base_division_guard(spark):
+    from pyspark.sql import functions as F
+    from brickyard.functions.numeric import pct_change, safe_div
+    df = spark.createDataFrame([(5.0, 0.0), (5.0, None), (6.0, 3.0)], "cur double, prev double")
+    got = [(r.p, r.d) for r in df.select(pct_change("cur", "prev").alias("p"), safe_div("cur", "prev").alias("d")).collect()]
+    assert got == [(None, None), (None, None), (100.0, 2.0)]
+
+
+def test_running_deficit_carries_over_null(spark):
+    from brickyard.plans import supply
+    sd = spark.createDataFrame(
+        [("A", "R", 2020, 1, 2, 10, 0.5, 1.0), ("A", "R", 2021, 1, 2, None, 0.5, 1.0), ("A", "R", 2022, 1, 2, 5, 0.399, 1.0)],
+        "county string, region string, year int, new_completions long, estimated_demand long, supply_deficit long, "
+        "supply_ratio double, supply_deficit_pct double")
+    got = [(r.year, r.cumulative_deficit, r.supply_status) for r in supply.supply_gap(sd, CFG).orderBy("year").collect()]
+    assert got == [(2020, 10, "Severe Shortage"), (2021, 10, "Severe Shortage"), (2022, 15, "Critical Shortage")]
+
+
+def test_place_without_base_year(spark):
+    aff = spark.createDataFrame(
+        [("A", "R", 2020, 1.0, 1.0, 5.0, 1.0, 1.0), ("A", "R", 2022, 1.0, 1.0, 7.5, 1.0, 1.0),
+         ("B", "R", 2022, 1.0, 1.0, 12.0, 1.0, 1.0)],
+        "county string, region string, year int, median_price double, avg_annual_wage double, "
+        "years_salary_to_buy double, price_to_income_ratio double, monthly_rent_estimate double")
+    got = {(r.county, r.year): (r.deterioration_vs_base, r.affordability_status)
+           for r in afford.affordability_ranking(aff, CFG).collect()}
+    assert got[("A", 2022)] == (2.5, "High Stress") and got[("B", 2022)] == (None, "Severe Crisis")
+    det = {r.county: (r.yrs_salary_deterioration, r.trend) for r in afford.affordability_deterioration(aff, CFG).collect()}
+    assert det == {"A": (2.5, "Rapidly Worsening"), "B": (None, "Stable")}
+
+
+def test_heat_ties_broken_by_place(spark):
+    pulse = spark.createDataFrame([(c, "R", 2022, 100000, 1.0, 10) for c in ("C", "A", "B")],
+                                  "county string, region string, year int, median_price long, yoy_growth_pct double, "
+                                  "transactions long")
+    vel = spark.createDataFrame([(c, 2022, 5.0) for c in ("C", "A", "B")], "county string, year int, vol_yoy_pct double")
+    got = sorted((r.rank, r.county, r.heat_index) for r in invest.heat_index(pulse, vel, CFG).collect())
+    assert got == [(1, "A", None), (2, "B", None), (3, "C", None)]       # all equal: scores NULL, ranks by place
