@@ -102,7 +102,7 @@ def undervalued_median(inv: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     nat = inv.agg(place_median("median_price_latest").alias("nat_median"))
     j = with_scalars(inv, nat)
     return j.select("county", "region", "median_price_latest", "nat_median",
-                    rnd((F.col("nat_median") - F.col("median_price_latest")) / F.col("nat_median") * F.lit(100.0), 1)
+                    rnd(safe_div(F.col("nat_median") - F.col("median_price_latest"), "nat_median") * F.lit(100.0), 1)
                     .alias("discount_to_national_pct"),
                     rnd(risk_adjusted_return(), 1).alias("risk_adj_return"),
                     "price_growth_pct", "supply_deficit_pct",

@@ -491,7 +491,7 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
             f"AND supply_deficit_pct > {D(cfg.undervalued_min_deficit)}")
     q["undervalued_median"] = inv + f"""
     SELECT county, region, median_price_latest, nat_median,
-           {R('(nat_median - median_price_latest) / nat_median * 100.0', 1)} AS discount_to_national_pct,
+           {R('(nat_median - median_price_latest) / nullif(nat_median, 0) * 100.0', 1)} AS discount_to_national_pct,
            {R(rar, 1)} AS risk_adj_return, price_growth_pct, supply_deficit_pct, {cond} AS undervalued
     FROM inv CROSS JOIN (SELECT quantile_cont(median_price_latest, 0.5) AS nat_median FROM inv) n"""
     q["undervalued_mean"] = inv + f"""
