@@ -91,6 +91,7 @@ def approx_profile(df: DataFrame, keys: Sequence[str], value: str,
     (``percentile_approx``, rank error <= 1/accuracy).  Same columns as ``grouped_profile``."""
     keys = list(keys)
     quantiles = dict(quantiles or {})
+    _check_quantiles(quantiles, keys)
     v = F.col(value).cast("double")
     aggs = [F.count(v).alias("n"), F.sum(v).alias("total"), F.min(v).alias("min"), F.max(v).alias("max"),
             F.avg(v).alias("mean"), F.stddev_samp(v).alias("stddev")]
@@ -102,6 +103,17 @@ def approx_profile(df: DataFrame, keys: Sequence[str], value: str,
     return out.drop("__q") if quantiles else out
 
 
+RESERVED = ("n", "total", "mean", "min", "max", "stddev")
+
+
+def _check_quantiles(quantiles: Mapping[str, float], keys: Sequence[str]) -> None:
+    for name, p in quantiles.items():
+        if not 0.0 <= float(p) <= 1.0:
+            raise ValueError(f"quantile {name!r}: probability {p} is outside [0, 1]")
+        if name in RESERVED or name in keys or name.startswith("__"):
+            raise ValueError(f"quantile name {name!r} clashes with an output or key column")
+
+
 def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
                     quantiles: Mapping[str, float] | None = None,
                     broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
@@ -119,6 +131,7 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
     """
     keys = list(keys)
     quantiles = dict(quantiles or {})
+    _check_quantiles(quantiles, keys)
     v = "__v"
     base = (df.select(*[F.col(k) for k in keys], F.col(value).cast("double").alias(v))
               .where(F.col(v).isNotNull() & ~F.isnan(F.col(v)))

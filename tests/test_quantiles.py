@@ -172,3 +172,14 @@ if given is not None:
             for name, p in qs.items():
                 want = float(np.quantile(vals, p))       # linear interpolation = PERCENTILE_CONT
                 assert abs(got[g][name] - want) <= 1e-9 * max(1.0, abs(want)), (g, name, got[g][name], want)
+
+
+@pytest.mark.parametrize("qs", [{"bad": 1.5}, {"neg": -0.1}, {"min": 0.5}, {"g": 0.5}])
+def test_invalid_quantiles_rejected(spark, frame, qs):
+    with pytest.raises(ValueError):
+        grouped_profile(frame, ["g"], "v", qs)
+
+
+def test_extreme_probabilities(spark, frame):
+    got = {r.g: r for r in grouped_profile(frame, ["g"], "v", {"q0": 0.0, "q1": 1.0}).collect()}
+    assert all(r.q0 == r.min and r.q1 == r.max for r in got.values())
