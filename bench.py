@@ -21,7 +21,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import tempfile  # noqa: E402
 
-import __spark_entry__ as E  # noqa: E402
 from brickyard.config import TEST  # noqa: E402
 from brickyard.plans import catalog  # noqa: E402
 from brickyard.session import ensure_checkpoint_dir, get_session  # noqa: E402
@@ -34,7 +33,7 @@ def main() -> None:
     only = [a for a in sys.argv[1:] if not a.startswith("-")]
     spark = get_session(f"local[{cpus}]", int(cpus))
     ensure_checkpoint_dir(spark)
-    qs = E.queries()
+    qs = catalog.queries(TEST, load_once=False)
     if only:
         qs = {k: v for k, v in qs.items() if k in only}
 

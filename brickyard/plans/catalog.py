@@ -310,8 +310,17 @@ def ordered(name: str, df: DataFrame) -> DataFrame:
                         for k in keys])
 
 
-def queries(cfg: Config = TEST) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """Every job reading the driver tables under ``sf_dir`` (canonical tables derived on use)."""
+def queries(cfg: Config = TEST, load_once: bool = True) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Every job reading the driver tables under ``sf_dir``.
+
+    ``load_once``: the canonical tables and shared aggregates are written once
+    per session (``sources.tables.stored_for``) and every job reads them;
+    otherwise each job derives them from the driver tables itself.
+    """
+    from ..sources.tables import stored_for
+    if load_once:
+        return {name: (lambda spark, sf_dir, _fn=fn: _fn(stored_for(spark, sf_dir, cfg), cfg))
+                for name, fn in _JOBS.items()}
     return {name: (lambda spark, sf_dir, _fn=fn: _fn(DerivedSources(spark, sf_dir, cfg), cfg))
             for name, fn in _JOBS.items()}
 

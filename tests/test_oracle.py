@@ -4,12 +4,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from brickyard.config import TEST
+from brickyard.plans import catalog
 from tools.check_oracle import TABLES, digest
 
 SF = "/root/testdata/sf0.001"
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
          "boolean": "BOOLEAN"}
-QUERIES = E.queries()
+QUERIES = E.queries()                                   # load once per session (the driver contract)
+DERIVED = catalog.queries(TEST, load_once=False)        # every job derives its inputs itself
 SQL = E.oracle_sql()
 
 
@@ -27,7 +30,7 @@ def test_every_query_has_an_oracle():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    df = QUERIES[name](spark, SF)
+    df = DERIVED[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
     cur = con.execute(SQL[name])
     ocols = [d[0] for d in cur.description]
@@ -45,21 +48,10 @@ def test_entry_smoke(spark):
     assert df.count() > 0 and "median_price" in df.columns
 
 
-@pytest.fixture(scope="module")
-def stored_jobs(spark):
-    import tempfile
-
-    from brickyard.config import TEST
-    from brickyard.plans import catalog
-    from brickyard.sources.tables import materialize
-    src = materialize(spark, SF, tempfile.mkdtemp(prefix="brickyard-stored-", dir="/tmp"), TEST)
-    return catalog.jobs_on(src, TEST)
-
-
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_stored_flow_matches_oracle(spark, con, stored_jobs, name):
-    """The load-once flow (what bench.py and the CLI run) gives the oracle's rows too."""
-    df = stored_jobs[name]()
+def test_load_once_flow_matches_oracle(spark, con, name):
+    """The driver contract (load once per session, as bench.py and the CLI do) gives the oracle's rows too."""
+    df = QUERIES[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
     cur = con.execute(SQL[name])
     ocols = [d[0] for d in cur.description]
