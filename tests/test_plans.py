@@ -24,7 +24,9 @@ def _orders_scan(plan: str) -> str:
 
 
 def test_price_filter_pushed_and_columns_pruned(spark):
-    df = E.queries()["market_pulse"](spark, SF)
+    from brickyard.config import TEST
+    from brickyard.plans import catalog
+    df = catalog.queries(TEST, load_once=False)["market_pulse"](spark, SF)
     df.collect()
     scan = _orders_scan(df._jdf.queryExecution().executedPlan().toString())
     pushed = scan.split("PushedFilters: [")[1].split("]")[0]
@@ -39,3 +41,15 @@ def test_every_order_names_existing_columns(spark):
     for name, keys in catalog.ORDER.items():
         df = E.queries()[name](spark, SF)
         assert all(k.lstrip("-") in df.columns for k in keys), name
+
+
+def test_stored_path_prunes_years_and_pushes_market_flag(spark):
+    from brickyard.config import TEST
+    from brickyard.sources.tables import stored_for
+    from pyspark.sql import functions as F
+    df = stored_for(spark, SF, TEST).ms().where(F.col("year") == 1998).select("county", "price_eur")
+    p = _plan(df)
+    scan = next(x for x in p.splitlines() if "FileScan parquet" in x)
+    assert "PartitionFilters: [isnotnull(year" in scan and "(year" in scan
+    assert "not_full_market" in scan.split("PushedFilters: [")[1].split("]")[0]
+    assert "property_type" not in scan.split("ReadSchema: struct<")[1]
