@@ -45,18 +45,30 @@ def main(argv=None) -> int:
     rn.add_argument("--jobs", default="", help="comma-separated job names (default: all)")
     for p in (ld, rn):
         p.add_argument("--master")
+        p.add_argument("--base-year", type=int)
+        p.add_argument("--latest-year", type=int)
+        p.add_argument("--focus-place")
+        p.add_argument("--commuter-places", help="comma-separated")
     a = ap.parse_args(argv)
 
+    def configured(cfg: Config) -> Config:
+        over = {k: v for k, v in (("base_year", a.base_year), ("latest_year", a.latest_year),
+                                  ("focus_place", a.focus_place)) if v is not None}
+        if a.commuter_places:
+            over["commuter_places"] = tuple(x.strip() for x in a.commuter_places.split(","))
+        return cfg.with_(**over)
+
     spark = get_session(a.master)
     ensure_checkpoint_dir(spark)
     if a.cmd == "load":
-        cfg = Config.register()
+        cfg = configured(Config.register())
         write_clean_table(read_register(spark, a.register, _years(a.years), cfg), a.out)
         return 0
     if a.sf_dir:
-        cfg, src = TEST, DerivedSources(spark, a.sf_dir, TEST)
+        cfg = configured(TEST)
+        src = DerivedSources(spark, a.sf_dir, cfg)
     else:
-        cfg = Config.register()
+        cfg = configured(Config.register())
         src = RegisterSources(spark, a.transactions, a.affordability, a.supply, cfg)
         require_unique(src.aff(), ["county", "year"], a.affordability)
         require_unique(src.sd(), ["county", "year"], a.supply)
