@@ -93,16 +93,28 @@ def materialize(spark: SparkSession, sf_dir: str, store: str, cfg: Config = DEFA
     stored partitioned by year, and both dimensions and the shared place-year
     price profile are derived from them.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     store = store.rstrip("/")
     write_clean_table(S.sales(spark, sf_dir, cfg), f"{store}/transactions")
     stored = StoredSources(spark, sf_dir, store, cfg)
-    for name in shared_aggregates():
-        DerivedSources.shared(stored, name).write.mode("overwrite").parquet(f"{store}/{name}")
     keyed_ms = spark.read.parquet(f"{store}/transactions").where(~F.col("not_full_market"))
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+
+    def write_shared(name: str) -> None:
+        DerivedSources.shared(stored, name).write.mode("overwrite").parquet(f"{store}/{name}")
+
+    def write_supply() -> None:
+        S.supply_demand_from(keyed_ms).write.mode("overwrite").parquet(f"{store}/supply_demand")
+
+    # independent jobs over the stored sales: submitted together so the
+    # scheduler overlaps them (each is small once partially aggregated)
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        done = [pool.submit(write_shared, n) for n in shared_aggregates()] + [pool.submit(write_supply)]
+        for f in done:
+            f.result()
     S.affordability_from(stored.profile(), S.places(spark, sf_dir), customer) \
         .write.mode("overwrite").parquet(f"{store}/affordability")
-    S.supply_demand_from(keyed_ms).write.mode("overwrite").parquet(f"{store}/supply_demand")
     return stored
 
 
