@@ -1,11 +1,13 @@
 """Where jobs read their inputs from.
 
 ``DerivedSources`` derives the canonical tables from the driver's tables on
-every use (the correctness contract: every job reads the given tables).
-``StoredSources`` reads canonical tables written once by ``materialize``:
-``transactions`` as Parquet partitioned by year, and the two (place, year)
-dimension tables, as the reference keeps them as stored tables.  A full run
-loads once and runs every job off the stored tables.
+use.  ``StoredSources`` reads what ``materialize`` wrote once: the sales as
+Parquet partitioned by year, the two (place, year) dimension tables (the
+reference keeps them as stored tables) and the shared aggregates that
+several jobs read.  ``stored_for`` does that once per session for the
+driver-contract queries, keyed by the inputs' modification times and sizes.
+``RegisterSources`` reads a real deployment: the clean table plus the
+stored dimension CSVs.
 """
 
 from __future__ import annotations
