@@ -3,6 +3,7 @@
     python -m brickyard load --register DIR --years 2020-2024 --out CLEAN_TABLE
     python -m brickyard run  --transactions CLEAN_TABLE --affordability A.csv --supply S.csv --out DIR
     python -m brickyard run  --sf-dir /root/testdata/sf0.1 --out DIR          # the driver's tables
+    python -m brickyard stream --landing DIR --out CLEAN_TABLE --checkpoint-location DIR [--continuous]
 
 On a cluster, submit with spark-submit and set spark.checkpoint.dir to a shared folder.
 """
@@ -43,7 +44,14 @@ def main(argv=None) -> int:
     rn.add_argument("--out", required=True)
     rn.add_argument("--format", default="csv", choices=["csv", "parquet"])
     rn.add_argument("--jobs", default="", help="comma-separated job names (default: all)")
-    for p in (ld, rn):
+    sm = sub.add_parser("stream", help="incremental loader: register files landing in a folder -> clean table")
+    sm.add_argument("--landing", required=True)
+    sm.add_argument("--out", required=True)
+    sm.add_argument("--checkpoint-location", required=True)
+    sm.add_argument("--continuous", action="store_true", help="keep polling (default: process what is there, stop)")
+    rn.add_argument("--approx-quantiles", action="store_true",
+                    help="one-pass quantile sketches instead of exact PERCENTILE_CONT (explicit opt-in)")
+    for p in (ld, rn, sm):
         p.add_argument("--master")
         p.add_argument("--base-year", type=int)
         p.add_argument("--latest-year", type=int)
@@ -54,12 +62,20 @@ def main(argv=None) -> int:
     def configured(cfg: Config) -> Config:
         over = {k: v for k, v in (("base_year", a.base_year), ("latest_year", a.latest_year),
                                   ("focus_place", a.focus_place)) if v is not None}
+        if getattr(a, "approx_quantiles", False):
+            over["exact_quantiles"] = False
         if a.commuter_places:
             over["commuter_places"] = tuple(x.strip() for x in a.commuter_places.split(","))
         return cfg.with_(**over)
 
     spark = get_session(a.master)
     ensure_checkpoint_dir(spark)
+    if a.cmd == "stream":
+        from .streaming.register_stream import start_register_stream
+        q = start_register_stream(spark, a.landing, a.out, a.checkpoint_location, cfg=configured(Config.register()),
+                                  available_now=not a.continuous)
+        q.awaitTermination()
+        return 0
     if a.cmd == "load":
         cfg = configured(Config.register())
         write_clean_table(read_register(spark, a.register, _years(a.years), cfg), a.out)

@@ -34,3 +34,13 @@ def test_stream_appends_new_files_once(spark):
     q.awaitTermination(120)
     rows = sorted((r.county, r.price_eur, r.year) for r in read_transactions(spark, table).collect())
     assert rows == [("Cork", 250000.0, 2021), ("Dublin", 825000.0, 2022)]
+
+
+def test_cli_stream_once(spark):
+    from brickyard.__main__ import main
+    root = tempfile.mkdtemp(prefix="brickyard-stream-cli-", dir="/tmp")
+    landing, table, ckpt = (os.path.join(root, x) for x in ("landing", "table", "ckpt"))
+    os.makedirs(landing)
+    _land(landing, "a.csv", [_row("05/03/2021", "Co. Cork", "250,000.00")])
+    assert main(["stream", "--landing", landing, "--out", table, "--checkpoint-location", ckpt]) == 0
+    assert [r.county for r in read_transactions(spark, table).collect()] == ["Cork"]
