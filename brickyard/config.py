@@ -51,6 +51,8 @@ class Config:
     # Broadcast the set of target buckets only below this many rows; above it
     # the semi-join shuffles (AQE then splits skewed partitions).
     quantile_broadcast_rows: int = 1_000_000
+    # Most rows one task ranks for one quantile target; bigger ranges are refined.
+    quantile_max_range_rows: int = 2_000_000
     # Exact PERCENTILE_CONT (two bounded passes).  False opts in to one-pass
     # sketches (percentile_approx, rank error <= 1 / approx_accuracy); never implicit.
     exact_quantiles: bool = True

@@ -265,5 +265,6 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
 def profile(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float] | None, cfg) -> DataFrame:
     """The jobs' entry point: exact by default, approximate only when ``cfg.exact_quantiles`` is False."""
     if cfg.exact_quantiles:
-        return grouped_profile(df, keys, value, quantiles, broadcast_rows=cfg.quantile_broadcast_rows)
+        return grouped_profile(df, keys, value, quantiles, broadcast_rows=cfg.quantile_broadcast_rows,
+                               max_range_rows=cfg.quantile_max_range_rows)
     return approx_profile(df, keys, value, quantiles, accuracy=cfg.approx_accuracy)

@@ -161,3 +161,10 @@ def test_heat_ties_broken_by_place(spark):
     vel = spark.createDataFrame([(c, 2022, 5.0) for c in ("C", "A", "B")], "county string, year int, vol_yoy_pct double")
     got = sorted((r.rank, r.county, r.heat_index) for r in invest.heat_index(pulse, vel, CFG).collect())
     assert got == [(1, "A", None), (2, "B", None), (3, "C", None)]       # all equal: scores NULL, ranks by place
+
+
+def test_refinement_bound_from_config(spark):
+    rows = [sale(2022, 1, "A", 300000 + i * 0.01) for i in range(60)]
+    exact = market.place_year_profile(frame(spark, rows), CFG).first()
+    tight = market.place_year_profile(frame(spark, rows), CFG.with_(quantile_max_range_rows=3)).first()
+    assert (exact.median, exact.p10, exact.p90) == (tight.median, tight.p10, tight.p90)
