@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +78,45 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return cur.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionAll(
         cur.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def whole_groups(batches, keys: list[str]):
+    """Arrow tables that hold whole groups, from the batches of a partition sorted by ``keys``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        cut = int(group_starts(batch, keys)[-1])
+        if cut or any(batch.column(k)[0] != held[0].column(k)[0] for k in keys):
+            yield pa.Table.from_batches([*held[:-1], batch.slice(0, cut)])
+            held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def group_starts(rows, keys: list[str]) -> np.ndarray:
+    """Positions at which a sorted batch's or table's groups start; keys are integers without nulls."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for k in keys:
+        v = rows.column(k).to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows.column(k).to_numpy()
+        new[1:] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def pairs_within(starts: np.ndarray, n: int, at_once: int = 200_000):
+    """All (x, y), x < y, of rows in the same group, as arrays of about ``at_once`` pairs."""
+    sizes = np.diff(np.append(starts, n))
+    ends = np.repeat(starts + sizes, sizes)
+    rest = ends - np.arange(n) - 1
+    upto = np.cumsum(rest)
+    lo = 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + at_once)))
+        r = rest[lo:hi]
+        x = np.repeat(np.arange(lo, hi), r)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(r) - r, r)
+        if len(x):
+            yield x, y
+        lo = hi

@@ -7,22 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickyard.llm import mixing, sharding
+from brickyard.llm import covertree, minhash, mixing, sharding
 from brickyard.llm.common import table
 
 SHARDS = 8
 
 
+def op7_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.cosine_links(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.interleave(table(spark, sf_dir, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words_each=4, percent=80)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "part")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_mixing": op6_mixing, "op8_sharding": op8_sharding}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op7_covertree": op7_covertree, "op6_mixing": op6_mixing, "op8_sharding": op8_sharding}
 SQL: dict[str, str] = {}
