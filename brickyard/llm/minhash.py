@@ -250,7 +250,8 @@ def near_duplicates(docs: DataFrame, words_each: int = 4, percent: int = 80, lan
              .mapInArrow(_needs(*method), "key long, i int, j int, block int, digest binary, cid long"))
     wanted = stored(needs.groupBy("digest", "cid").agg(F.collect_list(F.struct("key", "i", "j", "block")).alias("groups")), "wanted")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = (texts.join(wanted, F.col("doc_id") == F.col("cid")).select("text", "digest", "cid", "groups")
+    # by merge at every size: a broadcast here would only ever fit small inputs
+    sets = (texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("cid")).select("text", "digest", "cid", "groups")
             .mapInArrow(_fetch(words_each, lanes), "key long, i int, j int, block int, cid long, sig binary, set binary"))
     links = (sets.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
              .mapInArrow(_confirm(*method), "a long, b long"))
