@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickyard.llm import covertree, minhash, mixing, sharding
+from brickyard.llm import covertree, minhash, mixing, quality, sharding, surrogates, urls
 from brickyard.llm.common import table
 
 SHARDS = 8
@@ -27,10 +27,34 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words_each=4, percent=80)
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), urls.RULES)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample: one row per document that is kept."""
+    out = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.filter("kept").select("doc_id", "log_weight", "score", "kept")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "part")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_minhash": op1_minhash, "op7_covertree": op7_covertree, "op6_mixing": op6_mixing, "op8_sharding": op8_sharding}
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = surrogates.replace(table(spark, sf_dir, "documents"), count="n_replaced")
+    return out.select("doc_id", "text", "n_replaced")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
+    "op4_urls": op4_urls,
+    "op5_quality": op5_quality,
+    "op6_mixing": op6_mixing,
+    "op7_covertree": op7_covertree,
+    "op8_sharding": op8_sharding,
+    "op10_surrogates": op10_surrogates,
+}
+#: No query is here whose whole result SQL can't give; they are tested against brute force instead.
 SQL: dict[str, str] = {}
