@@ -13,7 +13,8 @@ left.  That last one gets its words in part (``part``), which is under one copy
 Block contents, order and random numbers come from hashes of the seed and the ids, so reruns agree.
 
 Nulls and ties: a null source is a source of its own, sorted last; null texts have size 0; documents
-of size 0 take nothing.  Repeated rows are rounded separately.  Extra columns are ignored.  An empty
+of size 0 take nothing.  Rows equal in id, source and size are rounded as one document of their joint
+size, so each gets the same.  Extra columns are ignored.  An empty
 input gives an empty result; a source without words has target 0.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from brickyard.llm.common import stored, word_count
 
-OPEN = "src int, block long, h long, doc_id long, size long, source string, source_size long, target double, whole long, mass double"
+OPEN = "src int, block long, h long, doc_id long, rows long, each long, size long, source string, source_size long, target double, whole long, mass double"
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -49,9 +50,9 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     per = (per.withColumn("full_cap", F.coalesce(F.sum("cap").over(fill.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
            .withColumn("free_w", F.sum("w").over(fill.rowsBetween(W.currentRow, W.unboundedFollowing)))
            .withColumn("words", F.sum("source_size").over(everything) * F.lit(float(share)))
-           # the level if all sources before this one are full; the first that it doesn't fill sets it
+           # the level if all sources before this one are full; it falls from the first that isn't, which sets it
            .withColumn("level", (F.col("words") - F.col("full_cap")) / F.col("free_w"))
-           .withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(everything)))
+           .withColumn("level", F.max(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(everything)))
     return per.select("src", "source", "n", "source_size",
                       F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
@@ -88,18 +89,20 @@ def _round_block(seed: int):
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0,
-        seed: int = 29, fan_in: int = 4096) -> DataFrame:
+        seed: int = 29, fan_in: int = 4096, units_only: bool = False) -> DataFrame:
     """One row per document: doc_id, size, source, source_size, target, copies, part, taken.
 
-    ``copies`` whole copies and ``part`` words of one more; ``taken`` is their words.
+    ``copies`` whole copies and ``part`` words of one more; ``taken`` is their words.  With ``units_only``
+    equal rows come as one, with their number in ``rows``.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
                        word_count(F.col("text")).alias("size"))
-    rows = stored(rows, "sizes")
-    want = stored(targets(rows.select("source", "size"), weights, share, most), "targets")
+    units = stored(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), "sizes")
+    want = stored(targets(units.select("source", (F.col("size") * F.col("rows")).alias("size")), weights, share, most), "targets")
     ratio = F.col("target") / F.nullif(F.col("source_size"), F.lit(0))
-    cur = (rows.join(want.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-           .withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    cur = (units.join(want.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+           .withColumnRenamed("size", "each").withColumn("size", F.col("each") * F.col("rows"))
+           .withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "each"))
            .withColumn("block", F.pmod("h", F.ceil(F.col("n") / F.lit(fan_in))))
            .withColumn("ratio", F.coalesce(ratio, F.lit(0.0)))
            .withColumn("whole", F.floor("ratio").cast("long"))
@@ -117,9 +120,10 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.
         cur = cur.filter(is_open).withColumn("block", F.floor(F.col("block") / F.lit(fan_in)))
     for part in done:
         cur = cur.unionByName(part)
-    extra = F.when(F.col("mass") >= F.col("size"), 1).otherwise(0)
     settled = (F.col("mass") <= 0) | (F.col("mass") >= F.col("size"))
-    return (cur.withColumn("copies", F.when(F.col("size") > 0, F.col("whole") + extra).otherwise(0).cast("long"))
-            .withColumn("part", F.when(settled, 0).otherwise(F.round("mass")).cast("long"))
-            .select("doc_id", "size", "source", "source_size", "target", "copies", "part",
-                    (F.col("copies") * F.col("size") + F.col("part")).alias("taken")))
+    copies = F.col("whole") + F.when(F.col("mass") >= F.col("size"), 1).otherwise(0)
+    out = (cur.withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0).cast("long"))
+           .withColumn("part", F.when(settled, 0).otherwise(F.round(F.col("mass") / F.col("rows"))).cast("long"))
+           .select("doc_id", F.col("each").alias("size"), "source", "source_size", "target", "copies", "part", "rows",
+                   (F.col("copies") * F.col("each") + F.col("part")).alias("taken")))
+    return out if units_only else out.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("rows")))).drop("_n", "rows")
