@@ -37,6 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from brickyard.llm.common import stored
 
@@ -131,8 +132,8 @@ def _weigh(model, smooth: float, margin: float, bits: int, seed: int):
                 h = xxhash.xxh3_64_intdigest(f"{key}\0{text}".encode(), seed=seed)
                 noise.append(-math.log(-math.log(((h >> 11) + 0.5) / 2**53)))
                 tie.append(xxhash.xxh64_intdigest(h.to_bytes(8, "big")) >> 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(weight, pa.float64()), pa.array(noise, pa.float64()), pa.array(tie, pa.int64())],
-                                             names=["doc_id", "good", "log_weight", "noise", "tie"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(weight, pa.float64()), pa.array(noise, pa.float64()), pa.array(tie, pa.int64()), batch.column(3)],
+                                             names=["doc_id", "good", "log_weight", "noise", "tie", "_row"])
     return run
 
 
@@ -169,8 +170,8 @@ def _kth_largest(scores: DataFrame, k: int, bins: int = 4096, levels: int = 4, l
 
 
 def resample(docs: DataFrame, labels: DataFrame, bits: int = 20, smooth: float = 2.0, margin: float = 1.0, seed: int = 41,
-             temperature: float = 0.2, most_labels: int = 200_000) -> DataFrame:
-    """One row per document: doc_id, log_weight, score, tie, kept.
+             temperature: float = 0.2, most_labels: int = 200_000, carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, log_weight, score, tie, kept, and with ``carry`` the whole row as struct _row.
 
     ``temperature`` scales the Gumbel noise against the log weights.  Of the labelled documents about
     ``most_labels`` at most, chosen by a hash of the id, make the target model and the level.
@@ -180,25 +181,29 @@ def resample(docs: DataFrame, labels: DataFrame, bits: int = 20, smooth: float =
             .agg(F.min(F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))).alias("good")))
     share = most_labels / max(good.count(), 1)
     ids = F.broadcast(stored(good.filter(F.pmod(F.xxhash64(F.lit(seed), "label_id"), F.lit(1 << 20)) < share * (1 << 20)), "labels"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       (F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.lit(True)).alias("_row"))
     raw, target = (np.zeros(buckets(bits), np.float32) for _ in range(2))
-    known = rows.join(ids, F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "text", "good")
+    known = rows.join(ids, F.col("doc_id") == F.col("label_id"), "left").select("doc_id", "text", "good", "_row")
     counted = known.select("text", "good").mapInArrow(_count(bits), "bucket long, raw long, target long")
     for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow().to_batches():
         at = r.column("bucket").to_numpy()  # at most buckets(bits) rows
         raw[at], target[at] = r.column("raw").to_numpy(), r.column("target").to_numpy()
     model = sc.broadcast((raw, target))
-    weighed = stored(known.mapInArrow(_weigh(model, smooth, margin, bits, seed), "doc_id long, good boolean, log_weight double, noise double, tie long")
+    schema = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("good", T.BooleanType()), ("log_weight", T.DoubleType()),
+                                                            ("noise", T.DoubleType()), ("tie", T.LongType()), ("_row", known.schema["_row"].dataType))])
+    weighed = stored(known.mapInArrow(_weigh(model, smooth, margin, bits, seed), schema)
                      .withColumn("score", F.col("log_weight") + temperature * F.col("noise")), "weights")
+    out = ["doc_id", "log_weight", "score", "tie", *(["_row"] if carry else [])]
     bin_of = F.floor(F.greatest(F.least(F.col("log_weight"), F.lit(500.0)), F.lit(-500.0)) * 8)
     hist = (weighed.filter("good is not null").groupBy(bin_of.alias("bin")).agg(F.sum(F.col("good").cast("int")).alias("good"), F.sum((~F.col("good")).cast("int")).alias("bad")).collect())
     level = _level(hist)
     if level is None:
-        return weighed.select("doc_id", "log_weight", "score", "tie", F.lit(True).alias("kept"))
+        return weighed.select(*out, F.lit(True).alias("kept"))
     k = weighed.filter(bin_of >= level).count()
     low, high, above = _kth_largest(weighed, k)
     # ties and near ties at the edge are parted by rank
     rank = F.rank().over(W.orderBy(F.desc("score"), "doc_id", "tie"))
     edge = (F.col("score") >= low) & (F.col("score") < high)
-    inside = weighed.filter(edge).select("doc_id", "log_weight", "score", "tie", (rank <= k - above).alias("kept"))
-    return weighed.filter(~edge).select("doc_id", "log_weight", "score", "tie", (F.col("score") >= high).alias("kept")).unionAll(inside)
+    inside = weighed.filter(edge).select(*out, (rank <= k - above).alias("kept"))
+    return weighed.filter(~edge).select(*out, (F.col("score") >= high).alias("kept")).unionAll(inside)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickyard.llm import covertree, minhash, mixing, quality, sharding, surrogates, urls
+from brickyard.llm import covertree, minhash, mixing, packing, quality, sharding, surrogates, urls
 from brickyard.llm.common import table
 
 SHARDS = 8
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op7_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +44,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", "part")
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, window=2048, end=1)
+
+
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = surrogates.replace(table(spark, sf_dir, "documents"), count="n_replaced")
     return out.select("doc_id", "text", "n_replaced")
@@ -54,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_covertree": op7_covertree,
     "op8_sharding": op8_sharding,
+    "op9_packing": op9_packing,
     "op10_surrogates": op10_surrogates,
 }
 #: No query is here whose whole result SQL can't give; they are tested against brute force instead.
