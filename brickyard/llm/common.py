@@ -6,6 +6,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,3 +121,29 @@ def pairs_within(starts: np.ndarray, n: int, at_once: int = 200_000):
         if len(x):
             yield x, y
         lo = hi
+
+
+def read_vectors(batches, kind: str):
+    """(id, digest, vector bytes) with null bytes for vectors that take no part."""
+    for batch in batches:
+        digest, raw = [], []
+        for v in batch.column(1):
+            v = v.values.to_numpy(zero_copy_only=False).astype(kind) if v.is_valid and len(v) and not v.values.null_count else None
+            wide = None if v is None else v.astype(float)
+            if wide is None or not np.isfinite(wide).all() or not wide.any() or not 0 < (wide * wide).sum() < np.inf:
+                raw.append(None)
+                digest.append(None)
+            else:
+                raw.append(v.tobytes())
+                digest.append(xxhash.xxh3_128_digest(raw[-1]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(raw, pa.binary())],
+                                         names=["vec_id", "digest", "raw"])
+
+
+def by_length(raw, kind: str):
+    """(rows, their vectors in double precision) for each length of vector."""
+    raw = raw.to_pylist()
+    sizes = np.array([len(r) for r in raw])
+    for size in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == size)
+        yield at, np.frombuffer(b"".join(raw[k] for k in at), kind).reshape(len(at), -1).astype(float)

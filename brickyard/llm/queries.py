@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickyard.llm import covertree, minhash, mixing, packing, quality, sharding, surrogates, urls
+from brickyard.llm import covertree, minhash, mixing, neighbours, packing, quality, sharding, surrogates, urls
 from brickyard.llm.common import table
 
 SHARDS = 8
@@ -29,6 +29,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words_each=4, percent=80)
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.RULES)
 
@@ -55,6 +59,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op3_neighbours": op3_neighbours,
     "op4_urls": op4_urls,
     "op5_quality": op5_quality,
     "op6_mixing": op6_mixing,
