@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickyard.llm import covertree, minhash, mixing, neighbours, packing, quality, sharding, surrogates, urls
+from brickyard.llm import covertree, minhash, mixing, neighbours, packing, quality, repeats, sharding, surrogates, urls
 from brickyard.llm.common import table
 
 SHARDS = 8
@@ -29,6 +29,12 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words_each=4, percent=80)
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"), least=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -59,6 +65,7 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_repeats": op2_repeats,
     "op3_neighbours": op3_neighbours,
     "op4_urls": op4_urls,
     "op5_quality": op5_quality,
