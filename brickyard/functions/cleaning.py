@@ -56,7 +56,8 @@ PRICE_HEADER_RE = r"(?i)^price(\s*\(.*\))?$"
 PRICE_TEXT_RE = r"^[^0-9A-Za-z-]*-?[0-9,]+([.][0-9]+)?$"
 # "Co. Cork", "Co Mayo", "County Clare" -> place name; bare "Cork" stays.
 COUNTY_PREFIX_RE = r"(?i)^co(?:unty\s+|\.\s*|\s+)"
-CAPITAL_DISTRICT_RE = r"(?i)^dublin\s*\d+.*"
+# A numbered postal district of the capital.
+CAPITAL_DISTRICT_RE = r"(?i)^dublin\s*\d"
 DATE_FORMATS = ("d/M/yyyy", "yyyy-MM-dd")
 
 

@@ -72,8 +72,9 @@ def affordability_deterioration(aff: DataFrame, cfg: Config = DEFAULT) -> DataFr
         F.max(F.when(is_l, F.col("years_salary_to_buy"))).alias("ratio_latest"),
         F.max(F.when(is_b, F.col("median_price"))).alias("price_base"),
         F.max(F.when(is_l, F.col("median_price"))).alias("price_latest"))
-    delta = F.col("ratio_latest") - F.col("ratio_base")
-    return e.select("*", rnd(delta, 1).alias("yrs_salary_deterioration"),
+    # the ratios have one decimal: subtracted as such, a change of exactly 1 or 2 years meets its label
+    delta = F.col("ratio_latest").cast("decimal(12,1)") - F.col("ratio_base").cast("decimal(12,1)")
+    return e.select("*", delta.cast("double").alias("yrs_salary_deterioration"),
                     rnd((F.col("price_latest") - F.col("price_base")) * F.lit(100.0)
                         / F.nullif(F.col("price_base"), F.lit(0.0)), 1).alias("price_growth_pct"),
                     L.deterioration_trend(delta).alias("trend"))

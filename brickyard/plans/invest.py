@@ -93,8 +93,9 @@ def _undervalued_cond(nat, cfg: Config) -> F.Column:
 
 
 def risk_adjusted_return(growth="price_growth_pct", yld="rental_yield_est_pct", yrs="years_salary_to_buy"):
-    return (F.col(growth) * F.lit(0.4) + F.col(yld) * F.lit(10.0) * F.lit(0.4)
-            - F.col(yrs) * F.lit(2.0) * F.lit(0.2))
+    """Exact: the inputs are decimals of one, two and one places, so equal scores tie."""
+    return F.expr(f"cast({growth} as decimal(12,1)) * 0.4BD + cast({yld} as decimal(12,2)) * 10BD * 0.4BD"
+                  f" - cast({yrs} as decimal(12,1)) * 2BD * 0.2BD")
 
 
 def undervalued_median(inv: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -104,7 +105,7 @@ def undervalued_median(inv: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return j.select("county", "region", "median_price_latest", "nat_median",
                     rnd(safe_div(F.col("nat_median") - F.col("median_price_latest"), "nat_median") * F.lit(100.0), 1)
                     .alias("discount_to_national_pct"),
-                    rnd(risk_adjusted_return(), 1).alias("risk_adj_return"),
+                    F.round(risk_adjusted_return(), 1).cast("double").alias("risk_adj_return"),
                     "price_growth_pct", "supply_deficit_pct",
                     _undervalued_cond(F.col("nat_median"), cfg).alias("undervalued"))
 
@@ -124,9 +125,9 @@ def risk_adjusted_ranking(inv: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     score = risk_adjusted_return()
     return inv.select("county", "region", "median_price_latest", "price_growth_pct", "rental_yield_est_pct",
                       "years_salary_to_buy",
-                      rnd(score, 1).alias("risk_adj_return_score"),
+                      F.round(score, 1).cast("double").alias("risk_adj_return_score"),
                       F.rank().over(Window.orderBy(score.desc_nulls_first())).alias("risk_adj_rank"),
-                      truncated_average_rank(rnd(score, 1)).alias("risk_adj_rank_avg"))
+                      truncated_average_rank(F.round(score, 1)).alias("risk_adj_rank_avg"))
 
 
 def heat_index(pulse_value: DataFrame, velocity: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

@@ -1,29 +1,34 @@
 """DuckDB oracle: each job as ANSI SQL over the driver tables.
 
 Written independently of the DataFrame code, as SQL a reader can check
-against the reference's SQL layer.  Shared pieces are only the canonical
-CTEs (``sources.synthetic.sql_ctes``) and the rounding expression
-``sql_round`` (SQL ROUND on doubles), so both engines run identical IEEE
-operations wherever a value is rounded.  Column names and types match
-the DataFrame results (counts BIGINT, years INTEGER, ranks INTEGER).
+against the reference's SQL layer: thresholds, labels, weights, patterns and
+lookups stand here as literals, so a wrong constant on either side shows.
+Shared are the job parameters (``Config``) and the canonical CTEs
+(``sources.synthetic.sql_ctes``).  Doubles are rounded half away from zero on
+the binary value; what is exact in decimals is computed in DECIMAL with native
+ROUND.  Column names and types match the DataFrame results (counts BIGINT,
+years INTEGER, ranks INTEGER).
 """
 
 from __future__ import annotations
 
 from ..config import Config, TEST
-from ..functions import labels as L
-from ..functions.numeric import sql_round
 from ..sources.synthetic import sql_with
-from .afford import annuity_factor
-from .invest import WEIGHTS_HEAT, WEIGHTS_INVEST
 
 
 def R(e: str, n: int = 0) -> str:
-    return sql_round(e, n)
+    """Half away from zero on a double."""
+    return f"(CASE WHEN ({e}) < 0 THEN -1.0 WHEN ({e}) = 0 THEN 0.0 ELSE 1.0 END * floor(abs({e}) * 1e{n} + 0.5) / 1e{n} + 0.0 * ({e}))"
 
 
 def RI(e: str) -> str:
-    return f"CAST({sql_round(e, 0)} AS BIGINT)"
+    return f"CAST({R(e)} AS BIGINT)"
+
+
+def CASE(e: str, op: str, *bands: tuple[float, str], default: str, missing: str | None = None) -> str:
+    """CASE WHEN e op limit THEN label ... ELSE default END."""
+    null = f"WHEN ({e}) IS NULL THEN '{missing}' " if missing else ""
+    return "CASE " + null + " ".join(f"WHEN ({e}) {op} {limit} THEN '{label}'" for limit, label in bands) + f" ELSE '{default}' END"
 
 
 def D(v: float) -> str:
@@ -66,8 +71,9 @@ POSTCODE = (f"CASE WHEN regexp_extract(eircode, {POSTCODE_RE}, 1) <> '' THEN 'D'
             f"lpad(regexp_extract(eircode, {POSTCODE_RE}, 1), 2, '0') || regexp_extract(eircode, {POSTCODE_RE}, 2) END")
 
 
-def _weighted(weights) -> str:
-    return " + ".join(f"{n} * {D(w)}" for n, w in weights)
+ZONE = """CASE WHEN postcode IN ('D01', 'D02', 'D03', 'D04', 'D05', 'D06', 'D06W', 'D07', 'D08') THEN 'Inner City'
+ WHEN postcode IN ('D09', 'D10', 'D11', 'D12', 'D13', 'D14', 'D16') THEN 'Mid City'
+ WHEN postcode IN ('D15', 'D17', 'D18', 'D20', 'D22', 'D24') THEN 'Outer City' ELSE 'Commuter' END"""
 
 
 def _minmax(col: str, inverted: bool = False) -> str:
@@ -77,8 +83,8 @@ def _minmax(col: str, inverted: bool = False) -> str:
 
 def _inv_cte(cfg: Config) -> str:
     b, l_ = cfg.base_year, cfg.latest_year
-    comp = R(_weighted(WEIGHTS_INVEST), 1)
-    tiers = L.sql_bucket("composite_investment_score", cfg.tier_cutoffs, cfg.tier_default, ">=")
+    comp = R("growth_score * 3e-1 + supply_score * 3e-1 + yield_score * 25e-2 + affordability_score * 15e-2", 1)
+    tiers = CASE("composite_investment_score", ">=", *cfg.tier_cutoffs, default=cfg.tier_default)
     return f"""
     SELECT *, {tiers} AS investment_tier,
            CAST(rank() OVER (ORDER BY composite_investment_score DESC NULLS FIRST) AS INTEGER) AS rank
@@ -141,14 +147,15 @@ def _monthly_cte() -> str:
 
 
 def _signals_cte() -> str:
-    sig = L.sql_bucket("momentum_3m", L.MOMENTUM_SIGNAL, L.MOMENTUM_DEFAULT, ">", L.INSUFFICIENT)
+    sig = CASE("momentum_3m", ">", (3, "Strong Acceleration"), (1, "Accelerating"), (-1, "Flat"), (-3, "Decelerating"),
+               default="Sharp Decline", missing="Insufficient Data")
     return f"""
     SELECT *, {sig} AS signal FROM mm WHERE sale_month = (SELECT max(sale_month) FROM mm)"""
 
 
 def _by_type_cte() -> str:
     lab = (f"CASE WHEN upper(CAST(vat_exclusive AS VARCHAR)) IN ('YES', 'TRUE', '1') "
-           f"THEN '{L.NEW_BUILD}' ELSE '{L.SECOND_HAND}' END")
+           f"THEN 'New Build' ELSE 'Second-Hand' END")
     return f"""
     SELECT county, region, year, type_label, count(*) AS transactions,
            {RI('quantile_cont(price_eur, 0.5)')} AS median_price
@@ -158,14 +165,15 @@ def _by_type_cte() -> str:
 
 def _nvs_cte() -> str:
     pct = R("(new_build_median - second_hand_median) / nullif(second_hand_median, 0) * 100.0", 1)
-    sig = L.sql_bucket("new_build_premium_pct", L.PREMIUM_SIGNAL, L.PREMIUM_DEFAULT, ">", L.INSUFFICIENT)
+    sig = CASE("new_build_premium_pct", ">", (20, "High Premium"), (10, "Moderate Premium"), (0, "Low Premium / At Parity"),
+               default="Second-Hand Premium", missing="Insufficient Data")
     return f"""
     SELECT *, {sig} AS premium_signal FROM (
       SELECT county, region, year, new_build_median, second_hand_median,
              new_build_median - second_hand_median AS new_build_premium_eur, {pct} AS new_build_premium_pct
       FROM (SELECT county, region, year,
-                   max(CASE WHEN type_label = '{L.NEW_BUILD}' THEN median_price END) AS new_build_median,
-                   max(CASE WHEN type_label = '{L.SECOND_HAND}' THEN median_price END) AS second_hand_median
+                   max(CASE WHEN type_label = 'New Build' THEN median_price END) AS new_build_median,
+                   max(CASE WHEN type_label = 'Second-Hand' THEN median_price END) AS second_hand_median
             FROM bt GROUP BY county, region, year) p
       WHERE new_build_median IS NOT NULL AND second_hand_median IS NOT NULL) q"""
 
@@ -174,7 +182,7 @@ def _postcode_cte(cfg: Config) -> str:
     return f"""
     SELECT postcode, zone, year, n AS transactions, {RI('median')} AS median_price, {RI('mean')} AS avg_price,
            {R(MOM('median', f'lag(median) OVER {W("postcode", "year")}'), 1)} AS yoy_growth_pct
-    FROM (SELECT postcode, {L.sql_zone('postcode')} AS zone, year, count(*) AS n,
+    FROM (SELECT postcode, {ZONE} AS zone, year, count(*) AS n,
                  quantile_cont(price_eur, 0.5) AS median, avg(price_eur) AS mean
           FROM (SELECT *, {POSTCODE} AS postcode FROM ms WHERE county = '{cfg.focus_place}') d
           WHERE postcode IS NOT NULL
@@ -194,8 +202,11 @@ def _stress_cte(cfg: Config) -> str:
     deposit = RI(f"m.median * {D(cfg.deposit_pct)}")
     gap = R(f"m.median - {max_price}", 0)
     gap_pct = R(f"{gap} / nullif(m.median, 0) * 100.0", 1)
-    repay = RI(f"{max_mort} * {D(annuity_factor(cfg.stress_rate, cfg.term_years))}")
-    status = L.sql_bucket(gap_pct, L.FTB_STATUS, L.FTB_DEFAULT, ">")
+    # monthly repayment per unit borrowed, r (1 + r)^n / ((1 + r)^n - 1)
+    grown = f"pow(1.0 + {D(cfg.stress_rate)} / 12.0, {cfg.term_years * 12})"
+    repay = RI(f"{max_mort} * ({D(cfg.stress_rate)} / 12.0 * {grown} / ({grown} - 1.0))")
+    status = CASE(gap_pct, ">", (20, "Cannot Afford — Major Gap"), (5, "Stretched — Borderline"), (0, "Achievable with Exemption"),
+                  default="Within LTI Limit")
     return f"""
     SELECT m.county, m.year, {RI('m.median')} AS median_price, a.avg_annual_wage, a.population,
            {deposit} AS deposit_needed,
@@ -210,7 +221,7 @@ def _stress_cte(cfg: Config) -> str:
 
 
 def _ranking_cte(cfg: Config) -> str:
-    st = L.sql_bucket("years_salary_to_buy", L.AFFORDABILITY_STATUS, L.AFFORDABILITY_DEFAULT, ">=")
+    st = CASE("years_salary_to_buy", ">=", (12, "Severe Crisis"), (9, "Critical"), (7, "High Stress"), (5, "Moderate"), default="Manageable")
     base = f"max(CASE WHEN year = {cfg.base_year} THEN years_salary_to_buy END) OVER (PARTITION BY county)"
     return f"""
     SELECT county, region, year, median_price, avg_annual_wage, years_salary_to_buy, price_to_income_ratio,
@@ -222,8 +233,8 @@ def _ranking_cte(cfg: Config) -> str:
 
 
 def _heat_cte(cfg: Config) -> str:
-    heat = R(_weighted(WEIGHTS_HEAT), 1)
-    temp = L.sql_bucket("heat_index", L.MARKET_TEMPERATURE, L.TEMPERATURE_DEFAULT, ">=")
+    heat = R("price_score * 3e-1 + growth_score * 3e-1 + volume_score * 25e-2 + vol_growth_score * 15e-2", 1)
+    temp = CASE("heat_index", ">=", (70, "🔥 Very Hot"), (55, "🌡 Hot"), (40, "😐 Warm"), (25, "❄ Cool"), default="🧊 Cold")
     return f"""
     SELECT *, {temp} AS market_temperature,
            CAST(row_number() OVER (ORDER BY heat_index DESC NULLS LAST, county) AS INTEGER) AS rank
@@ -239,11 +250,20 @@ def _heat_cte(cfg: Config) -> str:
                         ON m.county = v.county) j) s) h"""
 
 
+#: The register's places by region (fixed values).
+PLACES = {
+    "Leinster": ("Dublin", "Kildare", "Meath", "Wicklow", "Wexford", "Kilkenny", "Carlow", "Laois", "Offaly", "Westmeath", "Longford", "Louth"),
+    "Munster": ("Cork", "Limerick", "Waterford", "Tipperary", "Clare", "Kerry"),
+    "Connacht": ("Galway", "Mayo", "Roscommon", "Sligo", "Leitrim"),
+    "Ulster": ("Donegal", "Cavan", "Monaghan"),
+}
+
+
 def _register_cleaning_sql(cfg: Config) -> str:
-    from ..functions import cleaning as C
-    names = ", ".join(f"'{n}'" for n in C.COUNTY_REGIONS)
-    regions = ", ".join(f"('{k}', '{v}')" for k, v in C.COUNTY_REGIONS.items())
-    variants = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.COUNTY_VARIANTS.items())
+    names = ", ".join(f"'{n}'" for places in PLACES.values() for n in places)
+    regions = ", ".join(f"('{n}', '{region}')" for region, places in PLACES.items() for n in places)
+    variants = (" ".join(f"WHEN '{n} {v}' THEN '{n}'" for n in ("Cork", "Galway", "Limerick", "Waterford") for v in ("City", "County"))
+                + " WHEN 'Tipperary North' THEN 'Tipperary' WHEN 'Tipperary South' THEN 'Tipperary'")
     cents = RI("abs(c_acctbal) * 100.0")
     initcap = "array_to_string(list_transform(string_split(lower(s3), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
     return f"""
@@ -272,11 +292,11 @@ def _register_cleaning_sql(cfg: Config) -> str:
       SELECT sale_id,
              coalesce(CAST(try_strptime(trim(date_text), '%d/%m/%Y') AS DATE),
                       CAST(try_strptime(trim(date_text), '%Y-%m-%d') AS DATE)) AS date_of_sale,
-             CASE WHEN regexp_matches(trim(price_text), '{C.PRICE_TEXT_RE}')
+             CASE WHEN regexp_full_match(trim(price_text), '[^0-9A-Za-z-]*-?[0-9,]+([.][0-9]+)?')
                   THEN TRY_CAST(regexp_replace(trim(price_text), '[^0-9.\\-]', '', 'g') AS DOUBLE) END AS price_eur,
-             regexp_replace(trim(county_text), '{C.COUNTY_PREFIX_RE}', '') AS s2
+             regexp_replace(trim(county_text), '(?i)^co(unty\\s+|\\.\\s*|\\s+)', '') AS s2
       FROM raw),
-    c2 AS (SELECT *, CASE WHEN regexp_matches(s2, '{C.CAPITAL_DISTRICT_RE}') THEN 'Dublin' ELSE s2 END AS s3 FROM c1),
+    c2 AS (SELECT *, CASE WHEN regexp_matches(s2, '(?i)^dublin\\s*\\d') THEN 'Dublin' ELSE s2 END AS s3 FROM c1),
     c3 AS (SELECT *, trim({initcap}) AS s4 FROM c2),
     c4 AS (SELECT sale_id, date_of_sale, price_eur,
                   CASE WHEN s4 <> '' THEN CASE s4 {variants} ELSE s4 END END AS county FROM c3)
@@ -430,9 +450,10 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
            {R(f'(median_price - ({mp})) / nullif(median_price, 0) * 100.0', 1)} AS gap_pct
     FROM aff WHERE year = {lt}"""
     q["affordability_ranking"] = sql_with(cfg, "aff", extra=[("rk", _ranking_cte(cfg))]) + "SELECT * FROM rk"
-    trend = L.sql_bucket("ratio_latest - ratio_base", L.DETERIORATION_TREND, L.TREND_DEFAULT, ">=")
+    change = "CAST(ratio_latest AS DECIMAL(12,1)) - CAST(ratio_base AS DECIMAL(12,1))"
+    trend = CASE(change, ">=", (2, "Rapidly Worsening"), (1, "Worsening"), default="Stable")
     q["affordability_deterioration"] = sql_with(cfg, "aff") + f"""
-    SELECT *, {R('ratio_latest - ratio_base', 1)} AS yrs_salary_deterioration,
+    SELECT *, CAST({change} AS DOUBLE) AS yrs_salary_deterioration,
            {R('(price_latest - price_base) * 100.0 / nullif(price_base, 0)', 1)} AS price_growth_pct,
            {trend} AS trend
     FROM (SELECT county, region,
@@ -443,16 +464,15 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
           FROM aff GROUP BY county, region) e"""
 
     # --- supply ---
-    sup = L.sql_bucket("supply_ratio", L.SUPPLY_STATUS, L.SUPPLY_DEFAULT, "<")
+    sup = CASE("supply_ratio", "<", (0.40, "Critical Shortage"), (0.60, "Severe Shortage"), (0.80, "Moderate Shortage"),
+               default="Near Balance")
     q["supply_gap"] = sql_with(cfg, "sd") + f"""
     SELECT *, CAST(sum(supply_deficit) OVER {W('county', 'year', 'ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')}
                    AS BIGINT) AS cumulative_deficit,
            {sup} AS supply_status
     FROM sd"""
-    press = (f"CASE WHEN s.avg_supply_ratio < {L.PRESSURE_MAX_RATIO} AND p.price_growth_pct > {L.PRESSURE_MIN_GROWTH} "
-             f"THEN '{L.PRESSURE_BOTH}' WHEN s.avg_supply_ratio < {L.PRESSURE_MAX_RATIO} THEN '{L.PRESSURE_SUPPLY}' "
-             f"WHEN p.price_growth_pct > {L.PRESSURE_MIN_GROWTH} THEN '{L.PRESSURE_GROWTH}' "
-             f"ELSE '{L.PRESSURE_DEFAULT}' END")
+    press = ("CASE WHEN s.avg_supply_ratio < 0.5 AND p.price_growth_pct > 40 THEN 'High Pressure — Low Supply + High Growth' "
+             "WHEN s.avg_supply_ratio < 0.5 THEN 'Supply Constrained' WHEN p.price_growth_pct > 40 THEN 'High Growth' ELSE 'Moderate' END")
     q["supply_vs_growth"] = sql_with(cfg, "aff", "sd") + f"""
     SELECT s.county, s.avg_supply_ratio, p.price_growth_pct, {press} AS market_pressure_label
     FROM (SELECT county, {R(MEAN_R('supply_ratio', 3), 3)} AS avg_supply_ratio FROM sd GROUP BY county) s
@@ -486,13 +506,14 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
            {R(MEAN_R('rental_yield_est_pct', 2), 2)} AS avg_rental_yield,
            string_agg(county, ', ' ORDER BY rank, county) AS counties
     FROM inv GROUP BY investment_tier"""
-    rar = "price_growth_pct * 0.4 + rental_yield_est_pct * 10.0 * 0.4 - years_salary_to_buy * 2.0 * 0.2"
+    rar = ("(CAST(price_growth_pct AS DECIMAL(12,1)) * 0.4 + CAST(rental_yield_est_pct AS DECIMAL(12,2)) * 10 * 0.4"
+           " - CAST(years_salary_to_buy AS DECIMAL(12,1)) * 2 * 0.2)")
     cond = (f"median_price_latest < nat_median AND price_growth_pct > {D(cfg.undervalued_min_growth)} "
             f"AND supply_deficit_pct > {D(cfg.undervalued_min_deficit)}")
     q["undervalued_median"] = inv + f"""
     SELECT county, region, median_price_latest, nat_median,
            {R('(nat_median - median_price_latest) / nullif(nat_median, 0) * 100.0', 1)} AS discount_to_national_pct,
-           {R(rar, 1)} AS risk_adj_return, price_growth_pct, supply_deficit_pct, {cond} AS undervalued
+           CAST(round({rar}, 1) AS DOUBLE) AS risk_adj_return, price_growth_pct, supply_deficit_pct, {cond} AS undervalued
     FROM inv CROSS JOIN (SELECT quantile_cont(median_price_latest, 0.5) AS nat_median FROM inv) n"""
     q["undervalued_mean"] = inv + f"""
     SELECT county, region, median_price_latest, nat_median,
@@ -505,7 +526,7 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
            risk_adj_return_score,
            CAST(rank() OVER (ORDER BY raw DESC NULLS FIRST) AS INTEGER) AS risk_adj_rank,
            {TRUNC_RANK('risk_adj_return_score')} AS risk_adj_rank_avg
-    FROM (SELECT *, {rar} AS raw, {R(rar, 1)} AS risk_adj_return_score FROM inv) r"""
+    FROM (SELECT *, {rar} AS raw, CAST(round({rar}, 1) AS DOUBLE) AS risk_adj_return_score FROM inv) r"""
 
     heat = sql_with(cfg, "ms", extra=[("mpv", _pulse_value_cte(cfg)), ("vel", _velocity_cte()),
                                       ("heat", _heat_cte(cfg))])
