@@ -66,15 +66,35 @@ PATTERNS = (
     ("name", rf"\b(?P<title>{_TITLE})\b\.? +(?P<a>{NAME})(?: +(?P<b>{NAME}))?"),
     ("name", rf"\b(?P<a>{_KNOWN}) +(?P<b>{NAME})"),
 )
-HINT = re.compile(rf"[0-9@]|\b(?:{_TITLE})\b|\b(?:{_KNOWN})\b|passw|pwd|secret|token|key", re.I)
+KNOWN = frozenset([*TITLES, *(f"{t}." for t in TITLES), *(n for names in FIRST.values() for n in names)])
+#: Digits as all number patterns have them; the patterns themselves are slow on long texts.
+NUMBER = re.compile(r"[0-9][0-9 .()-]{5,}[0-9]")
+NUMBERS = frozenset(("ip", "card", "ssn", "account", "phone"))
+EDGES = "\"'([{<\u201c\u201e\u00ab\u2018,.;:!?)]}>\u201d\u00bb\u2019"
+
+
+def possible(text: str) -> frozenset[str]:
+    """The types of entities that a text may hold, by cheap necessary signs."""
+    kinds = set()
+    if "@" in text:
+        kinds.add("email")
+    if "=" in text or ":" in text or "AKIA" in text or any(p in text for p in ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox")):
+        kinds.add("secret")
+    if NUMBER.search(text):
+        kinds |= NUMBERS
+    words = text.split()
+    if not KNOWN.isdisjoint(words) or any(c in text for c in EDGES[:5]) and not KNOWN.isdisjoint(w.strip(EDGES) for w in words):
+        kinds.add("name")
+    return frozenset(kinds)
 
 
 def entities(text: str, compiled) -> list[tuple[int, int, str, str]]:
     """(start, end, type, gender) of a text's entities in order; they don't overlap."""
     found: list[tuple[int, int, str, str]] = []
     taken: list[tuple[int, int]] = []
+    kinds = possible(text)
     for kind, pattern in compiled:
-        for m in pattern.finditer(text):
+        for m in pattern.finditer(text) if kind in kinds else ():
             parts = []
             if kind != "name":
                 parts.append((*(m.span("v") if "v" in pattern.groupindex else m.span()), kind, "n"))
@@ -171,7 +191,7 @@ def _flag(patterns):
     def run(batches):
         compiled = [(k, re.compile(p)) for k, p in patterns]
         for batch in batches:
-            key = [xxhash.xxh3_128_digest(t.encode()) if t and HINT.search(t) and entities(t, compiled) else None for t in batch.column("_text").to_pylist()]
+            key = [xxhash.xxh3_128_digest(t.encode()) if t and entities(t, compiled) else None for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(key, pa.binary())], names=[*batch.schema.names, "_key"])
     return run
 
@@ -182,7 +202,7 @@ def _list(patterns):
         for batch in batches:
             out = []
             for t in batch.column(0).to_pylist():
-                if t and HINT.search(t):
+                if t:
                     key = xxhash.xxh3_128_digest(t.encode())
                     out += {(key, kind, gender, t[s:e]) for s, e, kind, gender in entities(t, compiled)}
             cols = list(zip(*out, strict=True)) or [(), (), (), ()]
