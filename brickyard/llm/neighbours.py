@@ -16,7 +16,7 @@ length 1, and a component for the vector's length keeps long vectors, which the
 apart.  ``recall`` measures a result against brute force.
 
 Nulls and ties: vectors that are null, empty, zero or hold null or non-finite components take no part, nor
-do rows without an id.  Vectors of another length than the sample's first are compared with none.
+do rows without an id.  Vectors of another length than most of the sample are compared with none.
 A query is never its own neighbour; other rows with its id are the same row.  Repeated rows come once.
 Extra columns are ignored.  An empty input gives an empty result.
 """
@@ -220,7 +220,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 16384, rows_
         some = pd.Series([r.raw for r in rows.limit(1).collect()], dtype=object)
     if not len(some):
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    size = len(some.iloc[0])
+    size = some.map(len).mode().iloc[0]
     learned = np.frombuffer(b"".join(r for r in some if len(r) == size), kind).reshape(-1, size // np.dtype(kind).itemsize).astype(float)
     parts = 1
     while parts * 2 <= min(total // rows_per_part, most_parts, max(1, len(learned) // 32)):
