@@ -2,15 +2,16 @@
 
 A document is the token ids of its whole text and an end id.  Its full windows are sequences of their
 own; what is left of it, its tail, is packed with other tails.  Tails are dealt into shards of about
-``shard_docs`` by range of their most telling token (the largest BM25 weight), so that lexical neighbours
+``shard_docs`` by range of their most telling word (the largest BM25 weight), so that lexical neighbours
 meet, and every shard has an inverted index of its tails.  In a seeded order each unused tail
-becomes a seed; its telling tokens are looked up, and the unused tails with the best BM25 scores fill
+becomes a seed; its telling words are looked up, and the unused tails with the best BM25 scores fill
 its window: those that fit go in whole, and the best that doesn't is cut where the window ends; its rest
 stays in the index.  If no scored neighbour is left, the next seeds follow.  So every sequence but a
 shard's last one is full, and each id is in exactly one piece.
 
-Document frequencies and the mean length cover all tails.  They are one count per token id, which bounds
-what goes to the driver and back; a shard's index is bounded by its documents.
+Words are read off the token ids, a word being what follows white space.  Document frequencies and the mean
+length cover all tails.  They are one count for each of ``2 ** bits`` hash buckets, which bounds what
+goes to the driver and back; a shard's index is bounded by its documents.
 
 Ids are those of the ``tokenizers`` library.  For byte-level BPE files they are made by ``tiktoken`` from the
 file's own vocabulary, which is several times faster; every task compares some texts first and goes
@@ -112,47 +113,69 @@ def _wide(tail: bytes) -> np.ndarray:
     return np.frombuffer(tail, "<u2" if tail[0] == 2 else "<u4", offset=1).astype(np.int64)
 
 
-def _frequencies(batches):
-    counts = np.zeros(1 << 16, np.int64)
-    docs = length = 0
-    for batch in batches:
-        for tail in batch.column(0).to_pylist():
-            ids = np.unique(_wide(tail))
-            if len(ids):
-                if ids[-1] >= len(counts):
-                    counts = np.append(counts, np.zeros(ids[-1] + 1 - len(counts), np.int64))
-                counts[ids] += 1
-                docs, length = docs + 1, length + (len(tail) - 1) // (2 if tail[0] == 2 else 4)
-    at = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(counts[at], [docs, length]))], names=["token", "n"])
+def word_starts(path: str) -> np.ndarray:
+    """By token id, whether the token begins a word: it carries the white space before it."""
+    from tokenizers import Tokenizer
 
+    vocabulary = Tokenizer.from_file(path).get_vocab()
+    out = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    for token, k in vocabulary.items():
+        out[k] = token[:1] in ("\u0120", "\u010a", "\u0109", "\u2581", " ", "\n", "\t")
+    return out
 
-def bm25(ids: np.ndarray, idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, weights) of a tail."""
-    tokens, n = np.unique(ids, return_counts=True)
-    return tokens, idf[tokens] * n * (k1 + 1) / (n + k1 * (1 - b + b * len(ids) / mean))
 
+_POWERS = np.multiply.accumulate(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
 
-def _route(stats):
-    """Adds a tail's most telling token; -1 without a tail."""
+
+def terms(ids: np.ndarray, starts: np.ndarray, bits: int) -> np.ndarray:
+    """Hash buckets of the words that a run of token ids spells."""
+    if not len(ids):
+        return np.empty(0, np.int64)
+    begin = np.append(True, starts[ids[1:]])
+    at = np.flatnonzero(begin)
+    place = np.arange(len(ids)) - np.repeat(at, np.diff(np.append(at, len(ids))))
+    h = np.add.reduceat((ids.astype(np.uint64) + np.uint64(1)) * _POWERS[place % 64], at)
+    h ^= h >> np.uint64(29)
+    return (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _frequencies(starts, bits: int):
+    def run(batches):
+        counts = np.zeros(1 << bits, np.int64)
+        docs = length = 0
+        for batch in batches:
+            for tail in batch.column(0).to_pylist():
+                words = terms(_wide(tail), starts.value, bits)
+                if len(words):
+                    counts[np.unique(words)] += 1
+                    docs, length = docs + 1, length + len(words)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(counts[at], [docs, length]))], names=["term", "n"])
+    return run
+
+
+def bm25(words: np.ndarray, idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, weights) of a tail."""
+    own, n = np.unique(words, return_counts=True)
+    return own, idf[own] * n * (k1 + 1) / (n + k1 * (1 - b + b * len(words) / mean))
+
+
+def _route(stats, bits: int):
+    """Adds a tail's most telling word; -1 without a tail."""
     def run(batches):
-        idf, mean = stats.value
+        starts, idf, mean = stats.value
         for batch in batches:
             route = []
             for tail in batch.column("tail").to_pylist():
-                ids = _wide(tail)
-                if not len(ids):
-                    route.append(-1)
-                    continue
-                tokens, weight = bm25(ids, idf, mean)
-                route.append(int(tokens[weight.argmax()]))
+                own, weight = bm25(terms(_wide(tail), starts, bits), idf, mean)
+                route.append(int(own[weight.argmax()]) if len(own) else -1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(route, pa.int64())], names=[*batch.schema.names, "route"])
     return run
 
 
-def fill_windows(tails: list[np.ndarray], order: np.ndarray, idf: np.ndarray, mean: float, window: int, query_terms: int):
+def fill_windows(tails: list[np.ndarray], words: list[np.ndarray], order: np.ndarray, idf: np.ndarray, mean: float, window: int, query_terms: int):
     """Sequences of (tail, start, length) that use every id of the tails once."""
-    rows = [bm25(t, idf, mean) if len(t) else (np.empty(0, np.int64), np.empty(0)) for t in tails]
+    rows = [bm25(w, idf, mean) for w in words]
     doc = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
     token = np.concatenate([r[0] for r in rows]) if rows else np.empty(0, np.int64)
     weight = np.concatenate([r[1] for r in rows]) if rows else np.empty(0)
@@ -206,9 +229,9 @@ def fill_windows(tails: list[np.ndarray], order: np.ndarray, idf: np.ndarray, me
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _pack(stats, window: int, query_terms: int):
+def _pack(stats, window: int, query_terms: int, bits: int):
     def run(batches):
-        idf, mean = stats.value
+        starts_word, idf, mean = stats.value
         for table in whole_groups(batches, ["shard"]):
             starts = group_starts(table, ["shard"]).tolist()
             for lo, hi in zip(starts, [*starts[1:], table.num_rows], strict=True):
@@ -222,7 +245,7 @@ def _pack(stats, window: int, query_terms: int):
                         out.append((ids[k], j * window, window, c, tokens[k], sequence, 0))
                         sequence += 1
                 order = np.argsort(t.column("h").to_numpy(), kind="stable")
-                for pieces in fill_windows(tails, order, idf, mean, window, query_terms):
+                for pieces in fill_windows(tails, [terms(x, starts_word, bits) for x in tails], order, idf, mean, window, query_terms):
                     offset = 0
                     for d, a, n in pieces:
                         out.append((ids[d], len(crcs[d]) * window + a, n, crc(tails[d][a : a + n]), tokens[d], sequence, offset))
@@ -234,7 +257,7 @@ def _pack(stats, window: int, query_terms: int):
 
 
 def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, shard_docs: int = 4096, query_terms: int = 24,
-         seed: int = 3) -> DataFrame:
+         bits: int = 20, seed: int = 3) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``tokenizer`` is the path of a tokenizer file that executors can open.
@@ -242,13 +265,16 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, shar
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     coded = stored(texts.mapInArrow(_encode(tokenizer, window, end, seed), "doc_id long, h long, tokens long, crcs array<long>, tail binary"), "tails")
-    df = {r.token: r.n for r in coded.select("tail").mapInArrow(_frequencies, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect()}
-    n, length = df.pop(-1, 0), df.pop(-2, 0)  # one row per token id that occurs
-    idf = np.zeros(max(df, default=0) + 1)
-    for token, own in df.items():
-        idf[token] = np.log(1 + (n - own + 0.5) / (own + 0.5))
-    stats = sc.broadcast((idf, max(length / max(n, 1), 1.0)))
+    starts = word_starts(tokenizer)
+    counts = coded.select("tail").mapInArrow(_frequencies(sc.broadcast(starts), bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    df, n, length = np.zeros(1 << bits, np.float32), 0, 0
+    for batch in counts.toArrow().to_batches():  # at most 2 ** bits rows
+        at, own = batch.column("term").to_numpy(), batch.column("n").to_numpy()
+        df[at[at >= 0]] = own[at >= 0]
+        n, length = n + int(own[at == -1].sum()), length + int(own[at == -2].sum())
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    stats = sc.broadcast((starts, idf, max(length / max(n, 1), 1.0)))
     shards = max(1, -(-coded.count() // shard_docs))
-    routed = (coded.mapInArrow(_route(stats), "doc_id long, h long, tokens long, crcs array<long>, tail binary, route long")
+    routed = (coded.mapInArrow(_route(stats, bits), "doc_id long, h long, tokens long, crcs array<long>, tail binary, route long")
               .repartitionByRange(shards, "route", "h").withColumn("shard", F.spark_partition_id().cast("long")))
-    return stored(routed.mapInArrow(_pack(stats, window, query_terms), PIECE), "pieces")
+    return stored(routed.mapInArrow(_pack(stats, window, query_terms, bits), PIECE), "pieces")
