@@ -8,7 +8,7 @@ unigram Viterbi search: the cut with the most probable words under the counts of
 pages, where a word not counted costs a factor of ten per letter.  The model keeps the ``vocabulary``
 most frequent words.  A multinomial naive Bayes model then weighs the tokens.  It is trained on all
 urls, weakly labelled: a url with a word from ``names`` counts for the block class, the others for
-allow, so words that go along with blocked names count too.  It keeps the ``vocabulary`` most frequent
+allow, so words that go along with blocked names count too.  A token counts once a url.  It keeps the ``vocabulary`` most frequent
 tokens; both bounds are parameters and bound what is broadcast.
 
 Nulls and ties: a null url, or one without ``://``, has an empty host and path and gets the verdict of
@@ -115,7 +115,7 @@ def _labelled(words, names: frozenset[str]):
         for batch in batches:
             counts: Counter[tuple[str, bool]] = Counter()
             for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = tokens(host, path, segment)
+                own = set(tokens(host, path, segment))
                 blocked = not names.isdisjoint(own)
                 counts.update((t, blocked) for t in own)
                 counts[None, blocked] += 1
@@ -137,7 +137,7 @@ def _score(words, bayes):
         segment, (prior, weight) = Segmenter(words.value), bayes.value
         for batch in batches:
             host, path = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            odds = [prior + sum(weight.get(t, 0.0) for t in tokens(h, p, segment)) for h, p in zip(host, path, strict=True)]
+            odds = [prior + sum(weight.get(t, 0.0) for t in set(tokens(h, p, segment))) for h, p in zip(host, path, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds, pa.float64())], names=[*batch.schema.names, "log_odds"])
     return run
 
