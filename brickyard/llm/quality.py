@@ -47,42 +47,62 @@ PUNCTUATION = string.punctuation.encode()
 SHAPE = bytes(b"a"[0] if 97 <= c <= 122 or c >= 128 else b"A"[0] if 65 <= c <= 90 else b"0"[0] if 48 <= c <= 57 else c for c in range(256))
 
 
-def shape(word: bytes) -> bytes:
-    """The word with letters and digits as classes and runs as one: ``Hello!!`` is ``Aa!``."""
-    kinds = word[:64].translate(SHAPE)
-    return bytes(c for k, c in enumerate(kinds) if not k or c != kinds[k - 1])
+class Shapes(dict):
+    """Hashes of shapes, words with letters and digits as classes and runs as one: ``Hello!!`` is ``Aa!``."""
 
+    def __missing__(self, kinds: bytes) -> int:
+        if len(self) >= 100_000:
+            self.clear()
+        shape = bytes(c for k, c in enumerate(kinds) if not k or c != kinds[k - 1])
+        self[kinds] = value = xxhash.xxh64_intdigest(shape, seed=1) & 0xFFFFFFFF
+        return value
 
-class Buckets(dict):
-    """Hashes of the bare lower-case word, its first four letters and its shape, remembered up to a bound."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int, int]:
-        if len(self) >= 500_000:
-            self.clear()
+class Vocabulary(dict):
+    """Numbers of words; ``codes`` has, by number, the hashes of the bare word and of its shape, and its first four bytes."""
+
+    def __init__(self, most: int = 400_000):
+        super().__init__()
+        self.most, self.codes, self.shapes = most, np.empty((most, 3), np.uint64), Shapes()
+
+    def __missing__(self, word: bytes) -> int:
+        k = len(self)
+        if k == len(self.codes):
+            self.codes = np.concatenate([self.codes, np.empty_like(self.codes)])
         bare = word.lower().strip(PUNCTUATION)
-        head = bare.decode(errors="replace")[:4]
-        self[word] = value = (xxhash.xxh64_intdigest(bare) & 0xFFFFFFFF, xxhash.xxh64_intdigest(head, seed=2) & 0xFFFFFFFF,
-                              xxhash.xxh64_intdigest(shape(word), seed=1) & 0xFFFFFFFF)
-        return value
+        self.codes[k] = (xxhash.xxh64_intdigest(bare) & 0xFFFFFFFF, int.from_bytes(bare[:4]), self.shapes[word[:64].translate(SHAPE)])
+        self[word] = k
+        return k
 
 
-def grams(text: str | None, bits: int, seen: Buckets) -> np.ndarray:
+class Grams:
     """Distinct buckets of a whole text's n-grams: words, their bigrams, their first letters, shapes and bigrams of shapes.
 
     Words have ``2 ** bits`` buckets, their bigrams a quarter and the others a sixteenth each.  The shape
     of a word that repeats the one before is how often it has, up to six times.
     """
-    words = text.encode().split() if text else ()
-    each = np.array([seen[w] for w in words], np.uint64).reshape(-1, 3)
-    word, head, kind = each[:, 0], each[:, 1], each[:, 2]
-    at = np.arange(len(word))
-    run = at - np.maximum.accumulate(np.where(np.append(True, word[1:] != word[:-1])[: len(word)], at, 0))
-    kind = np.where(run > 0, np.minimum(run, 6).astype(np.uint64), kind)
-    out, first = [], 0
-    for h, own in ((word, bits), (_pairs(word), bits - 2), (head, bits - 4), (kind, bits - 4), (_pairs(kind), bits - 4)):
-        out.append((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - own)) + np.uint64(first))
-        first += 1 << own
-    return np.unique(np.concatenate(out)).astype(np.int64)
+
+    def __init__(self, bits: int):
+        self.bits, self.words, self.stamp = bits, Vocabulary(), np.zeros(buckets(bits), np.int32)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        if len(self.words) >= self.words.most:
+            self.words = Vocabulary()
+        words = text.encode().split() if text else ()
+        number = np.fromiter((self.words[w] for w in words), np.int64, len(words))
+        code = self.words.codes[number]
+        word, head, kind = code[:, 0], code[:, 1], code[:, 2]
+        at = np.arange(len(number))
+        run = at - np.maximum.accumulate(np.where(np.append(True, word[1:] != word[:-1])[: len(word)], at, 0))
+        kind = np.where(run > 0, np.minimum(run, 6).astype(np.uint64), kind)
+        out, first = [], 0
+        for h, own in ((word, self.bits), (_pairs(word), self.bits - 2), (head, self.bits - 4), (kind, self.bits - 4), (_pairs(kind), self.bits - 4)):
+            out.append((h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - own)).astype(np.int64) + first)
+            first += 1 << own
+        both = np.concatenate(out)
+        at = np.arange(len(both), dtype=np.int32)
+        self.stamp[both] = at  # each bucket's last place
+        return both[self.stamp[both] == at]
 
 
 def _pairs(h: np.ndarray) -> np.ndarray:
@@ -96,11 +116,11 @@ def buckets(bits: int) -> int:
 
 def _count(bits: int):
     def run(batches: Iterator[pa.RecordBatch]):
-        seen = Buckets()
+        grams = Grams(bits)
         raw, target = np.zeros(buckets(bits), np.int64), np.zeros(buckets(bits), np.int64)
         for batch in batches:
             for text, good in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                g = grams(text.as_py(), bits, seen)
+                g = grams(text.as_py())
                 raw[g] += 1
                 if good:
                     target[g] += 1
@@ -111,24 +131,28 @@ def _count(bits: int):
     return run
 
 
-def log_weight(g: np.ndarray, good: bool, raw: np.ndarray, target: np.ndarray, share: float, smooth: float, margin: float) -> float:
-    """Log importance weight of a document with n-gram buckets ``g``; its own counts are taken out first."""
-    if not len(g):
-        return 0.0
-    log = np.log((target[g] - good + smooth) / ((raw[g] - 1) * share + smooth))
-    return float((np.sign(log) * np.maximum(np.abs(log) - margin, 0)).sum())
+def log_ratios(raw: np.ndarray, target: np.ndarray, smooth: float, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log of target over raw probability per bucket, for documents outside and inside the target.
+
+    A document's own count is taken out of both models.
+    """
+    share = target.sum() / max(raw.sum(), 1)
+    rest = np.maximum(raw - 1, 0) * share + smooth
+    out = []
+    for own in (0, 1):
+        log = np.log((np.maximum(target - own, 0) + smooth) / rest)
+        out.append((np.sign(log) * np.maximum(np.abs(log) - margin, 0)).astype(np.float32))
+    return tuple(out)
 
 
-def _weigh(model, smooth: float, margin: float, bits: int, seed: int):
+def _weigh(model, bits: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]):
-        seen = Buckets()
-        raw, target = model.value
-        share = target.sum() / max(raw.sum(), 1)
+        grams, ratios = Grams(bits), model.value
         for batch in batches:
             weight, noise, tie = [], [], []
             for key, text, good in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = text.as_py()
-                weight.append(log_weight(grams(text, bits, seen), bool(good), raw, target, share, smooth, margin))
+                weight.append(float(ratios[bool(good)][grams(text)].sum(dtype=np.float64)))
                 h = xxhash.xxh3_64_intdigest(f"{key}\0{text}".encode(), seed=seed)
                 noise.append(-math.log(-math.log(((h >> 11) + 0.5) / 2**53)))
                 tie.append(xxhash.xxh64_intdigest(h.to_bytes(8, "big")) >> 1)
@@ -189,10 +213,10 @@ def resample(docs: DataFrame, labels: DataFrame, bits: int = 20, smooth: float =
     for r in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow().to_batches():
         at = r.column("bucket").to_numpy()  # at most buckets(bits) rows
         raw[at], target[at] = r.column("raw").to_numpy(), r.column("target").to_numpy()
-    model = sc.broadcast((raw, target))
+    model = sc.broadcast(log_ratios(raw, target, smooth, margin))
     schema = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("good", T.BooleanType()), ("log_weight", T.DoubleType()),
                                                             ("noise", T.DoubleType()), ("tie", T.LongType()), ("_row", known.schema["_row"].dataType))])
-    weighed = stored(known.mapInArrow(_weigh(model, smooth, margin, bits, seed), schema)
+    weighed = stored(known.mapInArrow(_weigh(model, bits, seed), schema)
                      .withColumn("score", F.col("log_weight") + temperature * F.col("noise")), "weights")
     out = ["doc_id", "log_weight", "score", "tie", *(["_row"] if carry else [])]
     bin_of = F.floor(F.greatest(F.least(F.col("log_weight"), F.lit(500.0)), F.lit(-500.0)) * 8)
