@@ -17,7 +17,7 @@ from .config import Config, TEST
 from .plans import catalog
 from .operators.scalars import require_unique
 from .session import ensure_checkpoint_dir, get_session
-from .sources.register import read_register
+from .sources.register import read_register, register_rejects
 from .sources.sinks import write_clean_table, write_result
 from .sources.tables import DerivedSources, RegisterSources
 
@@ -41,6 +41,7 @@ def main(argv=None) -> int:
     rn.add_argument("--transactions")
     rn.add_argument("--affordability")
     rn.add_argument("--supply")
+    rn.add_argument("--investment-scores", help="stored scores and tiers (CSV); default: derived")
     rn.add_argument("--out", required=True)
     rn.add_argument("--format", default="csv", choices=["csv", "parquet"])
     rn.add_argument("--jobs", default="", help="comma-separated job names (default: all)")
@@ -79,15 +80,19 @@ def main(argv=None) -> int:
     if a.cmd == "load":
         cfg = configured(Config.register())
         write_clean_table(read_register(spark, a.register, _years(a.years), cfg), a.out)
+        for r in register_rejects(spark, a.register, _years(a.years), cfg).orderBy("file_year", "reject").collect():
+            print(f"{r.file_year}: {r.n} {r.reject or 'kept'}", file=sys.stderr)  # a row per year and reason
         return 0
     if a.sf_dir:
         cfg = configured(TEST)
         src = DerivedSources(spark, a.sf_dir, cfg)
     else:
         cfg = configured(Config.register())
-        src = RegisterSources(spark, a.transactions, a.affordability, a.supply, cfg)
+        src = RegisterSources(spark, a.transactions, a.affordability, a.supply, cfg, a.investment_scores)
         require_unique(src.aff(), ["county", "year"], a.affordability)
         require_unique(src.sd(), ["county", "year"], a.supply)
+        if a.investment_scores:
+            require_unique(src.scores(), ["county"], a.investment_scores)
     jobs = catalog.jobs_on(src, cfg)
     names = [n for n in a.jobs.split(",") if n] or [n for n in jobs if a.sf_dir or n != "register_cleaning"]
     for name in names:

@@ -186,7 +186,7 @@ def _cb(src, cfg):
 
 # --- scores -----------------------------------------------------------------
 def _inv(src, cfg):
-    return invest.investment_scores(src.aff(), src.sd(), cfg)
+    return src.scores()
 
 
 @job("investment_scores_table")

@@ -28,10 +28,10 @@ def load_profile(tx: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def register_text(customer: DataFrame) -> DataFrame:
-    """Register-style raw text (price, place, date) derived from every customer row.
+    """Register-style raw text derived from every customer row.
 
-    Each row gets one of several spellings of a price, a place and a date,
-    chosen by its key, so every cleaning rule meets good and bad input.
+    Each row gets one of several spellings of every column, chosen by its key,
+    so every cleaning rule meets good and bad input.
     """
     from ..functions.cleaning import COUNTY_REGIONS
 
@@ -62,23 +62,31 @@ def register_text(customer: DataFrame) -> DataFrame:
              .when(dk == 2, F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")))
              .when(dk == 3, F.concat(F.lit("31/02/"), year))
              .otherwise(F.lit("")))
-    return customer.select(k.alias("sale_id"), date.alias("date_of_sale"), county.alias("county"),
-                           price.alias("price_eur"))
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x).cast("string") for x in v]), (k % len(v) + 1).cast("int"))
+    return customer.select(k.alias("sale_id"), date.alias("date_of_sale"), county.alias("county"), price.alias("price_eur"),
+                           pick("No", "N", "0", "Yes", "", None, "FALSE").alias("not_full_market_price"),
+                           pick("Yes", "No", "Y", "1", "maybe", None).alias("vat_exclusive"),
+                           pick("New Dwelling house /Apartment", "Second-Hand Dwelling house /Apartment").alias("property_type"),
+                           pick("D15 AB12", " D6W XY00 ", "", None, "T12 X").alias("eircode"))
+
+
+def register_files(customer: DataFrame) -> list[DataFrame]:
+    """The register text as three yearly files whose headers and columns differ."""
+    raw = register_text(customer)
+    part = lambda n: raw.where(F.col("sale_id") % 3 == n)
+    named = lambda df, **names: df.select(*[F.col(c).alias(h) for c, h in names.items()])
+    return [named(part(0), date_of_sale="Date of Sale (dd/mm/yyyy)", county="County", price_eur="Price (\u20ac)",
+                  not_full_market_price="Not Full Market Price", vat_exclusive="VAT Exclusive",
+                  property_type="Description of Property", eircode="Eircode"),
+            named(part(1), county="county", price_eur="Price", date_of_sale="Date of Sale",
+                  not_full_market_price="not_full_market_price", property_type="property_type"),
+            named(part(2), price_eur="Price (\x80)", date_of_sale="date_of_sale", county="County")]
 
 
 def register_cleaning(customer: DataFrame, cfg=None) -> DataFrame:
+    """The loader's own steps over those files: header aliases, cleaning, union of the years."""
     from ..config import DEFAULT
-    from ..functions import cleaning as C
-    from ..sources.register import regions_table
+    from ..sources import register
 
-    cfg = cfg or DEFAULT
-    raw = register_text(customer)
-    clean = (raw.select("sale_id", C.parse_sale_date("date_of_sale").alias("date_of_sale"),
-                        C.clean_county("county").alias("county"), C.clean_price("price_eur").alias("price_eur"))
-                .dropna(subset=["date_of_sale", "county", "price_eur"])
-                .where((F.col("price_eur") > F.lit(cfg.min_price)) & (F.col("price_eur") < F.lit(cfg.max_price))))
-    d = F.col("date_of_sale")
-    return (clean.join(F.broadcast(regions_table(customer.sparkSession)), "county")
-                 .select("sale_id", "date_of_sale", "county", "region", "price_eur",
-                         F.year(d).cast("int").alias("year"), F.month(d).cast("int").alias("month"),
-                         C.quarter_label(d).alias("quarter")))
+    regions = register.regions_table(customer.sparkSession)
+    return register.union_years(register.standardise(register.canonical(raw), cfg or DEFAULT, regions) for raw in register_files(customer))

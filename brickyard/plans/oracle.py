@@ -276,7 +276,11 @@ def _register_cleaning_sql(cfg: Config) -> str:
              CAST(c_custkey % 5 + 2020 AS VARCHAR) AS y
       FROM customer),
     raw AS (
-      SELECT k AS sale_id,
+      SELECT k, k % 3 AS file,
+             ['No', 'N', '0', 'Yes', '', NULL, 'FALSE'][k % 7 + 1] AS market_text,
+             ['Yes', 'No', 'Y', '1', 'maybe', NULL][k % 6 + 1] AS vat_text,
+             ['New Dwelling house /Apartment', 'Second-Hand Dwelling house /Apartment'][k % 2 + 1] AS type_text,
+             ['D15 AB12', ' D6W XY00 ', '', NULL, 'T12 X'][k % 5 + 1] AS eir_text,
              CASE k % 6 WHEN 0 THEN '€' || cents WHEN 1 THEN cents || '.50'
                         WHEN 2 THEN thousands || ',' || rest WHEN 3 THEN 'n/a'
                         WHEN 4 THEN '1.2.' || cents ELSE ' ' || cents || ' ' END AS price_text,
@@ -289,7 +293,7 @@ def _register_cleaning_sql(cfg: Config) -> str:
                         WHEN 3 THEN '31/02/' || y ELSE '' END AS date_text
       FROM b),
     c1 AS (
-      SELECT sale_id,
+      SELECT *,
              coalesce(CAST(try_strptime(trim(date_text), '%d/%m/%Y') AS DATE),
                       CAST(try_strptime(trim(date_text), '%Y-%m-%d') AS DATE)) AS date_of_sale,
              CASE WHEN regexp_full_match(trim(price_text), '[^0-9A-Za-z-]*-?[0-9,]+([.][0-9]+)?')
@@ -298,14 +302,19 @@ def _register_cleaning_sql(cfg: Config) -> str:
       FROM raw),
     c2 AS (SELECT *, CASE WHEN regexp_matches(s2, '(?i)^dublin\\s*\\d') THEN 'Dublin' ELSE s2 END AS s3 FROM c1),
     c3 AS (SELECT *, trim({initcap}) AS s4 FROM c2),
-    c4 AS (SELECT sale_id, date_of_sale, price_eur,
+    c4 AS (SELECT *,
                   CASE WHEN s4 <> '' THEN CASE s4 {variants} ELSE s4 END END AS county FROM c3)
-    SELECT c.sale_id, c.date_of_sale, c.county, r.region, c.price_eur,
+    SELECT c.date_of_sale, c.county, r.region, c.price_eur,
+           CASE WHEN file = 2 THEN 'Unknown' ELSE type_text END AS property_type, FALSE AS not_full_market,
+           CASE WHEN file > 0 THEN NULL WHEN upper(vat_text) IN ('YES', 'Y', 'TRUE', '1') THEN TRUE
+                WHEN upper(vat_text) IN ('NO', 'N', 'FALSE', '0') THEN FALSE END AS vat_exclusive,
            CAST(year(c.date_of_sale) AS INTEGER) AS year, CAST(month(c.date_of_sale) AS INTEGER) AS month,
-           'Q' || CAST(quarter(c.date_of_sale) AS VARCHAR) AS quarter
+           'Q' || CAST(quarter(c.date_of_sale) AS VARCHAR) AS quarter,
+           CASE WHEN file = 0 AND trim(eir_text) <> '' THEN trim(eir_text) END AS eircode
     FROM c4 c JOIN (VALUES {regions}) r(county, region) ON c.county = r.county
     WHERE c.date_of_sale IS NOT NULL AND c.price_eur IS NOT NULL
-      AND c.price_eur > {cfg.min_price} AND c.price_eur < {cfg.max_price}"""
+      AND c.price_eur > {cfg.min_price} AND c.price_eur < {cfg.max_price}
+      AND (file = 2 OR upper(trim(market_text)) IN ('NO', 'N', 'FALSE', '0', ''))"""
 
 
 def oracle_sql(cfg: Config = TEST) -> dict[str, str]:

@@ -54,16 +54,36 @@ def resolve_headers(columns: Sequence[str]) -> dict[str, str]:
     return mapping
 
 
-def read_register_file(spark: SparkSession, path: str) -> DataFrame | None:
-    """One yearly file as canonical *string* columns, or None when a required column is missing."""
-    raw = (spark.read.option("header", True).option("encoding", ENCODING)
-           .option("mode", "PERMISSIVE").csv(path))
+CORRUPT = "_corrupt_record"
+
+
+def read_register_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A yearly file (or a folder of its part files) as strings, plus the text of records with too few or many fields.
+
+    Standard CSV quoting: quotes inside a field are doubled, and quoted fields may hold commas and
+    line breaks.  A file with multi-line records is one task; a year may come in part files.
+    """
+    reader = (spark.read.option("header", True).option("encoding", ENCODING).option("quote", '"').option("escape", '"')
+              .option("multiLine", True).option("mode", "PERMISSIVE"))
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, CORRUPT)])
+    return reader.option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(path)
+
+
+def canonical(raw: DataFrame, name: str = "register") -> DataFrame | None:
+    """A yearly table under its canonical column names, or None when a required column is missing."""
     mapping = resolve_headers(raw.columns)
     missing = [c for c in REQUIRED if c not in mapping.values()]
     if missing:
-        log.warning("%s: missing required column(s) %s; skipped", path, missing)
+        log.warning("%s: missing required column(s) %s; skipped", name, missing)
         return None
-    return raw.select(*[F.col(f"`{src}`").alias(dst) for src, dst in mapping.items()])
+    keep = [F.col(f"`{src}`").alias(dst) for src, dst in mapping.items()]
+    return raw.select(*keep, *([F.col(CORRUPT)] if CORRUPT in raw.columns else []))
+
+
+def read_register_file(spark: SparkSession, path: str) -> DataFrame | None:
+    """One yearly file as canonical *string* columns, or None when a required column is missing."""
+    return canonical(read_register_csv(spark, path), path)
 
 
 def regions_table(spark: SparkSession) -> DataFrame:
@@ -71,37 +91,46 @@ def regions_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "county string, region string")
 
 
-def standardise(df: DataFrame, cfg: Config = DEFAULT, regions: DataFrame | None = None) -> DataFrame:
-    """Canonical string columns of one year -> clean canonical rows (B1-B13)."""
+def judged(df: DataFrame, cfg: Config = DEFAULT, regions: DataFrame | None = None) -> DataFrame:
+    """Canonical string columns of one year -> canonical columns and ``reject``, why a row is left out (null: kept)."""
     cols = set(df.columns)
     market = C.market_sale("not_full_market_price") if "not_full_market_price" in cols else F.lit(True)
     ptype = F.col("property_type") if "property_type" in cols else F.lit(C.UNKNOWN_TYPE)
     vat = C.yes_no("vat_exclusive") if "vat_exclusive" in cols else F.lit(None).cast("boolean")
     eir = F.trim(F.col("eircode")) if "eircode" in cols else F.lit(None).cast("string")
-    clean = (df.select(C.parse_sale_date("date_of_sale").alias("date_of_sale"),
-                       C.clean_county("county").alias("county"),
-                       C.clean_price("price_eur").alias("price_eur"),
-                       ptype.cast("string").alias("property_type"),
-                       market.alias("__market"),
-                       vat.alias("vat_exclusive"),
-                       F.nullif(eir, F.lit("")).alias("eircode"))
-               .dropna(subset=list(REQUIRED))
-               .where((F.col("price_eur") > F.lit(cfg.min_price)) & (F.col("price_eur") < F.lit(cfg.max_price)))
-               .where(F.col("__market")))
+    broken = F.col(CORRUPT).isNotNull() if CORRUPT in cols else F.lit(False)
+    typed = df.select(C.parse_sale_date("date_of_sale").alias("date_of_sale"),
+                      C.clean_county("county").alias("county"),
+                      C.clean_price("price_eur").alias("price_eur"),
+                      ptype.cast("string").alias("property_type"),
+                      F.coalesce(market, F.lit(False)).alias("__market"), broken.alias("__broken"),
+                      vat.alias("vat_exclusive"),
+                      F.nullif(eir, F.lit("")).alias("eircode"))
     if regions is None:
         regions = regions_table(df.sparkSession)
-    d = F.col("date_of_sale")
-    return (clean.join(F.broadcast(regions), "county")
+    d, price = F.col("date_of_sale"), F.col("price_eur")
+    unread = d.isNull() | price.isNull() | F.col("county").isNull()
+    reason = (F.when(F.col("__broken") & unread, F.lit("malformed record"))
+               .when(d.isNull(), F.lit("unreadable date"))
+               .when(price.isNull(), F.lit("unreadable price"))
+               .when(F.col("county").isNull(), F.lit("no place"))
+               .when((price <= F.lit(cfg.min_price)) | (price >= F.lit(cfg.max_price)), F.lit("price out of range"))
+               .when(~F.col("__market"), F.lit("not a full-market sale"))
+               .when(F.col("region").isNull(), F.lit("unknown place")))
+    return (typed.join(F.broadcast(regions), "county", "left")  # 26 fixed rows
                  .select("*", F.lit(False).alias("not_full_market"),
                          F.year(d).cast("int").alias("year"), F.month(d).cast("int").alias("month"),
                          C.quarter_label(d).alias("quarter"))
-                 .select(*TX_COLUMNS))
+                 .select(*TX_COLUMNS, reason.alias("reject")))
 
 
-def read_register(spark: SparkSession, directory: str, years: Iterable[int],
-                  cfg: Config = DEFAULT) -> DataFrame:
-    """All available years, cleaned and unioned; missing or malformed years are skipped."""
-    regions = regions_table(spark)
+def standardise(df: DataFrame, cfg: Config = DEFAULT, regions: DataFrame | None = None) -> DataFrame:
+    """Canonical string columns of one year -> clean canonical rows (B1-B13)."""
+    return judged(df, cfg, regions).where(F.col("reject").isNull()).drop("reject")
+
+
+def _years_of(spark: SparkSession, directory: str, years: Iterable[int]) -> list[tuple[int, DataFrame]]:
+    """(year, canonical strings) of the years that are there and have the required columns."""
     frames = []
     for y in years:
         path = register_path(directory, y)
@@ -110,12 +139,30 @@ def read_register(spark: SparkSession, directory: str, years: Iterable[int],
             continue
         raw = read_register_file(spark, path)
         if raw is not None:
-            frames.append(standardise(raw, cfg, regions))
+            frames.append((y, raw))
     if not frames:
         raise FileNotFoundError(f"no readable register files for {list(years)} in {directory}")
+    return frames
+
+
+def union_years(frames: Iterable[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def read_register(spark: SparkSession, directory: str, years: Iterable[int],
+                  cfg: Config = DEFAULT) -> DataFrame:
+    """All available years, cleaned and unioned; missing or malformed years are skipped."""
+    regions = regions_table(spark)
+    return union_years(standardise(raw, cfg, regions) for _, raw in _years_of(spark, directory, years))
+
+
+def register_rejects(spark: SparkSession, directory: str, years: Iterable[int], cfg: Config = DEFAULT) -> DataFrame:
+    """(file_year, reject, n) of all records: the reasons why rows were left out, and null for the rows kept."""
+    regions = regions_table(spark)
+    return union_years(judged(raw, cfg, regions).groupBy("reject").agg(F.count(F.lit(1)).alias("n"))
+                       .select(F.lit(y).alias("file_year"), "reject", "n") for y, raw in _years_of(spark, directory, years))
+
+
 TRANSACTIONS_SCHEMA = T.StructType([
     T.StructField("date_of_sale", T.DateType()),
     T.StructField("county", T.StringType()),
@@ -132,10 +179,30 @@ TRANSACTIONS_SCHEMA = T.StructType([
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
-    """The clean table written by ``sinks.write_clean_table`` (partition pruning on ``year``)."""
+    """The clean table written by ``sinks.write_clean_table`` (partition pruning on ``year``), or a clean CSV."""
+    if path.rstrip("/").endswith(".csv"):
+        return read_transactions_csv(spark, path)
     return spark.read.schema(TRANSACTIONS_SCHEMA).parquet(path)
 
 
+def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A clean ``transactions.csv`` (header; dates as ISO text): typed strictly, columns matched by name.
+
+    The market flag, the VAT flag, the postcode and the calendar columns may be absent: clean tables hold
+    full-market sales only, and the calendar follows from the date.
+    """
+    raw = (spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path))
+    missing = [c for c in (*REQUIRED, "region") if c not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: missing column(s) {missing}")
+    types = {f.name: f for f in TRANSACTIONS_SCHEMA.fields}
+    d = _strict(types["date_of_sale"], path)
+    absent = {"not_full_market": F.lit(False), "vat_exclusive": F.lit(None).cast("boolean"), "eircode": F.lit(None).cast("string"),
+              "property_type": F.lit(C.UNKNOWN_TYPE), "year": F.year(d).cast("int"), "month": F.month(d).cast("int"), "quarter": C.quarter_label(d)}
+    flags = ("not_full_market", "vat_exclusive")
+    return raw.select(*[(absent[c] if c not in raw.columns else C.yes_no(c) if c in flags else _strict(types[c], path)).alias(c) for c in TX_COLUMNS])
+
+
 AFFORDABILITY_SCHEMA = T.StructType([
     T.StructField("county", T.StringType()), T.StructField("region", T.StringType()),
     T.StructField("year", T.IntegerType()), T.StructField("median_price", T.DoubleType()),
@@ -157,4 +224,38 @@ def read_dimension_csv(spark: SparkSession, path: str, schema: T.StructType) ->
     missing = [f.name for f in schema.fields if f.name not in raw.columns]
     if missing:
         raise ValueError(f"{path}: missing column(s) {missing}")
-    return raw.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    return raw.select(*[_strict(f, path).alias(f.name) for f in schema.fields])
+
+
+#: Texts that stand for a missing value in a dimension file.
+MISSING = ("", "NA", "N/A", "NaN", "nan", "null", "None")
+
+
+def _strict(field: T.StructField, path: str) -> F.Column:
+    """The field's value; an unreadable one fails the job, as a silent NULL would move scores and ranks."""
+    text = F.when(~F.trim(F.col(field.name)).isin(*MISSING), F.trim(F.col(field.name)))
+    value = text.try_cast(field.dataType)
+    error = F.raise_error(F.concat(F.lit(f"{path}: column {field.name} has an unreadable value: "), text))
+    return F.when(text.isNotNull() & value.isNull(), error.cast(field.dataType)).otherwise(value)
+
+
+SCORE_COLUMNS = ("median_price_base", "median_price_latest", "price_growth_pct", "rental_yield_est_pct", "years_salary_to_buy",
+                 "supply_deficit_pct", "growth_score", "supply_score", "yield_score", "affordability_score", "composite_investment_score")
+SCORES_SCHEMA = T.StructType([
+    T.StructField("county", T.StringType()), T.StructField("region", T.StringType()),
+    *[T.StructField(c, T.DoubleType()) for c in SCORE_COLUMNS],
+    T.StructField("investment_tier", T.StringType()), T.StructField("rank", T.IntegerType()),
+])
+
+
+def read_scores_csv(spark: SparkSession, path: str, cfg: Config = DEFAULT) -> DataFrame:
+    """A stored investment_scores table; columns named after a year or a span of years are accepted too."""
+    raw = spark.read.option("header", True).csv(path)
+    span = cfg.latest_year - cfg.base_year
+    dated = {f"median_price_{cfg.base_year}": "median_price_base", f"median_price_{cfg.latest_year}": "median_price_latest",
+             f"price_growth_{span}yr_pct": "price_growth_pct"}
+    raw = raw.withColumnsRenamed({a: b for a, b in dated.items() if b not in raw.columns})
+    missing = [f.name for f in SCORES_SCHEMA.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"{path}: missing column(s) {missing}")
+    return raw.select(*[_strict(f, path).alias(f.name) for f in SCORES_SCHEMA.fields])

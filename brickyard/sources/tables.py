@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Config, DEFAULT
 from . import synthetic as S
-from .register import AFFORDABILITY_SCHEMA, SUPPLY_SCHEMA, read_dimension_csv, read_transactions
+from .register import AFFORDABILITY_SCHEMA, SUPPLY_SCHEMA, read_dimension_csv, read_scores_csv, read_transactions
 from .sinks import write_clean_table
 
 
@@ -48,6 +48,10 @@ class DerivedSources:
     def sd(self) -> DataFrame:
         return S.supply_demand(self.spark, self.sf_dir, self.cfg)
 
+    def scores(self) -> DataFrame:
+        from ..plans.invest import investment_scores
+        return investment_scores(self.aff(), self.sd(), self.cfg)
+
     def customer(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/customer.parquet")
 
@@ -84,6 +88,9 @@ class StoredSources(DerivedSources):
     def sd(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.store}/supply_demand")
 
+    def scores(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.store}/investment_scores")
+
     def shared(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.store}/{name}")
 
@@ -117,24 +124,25 @@ def materialize(spark: SparkSession, sf_dir: str, store: str, cfg: Config = DEFA
             f.result()
     S.affordability_from(stored.profile(), S.places(spark, sf_dir), customer) \
         .write.mode("overwrite").parquet(f"{store}/affordability")
+    DerivedSources.scores(stored).write.mode("overwrite").parquet(f"{store}/investment_scores")
     return stored
 
 
 def register_views(src: DerivedSources, cfg: Config = DEFAULT) -> None:
     """Typed temp views for ``spark.sql``: transactions, affordability, supply_demand, investment_scores."""
-    from ..plans.invest import investment_scores
     src.tx().createOrReplaceTempView("transactions")
     src.aff().createOrReplaceTempView("affordability")
     src.sd().createOrReplaceTempView("supply_demand")
-    investment_scores(src.aff(), src.sd(), cfg).createOrReplaceTempView("investment_scores")
+    src.scores().createOrReplaceTempView("investment_scores")
 
 
 class RegisterSources(DerivedSources):
     """A real deployment: the clean transactions table plus the two stored dimension CSVs."""
 
     def __init__(self, spark: SparkSession, transactions_path: str, affordability_csv: str, supply_csv: str,
-                 cfg: Config = DEFAULT):
+                 cfg: Config = DEFAULT, scores_csv: str | None = None):
         super().__init__(spark, "", cfg)
+        self.scores_csv = scores_csv
         self.transactions_path, self.affordability_csv, self.supply_csv = transactions_path, affordability_csv, supply_csv
 
     def tx(self) -> DataFrame:
@@ -149,6 +157,10 @@ class RegisterSources(DerivedSources):
     def sd(self) -> DataFrame:
         return read_dimension_csv(self.spark, self.supply_csv, SUPPLY_SCHEMA)
 
+    def scores(self) -> DataFrame:
+        """The stored scores and tiers where they are given, else derived from the dimensions."""
+        return read_scores_csv(self.spark, self.scores_csv, self.cfg) if self.scores_csv else super().scores()
+
     def customer(self) -> DataFrame:
         raise NotImplementedError("register_cleaning runs on the driver's customer table only")
 

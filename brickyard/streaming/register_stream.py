@@ -8,9 +8,10 @@ atomically, so a restart after a lost executor or driver neither drops nor
 repeats rows (exactly-once via ``checkpointLocation``).
 
 A streaming file source needs one fixed layout, so the stream reads files of
-one known column order (``layout``; headers are skipped and columns taken by
-position).  Files with differing headers go through the batch loader, which
-resolves header aliases per file.
+one known column order (``layout``; columns are taken by position).  A file
+whose header says otherwise fails the query before any of its rows is
+written; such files go through the batch loader, which resolves header
+aliases per file.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Config, DEFAULT
-from ..sources.register import ENCODING, regions_table, resolve_headers, standardise
+from ..functions.cleaning import HEADER_ALIASES, PRICE_HEADER_RE
+from ..sources.register import ENCODING, REQUIRED, regions_table, resolve_headers, standardise
 
 # Column order of the published register files.
 REGISTER_LAYOUT = ("Date of Sale (dd/mm/yyyy)", "Address", "County", "Eircode", "Price (€)",
@@ -35,11 +37,26 @@ def register_stream(spark: SparkSession, landing_dir: str, layout: Sequence[str]
     raw_names = [f"c{i}" for i in range(len(layout))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in raw_names])
     raw = (spark.readStream.schema(schema)
-           .option("header", True).option("encoding", ENCODING)
+           .option("header", False).option("encoding", ENCODING)
+           .option("quote", '"').option("escape", '"').option("multiLine", True)
            .option("maxFilesPerTrigger", 16)
            .csv(landing_dir))
     mapping = resolve_headers(list(layout))
-    canon = raw.select(*[F.col(raw_names[layout.index(src)]).alias(dst) for src, dst in mapping.items()])
+    # a header row has a column's known name as its value; it must have all of them where the layout says
+    known = [F.trim(F.col(n)) for n in raw_names]
+    dates = HEADER_ALIASES["date_of_sale"]
+    is_header = F.lit(False)
+    for c in known:
+        is_header = is_header | F.coalesce(c.isin(*dates), F.lit(False))
+    fits = F.lit(True)
+    for src, dst in mapping.items():
+        c = known[layout.index(src)]
+        name = c.rlike(PRICE_HEADER_RE) if dst == "price_eur" else c.isin(*HEADER_ALIASES[dst])
+        fits = fits & F.coalesce(name, F.lit(False) if dst in REQUIRED else F.lit(True))
+    line = F.concat_ws(", ", *known)
+    checked = F.when(is_header & ~fits, F.raise_error(F.concat(F.lit("register file with another column order: "), line)).cast("boolean")).otherwise(is_header)
+    rows = raw.where(~checked)
+    canon = rows.select(*[F.col(raw_names[layout.index(src)]).alias(dst) for src, dst in mapping.items()])
     return standardise(canon, cfg, regions_table(spark))
 
 

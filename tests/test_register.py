@@ -115,3 +115,85 @@ def test_clean_table_roundtrip(spark, loaded, tmpdir_path):
     assert sorted(d for d in os.listdir(out) if d.startswith("year=")) == ["year=2020", "year=2021", "year=2022"]
     plan = back.where("year = 2021")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan
+
+
+QUOTED = HEAD_2020 + (
+    '01/02/2023,"The ""Old"" Mill, Main St",Cork,,"€210,000.00",No,No,Second-Hand Dwelling house /Apartment\n'
+    '02/02/2023,"Unit 4,\nRiver Court",Kerry,,"€220,000.00",No,No,New Dwelling house /Apartment\n'
+    '03/02/2023,1 Main St,Mayo,,"€230,000.00",No,No,Second-Hand Dwelling house /Apartment\n'
+    '31/02/2023,2 Main St,Mayo,,"€230,000.00",No,No,x\n'
+    '04/02/2023,3 Main St,Atlantis,,"€230,000.00",No,No,x\n'
+    '05/02/2023,4 Main St,Mayo,,"€1.00",No,No,x\n'
+    '06/02/2023,5 Main St,Mayo,,"€230,000.00",Yes,No,x\n'
+    '07/02/2023,6 Main St,,,"€230,000.00",No,No,x\n'
+    'broken\n'
+    '08/02/2023,8, Main St,Mayo,,,No,No,x,too many\n')
+
+
+def test_quoted_fields_and_line_breaks_keep_their_rows(spark, tmpdir_path):
+    _write(os.path.join(tmpdir_path, "PPR-2023.csv"), QUOTED, "cp1252")
+    rows = R.read_register(spark, tmpdir_path, [2023]).collect()
+    assert sorted((r.county, r.price_eur) for r in rows) == [("Cork", 210000.0), ("Kerry", 220000.0), ("Mayo", 230000.0)]
+
+
+def test_kept_rows_and_counted_rejects_are_all_records(spark, tmpdir_path):
+    _write(os.path.join(tmpdir_path, "PPR-2023.csv"), QUOTED, "cp1252")
+    got = {r.reject: r.n for r in R.register_rejects(spark, tmpdir_path, [2023]).collect()}
+    assert got.pop(None) == R.read_register(spark, tmpdir_path, [2023]).count() == 3
+    assert got == {"unreadable date": 1, "unknown place": 1, "price out of range": 1, "not a full-market sale": 1, "no place": 1, "malformed record": 2}
+
+
+def test_a_year_in_part_files(spark, tmpdir_path):
+    part = os.path.join(tmpdir_path, "PPR-2023.csv")
+    os.makedirs(part)
+    for k in range(3):
+        _write(os.path.join(part, f"part-{k}.csv"), HEAD_2022 + f'0{k + 1}/01/2023,Sligo,"€200,00{k}"\n', "utf-8")
+    assert sorted(r.price_eur for r in R.read_register(spark, tmpdir_path, [2023]).collect()) == [200000.0, 200001.0, 200002.0]
+
+
+def test_unreadable_dimension_values_fail(spark, tmpdir_path):
+    head = "county,region,year,new_completions,estimated_demand,supply_deficit,supply_ratio,supply_deficit_pct\n"
+    good, bad = os.path.join(tmpdir_path, "good.csv"), os.path.join(tmpdir_path, "bad.csv")
+    _write(good, head + "Cork,Munster,2020,1,2,1,0.500,NA\nKerry,Munster,2020,,2,1,0.5,50.0\n", "utf-8")
+    _write(bad, head + "Cork,Munster,2020,1,2,1,0.5oo,50\n", "utf-8")
+    rows = R.read_dimension_csv(spark, good, R.SUPPLY_SCHEMA).orderBy("county").collect()
+    assert rows[0].supply_deficit_pct is None and rows[1].new_completions is None and rows[1].supply_deficit_pct == 50.0
+    with pytest.raises(Exception, match="supply_ratio has an unreadable value"):
+        R.read_dimension_csv(spark, bad, R.SUPPLY_SCHEMA).collect()
+
+
+def test_clean_csv_equals_the_clean_table(spark, loaded, tmpdir_path):
+    path = os.path.join(tmpdir_path, "transactions.csv")
+    columns = ["date_of_sale", "county", "region", "price_eur", "property_type", "vat_exclusive", "eircode"]
+    loaded.select(columns).write.option("header", True).csv(path)
+    back = R.read_transactions(spark, path)
+    assert back.schema.simpleString() == R.TRANSACTIONS_SCHEMA.simpleString()
+    key = lambda rows: sorted(map(str, rows))
+    assert key(back.select(R.TX_COLUMNS).collect()) == key(loaded.select(R.TX_COLUMNS).collect())
+
+
+def test_stored_scores_drive_the_score_jobs(spark, tmpdir_path):
+    from brickyard.config import Config
+    from brickyard.plans import invest
+    path = os.path.join(tmpdir_path, "scores.csv")
+    _write(path, "county,region,median_price_2020,median_price_2024,price_growth_4yr_pct,rental_yield_est_pct,years_salary_to_buy,supply_deficit_pct,"
+           "growth_score,supply_score,yield_score,affordability_score,composite_investment_score,investment_tier,rank\n"
+           "Cork,Munster,200000,300000,50.0,5.00,7.0,50.0,80,70,60,50,70.5,My own tier,1\n"
+           "Kerry,Munster,210000,250000,19.0,5.50,6.0,48.0,10,20,30,40,22.0,Another,2\n", "utf-8")
+    scores = R.read_scores_csv(spark, path, Config.register())
+    assert [(r.county, r.investment_tier, r.rank) for r in invest.investment_scorecard(scores).orderBy("rank").collect()] == [("Cork", "My own tier", 1), ("Kerry", "Another", 2)]
+    assert {r.investment_tier for r in invest.tier_summary(scores).collect()} == {"My own tier", "Another"}
+
+
+def test_exact_ties_and_boundaries(spark):
+    from brickyard.plans import afford, invest
+    rows = [("A", 30.0, 2.0, 3.0), ("B", 32.0, 1.8, 3.0), ("C", 28.0, 2.2, 3.0), ("D", 31.0, 2.0, 4.0)]
+    inv = spark.createDataFrame([(c, "r", 1.0, g, y, s) for c, g, y, s in rows],
+                                "county string, region string, median_price_latest double, price_growth_pct double, rental_yield_est_pct double, years_salary_to_buy double")
+    got = {r.county: (r.risk_adj_return_score, r.risk_adj_rank) for r in invest.risk_adjusted_ranking(inv).collect()}
+    assert got == {"A": (18.8, 1), "B": (18.8, 1), "C": (18.8, 1), "D": (18.8, 1)}
+    ratios = [("A", 1.3, 3.3), ("B", 1.8, 3.8), ("C", 7.2, 8.2), ("D", 7.2, 8.1)]
+    aff = spark.createDataFrame([(c, "r", y, v, 1.0) for c, b, last in ratios for y, v in ((1995, b), (2000, last))],
+                                "county string, region string, year int, years_salary_to_buy double, median_price double")
+    got = {r.county: (r.yrs_salary_deterioration, r.trend) for r in afford.affordability_deterioration(aff).collect()}
+    assert got == {"A": (2.0, "Rapidly Worsening"), "B": (2.0, "Rapidly Worsening"), "C": (1.0, "Worsening"), "D": (0.9, "Stable")}

@@ -44,3 +44,26 @@ def test_cli_stream_once(spark):
     _land(landing, "a.csv", [_row("05/03/2021", "Co. Cork", "250,000.00")])
     assert main(["stream", "--landing", landing, "--out", table, "--checkpoint-location", ckpt]) == 0
     assert [r.county for r in read_transactions(spark, table).collect()] == ["Cork"]
+
+
+def test_another_column_order_fails_before_anything_is_written(spark):
+    import pytest
+    root = tempfile.mkdtemp(prefix="brickyard-stream-order-", dir="/tmp")
+    landing, table, ckpt = (os.path.join(root, x) for x in ("landing", "table", "ckpt"))
+    os.makedirs(landing)
+    _land(landing, "a.csv", [_row("05/03/2021", "Co. Cork", "250,000.00")])
+    swapped = ["Address", "Date of Sale (dd/mm/yyyy)", *REGISTER_LAYOUT[2:]]
+    with open(os.path.join(landing, "b.csv"), "wb") as f:
+        f.write((",".join(f'"{h}"' for h in swapped) + '\n"1 Main St","05/03/2021","Kerry","","€1","No","No","x",""\n').encode("cp1252"))
+    with pytest.raises(Exception, match="another column order"):
+        start_register_stream(spark, landing, table, ckpt).awaitTermination(120)
+    assert not os.path.isdir(os.path.join(table, "_spark_metadata")) or read_transactions(spark, table).count() == 0
+
+
+def test_stream_keeps_quoted_line_breaks(spark):
+    root = tempfile.mkdtemp(prefix="brickyard-stream-quotes-", dir="/tmp")
+    landing, table, ckpt = (os.path.join(root, x) for x in ("landing", "table", "ckpt"))
+    os.makedirs(landing)
+    _land(landing, "a.csv", ['"05/03/2021","The ""Old"" Mill,\nMain St","Cork","","€250,000.00","No","No","x",""\n', _row("06/03/2021", "Kerry", "260,000.00")])
+    start_register_stream(spark, landing, table, ckpt).awaitTermination(120)
+    assert sorted(r.county for r in read_transactions(spark, table).collect()) == ["Cork", "Kerry"]
