@@ -63,12 +63,12 @@ def _mpv(src, cfg):
 
 @job("focus_vs_rest")
 def _fvr(src, cfg):
-    return market.focus_vs_rest(src.ms(), cfg)
+    return market.focus_vs_rest(src.side(), cfg)
 
 
 @job("regional_trends")
 def _rt(src, cfg):
-    return market.regional_trends(src.ms(), cfg)
+    return market.regional_trends(src.side(), cfg)
 
 
 @job("monthly_momentum")
@@ -108,7 +108,7 @@ def _nvs(src, cfg):
 
 @job("new_build_premium_vat")
 def _nbv(src, cfg):
-    return market.new_build_premium_vat(src.ms(), cfg)
+    return market.new_build_premium_vat(src.side(), cfg)
 
 
 @job("new_premium_avg")
@@ -118,12 +118,12 @@ def _npa(src, cfg):
 
 @job("postcode_annual")
 def _pa(src, cfg):
-    return market.postcode_annual(src.ms(), cfg)
+    return market.postcode_annual(src.side(), cfg)
 
 
 @job("postcode_snapshot")
 def _ps(src, cfg):
-    return market.postcode_snapshot(market.postcode_annual(src.ms(), cfg), cfg)
+    return market.postcode_snapshot(market.postcode_annual(src.side(), cfg), cfg)
 
 
 @job("monthly_volume")
@@ -133,12 +133,12 @@ def _mv(src, cfg):
 
 @job("seasonality")
 def _sea(src, cfg):
-    return market.seasonality(src.ms(), cfg)
+    return market.seasonality(src.side(), cfg)
 
 
 @job("seasonal_pattern")
 def _sp(src, cfg):
-    return market.seasonal_pattern(market.seasonality(src.ms(), cfg), cfg)
+    return market.seasonal_pattern(market.seasonality(src.side(), cfg), cfg)
 
 
 @job("price_distribution")

@@ -90,9 +90,29 @@ def market_pulse_value(prof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 # P2 focus market vs the rest, P3 regions
 # ---------------------------------------------------------------------------
 
-def focus_vs_rest(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    market = F.when(F.col("county") == F.lit(cfg.focus_place), F.lit("focus")).otherwise(F.lit("rest"))
-    p = _profile(ms.withColumn("market", market), ["year", "market"], cfg, {"median": 0.5})
+def side_profile(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """(profile, place, part, year, month) -> n, mean, stddev, median, ...: the smaller breakdowns in one pass.
+
+    Every sale counts once in each breakdown it belongs to, so one histogram and one further read of the
+    sales serve the focus market, the regions, the calendar months, the VAT split and the postcodes.
+    Key columns that a breakdown doesn't use are '' or 0.
+    """
+    def row(name, place="", part="", year=F.col("year"), month=0):
+        text = lambda v: v if isinstance(v, F.Column) else F.lit(v)
+        return F.struct(F.lit(name).alias("profile"), text(place).alias("place"), text(part).alias("part"),
+                        year.cast("int").alias("year"), text(month).cast("int").alias("month"))
+
+    focus = F.col("county") == F.lit(cfg.focus_place)
+    vat = F.coalesce(F.col("vat_exclusive").cast("string"), F.lit("unknown"))
+    sets = F.array(row("focus", F.when(focus, F.lit("focus")).otherwise(F.lit("rest"))), row("region", F.coalesce("region", F.lit(""))),
+                   row("month", month=F.col("month")), row("vat", F.coalesce("county", F.lit("")), vat),
+                   F.when(focus & postcode().isNotNull(), row("postcode", postcode())))
+    each = ms.select("price_eur", F.explode(F.filter(sets, lambda s: s.isNotNull())).alias("s")).select("price_eur", "s.*")
+    return _profile(each, ["profile", "place", "part", "year", "month"], cfg, {"median": 0.5})
+
+
+def focus_vs_rest(side: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    p = side.where("profile = 'focus'").withColumnRenamed("place", "market")
     is_f, is_r = F.col("market") == "focus", F.col("market") == "rest"
     med = round_int("median")
     y = p.groupBy("year").agg(
@@ -106,8 +126,8 @@ def focus_vs_rest(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
                     rnd(prem * F.lit(100.0) / F.nullif(F.col("rest_median"), F.lit(0)), 1).alias("focus_premium_pct"))
 
 
-def regional_trends(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    p = _profile(ms, ["region", "year"], cfg, {"median": 0.5})
+def regional_trends(side: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    p = side.where("profile = 'region'").withColumnRenamed("place", "region")
     a = p.select("region", "year", F.col("n").alias("transactions"),
                  round_int("median").alias("median_price"),
                  round_int("mean").alias("avg_price"),
@@ -212,12 +232,12 @@ def new_vs_secondhand(by_type: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
                      L.premium_signal(pct).alias("premium_signal"))
 
 
-def new_build_premium_vat(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def new_build_premium_vat(side: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Premium of the median new-build (VAT exclusive) price over the rest, per place-year."""
-    p = _profile(ms, ["county", "year", "vat_exclusive"], cfg, {"median": 0.5})
+    p = side.where("profile = 'vat'").withColumnRenamed("place", "county")
     y = p.groupBy("county", "year").agg(
-        F.max(F.when(F.col("vat_exclusive"), F.col("median"))).alias("__new"),
-        F.max(F.when(~F.col("vat_exclusive"), F.col("median"))).alias("__old"))
+        F.max(F.when(F.col("part") == "true", F.col("median"))).alias("__new"),
+        F.max(F.when(F.col("part") == "false", F.col("median"))).alias("__old"))
     return y.select("county", "year",
                     rnd((F.col("__new") - F.col("__old")) / F.nullif(F.col("__old"), F.lit(0.0)) * F.lit(100.0), 1)
                     .alias("new_build_premium_pct"))
@@ -250,12 +270,9 @@ def postcode(eircode_col="eircode") -> F.Column:
                   F.concat(F.lit("D"), F.lpad(digits, 2, "0"), F.regexp_extract(e, pat, 2)))
 
 
-def postcode_annual(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    d = (ms.where(F.col("county") == F.lit(cfg.focus_place))
-           .withColumn("postcode", postcode())
-           .where(F.col("postcode").isNotNull())
-           .withColumn("zone", L.zone("postcode")))
-    p = _profile(d, ["postcode", "zone", "year"], cfg, {"median": 0.5})
+def postcode_annual(side: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    p = (side.where("profile = 'postcode'").withColumnRenamed("place", "postcode")
+             .withColumn("zone", L.zone("postcode")))
     p = p.where(F.col("n") >= F.lit(cfg.postcode_min_sales))
     return p.select("postcode", "zone", "year", F.col("n").alias("transactions"),
                     round_int("median").alias("median_price"),
@@ -282,8 +299,8 @@ def monthly_volume(mprof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
                     round_int(rolling_mean("transaction_count", w, 3)).alias("rolling_3yr_avg_volume"))
 
 
-def seasonality(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    p = _profile(ms, ["year", "month"], cfg, {"median": 0.5})
+def seasonality(side: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    p = side.where("profile = 'month'")
     yw = Window.partitionBy("year")
     return p.select("year", "month", F.col("n").alias("transactions"),
                     round_int("median").alias("median_price"),

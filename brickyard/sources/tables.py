@@ -28,7 +28,8 @@ def shared_aggregates():
     from ..plans import market
     return {"place_year_profile": market.place_year_profile,
             "place_month_profile": market.place_month_profile,
-            "place_year_type_profile": market.place_year_type_profile}
+            "place_year_type_profile": market.place_year_type_profile,
+            "side_profile": market.side_profile}
 
 
 class DerivedSources:
@@ -70,6 +71,9 @@ class DerivedSources:
     def type_profile(self) -> DataFrame:
         return self.shared("place_year_type_profile")
 
+    def side(self) -> DataFrame:
+        return self.shared("side_profile")
+
 
 class StoredSources(DerivedSources):
     def __init__(self, spark: SparkSession, sf_dir: str, store: str, cfg: Config = DEFAULT):

@@ -54,7 +54,7 @@ def test_new_vs_secondhand_drops_place_with_one_type(spark):
 def test_postcode_minimum_support(spark):
     rows = [sale(2022, 1, "Dublin", 300000 + i, eircode="D4 ABC") for i in range(19)]
     rows += [sale(2022, 1, "Dublin", 500000 + i, eircode="D6W XYZ") for i in range(20)]
-    annual = market.postcode_annual(frame(spark, rows), CFG)
+    annual = market.postcode_annual(market.side_profile(frame(spark, rows), CFG), CFG)
     got = annual.collect()
     assert [(r.postcode, r.zone, r.transactions) for r in got] == [("D06W", "Inner City", 20)]
     snap = market.postcode_snapshot(annual, CFG).collect()
@@ -74,7 +74,7 @@ def test_seasonal_pattern_flags(spark):
     rows = []
     for y in (2021, 2022):
         rows += [sale(y, 1, "A", 90000), sale(y, 2, "A", 100000), sale(y, 3, "A", 110000)]
-    season = market.seasonality(frame(spark, rows), CFG)
+    season = market.seasonality(market.side_profile(frame(spark, rows), CFG), CFG)
     pat = {r.month: r for r in market.seasonal_pattern(season, CFG).collect()}
     assert pat[1].avg_price_index == 90.0 and pat[1].best_time_to_buy and not pat[1].best_time_to_sell
     assert pat[3].avg_price_index == 110.0 and pat[3].best_time_to_sell
