@@ -274,6 +274,22 @@ def _ti(src, cfg):
     return findings.top_investment(_card(src, cfg), cfg)
 
 
+# --- extensions: announced in the reference's text, not computed there ----------
+@job("price_volume_divergence")
+def _pvd(src, cfg):
+    return market.price_volume_divergence(_mpv(src, cfg), _va(src, cfg), cfg)
+
+
+@job("premium_by_zone")
+def _pbz(src, cfg):
+    return market.premium_by_zone(src.side(), cfg)
+
+
+@job("market_direction")
+def _md(src, cfg):
+    return market.market_direction(_ns(src, cfg), cfg)
+
+
 # Presentation order of each result at the sink (the reference's ORDER BY;
 # "-col" = descending with NULLs first, as PostgreSQL sorts).  Jobs never rely
 # on it; the large clean table is written unsorted.
@@ -297,6 +313,7 @@ ORDER: dict[str, tuple[str, ...]] = {
     "national_summary": ("year",), "affordability_table": ("county", "year"), "supply_demand_table": ("county", "year"),
     "top_momentum": ("-momentum_3m", "county"), "top_unaffordable": ("-years_salary_to_buy", "county"),
     "top_heat": ("rank",), "postcode_spread": ("position", "-median_price", "postcode"),
+    "price_volume_divergence": ("county", "year"), "premium_by_zone": ("zone", "year"), "market_direction": ("year",),
     "top_premium": ("-new_build_premium_pct", "county"), "cannot_afford": ("county",), "top_investment": ("rank", "county"),
 }
 

@@ -14,13 +14,12 @@ def load_profile(tx: DataFrame) -> DataFrame:
 
     The year list is a set of calendar years (bounded by the calendar, not the data).
     """
-    stats = tx.agg(F.count(F.lit(1)).alias("transactions"),
-                   F.countDistinct("county").alias("counties"),
-                   F.array_join(F.array_sort(F.collect_set(F.col("year"))).cast("array<string>"), ",").alias("years"),
-                   F.min("price_eur").alias("min_price"),
-                   F.max("price_eur").alias("max_price"))
-    med = grouped_profile(tx, [], "price_eur", {"median": 0.5}).select(round_half_away("median", 2).alias("median_price"))
-    return with_scalars(stats, med)
+    found = tx.agg(F.countDistinct("county").alias("counties"),
+                   F.array_join(F.array_sort(F.collect_set(F.col("year"))).cast("array<string>"), ",").alias("years"))
+    prices = grouped_profile(tx, [], "price_eur", {"median": 0.5}).select(
+        F.col("n").alias("transactions"), F.col("min").alias("min_price"), F.col("max").alias("max_price"),
+        round_half_away("median", 2).alias("median_price"))
+    return with_scalars(found, prices).select("transactions", "counties", "years", "min_price", "max_price", "median_price")
 
 
 # ---------------------------------------------------------------------------

@@ -106,7 +106,8 @@ def side_profile(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     vat = F.coalesce(F.col("vat_exclusive").cast("string"), F.lit("unknown"))
     sets = F.array(row("focus", F.when(focus, F.lit("focus")).otherwise(F.lit("rest"))), row("region", F.coalesce("region", F.lit(""))),
                    row("month", month=F.col("month")), row("vat", F.coalesce("county", F.lit("")), vat),
-                   F.when(focus & postcode().isNotNull(), row("postcode", postcode())))
+                   F.when(focus & postcode().isNotNull(), row("postcode", postcode())),
+                   F.when(focus & postcode().isNotNull(), row("zone", L.zone(postcode()), vat)))
     each = ms.select("price_eur", F.explode(F.filter(sets, lambda s: s.isNotNull())).alias("s")).select("price_eur", "s.*")
     return _profile(each, ["profile", "place", "part", "year", "month"], cfg, {"median": 0.5})
 
@@ -329,3 +330,35 @@ def price_distribution(prof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return p.select("county", "year", F.col("n").alias("count"),
                     *[rnd(c, 0).alias(c if c != "stddev" else "std")
                       for c in ["mean", "stddev", "min", "p10", "p25", "median", "p75", "p90", "max"]])
+
+
+# ---------------------------------------------------------------------------
+# Extensions: announced in the reference's text, not computed there
+# ---------------------------------------------------------------------------
+
+def price_volume_divergence(pulse: DataFrame, velocity: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Place-years by whether prices and sales moved the same way."""
+    j = pulse.select("county", "year", "yoy_growth_pct").join(velocity.select("county", "year", "vol_yoy_pct"), ["county", "year"])
+    price, volume = F.signum("yoy_growth_pct"), F.signum("vol_yoy_pct")
+    label = (F.when(price.isNull() | volume.isNull(), F.lit(L.INSUFFICIENT))
+              .when((price > 0) & (volume < 0), F.lit("Price Up, Volume Down"))
+              .when((price < 0) & (volume > 0), F.lit("Price Down, Volume Up"))
+              .otherwise(F.lit("Aligned")))
+    return j.select("*", label.alias("divergence"))
+
+
+def premium_by_zone(side: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """New-build premium of the focus place's postcode zones, per year."""
+    p = side.where("profile = 'zone'").withColumnRenamed("place", "zone")
+    y = p.groupBy("zone", "year").agg(F.max(F.when(F.col("part") == "true", F.col("median"))).alias("__new"),
+                                      F.max(F.when(F.col("part") == "false", F.col("median"))).alias("__old"),
+                                      F.sum("n").alias("transactions"))
+    return y.select("zone", "year", "transactions", round_int("__new").alias("new_build_median"), round_int("__old").alias("second_hand_median"),
+                    rnd(safe_div(F.col("__new") - F.col("__old"), "__old") * F.lit(100.0), 1).alias("new_build_premium_pct"))
+
+
+def market_direction(national: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The national market's direction: average growth of the places, by one per cent either way."""
+    g = F.col("avg_yoy")
+    label = (F.when(g.isNull(), F.lit(L.INSUFFICIENT)).when(g > 1, F.lit("Rising")).when(g < -1, F.lit("Falling")).otherwise(F.lit("Stable")))
+    return national.select("year", "national_median", "avg_yoy", label.alias("direction"))

@@ -550,6 +550,28 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
            CAST(sum(transactions) AS BIGINT) AS transactions, {MEAN_R('yoy_growth_pct', 1)} AS yoy_growth_pct
     FROM mpv WHERE year = {lt}"""
 
+    # --- extensions ---
+    q["price_volume_divergence"] = sql_with(cfg, "ms", extra=[("mpv", _pulse_value_cte(cfg)), ("vel", _velocity_cte())]) + """
+    SELECT p.county, p.year, p.yoy_growth_pct, v.vol_yoy_pct,
+           CASE WHEN p.yoy_growth_pct IS NULL OR v.vol_yoy_pct IS NULL THEN 'Insufficient Data'
+                WHEN p.yoy_growth_pct > 0 AND v.vol_yoy_pct < 0 THEN 'Price Up, Volume Down'
+                WHEN p.yoy_growth_pct < 0 AND v.vol_yoy_pct > 0 THEN 'Price Down, Volume Up' ELSE 'Aligned' END AS divergence
+    FROM mpv p JOIN vel v ON p.county = v.county AND p.year = v.year"""
+    q["premium_by_zone"] = sql_with(cfg, "ms", extra=[("z", f"""
+    SELECT zone, year, count(*) AS n,
+           quantile_cont(price_eur, 0.5) FILTER (vat_exclusive) AS fresh, quantile_cont(price_eur, 0.5) FILTER (NOT vat_exclusive) AS old
+    FROM (SELECT *, {ZONE} AS zone FROM (SELECT *, {POSTCODE} AS postcode FROM ms WHERE county = '{cfg.focus_place}') p
+          WHERE postcode IS NOT NULL) d
+    GROUP BY zone, year""")]) + f"""
+    SELECT zone, year, n AS transactions, {RI('fresh')} AS new_build_median, {RI('old')} AS second_hand_median,
+           {R('(fresh - old) / nullif(old, 0) * 100.0', 1)} AS new_build_premium_pct
+    FROM z"""
+    q["market_direction"] = sql_with(cfg, "ms", extra=[("mpv", _pulse_value_cte(cfg))]) + f"""
+    SELECT year, national_median, avg_yoy, CASE WHEN avg_yoy IS NULL THEN 'Insufficient Data' WHEN avg_yoy > 1 THEN 'Rising'
+           WHEN avg_yoy < -1 THEN 'Falling' ELSE 'Stable' END AS direction
+    FROM (SELECT year, {RI('quantile_cont(median_price, 0.5)')} AS national_median, {R(MEAN_R('yoy_growth_pct', 1), 1)} AS avg_yoy
+          FROM mpv GROUP BY year) n"""
+
     # --- key findings ---
     q["top_momentum"] = sql_with(cfg, "ms", extra=[("mm", _monthly_cte()), ("sig", _signals_cte())]) + """
     SELECT county, momentum_3m, signal FROM sig WHERE momentum_3m IS NOT NULL
