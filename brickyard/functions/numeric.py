@@ -45,11 +45,3 @@ def sql_round(expr: str, n: int = 0) -> str:
     """SQL text of ``round_half_away`` for the DuckDB oracle."""
     s = f"1e{n}"
     return f"(sign({expr}) * floor(abs({expr}) * {s} + 0.5) / {s} + 0.0)"
-
-
-def sql_round_int(expr: str) -> str:
-    return f"CAST({sql_round(expr, 0)} AS BIGINT)"
-
-
-def sql_pct_change(cur: str, prev: str) -> str:
-    return f"(({cur}) - ({prev})) / nullif({prev}, 0) * 100.0"

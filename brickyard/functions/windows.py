@@ -22,11 +22,6 @@ def series(keys, order) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
 
 
-def lag_pct_change(c, w: Window, k: int = 1) -> Column:
-    """(x - lag(x, k)) / lag(x, k) * 100 over ``w``."""
-    return pct_change(_c(c), F.lag(_c(c), k).over(w))
-
-
 def momentum(c, w: Window, k: int) -> Column:
     """(x / lag(x, k) - 1) * 100 over ``w`` (the README form of k-period momentum)."""
     prev = F.lag(_c(c), k).over(w)

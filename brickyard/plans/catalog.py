@@ -318,6 +318,10 @@ ORDER: dict[str, tuple[str, ...]] = {
 }
 
 
+#: Jobs that read none of the canonical tables.
+UNSTORED = frozenset({"register_cleaning"})
+
+
 def ordered(name: str, df: DataFrame) -> DataFrame:
     from pyspark.sql import functions as F
     keys = ORDER.get(name)
@@ -336,8 +340,8 @@ def queries(cfg: Config = TEST, load_once: bool = True) -> dict[str, Callable[[S
     """
     from ..sources.tables import stored_for
     if load_once:
-        return {name: (lambda spark, sf_dir, _fn=fn: _fn(stored_for(spark, sf_dir, cfg), cfg))
-                for name, fn in _JOBS.items()}
+        return {name: (lambda spark, sf_dir, _fn=fn, _open=DerivedSources if name in UNSTORED else stored_for:
+                       _fn(_open(spark, sf_dir, cfg), cfg)) for name, fn in _JOBS.items()}
     return {name: (lambda spark, sf_dir, _fn=fn: _fn(DerivedSources(spark, sf_dir, cfg), cfg))
             for name, fn in _JOBS.items()}
 

@@ -7,7 +7,6 @@ Parquet partitioned by ``year`` so later jobs prune whole years.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
@@ -22,22 +21,15 @@ def write_result(df: DataFrame, path: str, fmt: str = "csv") -> None:
         raise ValueError(f"unknown format {fmt!r}")
 
 
-def write_results(results: Mapping[str, DataFrame], directory: str, fmt: str = "csv") -> None:
-    """One output directory per job name."""
-    for name, df in results.items():
-        write_result(df, f"{directory.rstrip('/')}/{name}", fmt)
-
-
 def write_clean_table(tx: DataFrame, path: str, max_records_per_file: int = 5_000_000) -> None:
     """Parquet partitioned by year, rows clustered by place and date inside each file.
 
-    No repartition: every scan task writes its own files for the years it
-    holds, so a year holding a third of all sales is still written by many
-    tasks.  The per-task sort (no shuffle) gives row groups tight min/max
-    statistics on ``county`` and ``date_of_sale``, so place or date filters
-    skip row groups.
+    REBALANCE lets Spark size the tasks by year at run time: small years share a task, and a year that
+    holds a third of all sales is split over many, so there are neither tasks x years files nor a hot
+    task.  The per-task sort gives row groups tight min/max statistics on ``county`` and
+    ``date_of_sale``, so place or date filters skip row groups.
     """
-    (tx.sortWithinPartitions("year", "county", "date_of_sale")
+    (tx.hint("rebalance", "year").sortWithinPartitions("year", "county", "date_of_sale")
        .write.mode("overwrite")
        .option("maxRecordsPerFile", max_records_per_file)
        .partitionBy("year").parquet(path))

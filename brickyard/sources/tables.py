@@ -186,7 +186,9 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> tuple:
     for t in INPUTS:
         p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
         fs = p.getFileSystem(conf)
-        for st in fs.listStatus(p):
+        files = fs.listFiles(p, True)  # nested partitions too
+        while files.hasNext():
+            st = files.next()
             out.append((str(st.getPath()), st.getModificationTime(), st.getLen()))
     return tuple(sorted(out))
 
