@@ -141,34 +141,48 @@ def _maximal(common: np.ndarray, left: np.ndarray, least: int, width: int) -> np
     return found[(other[found[:, 1]] > other[found[:, 0]]) | (found[:, 2] >= width)]
 
 
-def smallest(strings: list[bytes], docs: np.ndarray, rival: np.ndarray, least: int, width: int) -> list[np.ndarray]:
+def smallest(strings: list[bytes], docs: np.ndarray, lows: np.ndarray, least: int, width: int, at_once: int = 200_000) -> list[np.ndarray]:
     """For every window of every string the smallest document that holds it, through the maximal repeats.
 
-    ``docs`` has the smallest document with each string; strings without a ``rival`` stand for themselves.
+    ``docs`` has the smallest document with each string and ``lows`` its minimizer.  Strings that are alone with
+    their minimizer stand for themselves; the others are sorted in slices of whole minimizers.
     """
     count = np.array([len(s) - least + 1 for s in strings])
     begin = np.cumsum(count) - count
     out = np.repeat(docs, count)
-    some = np.flatnonzero(rival)
-    if len(some):
-        owner, offset, repeats = suffix_repeats([strings[k] for k in some], least, width)
-        low = docs[some][owner]
-        at = begin[some][owner] + offset
-        if len(repeats):
-            edges = np.ravel(np.column_stack([repeats[:, 0], repeats[:, 1] + 1]))
-            best = np.minimum.reduceat(np.append(low, np.iinfo(np.int64).max), edges)[::2]
-            members = repeats[:, 1] - repeats[:, 0] + 1
-            which = np.repeat(np.arange(len(repeats)), members)
-            suffix = repeats[which, 0] + np.arange(len(which)) - np.repeat(np.cumsum(members) - members, members)
-            useful = best[which] < np.iinfo(np.int64).max
-            covers = repeats[which, 2] - least + 1
-            for lo in range(0, len(which), 500_000):
-                w, s, c = which[lo : lo + 500_000][useful[lo : lo + 500_000]], suffix[lo : lo + 500_000], covers[lo : lo + 500_000]
-                window = np.repeat(at[s], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-                np.minimum.at(out, window, np.repeat(best[w], c))
+    order = np.argsort(lows, kind="stable")
+    edge = np.append(np.flatnonzero(np.append(True, lows[order][1:] != lows[order][:-1])), len(order))
+    several = np.flatnonzero(np.diff(edge) > 1)
+    held, size = [], 0
+    for k in several.tolist():
+        own = order[edge[k] : edge[k + 1]]
+        held.append(own)
+        size += int(count[own].sum())
+        if size >= at_once:
+            _spread(np.concatenate(held), strings, docs, begin, out, least, width)
+            held, size = [], 0
+    if held:
+        _spread(np.concatenate(held), strings, docs, begin, out, least, width)
     return np.split(out, begin[1:])
 
 
+def _spread(some: np.ndarray, strings: list[bytes], docs: np.ndarray, begin: np.ndarray, out: np.ndarray, least: int, width: int) -> None:
+    """Lower the windows of some strings to the smallest document of each repeat that covers them."""
+    owner, offset, repeats = suffix_repeats([strings[k] for k in some], least, width)
+    if not len(repeats):
+        return
+    low, at = docs[some][owner], begin[some][owner] + offset
+    best = np.minimum.reduceat(np.append(low, 0), np.ravel(np.column_stack([repeats[:, 0], repeats[:, 1] + 1])))[::2]
+    members = repeats[:, 1] - repeats[:, 0] + 1
+    for lo in range(0, len(repeats), 20_000):
+        m = members[lo : lo + 20_000]
+        which = np.repeat(np.arange(lo, lo + len(m)), m)
+        suffix = repeats[which, 0] + np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m)
+        covers = repeats[which, 2] - least + 1
+        window = np.repeat(at[suffix], covers) + np.arange(covers.sum()) - np.repeat(np.cumsum(covers) - covers, covers)
+        np.minimum.at(out, window, np.repeat(best[which], covers))
+
+
 class Chunk:
     """The strings of a chunk's documents whose minimizer is in ``shared``, equal ones numbered once."""
 
@@ -336,8 +350,7 @@ def _compare(least: int, width: int):
                             docs[n] = ids[k]
                         mine[k] = n
                     used.append(mine)
-                _, inverse, count = np.unique(np.array(lows, np.uint64), return_inverse=True, return_counts=True)
-                best = smallest(strings, np.array(docs, np.int64), count[inverse.ravel()] > 1, least, width)
+                best = smallest(strings, np.array(docs, np.int64), np.array(lows, np.uint64), least, width)
                 cuts = [np.flatnonzero(np.append(True, w[1:] != w[:-1])) for w in best]
                 for r, mine in zip(rows, used, strict=True):
                     most, number = _loads(r["most_id"], np.int64), _loads(r["number"], np.int32)
