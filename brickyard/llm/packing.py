@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -91,7 +92,9 @@ def _encode(path: str, window: int, end: int, seed: int):
                     checked = True
                 total, crcs, tails, h = [], [], [], []
                 for key, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                    ids = np.array([*encoder(text), end], np.uint32)
+                    own = array("I", encoder(text))
+                    own.append(end)
+                    ids = np.frombuffer(own, np.uint32)
                     full = len(ids) // window
                     total.append(len(ids))
                     crcs.append([crc(ids[k * window : (k + 1) * window]) for k in range(full)])
