@@ -50,7 +50,7 @@ def test_run_all_jobs_from_stored_tables(spark, tmpdir_path):
     assert main(["run", "--transactions", tx, "--affordability", aff, "--supply", sd, "--out", out]) == 0
     written = sorted(os.path.basename(p) for p in glob.glob(os.path.join(out, "*")))
     assert "market_pulse" in written and "investment_scorecard" in written and "register_cleaning" not in written
-    assert len(written) == 46
+    assert len(written) == 49
     pulse = spark.read.option("header", True).csv(os.path.join(out, "market_pulse"))
     assert pulse.count() == 20
     heat = spark.read.option("header", True).csv(os.path.join(out, "heat_index")).collect()
