@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brickyard.llm.common import components, group_starts, pairs_within, partitions, stored, whole_groups
+from brickyard.llm.common import components, group_starts, pairs_within, partitions, small_batches, stored, whole_groups
 
 BITS = 16
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
@@ -232,6 +232,7 @@ def near_duplicates(docs: DataFrame, words_each: int = 4, percent: int = 80, lan
     if lanes % chunk or errors >= chunk or len(slots(lanes, chunk, errors)).bit_length() + BITS * (chunk - errors) > 63:
         raise ValueError("lanes must be whole chunks, and a slot and its lanes must fit 63 bits")
     method = (lanes, chunk, errors, distance, percent)
+    small_batches(docs)
     n = partitions(docs)
     sketch = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                     .mapInArrow(_sketch(words_each, lanes), "doc_id long, n_shingles long, digest binary, sig binary"), "sketch")

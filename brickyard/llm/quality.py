@@ -39,7 +39,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brickyard.llm.common import stored
+from brickyard.llm.common import small_batches, stored
 
 PUNCTUATION = string.punctuation.encode()
 
@@ -200,6 +200,7 @@ def resample(docs: DataFrame, labels: DataFrame, bits: int = 20, smooth: float =
     ``temperature`` scales the Gumbel noise against the log weights.  Of the labelled documents about
     ``most_labels`` at most, chosen by a hash of the id, make the target model and the level.
     """
+    small_batches(docs)
     sc = docs.sparkSession.sparkContext
     good = (labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("label_id"))
             .agg(F.min(F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))).alias("good")))

@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brickyard.llm.common import stored
+from brickyard.llm.common import small_batches, stored
 
 #: Forms of address and their gender (f, m or n for either).
 TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "г-н": "m",
@@ -256,6 +256,7 @@ def mapping(texts: DataFrame, key: bytes, patterns=PATTERNS, max_rounds: int = 4
 
 def replace(docs: DataFrame, key: bytes = b"surrogate key", patterns=PATTERNS, count: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text``; with ``count``, a column of that name has the number of replacements."""
+    small_batches(docs)
     names = docs.columns
     rows = docs.select(F.col("text").cast("string").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in names if c != "text"], F.lit(0).alias("_end")).alias("_row"))
     mentions, surrogates = mapping(rows, key, patterns)

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brickyard.llm.common import small_batches
+
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Words of names that are blocked: betting, adult, pills, loans, advertising, spam.
 NAMES = ("bet", "bets", "betting", "casino", "poker", "jackpot", "slots", "win", "lottery",
@@ -145,6 +147,7 @@ def _score(words, bayes):
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, names: Sequence[str] = NAMES,
           vocabulary: int = 50_000, smooth: float = 0.5, seed_count: int = 5) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, log_odds (over 0: block, where no rule fits)."""
+    small_batches(pages)
     sc = pages.sparkSession.sparkContext
     text = pages.select(F.col("html").cast("string").alias("html"))
     common = (text.mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
