@@ -2,8 +2,8 @@
 
 A document is the token ids of its whole text and an end id.  Its full windows are sequences of their
 own; what is left of it, its tail, is packed with other tails.  Tails are dealt into shards of about
-``shard_docs`` by range of their most telling word (the largest BM25 weight), so that lexical neighbours
-meet, and every shard has an inverted index of its tails.  In a seeded order each unused tail
+``shard_docs`` by range of the smallest hash of their words, so that lexical neighbours tend to meet,
+and every shard has an inverted index of its tails.  In a seeded order each unused tail
 becomes a seed; its telling words are looked up, and the unused tails with the best BM25 scores fill
 its window: those that fit go in whole, and the best that doesn't is cut where the window ends; its rest
 stays in the index.  If no scored neighbour is left, the next seeds follow.  So every sequence but a
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brickyard.llm.common import group_starts, stored, whole_groups
+from brickyard.llm.common import group_starts, small_batches, stored, whole_groups
 
 #: The usual split of byte-level BPE files.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -79,8 +79,11 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _encode(path: str, window: int, end: int, seed: int):
-    """(doc_id, h, tokens, CRCs of the full windows, ids of the tail)"""
+def _encode(path: str, starts, window: int, end: int, bits: int, seed: int):
+    """(doc_id, h, route, tokens, CRCs of the full windows, ids of the tail)
+
+    ``route`` is the smallest hash of the tail's words: tails that share words tend to share it.
+    """
     def run(batches):
         encoder, checked = Encoder(path), False
         for batch in batches:
@@ -90,7 +93,7 @@ def _encode(path: str, window: int, end: int, seed: int):
                 if not checked:
                     encoder.compare([t for t in texts if len(t) < 20_000][:10])
                     checked = True
-                total, crcs, tails, h = [], [], [], []
+                total, crcs, tails, h, route = [], [], [], [], []
                 for key, text in zip(part.column(0).to_pylist(), texts, strict=True):
                     own = array("I", encoder(text))
                     own.append(end)
@@ -99,10 +102,12 @@ def _encode(path: str, window: int, end: int, seed: int):
                     total.append(len(ids))
                     crcs.append([crc(ids[k * window : (k + 1) * window]) for k in range(full)])
                     tails.append(ids[full * window :].tobytes())
+                    words = terms(ids[full * window :].astype(np.int64), starts.value, bits)
+                    route.append(int(((words + 1) * 0x9E3779B1 & 0xFFFFFFFF).min()) if len(words) else -1)
                     h.append(xxhash.xxh64_intdigest(f"{key}:{len(ids)}:{crc(ids)}", seed=seed) >> 1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h, pa.int64()), pa.array(total, pa.int64()),
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h, pa.int64()), pa.array(route, pa.int64()), pa.array(total, pa.int64()),
                                                   pa.array(crcs, pa.list_(pa.int64())), pa.array([_narrow(t) for t in tails], pa.binary())],
-                                                 names=["doc_id", "h", "tokens", "crcs", "tail"])
+                                                 names=["doc_id", "h", "route", "tokens", "crcs", "tail"])
     return run
 
 
@@ -163,19 +168,6 @@ def bm25(words: np.ndarray, idf: np.ndarray, mean: float, k1: float = 1.2, b: fl
     return own, idf[own] * n * (k1 + 1) / (n + k1 * (1 - b + b * len(words) / mean))
 
 
-def _route(stats, bits: int):
-    """Adds a tail's most telling word; -1 without a tail."""
-    def run(batches):
-        starts, idf, mean = stats.value
-        for batch in batches:
-            route = []
-            for tail in batch.column("tail").to_pylist():
-                own, weight = bm25(terms(_wide(tail), starts, bits), idf, mean)
-                route.append(int(own[weight.argmax()]) if len(own) else -1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(route, pa.int64())], names=[*batch.schema.names, "route"])
-    return run
-
-
 def fill_windows(tails: list[np.ndarray], words: list[np.ndarray], order: np.ndarray, idf: np.ndarray, mean: float, window: int, query_terms: int):
     """Sequences of (tail, start, length) that use every id of the tails once."""
     rows = [bm25(w, idf, mean) for w in words]
@@ -265,19 +257,20 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, shar
 
     ``tokenizer`` is the path of a tokenizer file that executors can open.
     """
+    small_batches(docs)
     sc = docs.sparkSession.sparkContext
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    coded = stored(texts.mapInArrow(_encode(tokenizer, window, end, seed), "doc_id long, h long, tokens long, crcs array<long>, tail binary"), "tails")
-    starts = word_starts(tokenizer)
-    counts = coded.select("tail").mapInArrow(_frequencies(sc.broadcast(starts), bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    starts = sc.broadcast(word_starts(tokenizer))
+    coded = stored(texts.mapInArrow(_encode(tokenizer, starts, window, end, bits, seed),
+                                    "doc_id long, h long, route long, tokens long, crcs array<long>, tail binary"), "tails")
+    counts = coded.select("tail").mapInArrow(_frequencies(starts, bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df, n, length = np.zeros(1 << bits, np.float32), 0, 0
     for batch in counts.toArrow().to_batches():  # at most 2 ** bits rows
         at, own = batch.column("term").to_numpy(), batch.column("n").to_numpy()
         df[at[at >= 0]] = own[at >= 0]
         n, length = n + int(own[at == -1].sum()), length + int(own[at == -2].sum())
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
-    stats = sc.broadcast((starts, idf, max(length / max(n, 1), 1.0)))
+    stats = sc.broadcast((starts.value, idf, max(length / max(n, 1), 1.0)))
     shards = max(1, -(-coded.count() // shard_docs))
-    routed = (coded.mapInArrow(_route(stats, bits), "doc_id long, h long, tokens long, crcs array<long>, tail binary, route long")
-              .repartitionByRange(shards, "route", "h").withColumn("shard", F.spark_partition_id().cast("long")))
+    routed = coded.repartitionByRange(shards, "route", "h").withColumn("shard", F.spark_partition_id().cast("long"))
     return stored(routed.mapInArrow(_pack(stats, window, query_terms, bits), PIECE), "pieces")
