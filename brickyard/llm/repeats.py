@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brickyard.llm.common import group_starts, partitions, stored, whole_groups
+from brickyard.llm.common import group_starts, partitions, small_batches, stored, whole_groups
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -141,10 +141,10 @@ def _maximal(common: np.ndarray, left: np.ndarray, least: int, width: int) -> np
     return found[(other[found[:, 1]] > other[found[:, 0]]) | (found[:, 2] >= width)]
 
 
-def smallest(strings: list[bytes], docs: np.ndarray, lows: np.ndarray, least: int, width: int, at_once: int = 200_000) -> list[np.ndarray]:
+def smallest(strings: list[bytes], docs: np.ndarray, lows: np.ndarray, least: int, width: int, at_once: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
     """For every window of every string the smallest document that holds it, through the maximal repeats.
 
-    ``docs`` has the smallest document with each string and ``lows`` its minimizer.  Strings that are alone with
+    Returns them in the order of the strings, and where each string's windows begin.  ``docs`` has the smallest document with each string and ``lows`` its minimizer.  Strings that are alone with
     their minimizer stand for themselves; the others are sorted in slices of whole minimizers.
     """
     count = np.array([len(s) - least + 1 for s in strings])
@@ -163,7 +163,7 @@ def smallest(strings: list[bytes], docs: np.ndarray, lows: np.ndarray, least: in
             held, size = [], 0
     if held:
         _spread(np.concatenate(held), strings, docs, begin, out, least, width)
-    return np.split(out, begin[1:])
+    return out, begin
 
 
 def _spread(some: np.ndarray, strings: list[bytes], docs: np.ndarray, begin: np.ndarray, out: np.ndarray, least: int, width: int) -> None:
@@ -174,13 +174,31 @@ def _spread(some: np.ndarray, strings: list[bytes], docs: np.ndarray, begin: np.
     low, at = docs[some][owner], begin[some][owner] + offset
     best = np.minimum.reduceat(np.append(low, 0), np.ravel(np.column_stack([repeats[:, 0], repeats[:, 1] + 1])))[::2]
     members = repeats[:, 1] - repeats[:, 0] + 1
-    for lo in range(0, len(repeats), 20_000):
-        m = members[lo : lo + 20_000]
-        which = np.repeat(np.arange(lo, lo + len(m)), m)
-        suffix = repeats[which, 0] + np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m)
-        covers = repeats[which, 2] - least + 1
-        window = np.repeat(at[suffix], covers) + np.arange(covers.sum()) - np.repeat(np.cumsum(covers) - covers, covers)
-        np.minimum.at(out, window, np.repeat(best[which], covers))
+    covers = repeats[:, 2] - least + 1
+    for which, member in _expanded(members):
+        suffix = repeats[which, 0] + member
+        for some_pairs, k in _expanded(covers[which]):
+            np.minimum.at(out, at[suffix[some_pairs]] + k, best[which[some_pairs]])
+
+
+def _expanded(counts: np.ndarray, at_once: int = 250_000):
+    """(index, 0 .. count - 1) of every index, as arrays of about ``at_once``; one large count may come alone in parts."""
+    upto, lo, skip = np.cumsum(counts), 0, 0
+    while lo < len(counts):
+        before = (upto[lo - 1] if lo else 0) + skip
+        hi = max(lo + 1, int(np.searchsorted(upto, before + at_once, side="right")))
+        if hi == lo + 1 and counts[lo] - skip > at_once:
+            yield np.full(at_once, lo), np.arange(skip, skip + at_once)
+            skip += at_once
+            continue
+        n = counts[lo:hi].copy()
+        n[0] -= skip
+        index = np.repeat(np.arange(lo, hi), n)
+        place = np.arange(len(index)) - np.repeat(np.cumsum(n) - n, n)
+        place[: n[0]] += skip
+        if len(index):
+            yield index, place
+        lo, skip = hi, 0
 
 
 class Chunk:
@@ -233,8 +251,9 @@ def _chunks(chunk_bytes: int):
             ids, texts = zip(*held, strict=True)
             return pa.RecordBatch.from_arrays(
                 [pa.array([np.array([i or 0 for i in ids], np.int64).tobytes()], pa.binary()), pa.array([np.array([i is not None for i in ids]).tobytes()], pa.binary()),
-                 pa.array([np.array([len(t) for t in texts], np.int64).tobytes()], pa.binary()), pa.array([zstandard.compress(b"".join(texts), 3)], pa.large_binary()).cast(pa.binary())],
-                names=["docs", "known", "sizes", "text"])
+                 pa.array([np.array([len(t) for t in texts], np.int64).tobytes()], pa.binary()), pa.array([zstandard.compress(b"".join(texts), 3)], pa.binary()),
+                 pa.array([sum(map(len, texts))], pa.int64())],
+                names=["docs", "known", "sizes", "text", "n_bytes"])
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -350,14 +369,25 @@ def _compare(least: int, width: int):
                             docs[n] = ids[k]
                         mine[k] = n
                     used.append(mine)
-                best = smallest(strings, np.array(docs, np.int64), np.array(lows, np.uint64), least, width)
-                cuts = [np.flatnonzero(np.append(True, w[1:] != w[:-1])) for w in best]
+                best, begin = smallest(strings, np.array(docs, np.int64), np.array(lows, np.uint64), least, width)
+                del strings, place, docs, lows
+                # runs of windows with the same smallest document
+                new = np.append(True, best[1:] != best[:-1])
+                new[begin] = True
+                run_at = np.flatnonzero(new)
+                run_end, value = np.append(run_at[1:], len(best)), best[run_at]
+                first = np.searchsorted(run_at, begin)
+                runs = np.diff(np.append(first, len(run_at)))
                 for r, mine in zip(rows, used, strict=True):
                     most, number = _loads(r["most_id"], np.int64), _loads(r["number"], np.int32)
-                    out = [(number[k], c, e, best[n][c]) for k, n in enumerate(mine.tolist())
-                           for c, e in zip(cuts[n].tolist(), [*cuts[n][1:].tolist(), len(best[n])], strict=True) if best[n][c] < most[k]]
-                    if out:
-                        cols = [np.array(c, t) for c, t in zip(zip(*out, strict=True), (np.int32, np.int32, np.int32, np.int64), strict=True)]
+                    n = runs[mine]
+                    which = np.repeat(np.arange(len(mine)), n)
+                    at = first[mine][which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                    ok = value[at] < most[which]
+                    which, at = which[ok], at[ok]
+                    if len(at):
+                        base = begin[mine[which]]
+                        cols = (number[which], (run_at[at] - base).astype(np.int32), (run_end[at] - base).astype(np.int32), value[at])
                         yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]], pa.int64()), *(pa.array([zstandard.compress(c.tobytes(), 1)], pa.binary()) for c in cols)],
                                                          names=["chunk", "number", "start", "end", "doc"])
     return run
@@ -408,15 +438,20 @@ def _removed(ids, sizes, spans, kept) -> pa.RecordBatch:
                                       names=["doc_id", "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, least: int = 50, gram: int = 20, width: int = 80, chunk_bytes: int = 6 << 20, buckets: int = 64) -> DataFrame:
+def remove_repeats(docs: DataFrame, least: int = 50, gram: int = 20, width: int = 80, chunk_bytes: int = 2 << 20,
+                   buckets: int | None = None, bucket_bytes: int = 32 << 20) -> DataFrame:
     """One row per document: doc_id, n_bytes, spans (start, end) that go, and kept, the bytes that stay.
 
-    ``buckets`` is the number of suffix arrays; it should follow the size of the input.
+    ``buckets`` is the number of suffix arrays; by default one for ``bucket_bytes`` of text, and 256 at least.
     """
+    small_batches(docs)
     n = partitions(docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = stored(texts.mapInArrow(_chunks(chunk_bytes), "docs binary, known binary, sizes binary, text binary")
+    chunks = stored(texts.mapInArrow(_chunks(chunk_bytes), "docs binary, known binary, sizes binary, text binary, n_bytes long")
                     .withColumn("chunk", F.monotonically_increasing_id()), "chunks")
+    if buckets is None:
+        total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
+        buckets = max(256, total // bucket_bytes)
     said = chunks.mapInArrow(_announce(gram, least, buckets), "bucket int, chunk long, low binary, several binary")
     shared = (said.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_agree, "chunk long, shared binary")
               .groupBy("chunk").agg(F.collect_list("shared").alias("shared")))  # at most a piece for each bucket

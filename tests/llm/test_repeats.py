@@ -90,3 +90,13 @@ def test_maximal_repeats_by_definition():
         if len(places) > 1 and all(len(e) > 1 for e in ext):
             keep.add((text, frozenset(places)))
     assert got == keep
+
+
+def test_expansion_in_parts():
+    for counts in ([3, 0, 7, 1, 1, 25, 2], [0], [30], [1] * 40):
+        counts = np.array(counts)
+        want = [(i, k) for i, n in enumerate(counts) for k in range(n)]
+        for at_once in (1, 4, 10, 1000):
+            parts = list(repeats._expanded(counts, at_once))
+            assert [(i, k) for a, b in parts for i, k in zip(a.tolist(), b.tolist(), strict=True)] == want
+            assert all(len(a) <= at_once for a, _ in parts)
