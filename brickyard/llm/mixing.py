@@ -80,7 +80,7 @@ def settle(size: np.ndarray, mass: np.ndarray, rng: np.random.Generator) -> np.n
 
 
 def _round_block(seed: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "doc_id", "size"], kind="stable", na_position="last")
         rng = np.random.default_rng(xxhash.xxh64_intdigest(f"{seed}:{key[0]}:{key[1]}:{len(pdf)}"))
         pdf["mass"] = settle(pdf["size"].to_numpy(float), pdf["mass"].to_numpy(float), rng)
