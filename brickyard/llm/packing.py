@@ -79,13 +79,17 @@ def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+CODED = ["doc_id", "h", "route", "tokens", "crcs", "tail", "terms", "counts"]
+
+
 def _encode(path: str, starts, window: int, end: int, bits: int, seed: int):
-    """(doc_id, h, route, tokens, CRCs of the full windows, ids of the tail)
+    """(doc_id, h, route, tokens, CRCs of the full windows, ids of the tail); a task's last row has its word counts.
 
     ``route`` is the smallest hash of the tail's words: tails that share words tend to share it.
     """
     def run(batches):
         encoder, checked = Encoder(path), False
+        counts, docs, length = np.zeros(1 << bits, np.int64), 0, 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -103,11 +107,18 @@ def _encode(path: str, starts, window: int, end: int, bits: int, seed: int):
                     crcs.append([crc(ids[k * window : (k + 1) * window]) for k in range(full)])
                     tails.append(ids[full * window :].tobytes())
                     words = terms(ids[full * window :].astype(np.int64), starts.value, bits)
+                    if len(words):
+                        counts[np.unique(words)] += 1
+                        docs, length = docs + 1, length + len(words)
                     route.append(int(((words + 1) * 0x9E3779B1 & 0xFFFFFFFF).min()) if len(words) else -1)
                     h.append(xxhash.xxh64_intdigest(f"{key}:{len(ids)}:{crc(ids)}", seed=seed) >> 1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h, pa.int64()), pa.array(route, pa.int64()), pa.array(total, pa.int64()),
-                                                  pa.array(crcs, pa.list_(pa.int64())), pa.array([_narrow(t) for t in tails], pa.binary())],
-                                                 names=["doc_id", "h", "route", "tokens", "crcs", "tail"])
+                                                  pa.array(crcs, pa.list_(pa.int64())), pa.array([_narrow(t) for t in tails], pa.binary()),
+                                                  pa.nulls(len(total), pa.binary()), pa.nulls(len(total), pa.binary())], names=CODED)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((None, pa.int64()), (0, pa.int64()), (-1, pa.int64()), (0, pa.int64()), ([], pa.list_(pa.int64())),
+                                                                        (None, pa.binary()), (np.append(at, [-1, -2]).tobytes(), pa.binary()),
+                                                                        (np.append(counts[at], [docs, length]).tobytes(), pa.binary()))], names=CODED)
     return run
 
 
@@ -147,19 +158,10 @@ def terms(ids: np.ndarray, starts: np.ndarray, bits: int) -> np.ndarray:
     return (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _frequencies(starts, bits: int):
-    def run(batches):
-        counts = np.zeros(1 << bits, np.int64)
-        docs = length = 0
-        for batch in batches:
-            for tail in batch.column(0).to_pylist():
-                words = terms(_wide(tail), starts.value, bits)
-                if len(words):
-                    counts[np.unique(words)] += 1
-                    docs, length = docs + 1, length + len(words)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, [-1, -2])), pa.array(np.append(counts[at], [docs, length]))], names=["term", "n"])
-    return run
+def _frequencies(batches):
+    for batch in batches:
+        for term, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(term, np.int64)), pa.array(np.frombuffer(n, np.int64))], names=["term", "n"])
 
 
 def bm25(words: np.ndarray, idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75) -> tuple[np.ndarray, np.ndarray]:
@@ -262,8 +264,10 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, shar
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     starts = sc.broadcast(word_starts(tokenizer))
     coded = stored(texts.mapInArrow(_encode(tokenizer, starts, window, end, bits, seed),
-                                    "doc_id long, h long, route long, tokens long, crcs array<long>, tail binary"), "tails")
-    counts = coded.select("tail").mapInArrow(_frequencies(starts, bits), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+                                    "doc_id long, h long, route long, tokens long, crcs array<long>, tail binary, terms binary, counts binary"), "tails")
+    counts = (coded.filter("terms is not null").select("terms", "counts").mapInArrow(_frequencies, "term long, n long")
+              .groupBy("term").agg(F.sum("n").alias("n")))
+    coded = coded.filter("terms is null").drop("terms", "counts")
     df, n, length = np.zeros(1 << bits, np.float32), 0, 0
     for batch in counts.toArrow().to_batches():  # at most 2 ** bits rows
         at, own = batch.column("term").to_numpy(), batch.column("n").to_numpy()
