@@ -63,7 +63,7 @@ def test_entry_without_the_training_data_operators(monkeypatch):
     import importlib.util
 
     found = importlib.util.find_spec
-    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("brickyard.llm", "corpus_pipeline") else found(name, *a))
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("brickyard.llm.queries", "corpus_pipeline") else found(name, *a))
     try:
         plain = importlib.reload(E)
         assert set(plain.queries()) == set(DERIVED) == set(plain.oracle_sql())
