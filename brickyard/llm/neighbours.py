@@ -2,18 +2,20 @@
 
 Fit, on a sample of at most ``sample`` vectors: the sample's neighbour graph is cut into balanced parts
 (principal-direction halving, then rounds in which vertices move to the part of most of their
-neighbours while parts stay within ``slack`` of equal size), and a small network with one hidden layer
-learns the parts of a vector's neighbours from the vector.  The number of parts grows with the number
+neighbours while parts stay within ``slack`` of equal size), and two small networks with one hidden layer
+learn a row's part from the row, and the parts of a query's neighbours from the query.  The number of parts grows with the number
 of rows up to ``most_parts``; the sample and the parts bound what goes through the driver.
 
 Index: every row goes to its most probable part.  Search: every query goes to its most probable parts,
-until their joint probability reaches ``mass`` and at least ``least`` of all parts are in, and what it
+until their joint probability reaches ``mass`` and at least ``least`` of all parts are in; where the neighbours
+of queries kept out of the fit need more than ``mass`` to reach ``goal``, that is taken.  What it
 meets there is ranked by the exact measure in double precision.  A part that holds many rows, or a part
 with many queries, is dealt into blocks, so no task gets a hot part whole; equal vectors are scored once.
 
-The measure is the inner product; ties go to the smaller id.  Parts are learned on vectors scaled to
-length 1, and a component for the vector's length keeps long vectors, which the inner product favours,
-apart.  ``recall`` measures a result against brute force.
+The measure is the inner product; ties go to the smaller id.  It ranks the same whatever the query's own
+length is, so queries are scaled to length 1, and the graph has the true neighbours of the scaled sample among its
+unscaled rows.  Rows keep their length: the halving sees them lifted to (v, sqrt(M^2 - |v|^2)), as the product with
+(q, 0) is theirs with q, and their network has the length as one more component.  ``recall`` measures a result against brute force.
 
 Nulls and ties: vectors that are null, empty, zero or hold null or non-finite components take no part, nor
 do rows without an id.  Vectors of another length than most of the sample are compared with none.
@@ -35,17 +37,28 @@ from pyspark.sql import functions as F
 from brickyard.llm.common import by_length, group_starts, partitions, read_vectors, stored, whole_groups
 
 
+def directions(vectors: np.ndarray) -> np.ndarray:
+    """Vectors scaled to length 1: all that a query's neighbours depend on."""
+    return (vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))).astype(np.float32)
+
+
 def features(vectors: np.ndarray, scale: float) -> np.ndarray:
-    """Unit vectors with their length, relative to ``scale``, as one more component."""
+    """Unit vectors with the logarithm of their length, relative to ``scale``, as one more component."""
     norm = np.sqrt((vectors * vectors).sum(1, keepdims=True))
-    return np.hstack([vectors / norm, np.minimum(norm / scale, 4.0) - 1.0]).astype(np.float32)
+    return np.hstack([directions(vectors), np.clip(np.log2(norm / scale), -8.0, 8.0)]).astype(np.float32)
+
 
+def lifted(vectors: np.ndarray) -> np.ndarray:
+    """Rows with one more component that makes them equally long: nearest by angle is then largest by product."""
+    square = (vectors * vectors).sum(1, keepdims=True)
+    return (np.hstack([vectors, np.sqrt(square.max() - square)]) / np.sqrt(square.max())).astype(np.float32)
 
-def neighbour_graph(x: np.ndarray, k: int, step: int = 1024) -> np.ndarray:
-    """Indices of each row's k nearest other rows."""
+
+def neighbour_graph(x: np.ndarray, k: int, step: int = 1024, queries: np.ndarray | None = None) -> np.ndarray:
+    """Indices of the k other rows with the largest product with each row, or with the row's own vector in ``queries``."""
     out = np.empty((len(x), k), np.int32)
     for lo in range(0, len(x), step):
-        near = x[lo : lo + step] @ x.T
+        near = (x if queries is None else queries)[lo : lo + step] @ x.T
         near[np.arange(len(near)), np.arange(lo, lo + len(near))] = -np.inf
         out[lo : lo + step] = np.argpartition(-near, k - 1, axis=1)[:, :k]
     return out
@@ -122,27 +135,43 @@ class Router:
         return cls(weights)
 
 
-def fit(vectors: np.ndarray, parts: int, k: int = 10) -> tuple[float, list[np.ndarray]]:
-    """(scale, weights) of a router for ``parts`` parts, learned from a sample of vectors."""
+def needed_mass(p: np.ndarray, wanted: np.ndarray, goal: float) -> float:
+    """The joint probability up to which queries must take parts to meet ``goal`` of the parts ``wanted``."""
+    order = np.argsort(-p, axis=1, kind="stable")
+    place = np.argsort(order, axis=1)
+    before = np.cumsum(np.take_along_axis(p, order, 1), axis=1) - np.take_along_axis(p, order, 1)
+    # a part is taken if those before it hold less than the mass
+    need = np.sort(np.take_along_axis(before, np.take_along_axis(place, wanted, 1), 1).ravel())
+    return float(np.nextafter(need[min(int(np.ceil(goal * len(need))), len(need)) - 1], 2))
+
+
+def fit(vectors: np.ndarray, parts: int, k: int = 10, goal: float = 0.96) -> tuple[float, list[np.ndarray], list[np.ndarray], float]:
+    """(scale, weights of the rows' router, weights of the queries' router, mass needed), learned from a sample of vectors."""
     scale = float(np.median(np.sqrt((vectors * vectors).sum(1))))
-    x = features(vectors, scale)
+    x, q = features(vectors, scale), directions(vectors)
     k = min(k, len(x) - 1)
     if parts == 1 or k < 1:
-        return scale, [np.zeros((x.shape[1], 1), np.float32), np.zeros(1, np.float32), np.zeros((1, 1), np.float32), np.zeros(1, np.float32)]
-    graph = neighbour_graph(x, k)
-    part = balanced_parts(x, graph, parts)
+        one = [np.zeros((1, 1), np.float32), np.zeros(1, np.float32)]
+        return scale, *([np.zeros((f.shape[1], 1), np.float32), one[1], *one] for f in (x, q)), 0.0
+    graph = neighbour_graph(vectors.astype(np.float32), k, queries=q)
+    part = balanced_parts(lifted(vectors), graph, parts)
     target = np.zeros((len(x), parts), np.float32)
-    target[np.arange(len(x)), part] += k / 2  # a vector's own part and its neighbours'
-    for column in graph.T:
-        target[np.arange(len(x)), part[column]] += 1
-    return scale, Router.fit(x, target / target.sum(1, keepdims=True)).weights
+    target[np.arange(len(x)), part] = 1
+    rows = Router.fit(x, target).weights
+    held = Router(rows)(x).argmax(1)[graph]  # where the neighbours are in the index
+    target[:] = 0
+    for column in held.T:
+        target[np.arange(len(x)), column] += 1 / k
+    out = max(1, len(x) // 8)
+    asks = Router.fit(q[out:], target[out:]).weights
+    return scale, rows, asks, needed_mass(Router(asks)(q[:out]), held[:out], goal)
 
 
 def _route(model, kind: str, mass: float, least: float):
     """Adds a row's most probable part, and for queries all parts that they are sent to."""
     def run(batches: Iterator[pa.RecordBatch]):
-        size, scale, weights = model.value
-        router = Router(weights)
+        size, scale, weights, asks, needed = model.value
+        rows, asks, most = Router(weights), Router(asks), max(mass, needed)
         for batch in batches:
             own: list = [None] * batch.num_rows
             sent: list = [None] * batch.num_rows
@@ -150,12 +179,13 @@ def _route(model, kind: str, mass: float, least: float):
             for at, vectors in by_length(batch.column("raw"), kind):
                 if vectors.shape[1] != size:
                     continue
-                p = router(features(vectors, scale))
+                best = rows(features(vectors, scale)).argmax(1)
+                p = asks(directions(vectors))
                 order = np.argsort(-p, axis=1, kind="stable")
-                n = (np.cumsum(np.take_along_axis(p, order, 1), axis=1) < mass).sum(1) + 1
+                n = (np.cumsum(np.take_along_axis(p, order, 1), axis=1) < most).sum(1) + 1
                 n = np.minimum(np.maximum(n, int(np.ceil(least * p.shape[1]))), p.shape[1])
                 for k, row in enumerate(at.tolist()):
-                    own[row] = int(order[k, 0])
+                    own[row] = int(best[k])
                     sent[row] = order[k, : n[k]].tolist() if query[row] else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32()), pa.array(sent, pa.list_(pa.int32()))],
                                              names=[*batch.schema.names, "own", "sent"])
@@ -204,7 +234,7 @@ def _search(kind: str, k: int):
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 16384, rows_per_part: int = 2048, most_parts: int = 256,
-           mass: float = 0.96, least: float = 0.25, block: int = 8192, seed: int = 23) -> DataFrame:
+           mass: float = 0.96, least: float = 0.25, goal: float = 0.96, block: int = 8192, seed: int = 23) -> DataFrame:
     """One row per query and neighbour found: query_id, rank, vec_id, score.  ``is_query`` is a condition on the rows."""
     spark, n = vectors.sparkSession, partitions(vectors)
     kind = "float32" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "float64"
@@ -225,8 +255,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 16384, rows_
     parts = 1
     while parts * 2 <= min(total // rows_per_part, most_parts, max(1, len(learned) // 32)):
         parts *= 2
-    scale, weights = fit(learned, parts)
-    model = spark.sparkContext.broadcast((learned.shape[1], scale, weights))
+    model = spark.sparkContext.broadcast((learned.shape[1], *fit(learned, parts, goal=goal)))
     routed = stored(rows.mapInArrow(_route(model, kind, mass, least), "vec_id long, raw binary, query boolean, own int, sent array<int>")
                     .filter("own is not null"), "routed")
     asked = routed.filter("query").select("vec_id", "raw", F.explode("sent").alias("part"))

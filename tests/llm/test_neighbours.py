@@ -56,3 +56,16 @@ def test_balanced_parts():
     assert np.bincount(part, minlength=8).max() <= np.ceil(640 / 8 * 1.05)
     cut = (part[neighbour_graph] != part[:, None]).mean()
     assert cut < 0.75  # chance is 7 of 8
+
+
+def test_recall_of_short_queries_where_lengths_differ(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 24))
+    x = centres[rng.integers(0, 30, 6000)] + 0.6 * rng.normal(size=(6000, 24))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True) * np.exp(0.5 * rng.normal(size=(6000, 1)))).astype(np.float32)
+    got = search(table(spark, x.tolist()), rows_per_part=256, sample=3000).toPandas()
+    ids, length = np.arange(6000), np.linalg.norm(x, axis=1)
+    asked = ids[ids % 20 == 0]
+    short = asked[length[asked] < np.median(length[asked])]
+    assert neighbours.recall(got, x.astype(float), ids, asked, 20) >= 0.9
+    assert neighbours.recall(got, x.astype(float), ids, short, 20) >= 0.9
