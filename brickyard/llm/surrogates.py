@@ -66,24 +66,28 @@ PATTERNS = (
     ("name", rf"\b(?P<title>{_TITLE})\b\.? +(?P<a>{NAME})(?: +(?P<b>{NAME}))?"),
     ("name", rf"\b(?P<a>{_KNOWN}) +(?P<b>{NAME})"),
 )
-KNOWN = frozenset([*TITLES, *(f"{t}." for t in TITLES), *(n for names in FIRST.values() for n in names)])
-#: Digits as all number patterns have them; the patterns themselves are slow on long texts.
-NUMBER = re.compile(r"[0-9][0-9 .()-]{5,}[0-9]")
-NUMBERS = frozenset(("ip", "card", "ssn", "account", "phone"))
-EDGES = "\"'([{<\u201c\u201e\u00ab\u2018,.;:!?)]}>\u201d\u00bb\u2019"
+#: Necessary signs of the slower patterns; each is implied by its patterns, wherever in a text they match.
+#: A title or first name, whatever is before it, up to the first letter of the name that follows.
+NAMED = re.compile(rf"(?:{_TITLE}|{_KNOWN})\.? +[^\W\d_a-zа-яё]")
+#: Seven digits and separators, as ip, card, ssn and phone all have them; in ASCII texts the first is the same and faster.
+NUMBER, NUMBER_ANY = re.compile(r"[0-9][0-9 .()-]{5,}[0-9]"), re.compile(r"\d[\d .()-]{5,}\d")
+NUMBERS = frozenset(("ip", "card", "ssn", "phone"))
+ACCOUNT = re.compile(r"[A-Z]{2}\d{2}")
+SIGNED = frozenset(p for _, p in PATTERNS)
 
 
 def possible(text: str) -> frozenset[str]:
-    """The types of entities that a text may hold, by cheap necessary signs."""
+    """The types of entities that a text may hold, by cheap necessary signs of ``PATTERNS``."""
     kinds = set()
     if "@" in text:
         kinds.add("email")
     if "=" in text or ":" in text or "AKIA" in text or any(p in text for p in ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "xox")):
         kinds.add("secret")
-    if NUMBER.search(text):
+    if (NUMBER if text.isascii() else NUMBER_ANY).search(text):
         kinds |= NUMBERS
-    words = text.split()
-    if not KNOWN.isdisjoint(words) or any(c in text for c in EDGES[:5]) and not KNOWN.isdisjoint(w.strip(EDGES) for w in words):
+    if ACCOUNT.search(text):
+        kinds.add("account")
+    if NAMED.search(text):
         kinds.add("name")
     return frozenset(kinds)
 
@@ -94,7 +98,7 @@ def entities(text: str, compiled) -> list[tuple[int, int, str, str]]:
     taken: list[tuple[int, int]] = []
     kinds = possible(text)
     for kind, pattern in compiled:
-        for m in pattern.finditer(text) if kind in kinds else ():
+        for m in pattern.finditer(text) if kind in kinds or pattern.pattern not in SIGNED else ():
             parts = []
             if kind != "name":
                 parts.append((*(m.span("v") if "v" in pattern.groupindex else m.span()), kind, "n"))

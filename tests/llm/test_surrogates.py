@@ -1,5 +1,6 @@
 """Surrogates: found, replaced, alike in type and format, distinct, and the same everywhere."""
 
+import random
 import re
 
 import pytest
@@ -36,6 +37,38 @@ def test_signs_miss_nothing(spark, monkeypatch):
     assert quick == [S.entities(t, COMPILED) for t in texts]
 
 
+ADVERSARIAL = [
+    ('{"name":"John Smith"}', ["John", "Smith"]), ("Name:John Smith", ["John", "Smith"]), ("user=John Smith", ["John", "Smith"]), ("<p>Dr. Braun", ["Braun"]),
+    ("then\u2014Mr. Darcy", ["Darcy"]), ("\u201cMr. Smith\u201d", ["Smith"]), ("*Mr. Stone*", ["Stone"]), ("a/Mr.  Ümit", ["Ümit"]), ("-г-н Петров", ["Петров"]),
+    ("AB12 CDEF 1234 GHIJ", ["AB12 CDEF 1234 GHIJ"]), ("x,DE89ABCDEFGHIJKL5M.", ["DE89ABCDEFGHIJKL5M"]),
+    ("1.1.1.1", ["1.1.1.1"]), ("(12)345-678", ["(12)345-678"]), ("٤١١١ ١١١١ ١١١١ ١١١١", ["٤١١١ ١١١١ ١١١١ ١١١١"]), ("+12345678", ["+12345678"]),
+    ("\u212aey; to\u212aen:abcdef1", ["abcdef1"]), ("xoxb-0123456789abcdef", ["0123456789abcdef"]), ("ghr_0123456789abcdef", ["0123456789abcdef"]),
+]
+
+
+@pytest.mark.parametrize("text, want", ADVERSARIAL)
+def test_signs_are_implied(text, want, monkeypatch):
+    quick = [text[a:b] for a, b, *_ in S.entities(text, COMPILED)]
+    monkeypatch.setattr(S, "possible", lambda t: frozenset(k for k, _ in S.PATTERNS))
+    assert quick == [text[a:b] for a, b, *_ in S.entities(text, COMPILED)] == want
+
+
+def test_signs_are_implied_in_random_texts(monkeypatch):
+    rng, possible = random.Random(5), S.possible
+    bits = ["Mr", "Mr.", "Dr", "John", "Анна", "Smith", "Петров", "Ü", "AB12", "CDEF", "1234", "٤٤٤", "12", "a@b.cd", "1.2.3.4", "token", "=", ":", '"', "\u2014", "*", "_", "-", "+", "(", ")", ".", " ", " ", " ", "\n", "x", "9" * 9, "078-05-1120", "sk-", "AKIA" + "Z" * 16]
+    for _ in range(3000):
+        text = "".join(rng.choices(bits, k=rng.randrange(1, 14)))
+        monkeypatch.setattr(S, "possible", possible)
+        quick = S.entities(text, COMPILED)
+        monkeypatch.setattr(S, "possible", lambda t: frozenset(k for k, _ in S.PATTERNS))
+        assert quick == S.entities(text, COMPILED), text
+
+
+def test_own_patterns_have_no_signs():
+    own = [("badge", re.compile(r"#\w+"))]
+    assert [(k, "agent 7 #x1"[a:b]) for a, b, k, _ in S.entities("agent 7 #x1", own)] == [("badge", "#x1")]
+
+
 def test_type_and_format():
     make = lambda kind, value, gender="n": S.surrogate(b"k", kind, gender, value, 0)
     assert re.fullmatch(r"[a-z]{3}\.[a-z]\d@[a-z]{4}\d\.example\.org", make("email", "ada.b1@mail3.firm.org"))
