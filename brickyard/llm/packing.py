@@ -15,7 +15,8 @@ goes to the driver and back; a shard's index is bounded by its documents.
 
 Ids are those of the ``tokenizers`` library.  For byte-level BPE files they are made by ``tiktoken`` from the
 file's own vocabulary, which is several times faster; every task compares some texts first and goes
-back to ``tokenizers`` if they differ.
+back to ``tokenizers`` if they differ.  The string of an added token, as ``<|endoftext|>``, is that token's id, as
+``tokenizers`` has it by default; texts that hold one always go to ``tokenizers``.
 
 Nulls and ties: null and empty texts are the end id alone; null doc_ids come back as they came; repeated
 rows are packed separately.  Scores that tie go by the seeded order.  Extra columns are ignored.  An
@@ -25,6 +26,7 @@ empty input gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 
@@ -54,25 +56,28 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.fast = None
+        self.fast = self.added = None
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         split = spec.get("pre_tokenizer") or {}
-        if spec["model"].get("type", "BPE") == "BPE" and split.get("type") == "ByteLevel" and not split.get("add_prefix_space"):
+        if spec["model"].get("type", "BPE") == "BPE" and not spec.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space"):
             import tiktoken
 
             letters, special = _byte_letters(), {t["content"] for t in spec["added_tokens"]}
+            if special:
+                self.added = re.compile("|".join(map(re.escape, special)))
             ranks = {bytes(letters[c] for c in w): k for w, k in spec["model"]["vocab"].items() if w not in special}
             self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def compare(self, texts: list[str]) -> None:
         """Keep the fast way only if it agrees with the library."""
-        if self.fast and [self.fast.encode_ordinary(t) for t in texts] != [e.ids for e in self.slow.encode_batch(texts, add_special_tokens=False)]:
+        if self.fast and [self(t) for t in texts] != [e.ids for e in self.slow.encode_batch(texts, add_special_tokens=False)]:
             self.fast = None
 
     def __call__(self, text: str) -> list[int]:
-        return self.fast.encode_ordinary(text) if self.fast else self.slow.encode(text, add_special_tokens=False).ids
+        if self.fast and not (self.added and self.added.search(text)):
+            return self.fast.encode_ordinary(text)
+        return self.slow.encode(text, add_special_tokens=False).ids
 
 
 def crc(ids: np.ndarray) -> int:

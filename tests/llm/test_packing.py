@@ -59,6 +59,14 @@ def test_round_trip(docs, words, shard_docs):
     assert len(short) <= -(-len(data) // shard_docs)
 
 
+def test_added_tokens_are_their_ids(docs, words):
+    data = [(104, "<|endoftext|> x"), (105, "a <|endoftext|> b"), (106, "<|endoftext|>" * 200), (107, f"{words(1, 300)}<|endoftext|>{words(2, 300)}"), (108, "<|endoftext> |x|"), (109, "")]
+    assert packing.Encoder(PATH)("a <|endoftext|> b") == Tokenizer.from_file(PATH).encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    got = packing.pack(docs(data), PATH, window=128).collect()
+    check(got, data, 128)
+    assert {r.doc_tokens for r in got if r.doc_id == 106} == {201}
+
+
 def test_neighbours_share_words(docs):
     rng = random.Random(0)
     topics = [[f"t{t}word{k}" for k in range(30)] for t in range(6)]
