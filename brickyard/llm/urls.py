@@ -4,12 +4,16 @@ Rules are ``host/path`` prefixes with a verdict; a rule fits its host and all su
 starts with the rule's, and the longest fitting rule wins.
 
 What no rule covers is judged by its words.  Names such as ``cheappills`` are cut into words by a
-unigram Viterbi search: the cut with the most probable words under the counts of all words of all
-pages, where a word not counted costs a factor of ten per letter.  The model keeps the ``vocabulary``
-most frequent words.  A multinomial naive Bayes model then weighs the tokens.  It is trained on all
+unigram Viterbi search: the cut with the most probable words under the counts of all words (two letters or more, of any
+script and length) of all pages, where a word not counted costs a factor of ten per letter.  A
+multinomial naive Bayes model then weighs the tokens.  It is trained on all
 urls, weakly labelled: a url with a word from ``names`` counts for the block class, the others for
-allow, so words that go along with blocked names count too.  A token counts once a url.  It keeps the ``vocabulary`` most frequent
-tokens; both bounds are parameters and bound what is broadcast.
+allow, so words that go along with blocked names count too.  A token counts once a url.
+
+All counts stay in tables.  The distinct runs of letters in names are dealt into blocks, and a block is joined to the
+counts of its runs' substrings (those as long as some counted word); urls are dealt into blocks too, and a block
+is joined to the cuts of its runs and to the weights of its tokens.  So a task holds what one block needs, a
+frequent run or token is met once a block, and only sums go to the driver.
 
 Nulls and ties: a null url, or one without ``://``, has an empty host and path and gets the verdict of
 no tokens (the prior's, allow).  Null page ids and repeated rows come back as they came.  Null html has
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brickyard.llm.common import small_batches
+from brickyard.llm.common import group_starts, small_batches, stored, whole_groups
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Words of names that are blocked: betting, adult, pills, loans, advertising, spam.
@@ -35,7 +39,9 @@ NAMES = ("bet", "bets", "betting", "casino", "poker", "jackpot", "slots", "win",
          "adult", "xxx", "porn", "sex", "escort", "cheap", "pills", "pharmacy", "viagra",
          "loan", "loans", "payday", "ads", "adserver", "track", "tracker", "popup", "spam", "farm", "phish", "malware")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LONGEST = 24
+#: A run of letters, of names and of pages alike.
+LETTERS = r"[^\W0-9_]"
+PARTS = re.compile(rf"[0-9]+|{LETTERS}+")
 
 
 def split_url(url):
@@ -58,45 +64,46 @@ def rule_for(host, path, rules: Sequence[tuple[str, str]]):
 class Segmenter:
     """Unigram Viterbi segmentation of lower-case names."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = max(sum(counts.values()), 1)
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.total = max(sum(counts.values()) if total is None else total, 1)
         self.cost = {w: -math.log(n / self.total) for w, n in counts.items()}
-        self.seen: dict[str, list[str]] = {}
+        self.sizes = sorted({len(w) for w in counts})
 
     def price(self, word: str) -> float:
         known = self.cost.get(word)
         return math.log(self.total) + math.log(10) * len(word) if known is None else known
 
     def __call__(self, name: str) -> list[str]:
-        if name in self.seen:
-            return self.seen[name]
+        letter, none = math.log(10), math.log(self.total)
         best, back = [0.0], [0]
+        low, at = 0.0, 0  # the best start of a word that isn't counted, less what its letters before cost
         for end in range(1, len(name) + 1):
-            cost, start = min((best[s] + self.price(name[s:end]), s) for s in range(max(0, end - LONGEST), end))
+            cost, start = low + none + letter * end, at
+            for size in self.sizes:
+                if size > end:
+                    break
+                known = self.cost.get(name[end - size : end])
+                if known is not None:
+                    cost, start = min((cost, start), (best[end - size] + known, end - size))
             best.append(cost)
             back.append(start)
+            if cost - letter * end < low:
+                low, at = cost - letter * end, end
         words, end = [], len(name)
         while end:
             words.append(name[back[end] : end])
             end = back[end]
-        if len(self.seen) >= 200_000:
-            self.seen.clear()
-        if len(name) <= 64:
-            self.seen[name] = words[::-1]
         return words[::-1]
 
 
-def tokens(host: str, path: str, segment: Segmenter) -> list[str]:
-    """Words of the host's labels and of the path; runs of digits are one token."""
-    out = []
-    for part in re.findall(r"[0-9]+|[^\W0-9_]+", f"{host} {path}".lower()):
-        out += ["<number>"] if part[0].isdigit() else segment(part)
-    return out
+def parts(host: str, path: str) -> list[str]:
+    """Runs of letters and runs of digits of the host's labels and of the path."""
+    return PARTS.findall(f"{host} {path}".lower())
 
 
 def _words(batches):
     counts: Counter[str] = Counter()
-    word, tag = re.compile(r"[a-z]{2,24}"), re.compile(r"<script.*?</script>|<style.*?</style>|<[^>]*>", re.S)
+    word, tag = re.compile(rf"{LETTERS}{{2,}}"), re.compile(r"<script.*?</script>|<style.*?</style>|<[^>]*>", re.S)
     for batch in batches:
         for html in batch.column(0):
             if html.is_valid:
@@ -111,65 +118,133 @@ def _counted(counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
 
-def _labelled(words, names: frozenset[str]):
+def _asked(batches):
+    """Distinct (block, run of letters) of urls, by batch."""
+    for batch in batches:
+        own = {(k, p) for k, h, t in zip(*(batch.column(c).to_pylist() for c in ("block", "host", "path")), strict=True) for p in parts(h, t) if not p[0].isdigit()}
+        block, part = zip(*own, strict=True) if own else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(part, pa.string())], names=["block", "part"])
+
+
+def _substrings(sizes):
+    """Distinct (block, substring) of runs, of the sizes that counted words have, in batches of bounded size."""
+    def made(own):
+        block, word = zip(*own, strict=True) if own else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(word, pa.string())], names=["block", "word"])
+
     def run(batches):
-        segment = Segmenter(words.value)
+        own: set[tuple[int, str]] = set()
+        letters = 0
         for batch in batches:
-            counts: Counter[tuple[str, bool]] = Counter()
-            for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = set(tokens(host, path, segment))
-                blocked = not names.isdisjoint(own)
-                counts.update((t, blocked) for t in own)
-                counts[None, blocked] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in counts], pa.string()), pa.array([b for _, b in counts], pa.bool_()),
-                                              pa.array(list(counts.values()), pa.int64())], names=["token", "blocked", "n"])
+            for block, part in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                for size in sizes.value:
+                    if size > len(part):
+                        break
+                    for k in range(len(part) - size + 1):
+                        own.add((block, part[k : k + size]))
+                        letters += size
+                        if letters > 4_000_000:
+                            yield made(own)
+                            own.clear()
+                            letters = 0
+        yield made(own)
     return run
 
 
-def log_odds(blocked: dict[str, int], allowed: dict[str, int], urls: tuple[int, int], smooth: float) -> tuple[float, dict[str, float]]:
-    """The prior's log odds of block against allow, and each token's."""
-    known = {*blocked, *allowed}
-    b, a = sum(blocked.values()) + smooth * (len(known) + 1), sum(allowed.values()) + smooth * (len(known) + 1)
-    weight = {t: math.log((blocked.get(t, 0) + smooth) / b) - math.log((allowed.get(t, 0) + smooth) / a) for t in known}
-    return math.log((urls[0] + 1) / (urls[1] + 1)), weight
+def _blocks(batches):
+    """Tables of one block each."""
+    for table in whole_groups(batches, ["block"]):
+        starts = group_starts(table, ["block"]).tolist()
+        for lo, hi in zip(starts, [*starts[1:], table.num_rows], strict=True):
+            yield table.slice(lo, hi - lo)
 
 
-def _score(words, bayes):
+def _cut(total: int):
+    """(part, tokens) of the runs of each block, by its words' counts."""
     def run(batches):
-        segment, (prior, weight) = Segmenter(words.value), bayes.value
-        for batch in batches:
-            host, path = batch.column("host").to_pylist(), batch.column("path").to_pylist()
-            odds = [prior + sum(weight.get(t, 0.0) for t in set(tokens(h, p, segment))) for h, p in zip(host, path, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds, pa.float64())], names=[*batch.schema.names, "log_odds"])
+        for t in _blocks(batches):
+            word, n, part = (t.column(c).to_pylist() for c in ("word", "n", "part"))
+            segment = Segmenter({w: k for w, k in zip(word, n, strict=True) if w is not None}, total)
+            own = [p for p in part if p is not None]
+            for lo in range(0, len(own), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(own[lo : lo + 1000], pa.string()), pa.array([segment(p) for p in own[lo : lo + 1000]], pa.list_(pa.string()))], names=["part", "tokens"])
     return run
 
 
+def _tokens(names: frozenset[str]):
+    """Adds the tokens of each url, and whether one is a listed name, by the cuts of its block's runs."""
+    def run(batches):
+        for t in _blocks(batches):
+            cuts = {p: c for p, c in zip(t.column("part").to_pylist(), t.column("cut").to_pylist(), strict=True) if p is not None}
+            t = t.filter(t.column("host").is_valid())
+            for batch in t.select(["block", "page_id", "host", "path"]).to_batches(1000):
+                own = []
+                for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
+                    own.append(list(dict.fromkeys(x for p in parts(host, path) for x in (("<number>",) if p[0].isdigit() else cuts[p]))))
+                blocked = [not names.isdisjoint(o) for o in own]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.string())), pa.array(blocked, pa.bool_())], names=[*batch.schema.names, "tokens", "blocked"])
+    return run
+
+
+def _score(prior: float):
+    def run(batches):
+        for t in _blocks(batches):
+            weight = {x: w for x, w in zip(t.column("token").to_pylist(), t.column("weight").to_pylist(), strict=True) if x is not None}
+            t = t.filter(t.column("host").is_valid())
+            for batch in t.select(["page_id", "host", "path", "tokens"]).to_batches(1000):
+                odds = [prior + sum(weight[x] for x in own) for own in batch.column("tokens").to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(odds, pa.float64())], names=["page_id", "host", "path", "log_odds"])
+    return run
+
+
+def _by_block(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The rows of both, with nulls in the columns that one lacks, whole blocks in a task."""
+    return a.unionByName(b, allowMissingColumns=True).repartition("block").sortWithinPartitions("block")
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, names: Sequence[str] = NAMES,
-          vocabulary: int = 50_000, smooth: float = 0.5, seed_count: int = 5) -> DataFrame:
-    """One row per page: page_id, host, path, rule, verdict, log_odds (over 0: block, where no rule fits)."""
+          smooth: float = 0.5, seed_count: int = 5, block: int = 4_000_000) -> DataFrame:
+    """One row per page: page_id, host, path, rule, verdict, log_odds (over 0: block, where no rule fits).
+
+    A block of urls, or of runs, has about ``block`` letters; each of them counts for 64 more.
+    """
     small_batches(pages)
-    sc = pages.sparkSession.sparkContext
-    text = pages.select(F.col("html").cast("string").alias("html"))
-    common = (text.mapInArrow(_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-              .orderBy(F.desc("n"), "word").limit(vocabulary).collect())  # at most ``vocabulary`` rows
-    counts = {r.word: r.n for r in common}
-    for name in names:
-        counts[name] = counts.get(name, 0) + seed_count
-    words = sc.broadcast(counts)
+    spark = pages.sparkSession
+    sc = spark.sparkContext
+    kind = pages.schema["page_id"].dataType.simpleString()
     host, path = split_url(F.col("url").cast("string"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
-    seen = (urls.select("host", "path").mapInArrow(_labelled(words, frozenset(names)), "token string, blocked boolean, n long")
-            .groupBy("token").agg(F.sum(F.when(F.col("blocked"), F.col("n")).otherwise(0)).alias("b"),
-                                  F.sum(F.when(F.col("blocked"), 0).otherwise(F.col("n"))).alias("a")))
-    top = seen.orderBy(F.col("token").isNotNull(), F.desc(F.col("a") + F.col("b")), "token").limit(vocabulary + 1).collect()
-    b = {r.token: r.b for r in top if r.token is not None}
-    a = {r.token: r.a for r in top if r.token is not None}
-    for name in names:
-        b[name] = b.get(name, 0) + seed_count
-    n = next(((r.b, r.a) for r in top if r.token is None), (0, 0))
-    model = sc.broadcast(log_odds(b, a, (min(n), max(n)), smooth))
+    listed = spark.createDataFrame([(n, seed_count) for n in sorted(set(names))], "word string, n long")
+    text = pages.select(F.col("html").cast("string").alias("html"))
+    words = stored(text.mapInArrow(_words, "word string, n long").unionAll(listed).groupBy("word").agg(F.sum("n").alias("n")), "words")
+    total = int(words.agg(F.sum("n")).first()[0] or 0)
+    sizes = sc.broadcast(sorted(r[0] for r in words.select(F.length("word")).distinct().collect()))  # one number for each length
+
+    def dealt(df: DataFrame, letters, by: str) -> DataFrame:
+        size = int(df.agg(F.sum(letters + 64)).first()[0] or 0)
+        return df.withColumn("block", F.pmod(F.xxhash64(by), F.lit(size // block + 1)).cast("int"))
+
+    # dealt by row, as any number of rows may share a url
+    urls = stored(pages.select("page_id", host.alias("host"), path.alias("path"), F.monotonically_increasing_id().alias("row")), "urls")
+    urls = dealt(urls, F.length("host") + F.length("path"), "row").drop("row")
+    asked = stored(urls.mapInArrow(_asked, "block int, part string").distinct(), "asked")
+    runs = dealt(stored(asked.select("part").distinct(), "runs"), F.length("part"), "part")
+    known = runs.mapInArrow(_substrings(sizes), "block int, word string").distinct().join(words, "word")
+    cuts = stored(_by_block(runs, known).select("block", "part", "word", "n").mapInArrow(_cut(total), "part string, tokens array<string>"), "cuts")
+    cut = asked.join(cuts, "part").select("block", "part", F.col("tokens").alias("cut"))
+    seen = stored(_by_block(urls, cut).mapInArrow(_tokens(frozenset(names)), f"block int, page_id {kind}, host string, path string, tokens array<string>, blocked boolean"), "tokens")
+    n = [r["count"] for r in seen.groupBy("blocked").count().collect()] + [0, 0]
+    prior = math.log((min(n[:2]) + 1) / (max(n[:2]) + 1))
+    # every token's counts in blocked and other urls
+    one = F.col("blocked").cast("long")
+    counts = (seen.select(F.explode("tokens").alias("token"), one.alias("b"), (1 - one).alias("a"))
+              .unionAll(listed.select("word", "n", F.lit(0).cast("long"))).groupBy("token").agg(F.sum("b").alias("b"), F.sum("a").alias("a")))
+    counts = stored(counts, "counts")
+    all_b, all_a, k = (int(v or 0) for v in counts.agg(F.sum("b"), F.sum("a"), F.count("*")).first())
+    extra = smooth * (k + 1)
+    weight = F.log((F.col("b") + smooth) / (all_b + extra)) - F.log((F.col("a") + smooth) / (all_a + extra))
+    weights = (seen.select("block", F.explode("tokens").alias("token")).distinct()
+               .join(counts.select("token", weight.alias("weight")), "token").select("block", "token", "weight"))
     rule, says = rule_for(F.col("host"), F.col("path"), rules)
-    kind = pages.schema["page_id"].dataType.simpleString()
-    return (urls.mapInArrow(_score(words, model), f"page_id {kind}, host string, path string, log_odds double")
+    return (_by_block(seen.drop("blocked"), weights).mapInArrow(_score(prior), f"page_id {kind}, host string, path string, log_odds double")
             .select("page_id", "host", "path", rule.alias("rule"),
                     F.coalesce(says, F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"), "log_odds"))

@@ -2,6 +2,9 @@
 
 import math
 import re
+from collections import Counter
+
+import pytest
 
 from brickyard.llm import urls
 
@@ -60,6 +63,46 @@ def test_classifier_blocks_segmented_names(spark):
     assert all(r.verdict == ("block" if r.page_id >= 1000 else "allow") for r in got)
 
 
+def plain_odds(rows):
+    """Every row's log odds in plain Python: all words, all tokens."""
+    counts = Counter(dict.fromkeys(urls.NAMES, 5))
+    for _, _, html in rows:
+        counts.update(re.findall(r"[^\W0-9_]{2,}", re.sub("<[^>]*>", " ", html or "").lower()))
+    total = sum(counts.values())
+
+    def cut(s):
+        best = [(0.0, [])]
+        for e in range(1, len(s) + 1):
+            price = lambda w: math.log(total / counts[w]) if w in counts else math.log(total) + math.log(10) * len(w)
+            best.append(min((best[b][0] + price(s[b:e]), [*best[b][1], s[b:e]]) for b in range(e)))
+        return best[-1][1]
+
+    own = [[w for x in re.findall(r"[0-9]+|[^\W0-9_]+", " ".join(parts(u)).lower()) for w in (["<number>"] if x[0].isdigit() else cut(x))] for _, u, _ in rows]
+    bad = [not set(urls.NAMES).isdisjoint(o) for o in own]
+    b, a = Counter(dict.fromkeys(urls.NAMES, 5)), Counter()
+    for o, is_bad in zip(own, bad, strict=True):
+        (b if is_bad else a).update(set(o))
+    known = {*a, *b}
+    extra = 0.5 * (len(known) + 1)
+    weight = {t: math.log((b[t] + 0.5) / (b.total() + extra)) - math.log((a[t] + 0.5) / (a.total() + extra)) for t in known}
+    prior = math.log((min(sum(bad), len(bad) - sum(bad)) + 1) / (max(sum(bad), len(bad) - sum(bad)) + 1))
+    return [prior + sum(weight[t] for t in set(o)) for o in own]
+
+
+@pytest.mark.parametrize("block", [4_000_000, 300])
+def test_every_word_and_token_counts(spark, block):
+    """More words and tokens than any bound, words of other scripts and very long ones, against plain Python."""
+    name = lambda k: "q" + "".join("aeioubcdfg"[int(d)] for d in f"{k:05d}")
+    long = "donaudampfschifffahrtsgesellschaft"
+    rare = f"<p>zebra quartz {long} сад погода łąka</p>"
+    rows = [(k, f"http://{name(9 * k)}.{name(7 * k + 1)}.info/x/{k}/{k}", " ".join(name(j) for j in range(52_000)) if k < 2 else rare if k == 2 else None) for k in range(60)]
+    rows += [(100 + k, f"http://cheap-zebra.cheap-{x}.info/{x}", None) for k, x in enumerate(["quartz", long, "сад", "łąka"])]
+    rows += [(200 + k, f"http://{x}.info", None) for k, x in enumerate(["zebraquartz", f"zebra{long}", f"{long}quartz", "садпогода", "łąkazebra", "zz" * 40])]
+    got = {r.page_id: r.log_odds for r in urls.judge(table(spark, rows), block=block).collect()}
+    for (k, *_), odds in zip(rows, plain_odds(rows), strict=True):
+        assert math.isclose(got[k], odds, abs_tol=1e-9), k
+
+
 def test_odd_rows_and_empty_table(spark):
     assert urls.judge(table(spark, [])).collect() == []
     got = urls.judge(table(spark, [(None, "http://a.org/x", None), (1, None, ""), (1, None, ""), (2, "http://a.com/" + "long" * 20_000, None)])).collect()
