@@ -48,11 +48,14 @@ SHAPE = bytes(b"a"[0] if 97 <= c <= 122 or c >= 128 else b"A"[0] if 65 <= c <= 9
 
 
 class Shapes(dict):
-    """Hashes of shapes, words with letters and digits as classes and runs as one: ``Hello!!`` is ``Aa!``."""
+    """Hashes of shapes, words with letters and digits as classes and runs as one: ``Hello!!`` is ``Aa!``.  Long ones aren't kept."""
 
     def __missing__(self, kinds: bytes) -> int:
         if len(self) >= 100_000:
             self.clear()
+        if len(kinds) > 64:
+            at = np.frombuffer(kinds, np.uint8)
+            return xxhash.xxh64_intdigest(at[np.append(True, at[1:] != at[:-1])].tobytes(), seed=1) & 0xFFFFFFFF
         shape = bytes(c for k, c in enumerate(kinds) if not k or c != kinds[k - 1])
         self[kinds] = value = xxhash.xxh64_intdigest(shape, seed=1) & 0xFFFFFFFF
         return value
@@ -70,7 +73,7 @@ class Vocabulary(dict):
         if k == len(self.codes):
             self.codes = np.concatenate([self.codes, np.empty_like(self.codes)])
         bare = word.lower().strip(PUNCTUATION)
-        self.codes[k] = (xxhash.xxh64_intdigest(bare) & 0xFFFFFFFF, int.from_bytes(bare[:4]), self.shapes[word[:64].translate(SHAPE)])
+        self.codes[k] = (xxhash.xxh64_intdigest(bare) & 0xFFFFFFFF, int.from_bytes(bare[:4]), self.shapes[word.translate(SHAPE)])
         self[word] = k
         return k
 

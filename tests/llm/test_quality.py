@@ -68,3 +68,13 @@ def test_no_labels_keep_all_and_empty_table(spark, docs, words):
     for labels in (none, good):
         assert [r.kept for r in quality.resample(docs(rows), labels).collect()] == [True, True]
         assert quality.resample(docs([]), labels).collect() == []
+
+
+def test_shapes_are_of_whole_words():
+    shapes = quality.Shapes()
+    shape = lambda w: shapes[w.encode().translate(quality.SHAPE)]
+    assert shape("x" * 500) == shape("x") and shape("Ab1" * 30) != shape("Ab1" * 31)
+    code = quality.Grams(20)
+    code("http://" + "a" * 80 + " http://" + "a" * 80 + "/B7")
+    assert code.words.codes[0, 2] != code.words.codes[1, 2]
+    assert shape("Hello!!" + "o" * 70) == shape("Hi!o")
