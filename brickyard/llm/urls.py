@@ -8,7 +8,7 @@ unigram Viterbi search: the cut with the most probable words under the counts of
 script and length) of all pages, where a word not counted costs a factor of ten per letter.  A
 multinomial naive Bayes model then weighs the tokens.  It is trained on all
 urls, weakly labelled: a url with a word from ``names`` counts for the block class, the others for
-allow, so words that go along with blocked names count too.  A token counts once a url.
+allow, so words that go along with blocked names count too.  A token counts as often as a url has it.
 
 All counts stay in tables.  The distinct runs of letters in names are dealt into blocks, and a block is joined to the
 counts of its runs' substrings (those as long as some counted word); urls are dealt into blocks too, and a block
@@ -180,7 +180,7 @@ def _tokens(names: frozenset[str]):
             for batch in t.select(["block", "page_id", "host", "path"]).to_batches(1000):
                 own = []
                 for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                    own.append(list(dict.fromkeys(x for p in parts(host, path) for x in (("<number>",) if p[0].isdigit() else cuts[p]))))
+                    own.append([x for p in parts(host, path) for x in (("<number>",) if p[0].isdigit() else cuts[p])])
                 blocked = [not names.isdisjoint(o) for o in own]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.string())), pa.array(blocked, pa.bool_())], names=[*batch.schema.names, "tokens", "blocked"])
     return run

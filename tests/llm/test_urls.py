@@ -81,12 +81,12 @@ def plain_odds(rows):
     bad = [not set(urls.NAMES).isdisjoint(o) for o in own]
     b, a = Counter(dict.fromkeys(urls.NAMES, 5)), Counter()
     for o, is_bad in zip(own, bad, strict=True):
-        (b if is_bad else a).update(set(o))
+        (b if is_bad else a).update(o)
     known = {*a, *b}
     extra = 0.5 * (len(known) + 1)
     weight = {t: math.log((b[t] + 0.5) / (b.total() + extra)) - math.log((a[t] + 0.5) / (a.total() + extra)) for t in known}
     prior = math.log((min(sum(bad), len(bad) - sum(bad)) + 1) / (max(sum(bad), len(bad) - sum(bad)) + 1))
-    return [prior + sum(weight[t] for t in set(o)) for o in own]
+    return [prior + sum(weight[t] for t in o) for o in own]
 
 
 @pytest.mark.parametrize("block", [4_000_000, 300])
