@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickyard.llm import covertree, minhash, mixing, neighbours, packing, quality, repeats, sharding, surrogates, urls
+from brickyard.llm import covertree, lines, merkle, minhash, mixing, negatives, neighbours, oracle, packing, quality, repeats, sharding, surrogates, urls
 from brickyard.llm.common import table
 
 SHARDS = 8
@@ -63,6 +63,31 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_replaced")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = [merkle.encoded(merkle.lower_ascii(F.col(c)) if c == "text" else F.col(c)) for c in columns]
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = merkle.manifest(docs, columns, id="doc_id", group="source", changed=F.when(chosen & F.col("text").isNotNull(), merkle.digest(*tampered)), fanout=16)
+    out = merkle.verified(found)
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+#: Limits of op12, for the query and its SQL.
+LINES = {"least_docs": 10, "share": 0.01, "symbol_words": 10, "least_words": 10, "most_repeated": 20, "least_left": 30}
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.rules(table(spark, sf_dir, "documents"), **LINES)
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, seventh = table(spark, sf_dir, "embeddings"), F.col("vec_id") % 7 == 0
+    label = F.col("label").cast("long")
+    rows = rows.withColumn("label", F.when(seventh, (label + 1) % 10).otherwise(label))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low=30, high=90, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_repeats": op2_repeats,
@@ -74,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_surrogates": op10_surrogates,
+    "op11_merkle": op11_merkle,
+    "op12_lines": op12_lines,
+    "op13_negatives": op13_negatives,
 }
 #: No query is here whose whole result SQL can't give; they are tested against brute force instead.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_merkle": oracle.OP11_MERKLE, "op12_lines": oracle.op12_lines(**LINES), "op13_negatives": oracle.OP13_NEGATIVES}
