@@ -115,7 +115,8 @@ def _jump(cur: DataFrame, height: int, salts: int) -> DataFrame:
     distance = 1
     while distance < height:
         n = salts if distance >= 4 else 1
-        ancestors = cur.select(*[F.col(c).alias(f"a_{c}") for c in cur.columns], F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("a_salt"))
+        # inside a group's tree a pointer at this distance ends above this level
+        ancestors = cur.filter((F.col("tree") == TOP) | (F.col("level") > distance)).select(*[F.col(c).alias(f"a_{c}") for c in cur.columns], F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("a_salt"))
         open_ = cur.filter("up_tree is not null").withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(n)).cast("int"))
         on = [F.col(f"up_{c}") == F.col(f"a_{c}") for c in key] + [F.col("salt") == F.col("a_salt")]
         moved = open_.join(ancestors, on).select(*key, *[F.col(f"a_up_{c}").alias(f"up_{c}") for c in key], F.concat("seg", "a_seg").alias("seg"),
