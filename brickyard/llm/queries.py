@@ -59,7 +59,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = surrogates.replace(table(spark, sf_dir, "documents"), count="n_replaced")
+    out = surrogates.replace(table(spark, sf_dir, "documents"), surrogates.key_of(spark), count="n_replaced")
     return out.select("doc_id", "text", "n_replaced")
 
 

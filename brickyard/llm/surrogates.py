@@ -4,15 +4,20 @@ Found are e-mail addresses, telephone numbers, IPv4 addresses, payment-card and
 security numbers, secrets (keys, tokens, passwords) and names of persons after a form of address
 or a known first name.  A surrogate comes from a keyed hash of the type and the value, letter by
 letter: digits become digits, upper-case letters upper-case, hexadecimal digits hexadecimal, and
-separators stay.  A card number that passes the check digit still does; an address keeps valid octets; an
+separators stay, and letters of other scripts become letters of theirs.  A value that holds nothing of the kind
+(asterisks, dots) becomes letters of its length.  A card number that passes the check digit still does; an address keeps valid octets; an
 e-mail address moves to an example domain of its top domain; a name keeps its script, and a first name the gender of its form
 of address, its list or its ending.
 
-The same value gets the same surrogate everywhere (coreference): first and last names are entities of
-their own, so "Ms Ada Brook" and "Ms Brook" still agree.  Distinct values get distinct surrogates.  The
+The same value gets the same surrogate everywhere (coreference): first and last names, and an address's mailbox and domain, are
+entities of their own, so "Ms Ada Brook" and "Ms Brook" still agree.  Distinct values get distinct surrogates.  The
 distinct entities of the whole collection are gathered in a table, and while two share a surrogate,
 or a surrogate is another entity's real value, all but the first of them are hashed again with the
-next attempt number.  Texts without entities aren't shuffled.
+next attempt number.  From attempt ``LONGER`` on a surrogate gets a keyed ending that grows, so there is
+always one left.  Texts without entities aren't shuffled.
+
+The key is the caller's: whoever holds it can rebuild the table of short values, so it belongs in a
+secret store and not in the source.
 
 Nulls and ties: null and empty texts come back as they are, as do null ids and all other columns,
 whatever their names; repeated rows come back as often as they came.  An empty input gives an empty result.
@@ -23,11 +28,15 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 import string
+import unicodedata
+from bisect import bisect_left, insort
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,12 +104,20 @@ def possible(text: str) -> frozenset[str]:
 def entities(text: str, compiled) -> list[tuple[int, int, str, str]]:
     """(start, end, type, gender) of a text's entities in order; they don't overlap."""
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # in order, without overlaps
+
+    def free(s: int, e: int) -> bool:
+        k = bisect_left(taken, (s, e))
+        return not (k < len(taken) and taken[k][0] < e) and not (k and taken[k - 1][1] > s)
+
     kinds = possible(text)
     for kind, pattern in compiled:
         for m in pattern.finditer(text) if kind in kinds or pattern.pattern not in SIGNED else ():
             parts = []
-            if kind != "name":
+            if kind == "email":
+                at = text.rindex("@", m.start(), m.end())
+                parts += [(m.start(), at, "mailbox", "n"), (at + 1, m.end(), "domain", "n")]
+            elif kind != "name":
                 parts.append((*(m.span("v") if "v" in pattern.groupindex else m.span()), kind, "n"))
             else:
                 title = m.group("title") if "title" in pattern.groupindex else None
@@ -111,10 +128,10 @@ def entities(text: str, compiled) -> list[tuple[int, int, str, str]]:
                     parts += [(*m.span("b"), "last", "n")] if m.group("b") else []
                 else:
                     parts.append((*m.span("a"), "last", "n"))
-            if any(s < e2 and s2 < e for s, e, *_ in parts for s2, e2 in taken):
-                continue
-            taken += [(s, e) for s, e, *_ in parts]
-            found += parts
+            if all(free(s, e) for s, e, *_ in parts):
+                for s, e, *_ in parts:
+                    insort(taken, (s, e))
+                found += parts
     return sorted(found)
 
 
@@ -126,21 +143,42 @@ def _stream(key: bytes, *what: str):
         block += 1
 
 
+@lru_cache(maxsize=65536)
+def alphabet(c: str) -> str:
+    """The letters or digits that may stand for ``c``: of its script, its category and its part of the code table."""
+    if c.isascii():
+        return string.digits if c.isdigit() else string.ascii_uppercase if c.isupper() else string.ascii_lowercase if c.islower() else ""
+    kind = unicodedata.category(c)
+    if kind == "Nd":
+        zero = ord(c) - unicodedata.digit(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    if kind[0] != "L":
+        return ""
+    lo = ord(c) & ~127
+    like = (chr(k) for k in range(lo, lo + 128) if unicodedata.category(chr(k)) == kind)
+    return "".join(x for x in like if script(x) == script(c))
+
+
+def script(c: str) -> str:
+    """First word of a letter's name in the code table, as LATIN, GREEK, CJK."""
+    return unicodedata.name(c, "").split(" ")[0].lower()
+
+
+def _pick(chars: str, draw) -> str:
+    return chars[(next(draw) << 8 | next(draw)) % len(chars)]
+
+
 def _same_kinds(value: str, draw) -> str:
-    """Character by character of the same class; hexadecimal values stay hexadecimal."""
-    hexa = re.fullmatch(r"(?=\d*[a-f])[0-9a-f]{8,}", value) is not None
-    def pick(chars: str) -> str:
-        return chars[(next(draw) << 8 | next(draw)) % len(chars)]
+    """Character by character of the same class and script; hexadecimal values stay hexadecimal."""
+    hexa = re.fullmatch(r"(?=\d*[a-f])[0-9a-f]{8,}", value) is not None and value.isascii()
     out = []
     for c in value:
-        if hexa:
-            out.append(pick("0123456789abcdef"))
-        elif c.isdigit():
-            out.append(pick(string.digits[c != "0" :]))  # leading zeros stay rare
-        elif c.isalpha() and c.isascii():
-            out.append(pick(string.ascii_uppercase if c.isupper() else string.ascii_lowercase))
-        else:
-            out.append(c)
+        chars = "0123456789abcdef" if hexa else alphabet(c)
+        if chars and c.isdigit() and not hexa and c != chars[0]:
+            chars = chars[1:]  # leading zeros stay rare
+        out.append(_pick(chars, draw) if chars else c)
+    if not any(len(alphabet(c)) > 1 for c in value):
+        return "".join(_pick(string.ascii_lowercase, draw) for _ in value)
     return "".join(out)
 
 
@@ -152,15 +190,26 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+#: From this attempt on a surrogate gets an ending that grows by a sign every second attempt.
+LONGER = 8
+
+
 def surrogate(key: bytes, kind: str, gender: str, value: str, attempt: int) -> str:
     """The replacement of a value; another attempt gives another one."""
     draw = _stream(key, kind, value, str(attempt))
-    if kind == "email":
-        user, _, domain = value.rpartition("@")
-        *names, _, top = domain.split(".")
-        # a host is the same entity in all its addresses; the domain is one that is reserved for examples
-        names = [_same_kinds(n, _stream(key, "domain", n)) for n in names]
-        return f"{_same_kinds(user, draw)}@{'.'.join([*names, 'example', top])}"
+    made = _made(kind, gender, value, attempt, draw)
+    if attempt < LONGER:
+        return made
+    signs = string.digits if kind in NUMBERS else alphabet(made[-1]) if kind in ("first", "last") else string.ascii_uppercase if value.isupper() else string.ascii_lowercase
+    ending = "".join(_pick(signs, draw) for _ in range(1 + (attempt - LONGER) // 2))
+    return ending + "." + made if kind == "domain" else made + ending
+
+
+def _made(kind: str, gender: str, value: str, attempt: int, draw) -> str:
+    if kind == "domain":
+        # one that is reserved for examples
+        *names, top = value.split(".")
+        return ".".join([*(_same_kinds(n, draw) for n in names[:-1]), _same_kinds(names[-1], draw), "example", top])
     if kind == "ip":
         return ".".join(str(1 + next(draw) % 223) if k == 0 else str(next(draw)) for k in range(4))
     if kind == "card":
@@ -176,16 +225,17 @@ def surrogate(key: bytes, kind: str, gender: str, value: str, attempt: int) -> s
         code = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", value)
         return value[: code.end()] + _same_kinds(value[code.end() :], draw)
     if kind in ("first", "last"):
-        script = "cyrillic" if re.search("[а-яё]", value, re.I) else "latin"
+        own_script = script(value[0])
+        if own_script not in SYLLABLES:
+            return _same_kinds(value, draw)
         if gender == "n" and kind == "first":
             gender = "f" if value[-1:].lower() in "aeая" else "n"
-        own = [n for n in (FIRST.get(gender, FIRST["f"] + FIRST["m"]) if kind == "first" else LAST)
-               if bool(re.search("[а-яё]", n, re.I)) == (script == "cyrillic")]
+        own = [n for n in (FIRST.get(gender, FIRST["f"] + FIRST["m"]) if kind == "first" else LAST) if script(n[0]) == own_script]
         if attempt < 2:
             name = own[(next(draw) << 8 | next(draw)) % len(own)]
         else:
-            count = 2 + attempt // 4
-            name = "".join(SYLLABLES[script][next(draw) % len(SYLLABLES[script])] for _ in range(count)).capitalize() + ENDINGS[script, gender if kind == "first" else "n"]
+            syllables = SYLLABLES[own_script]
+            name = "".join(syllables[next(draw) % len(syllables)] for _ in range(2 + attempt // 4)).capitalize() + ENDINGS[own_script, gender if kind == "first" else "n"]
         return name.upper() if value.isupper() and len(value) > 1 else name
     return _same_kinds(value, draw)
 
@@ -233,7 +283,7 @@ def _replace(patterns):
                 out, at, n = [], 0, 0
                 for s, e, kind, _ in entities(t, compiled) if new else ():
                     out += [t[at:s], new[kind, t[s:e]]]
-                    at, n = e, n + 1
+                    at, n = e, n + (kind != "domain")  # an address counts once
                 text.append(t if t is None else "".join([*out, t[at:]]))
                 count.append(n)
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(text, pa.string()), pa.array(count, pa.int64())], names=["_row", "_text", "_n"])
@@ -258,8 +308,21 @@ def mapping(texts: DataFrame, key: bytes, patterns=PATTERNS, max_rounds: int = 4
     raise RuntimeError(f"surrogates still collide after {max_rounds} rounds")
 
 
-def replace(docs: DataFrame, key: bytes = b"surrogate key", patterns=PATTERNS, count: str | None = None) -> DataFrame:
+#: The setting that holds the key of the registered queries.
+KEY = "spark.brickyard.surrogates.key"
+_OWN_KEYS: dict[str, bytes] = {}
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key in the session's settings; without one a random key, the same for all of an application."""
+    given = spark.conf.get(KEY, "")
+    return given.encode() if given else _OWN_KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def replace(docs: DataFrame, key: bytes, patterns=PATTERNS, count: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text``; with ``count``, a column of that name has the number of replacements."""
+    if not key:
+        raise ValueError("surrogates need a key")
     small_batches(docs)
     names = docs.columns
     rows = docs.select(F.col("text").cast("string").alias("_text"), F.struct(*[F.col(f"`{c}`") for c in names if c != "text"], F.lit(0).alias("_end")).alias("_row"))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from brickyard.llm import surrogates as S
 
+KEY = b"a test's key"
 COMPILED = [(k, re.compile(p)) for k, p in S.PATTERNS]
 
 FOUND = [
-    ("mail ada.b+x@mail3.example.com now", ["ada.b+x@mail3.example.com"]),
+    ("mail ada.b+x@mail3.example.com now", ["ada.b+x", "mail3.example.com"]),
     ("+1 (853) 555-6478 or 030 1234 5678", ["+1 (853) 555-6478", "030 1234 5678"]),
     ("at 192.168.0.254, not 1.2.3.4.5 or 300.1.1.1", ["192.168.0.254"]),
     ("card 4111 1111 1111 1111.", ["4111 1111 1111 1111"]),
@@ -71,7 +72,7 @@ def test_own_patterns_have_no_signs():
 
 def test_type_and_format():
     make = lambda kind, value, gender="n": S.surrogate(b"k", kind, gender, value, 0)
-    assert re.fullmatch(r"[a-z]{3}\.[a-z]\d@[a-z]{4}\d\.example\.org", make("email", "ada.b1@mail3.firm.org"))
+    assert re.fullmatch(r"[a-z]{3}\.[a-z]\d", make("mailbox", "ada.b1")) and re.fullmatch(r"[a-z]{4}\d\.[a-z]{4}\.example\.org", make("domain", "mail3.firm.org"))
     assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", make("phone", "+1 (853) 555-6478"))
     assert all(0 <= int(x) <= 255 for x in make("ip", "10.0.0.1").split("."))
     for card in ("4111 1111 1111 1111", "4111-1111-1111-1112"):
@@ -105,18 +106,102 @@ def test_collisions_are_resolved(docs, monkeypatch):
     """With two names to give away, distinct last names still end up distinct."""
     rows = [(k, f"Mr {n} came") for k, n in enumerate(("Adler", "Bauer", "Cramer", "Dorn", "Ebert", "Brook"))]
     monkeypatch.setattr(S, "LAST", ("Brook", "Stone"))
-    out = [r.text.split()[1] for r in S.replace(docs(rows)).orderBy("doc_id").collect()]
+    out = [r.text.split()[1] for r in S.replace(docs(rows), KEY).orderBy("doc_id").collect()]
     assert len(set(out)) == 6 and not set(out) & {"Adler", "Bauer", "Cramer", "Dorn", "Ebert", "Brook"}
 
 
 def test_other_rows_and_columns_stay(docs):
     rows = [(None, None), (1, ""), (1, ""), (2, "plain text " * 20_000), (3, "mail a.b@example.com"), (3, "mail a.b@example.com"), (None, "call +1 (853) 555-6478")]
     df = docs(rows)
-    out = S.replace(df, count="n")
+    out = S.replace(df, KEY, count="n")
     assert out.columns == [*df.columns, "n"] and out.count() == len(rows)
     got = sorted((str(r.doc_id), r.n, r.kept, r._row, r.text == rows[4][1] or r.text == rows[6][1]) for r in out.collect())
     assert [g[1] for g in got if g[0] == "3"] == [1, 1] and sum(g[1] for g in got) == 3
     assert all(g[2:] == ("kept", "_row", False) for g in got)
     plain = {r.text for r in out.filter("n = 0").collect()}
     assert plain == {None, "", rows[3][1]}
-    assert S.replace(docs([])).collect() == []
+    assert S.replace(docs([]), KEY).collect() == []
+
+
+UNCHANGEABLE = ["password: ******** ok", "token: секретное", "secret=——————", "pwd: ••••••", "token: ........", "passwd: \u0661\u0662\u0663\u0664\u0665\u0666", "pwd=漢字漢字漢字"]
+
+
+def test_values_without_ascii_letters_or_digits(docs):
+    rows = list(enumerate(UNCHANGEABLE))
+    out = {r.doc_id: (r.text, r.n) for r in S.replace(docs(rows), KEY, count="n").collect()}
+    for k, text in rows:
+        (a, b, *_), = S.entities(text, COMPILED)
+        new = out[k][0][a : len(out[k][0]) - (len(text) - b)]
+        assert out[k][1] == 1 and len(new) == b - a and text[a:b] not in out[k][0]
+
+
+@pytest.mark.parametrize("text, script", [("Mr. Παπαδόπουλος", "GREEK"), ("Ms. 山田太郎", "CJK"), ("Dr. الأحمد", "ARABIC"), ("Herr Ümit", "LATIN"), ("г-жа Смирнова", "CYRILLIC")])
+def test_names_keep_their_script(text, script):
+    import unicodedata
+
+    found = S.entities(text, COMPILED)
+    assert found
+    for a, b, kind, gender in found:
+        for attempt in (0, 1, 2, 9):
+            new = S.surrogate(KEY, kind, gender, text[a:b], attempt)
+            assert new != text[a:b] and {unicodedata.name(c).split()[0] for c in new if c.isalpha()} == {script}
+
+
+def test_all_one_letter_addresses(docs):
+    """Every letter is somebody's real mailbox, so each surrogate has to be longer."""
+    rows = [(k, f"write {c}@firm.org") for k, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    out = [r.text.split()[1] for r in S.replace(docs(rows), KEY).collect()]
+    assert len(set(out)) == 26 and len({a.split("@")[1] for a in out}) == 1 and not {a.split("@")[0] for a in out} & set("abcdefghijklmnopqrstuvwxyz")
+
+
+def test_domains_stay_distinct(docs):
+    rows = [(k, f"write x{k}@{a}{b}.org") for k, (a, b) in enumerate((a, b) for a in "abcdefghijklmnopqrstuvwxyz" for b in "xyz")]
+    out = [r.text.split("@")[1] for r in S.replace(docs(rows), KEY).collect()]
+    assert len(set(out)) == len(rows)
+
+
+def test_many_entities_in_linear_time():
+    import time
+
+    def took(n):
+        text = " ".join(f"10.{k // 250 % 250}.{k % 250}.7" for k in range(n))
+        began = time.process_time()
+        assert len(S.entities(text, COMPILED)) == n
+        return time.process_time() - began
+    took(1000)
+    assert took(40_000) < 12 * took(8_000)
+
+
+def test_a_key_is_needed(docs):
+    with pytest.raises(ValueError):
+        S.replace(docs([(1, "x")]), b"")
+
+
+def test_whole_collection_against_a_plain_loop(spark):
+    """Entities of all texts gathered in one dictionary, and hashed again while any two clash."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(150)
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    rows += [(10_000 + k, t) for k, t in enumerate(UNCHANGEABLE * 2 + [f"mail {c}@q.org and Mr {c.upper()}xx" for c in "abcde"])]
+    found = {i: S.entities(t, COMPILED) for i, t in rows}
+    gender = {}
+    for i, t in rows:
+        for a, b, kind, g in found[i]:
+            gender[kind, t[a:b]] = min(g, gender.get((kind, t[a:b]), g))
+    attempt = dict.fromkeys(gender, 0)
+    while True:
+        made = {e: S.surrogate(KEY, e[0], gender[e], e[1], n) for e, n in attempt.items()}
+        first = {}
+        for e in sorted(made, key=lambda e: (attempt[e], e[1].encode())):
+            first.setdefault((e[0], made[e]), e)
+        again = [e for e in made if first[e[0], made[e]] != e or (e[0], made[e]) in made]
+        if not again:
+            break
+        for e in again:
+            attempt[e] += 1
+    want = {}
+    for i, t in rows:
+        for a, b, kind, _ in reversed(found[i]):
+            t = t[:a] + made[kind, t[a:b]] + t[b:]
+        want[i] = t
+    out = S.replace(spark.createDataFrame(rows, "doc_id long, text string"), KEY).collect()
+    assert {r.doc_id: r.text for r in out} == want and sum(map(bool, found.values())) > 20
