@@ -56,7 +56,7 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     count = "_replaced"
     while count in docs.columns:
         count += "_"
-    out = surrogates.replace(docs, count=count)
+    out = surrogates.replace(docs, surrogates.key_of(spark), count=count)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col(f"`{count}`") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
