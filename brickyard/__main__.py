@@ -17,7 +17,7 @@ from .config import Config, TEST
 from .plans import catalog
 from .operators.scalars import require_unique
 from .session import ensure_checkpoint_dir, get_session
-from .sources.register import read_register, register_rejects
+from .sources.register import load_manifest, read_register
 from .sources.sinks import write_clean_table, write_result
 from .sources.tables import DerivedSources, RegisterSources
 
@@ -72,16 +72,18 @@ def main(argv=None) -> int:
     spark = get_session(a.master)
     ensure_checkpoint_dir(spark)
     if a.cmd == "stream":
-        from .streaming.register_stream import start_register_stream
+        from .streaming.register_stream import rejects, start_register_stream
         q = start_register_stream(spark, a.landing, a.out, a.checkpoint_location, cfg=configured(Config.register()),
                                   available_now=not a.continuous)
         q.awaitTermination()
+        for reason, n in rejects(q).items():
+            print(f"{n} {reason}", file=sys.stderr)
         return 0
     if a.cmd == "load":
         cfg = configured(Config.register())
         write_clean_table(read_register(spark, a.register, _years(a.years), cfg), a.out)
-        for r in register_rejects(spark, a.register, _years(a.years), cfg).orderBy("file_year", "reject").collect():
-            print(f"{r.file_year}: {r.n} {r.reject or 'kept'}", file=sys.stderr)  # a row per year and reason
+        for r in load_manifest(spark, a.register, _years(a.years), cfg).orderBy("file_year").collect():  # a row per file
+            print(", ".join(f"{k} {v}" for k, v in r.asDict().items() if v is not None and v != 0), file=sys.stderr)
         return 0
     if a.sf_dir:
         cfg = configured(TEST)
@@ -94,7 +96,7 @@ def main(argv=None) -> int:
         if a.investment_scores:
             require_unique(src.scores(), ["county"], a.investment_scores)
     jobs = catalog.jobs_on(src, cfg)
-    names = [n for n in a.jobs.split(",") if n] or [n for n in jobs if a.sf_dir or n != "register_cleaning"]
+    names = [n for n in a.jobs.split(",") if n] or [n for n in jobs if a.sf_dir or n not in catalog.UNSTORED]
     for name in names:
         write_result(catalog.ordered(name, jobs[name]()), f"{a.out.rstrip('/')}/{name}", a.format)
     return 0

@@ -45,6 +45,8 @@ HEADER_ALIASES = {
 MARKET_SALE_TEXT = ("NO", "N", "FALSE", "0", "")
 TRUE_TEXT = ("YES", "TRUE", "1", "Y")
 FALSE_TEXT = ("NO", "FALSE", "0", "N")
+# A database's CSV export writes booleans as t and f.
+TRUE_EXPORT, FALSE_EXPORT = (*TRUE_TEXT, "T"), (*FALSE_TEXT, "F")
 UNKNOWN_TYPE = "Unknown"
 # ---------------------------------------------------------------------------
 
@@ -66,10 +68,10 @@ def _c(c) -> Column:
 
 
 def clean_price(c) -> Column:
-    """Register price text -> double; NULL unless the text is a plain amount."""
+    """Register price text -> DECIMAL(12,2), exactly; NULL unless the text is a plain amount."""
     t = F.trim(_c(c))
     digits = F.regexp_replace(t, r"[^0-9.\-]", "")
-    return F.when(t.rlike(PRICE_TEXT_RE), digits.try_cast("double"))
+    return F.when(t.rlike(PRICE_TEXT_RE), digits.try_cast("decimal(12,2)"))
 
 
 def clean_county(c) -> Column:
@@ -99,5 +101,12 @@ def yes_no(c) -> Column:
     return F.when(u.isin(*TRUE_TEXT), F.lit(True)).when(u.isin(*FALSE_TEXT), F.lit(False))
 
 
+def postcode(c="eircode") -> Column:
+    """Routing key ``D<1-2 digits>[W]`` at the start of the code, digits padded to two; else NULL."""
+    e, pat = _c(c), r"^D(\d{1,2})(W?)"
+    digits = F.regexp_extract(e, pat, 1)
+    return F.when(digits != F.lit(""), F.concat(F.lit("D"), F.lpad(digits, 2, "0"), F.regexp_extract(e, pat, 2)))
+
+
 def quarter_label(d) -> Column:
     return F.concat(F.lit("Q"), F.quarter(_c(d)).cast("string"))

@@ -56,6 +56,11 @@ ZONES = (("Inner City", ZONE_INNER), ("Mid City", ZONE_MID), ("Outer City", ZONE
 ZONE_DEFAULT = "Commuter"
 # ---------------------------------------------------------------------------
 
+# Words of a property's description that tell an apartment from a house.
+APARTMENT_RE = r"(?i)\b(apartment|apt|flat|duplex|maisonette|penthouse|studio)s?\b"
+HOUSE_RE = r"(?i)\b(house|bungalow|cottage|villa|farmhouse|detached|terraced?)s?\b"
+APARTMENT, HOUSE, UNKNOWN_CLASS = "Apartment", "House", "Unknown"
+
 _OPS = {">=": lambda c, t: c >= t, ">": lambda c, t: c > t, "<": lambda c, t: c < t}
 
 
@@ -143,3 +148,10 @@ def sql_zone(expr: str) -> str:
         parts.append(f"WHEN ({expr}) IN ({', '.join(_q(c) for c in codes)}) THEN {_q(label)}")
     parts.append(f"ELSE {_q(ZONE_DEFAULT)} END")
     return " ".join(parts)
+
+
+def property_class(c) -> Column:
+    """Apartment or House from the description; a text that names both or neither says nothing."""
+    text = F.col(c) if isinstance(c, str) else c
+    flat, house = F.coalesce(text.rlike(APARTMENT_RE), F.lit(False)), F.coalesce(text.rlike(HOUSE_RE), F.lit(False))
+    return F.when(flat & ~house, F.lit(APARTMENT)).when(house & ~flat, F.lit(HOUSE)).otherwise(F.lit(UNKNOWN_CLASS))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Config, TEST
+from ..sources import schemas
 from ..sources.tables import DerivedSources
 from . import afford, findings, ingest, invest, market, supply
 
@@ -27,17 +28,28 @@ def job(name: str):
 # --- canonical tables -------------------------------------------------------
 @job("clean_transactions")
 def _clean(src, cfg):
-    return src.tx()
+    return schemas.for_jobs(src.tx())
 
 
 @job("load_profile")
 def _profile(src, cfg):
-    return ingest.load_profile(src.tx())
+    return src.load_profile()
 
 
 @job("register_cleaning")
 def _reg(src, cfg):
-    return ingest.register_cleaning(src.customer(), cfg)
+    return schemas.for_jobs(ingest.register_cleaning(src.customer(), cfg))
+
+
+@job("register_load")
+def _reg_load(src, cfg):
+    return schemas.for_jobs(ingest.register_load(src.customer(), cfg))
+
+
+@job("register_manifest")
+def _reg_manifest(src, cfg):
+    # a file's size depends on how its parts were written
+    return ingest.register_manifest(src.customer(), cfg).drop("bytes")
 
 
 @job("affordability_table")
@@ -319,7 +331,7 @@ ORDER: dict[str, tuple[str, ...]] = {
 
 
 #: Jobs that read none of the canonical tables.
-UNSTORED = frozenset({"register_cleaning"})
+UNSTORED = frozenset({"register_cleaning", "register_load", "register_manifest"})
 
 
 def ordered(name: str, df: DataFrame) -> DataFrame:

@@ -4,22 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..config import Config, DEFAULT
 from ..functions.numeric import round_half_away
-from ..operators.quantiles import grouped_profile
-from ..operators.scalars import with_scalars
+from . import profiles as P
 
 
-def load_profile(tx: DataFrame) -> DataFrame:
-    """One row: sales, distinct places, the sorted years present, min / max / median price.
+def load_profile(tx: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """One row: sales, distinct places, the sorted years present, min / max / median price."""
+    from ..session import materialize
 
-    The year list is a set of calendar years (bounded by the calendar, not the data).
-    """
-    found = tx.agg(F.countDistinct("county").alias("counties"),
-                   F.array_join(F.array_sort(F.collect_set(F.col("year"))).cast("array<string>"), ",").alias("years"))
-    prices = grouped_profile(tx, [], "price_eur", {"median": 0.5}).select(
-        F.col("n").alias("transactions"), F.col("min").alias("min_price"), F.col("max").alias("max_price"),
-        round_half_away("median", 2).alias("median_price"))
-    return with_scalars(found, prices).select("transactions", "counties", "years", "min_price", "max_price", "median_price")
+    hist = materialize(P.histogram(tx, cfg))
+    return P.load_profile(P.profiles(tx, cfg, hist, only=("all",)), hist)
 
 
 # ---------------------------------------------------------------------------
@@ -89,3 +84,56 @@ def register_cleaning(customer: DataFrame, cfg=None) -> DataFrame:
 
     regions = register.regions_table(customer.sparkSession)
     return register.union_years(register.standardise(register.canonical(raw), cfg or DEFAULT, regions) for raw in register_files(customer))
+
+
+# ---------------------------------------------------------------------------
+# The file-level load: yearly files in several byte forms, one missing, one unusable
+# ---------------------------------------------------------------------------
+FILE_YEARS = (2020, 2021, 2022, 2023, 2024)
+
+
+def write_register_files(customer: DataFrame, directory: str) -> None:
+    """The register text as yearly files (folders of part files) below ``directory``.
+
+    2020: all columns in windows-1252 bytes; 2021: other headers and UTF-8; 2022: three columns only; 2023 isn't
+    written; 2024 lacks the place.
+    """
+    raw = register_text(customer)
+    # byte 0x80, the currency sign of windows-1252, is what ISO-8859-1 calls \x80
+    narrow = raw.withColumn("price_eur", F.replace("price_eur", F.lit("\u20ac"), F.lit("\x80")))
+
+    def write(year: int, df: DataFrame, encoding: str, **names: str) -> None:
+        (df.where(F.col("sale_id") % 4 == (year - 2020 if year < 2023 else 3)).select(*[F.col(c).alias(h) for c, h in names.items()])
+           .write.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"')
+           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{directory}/PPR-{year}.csv"))
+
+    write(2020, narrow, "ISO-8859-1", date_of_sale="Date of Sale (dd/mm/yyyy)", county="County", price_eur="Price (\x80)", not_full_market_price="Not Full Market Price",
+          vat_exclusive="VAT Exclusive", property_type="Description of Property", eircode="Eircode")
+    write(2021, raw, "UTF-8", county="county", price_eur="Price (\u20ac)", date_of_sale="Date of Sale", not_full_market_price="not_full_market_price", property_type="property_type")
+    write(2022, narrow, "ISO-8859-1", price_eur="Price", date_of_sale="date_of_sale", county="County")
+    write(2024, raw, "UTF-8", date_of_sale="Date of Sale", price_eur="Price")
+
+
+def _files(customer: DataFrame) -> str:
+    """A new folder of register files below the session's shared folder."""
+    from uuid import uuid4
+
+    from ..session import ensure_checkpoint_dir
+
+    directory = f"{ensure_checkpoint_dir(customer.sparkSession).rstrip('/')}/register-{uuid4().hex}"
+    write_register_files(customer, directory)
+    return directory
+
+
+def register_load(customer: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The clean rows of those files, read as files."""
+    from ..sources import register
+
+    return register.read_register(customer.sparkSession, _files(customer), FILE_YEARS, cfg)
+
+
+def register_manifest(customer: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """What became of each of those files and of every record in them."""
+    from ..sources import register
+
+    return register.load_manifest(customer.sparkSession, _files(customer), FILE_YEARS, cfg)

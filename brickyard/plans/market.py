@@ -16,12 +16,8 @@ from ..functions import labels as L
 from ..functions.numeric import pct_change, round_half_away as rnd, round_int, safe_div
 from ..functions.windows import (momentum, rolling_mean, series,
                                  truncated_average_rank, value_at)
-from ..operators.quantiles import profile
 from ..operators.scalars import with_scalars
-
-
-def _profile(df: DataFrame, keys, cfg: Config, quantiles=None) -> DataFrame:
-    return profile(df, keys, "price_eur", quantiles or {}, cfg)
+from . import profiles as P
 
 
 def month_name(month_col) -> F.Column:
@@ -33,17 +29,9 @@ def month_name(month_col) -> F.Column:
 # The shared place-year profile and P1 market pulse
 # ---------------------------------------------------------------------------
 
-PROFILE_QUANTILES = {"p10": 0.1, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9}
-
-
 def place_year_profile(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(county, region, year) -> n, total, mean, min, max, stddev, p10, p25, median, p75, p90.
-
-    Computed once and shared: market pulse (both forms), the price
-    distribution, mortgage stress and the commuter belt all read it, so a
-    full run scans the sales for it once (``sources.tables`` stores it).
-    """
-    return _profile(ms, ["county", "region", "year"], cfg, PROFILE_QUANTILES)
+    """(county, region, year) -> n, total, mean, min, max, stddev, p10, p25, median, p75, p90."""
+    return P.place_year(P.profiles(ms, cfg, only=("place_year",)))
 
 
 def market_pulse(prof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -90,26 +78,12 @@ def market_pulse_value(prof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 # P2 focus market vs the rest, P3 regions
 # ---------------------------------------------------------------------------
 
+SIDES = ("focus", "region", "month", "vat", "postcode", "zone")
+
+
 def side_profile(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(profile, place, part, year, month) -> n, mean, stddev, median, ...: the smaller breakdowns in one pass.
-
-    Every sale counts once in each breakdown it belongs to, so one histogram and one further read of the
-    sales serve the focus market, the regions, the calendar months, the VAT split and the postcodes.
-    Key columns that a breakdown doesn't use are '' or 0.
-    """
-    def row(name, place="", part="", year=F.col("year"), month=0):
-        text = lambda v: v if isinstance(v, F.Column) else F.lit(v)
-        return F.struct(F.lit(name).alias("profile"), text(place).alias("place"), text(part).alias("part"),
-                        year.cast("int").alias("year"), text(month).cast("int").alias("month"))
-
-    focus = F.col("county") == F.lit(cfg.focus_place)
-    vat = F.coalesce(F.col("vat_exclusive").cast("string"), F.lit("unknown"))
-    sets = F.array(row("focus", F.when(focus, F.lit("focus")).otherwise(F.lit("rest"))), row("region", F.coalesce("region", F.lit(""))),
-                   row("month", month=F.col("month")), row("vat", F.coalesce("county", F.lit("")), vat),
-                   F.when(focus & postcode().isNotNull(), row("postcode", postcode())),
-                   F.when(focus & postcode().isNotNull(), row("zone", L.zone(postcode()), vat)))
-    each = ms.select("price_eur", F.explode(F.filter(sets, lambda s: s.isNotNull())).alias("s")).select("price_eur", "s.*")
-    return _profile(each, ["profile", "place", "part", "year", "month"], cfg, {"median": 0.5})
+    """(profile, place, part, year, month) -> n, mean, stddev, median, ...: the smaller breakdowns."""
+    return P.profiles(ms, cfg, only=SIDES)
 
 
 def focus_vs_rest(side: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -128,7 +102,7 @@ def focus_vs_rest(side: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def regional_trends(side: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    p = side.where("profile = 'region'").withColumnRenamed("place", "region")
+    p = side.where("profile = 'region'").drop("region").withColumnRenamed("place", "region")
     a = p.select("region", "year", F.col("n").alias("transactions"),
                  round_int("median").alias("median_price"),
                  round_int("mean").alias("avg_price"),
@@ -142,9 +116,7 @@ def regional_trends(side: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 def place_month_profile(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(county, region, sale_month) -> n, median, ... plus year and month; shared by the monthly jobs."""
-    m = ms.withColumn("sale_month", F.trunc("date_of_sale", "month"))
-    p = _profile(m, ["county", "region", "sale_month"], cfg, {"median": 0.5})
-    return p.select("*", F.year("sale_month").cast("int").alias("year"), F.month("sale_month").cast("int").alias("month"))
+    return P.place_month(P.profiles(ms, cfg, only=("place_month",)))
 
 
 def monthly_momentum(mprof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -202,15 +174,9 @@ def velocity_monthly(mprof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 # P6 new build vs second-hand, P7 the SQL average form
 # ---------------------------------------------------------------------------
 
-def _type_label() -> F.Column:
-    is_new = F.upper(F.col("vat_exclusive").cast("string")).isin(*L.NEW_BUILD_TRUE_TEXT)
-    return F.when(is_new, F.lit(L.NEW_BUILD)).otherwise(F.lit(L.SECOND_HAND))
-
-
 def place_year_type_profile(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(county, region, year, type_label) -> n, median, ...; shared by the new-build jobs."""
-    return _profile(ms.withColumn("type_label", _type_label()), ["county", "region", "year", "type_label"], cfg,
-                    {"median": 0.5})
+    return P.place_type(P.profiles(ms, cfg, only=("place_type",)))
 
 
 def property_type(tprof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -247,8 +213,9 @@ def new_build_premium_vat(side: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 def new_premium_avg(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     is_new = F.col("property_type").like("%New%")
     is_old = F.col("property_type").like("%Second%")
-    new_avg = F.avg(F.when(is_new, F.col("price_eur")))
-    old_avg = F.avg(F.when(is_old, F.col("price_eur")))
+    # exact sums of cents, one division each
+    mean = lambda of: F.sum(F.when(of, P.cents("price_eur"))).cast("double") / F.nullif(F.count(F.when(of, F.lit(1))), F.lit(0)) / F.lit(100.0)
+    new_avg, old_avg = mean(is_new), mean(is_old)
     return (ms.groupBy("county", "year")
               .agg(round_int(new_avg).alias("avg_new_price"),
                    round_int(old_avg).alias("avg_secondhand_price"),
@@ -261,16 +228,6 @@ def new_premium_avg(ms: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 # ---------------------------------------------------------------------------
 # P8 postcodes of the focus place
 # ---------------------------------------------------------------------------
-
-def postcode(eircode_col="eircode") -> F.Column:
-    """Routing key ``D<1-2 digits>[W]`` at the start of the code, digits padded to two; else NULL."""
-    e = F.col(eircode_col)
-    pat = r"^D(\d{1,2})(W?)"
-    digits = F.regexp_extract(e, pat, 1)
-    return F.when(digits != F.lit(""),
-                  F.concat(F.lit("D"), F.lpad(digits, 2, "0"), F.regexp_extract(e, pat, 2)))
-
-
 def postcode_annual(side: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     p = (side.where("profile = 'postcode'").withColumnRenamed("place", "postcode")
              .withColumn("zone", L.zone("postcode")))
@@ -294,7 +251,7 @@ def monthly_volume(mprof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """National monthly volume and mean price, rolled up from the place-month profile
     (counts and sums add up exactly across places)."""
     a = mprof.groupBy("year", "month").agg(F.sum("n").alias("transaction_count"),
-                                           round_int(F.sum("total") / F.sum("n")).alias("avg_price"))
+                                           round_int(F.sum("total").cast("double") / F.sum("n")).alias("avg_price"))
     w = series("month", "year")
     return a.select("*", month_name("month").alias("month_name"),
                     round_int(rolling_mean("transaction_count", w, 3)).alias("rolling_3yr_avg_volume"))

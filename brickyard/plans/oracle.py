@@ -18,7 +18,7 @@ from ..sources.synthetic import sql_with
 
 def R(e: str, n: int = 0) -> str:
     """Half away from zero on a double."""
-    return f"(CASE WHEN ({e}) < 0 THEN -1.0 WHEN ({e}) = 0 THEN 0.0 ELSE 1.0 END * floor(abs({e}) * 1e{n} + 0.5) / 1e{n} + 0.0 * ({e}))"
+    return f"(CASE WHEN ({e}) < 0 THEN -1.0 WHEN ({e}) = 0 THEN 0.0 ELSE 1.0 END * floor(abs({e}) * 1e{n} + 0.5) / 1e{n} + 0.0)"
 
 
 def RI(e: str) -> str:
@@ -118,8 +118,8 @@ def _pulse_value_cte(cfg: Config) -> str:
              AS growth_since_base_pct,
            {R('total / 1e9', 3)} AS total_value_bn
     FROM (SELECT county, region, year, count(*) AS n, avg(price_eur) AS mean, sum(price_eur) AS total,
-                 quantile_cont(price_eur, 0.25) AS p25, quantile_cont(price_eur, 0.5) AS median,
-                 quantile_cont(price_eur, 0.75) AS p75
+                 quantile_cont(CAST(price_eur AS DOUBLE), 0.25) AS p25, quantile_cont(CAST(price_eur AS DOUBLE), 0.5) AS median,
+                 quantile_cont(CAST(price_eur AS DOUBLE), 0.75) AS p75
           FROM ms GROUP BY county, region, year) g"""
 
 
@@ -142,7 +142,7 @@ def _monthly_cte() -> str:
            {R(MOM('median', f'lag(median, 6) OVER {w}'), 1)} AS momentum_6m,
            {RI(f'CASE WHEN count(n) OVER {w3} >= 2 THEN avg(n) OVER {w3} END')} AS vol_rolling_3m
     FROM (SELECT county, region, CAST(date_trunc('month', date_of_sale) AS DATE) AS sale_month,
-                 count(*) AS n, quantile_cont(price_eur, 0.5) AS median
+                 count(*) AS n, quantile_cont(CAST(price_eur AS DOUBLE), 0.5) AS median
           FROM ms GROUP BY county, region, CAST(date_trunc('month', date_of_sale) AS DATE)) g"""
 
 
@@ -158,7 +158,7 @@ def _by_type_cte() -> str:
            f"THEN 'New Build' ELSE 'Second-Hand' END")
     return f"""
     SELECT county, region, year, type_label, count(*) AS transactions,
-           {RI('quantile_cont(price_eur, 0.5)')} AS median_price
+           {RI('quantile_cont(CAST(price_eur AS DOUBLE), 0.5)')} AS median_price
     FROM (SELECT *, {lab} AS type_label FROM ms) t
     GROUP BY county, region, year, type_label"""
 
@@ -183,7 +183,7 @@ def _postcode_cte(cfg: Config) -> str:
     SELECT postcode, zone, year, n AS transactions, {RI('median')} AS median_price, {RI('mean')} AS avg_price,
            {R(MOM('median', f'lag(median) OVER {W("postcode", "year")}'), 1)} AS yoy_growth_pct
     FROM (SELECT postcode, {ZONE} AS zone, year, count(*) AS n,
-                 quantile_cont(price_eur, 0.5) AS median, avg(price_eur) AS mean
+                 quantile_cont(CAST(price_eur AS DOUBLE), 0.5) AS median, avg(price_eur) AS mean
           FROM (SELECT *, {POSTCODE} AS postcode FROM ms WHERE county = '{cfg.focus_place}') d
           WHERE postcode IS NOT NULL
           GROUP BY postcode, year) g
@@ -216,7 +216,7 @@ def _stress_cte(cfg: Config) -> str:
            {repay} AS stressed_monthly_repayment,
            {R(f'{repay} / nullif(a.avg_annual_wage / 12.0, 0) * 100.0', 1)} AS repayment_to_income_pct,
            {status} AS ftb_status
-    FROM (SELECT county, year, quantile_cont(price_eur, 0.5) AS median FROM ms GROUP BY county, year) m
+    FROM (SELECT county, year, quantile_cont(CAST(price_eur AS DOUBLE), 0.5) AS median FROM ms GROUP BY county, year) m
     JOIN aff a ON m.county = a.county AND m.year = a.year"""
 
 
@@ -259,9 +259,9 @@ PLACES = {
 }
 
 
-def _register_cleaning_sql(cfg: Config) -> str:
+def _register_ctes(cfg: Config, files: int) -> str:
+    """The register text of every customer, dealt into files, read by the cleaning rules (c4)."""
     names = ", ".join(f"'{n}'" for places in PLACES.values() for n in places)
-    regions = ", ".join(f"('{n}', '{region}')" for region, places in PLACES.items() for n in places)
     variants = (" ".join(f"WHEN '{n} {v}' THEN '{n}'" for n in ("Cork", "Galway", "Limerick", "Waterford") for v in ("City", "County"))
                 + " WHEN 'Tipperary North' THEN 'Tipperary' WHEN 'Tipperary South' THEN 'Tipperary'")
     cents = RI("abs(c_acctbal) * 100.0")
@@ -276,7 +276,7 @@ def _register_cleaning_sql(cfg: Config) -> str:
              CAST(c_custkey % 5 + 2020 AS VARCHAR) AS y
       FROM customer),
     raw AS (
-      SELECT k, k % 3 AS file,
+      SELECT k, k % {files} AS file,
              ['No', 'N', '0', 'Yes', '', NULL, 'FALSE'][k % 7 + 1] AS market_text,
              ['Yes', 'No', 'Y', '1', 'maybe', NULL][k % 6 + 1] AS vat_text,
              ['New Dwelling house /Apartment', 'Second-Hand Dwelling house /Apartment'][k % 2 + 1] AS type_text,
@@ -297,40 +297,64 @@ def _register_cleaning_sql(cfg: Config) -> str:
              coalesce(CAST(try_strptime(trim(date_text), '%d/%m/%Y') AS DATE),
                       CAST(try_strptime(trim(date_text), '%Y-%m-%d') AS DATE)) AS date_of_sale,
              CASE WHEN regexp_full_match(trim(price_text), '[^0-9A-Za-z-]*-?[0-9,]+([.][0-9]+)?')
-                  THEN TRY_CAST(regexp_replace(trim(price_text), '[^0-9.\\-]', '', 'g') AS DOUBLE) END AS price_eur,
+                  THEN TRY_CAST(regexp_replace(trim(price_text), '[^0-9.\\-]', '', 'g') AS DECIMAL(12,2)) END AS price_eur,
              regexp_replace(trim(county_text), '(?i)^co(unty\\s+|\\.\\s*|\\s+)', '') AS s2
       FROM raw),
     c2 AS (SELECT *, CASE WHEN regexp_matches(s2, '(?i)^dublin\\s*\\d') THEN 'Dublin' ELSE s2 END AS s3 FROM c1),
     c3 AS (SELECT *, trim({initcap}) AS s4 FROM c2),
     c4 AS (SELECT *,
-                  CASE WHEN s4 <> '' THEN CASE s4 {variants} ELSE s4 END END AS county FROM c3)
-    SELECT c.date_of_sale, c.county, r.region, c.price_eur,
-           CASE WHEN file = 2 THEN 'Unknown' ELSE type_text END AS property_type, FALSE AS not_full_market,
-           CASE WHEN file > 0 THEN NULL WHEN upper(vat_text) IN ('YES', 'Y', 'TRUE', '1') THEN TRUE
+                  CASE WHEN s4 <> '' THEN CASE s4 {variants} ELSE s4 END END AS county FROM c3)"""
+
+
+def _regions() -> str:
+    return ", ".join(f"('{n}', '{region}')" for region, places in PLACES.items() for n in places)
+
+
+def _register_rows(cfg: Config, files: int, used: str, typed: str, vat: str, eircode: str, market: str, blank: str = "market_text") -> str:
+    """Clean rows: which files have a type, a VAT flag, a postcode and a market flag is given as conditions."""
+    return _register_ctes(cfg, files) + f"""
+    SELECT c.date_of_sale, c.county, r.region, CAST(c.price_eur AS DOUBLE) AS price_eur,
+           CASE WHEN {typed} THEN type_text ELSE 'Unknown' END AS property_type, FALSE AS not_full_market,
+           CASE WHEN NOT ({vat}) THEN NULL WHEN upper(vat_text) IN ('YES', 'Y', 'TRUE', '1') THEN TRUE
                 WHEN upper(vat_text) IN ('NO', 'N', 'FALSE', '0') THEN FALSE END AS vat_exclusive,
            CAST(year(c.date_of_sale) AS INTEGER) AS year, CAST(month(c.date_of_sale) AS INTEGER) AS month,
            'Q' || CAST(quarter(c.date_of_sale) AS VARCHAR) AS quarter,
-           CASE WHEN file = 0 AND trim(eir_text) <> '' THEN trim(eir_text) END AS eircode
-    FROM c4 c JOIN (VALUES {regions}) r(county, region) ON c.county = r.county
-    WHERE c.date_of_sale IS NOT NULL AND c.price_eur IS NOT NULL
+           CASE WHEN {eircode} AND trim(eir_text) <> '' THEN trim(eir_text) END AS eircode
+    FROM c4 c JOIN (VALUES {_regions()}) r(county, region) ON c.county = r.county
+    WHERE ({used}) AND c.date_of_sale IS NOT NULL AND c.price_eur IS NOT NULL
       AND c.price_eur > {cfg.min_price} AND c.price_eur < {cfg.max_price}
-      AND (file = 2 OR upper(trim(market_text)) IN ('NO', 'N', 'FALSE', '0', ''))"""
+      AND (NOT ({market}) OR upper(trim({blank})) IN ('NO', 'N', 'FALSE', '0', ''))"""
+
+
+def _register_manifest_sql(cfg: Config) -> str:
+    ok = "(file > 1 OR coalesce(upper(trim(nullif(market_text, ''))) IN ('NO', 'N', 'FALSE', '0', ''), FALSE))"
+    why = (f"CASE WHEN date_of_sale IS NULL THEN 2 WHEN price_eur IS NULL THEN 3 WHEN c.county IS NULL THEN 4 WHEN price_eur <= {cfg.min_price} OR price_eur >= {cfg.max_price} THEN 5"
+           f" WHEN NOT {ok} THEN 6 WHEN region IS NULL THEN 7 ELSE 0 END")
+    counts = ", ".join(f"CAST(count(*) FILTER (why = {k}) AS BIGINT) AS {name}" for k, name in enumerate(
+        ("kept", "malformed_record", "unreadable_date", "unreadable_price", "no_place", "price_out_of_range", "not_a_full_market_sale", "unknown_place")))
+    return _register_ctes(cfg, 4) + f""",
+    judged AS (SELECT CAST(2020 + file AS INTEGER) AS file_year, {why} AS why FROM c4 c LEFT JOIN (VALUES {_regions()}) r(county, region) ON c.county = r.county WHERE file < 3),
+    per_file AS (SELECT file_year, 'read' AS status, count(*) AS records, {counts} FROM judged GROUP BY file_year)
+    SELECT * FROM per_file
+    UNION ALL SELECT y, s, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM (VALUES (2023, 'missing'), (2024, 'lacks county')) t(y, s)"""
 
 
 def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
     b, lt = cfg.base_year, cfg.latest_year
     q: dict[str, str] = {}
-    tx_cols = ("date_of_sale, county, region, price_eur, property_type, not_full_market, vat_exclusive, "
+    tx_cols = ("date_of_sale, county, region, CAST(price_eur AS DOUBLE) AS price_eur, property_type, not_full_market, vat_exclusive, "
                "year, month, quarter, eircode")
 
     q["clean_transactions"] = sql_with(cfg, "tx") + f"SELECT {tx_cols} FROM tx"
     q["load_profile"] = sql_with(cfg, "tx") + f"""
     SELECT count(*) AS transactions, count(DISTINCT county) AS counties,
            array_to_string(list_sort(list_distinct(list(year))), ',') AS years,
-           min(price_eur) AS min_price, max(price_eur) AS max_price,
-           {R('quantile_cont(price_eur, 0.5)', 2)} AS median_price
+           CAST(min(price_eur) AS DOUBLE) AS min_price, CAST(max(price_eur) AS DOUBLE) AS max_price,
+           {R('quantile_cont(CAST(price_eur AS DOUBLE), 0.5)', 2)} AS median_price
     FROM tx"""
-    q["register_cleaning"] = _register_cleaning_sql(cfg)
+    q["register_cleaning"] = _register_rows(cfg, 3, "TRUE", "file < 2", "file = 0", "file = 0", "file < 2")
+    q["register_load"] = _register_rows(cfg, 4, "file < 3", "file < 2", "file = 0", "file = 0", "file < 2", blank="nullif(market_text, '')")  # a file's blank is missing
+    q["register_manifest"] = _register_manifest_sql(cfg)
     q["affordability_table"] = sql_with(cfg, "aff") + "SELECT * FROM aff"
     q["supply_demand_table"] = sql_with(cfg, "sd") + "SELECT * FROM sd"
 
@@ -338,10 +362,10 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
     w = W("county", "year")
     q["market_pulse"] = sql_with(cfg, "ms", extra=[("g", f"""
     SELECT county, region, year, count(*) AS transaction_count,
-           {RI('quantile_cont(price_eur, 0.5)')} AS median_price,
+           {RI('quantile_cont(CAST(price_eur AS DOUBLE), 0.5)')} AS median_price,
            {RI('avg(price_eur)')} AS avg_price,
-           {RI('quantile_cont(price_eur, 0.25)')} AS p25_price,
-           {RI('quantile_cont(price_eur, 0.75)')} AS p75_price,
+           {RI('quantile_cont(CAST(price_eur AS DOUBLE), 0.25)')} AS p25_price,
+           {RI('quantile_cont(CAST(price_eur AS DOUBLE), 0.75)')} AS p75_price,
            {RI('min(price_eur)')} AS min_price,
            {RI('max(price_eur)')} AS max_price,
            {R('sum(price_eur) / 1e9', 3)} AS total_value_bn
@@ -357,7 +381,7 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
 
     q["focus_vs_rest"] = sql_with(cfg, "ms", extra=[("a", f"""
     SELECT year, CASE WHEN county = '{cfg.focus_place}' THEN 'focus' ELSE 'rest' END AS market,
-           {RI('quantile_cont(price_eur, 0.5)')} AS median_price, count(*) AS n
+           {RI('quantile_cont(CAST(price_eur AS DOUBLE), 0.5)')} AS median_price, count(*) AS n
     FROM ms GROUP BY year, CASE WHEN county = '{cfg.focus_place}' THEN 'focus' ELSE 'rest' END"""), ("p", """
     SELECT year,
            max(CASE WHEN market = 'focus' THEN median_price END) AS focus_median,
@@ -371,7 +395,7 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
     FROM p"""
 
     q["regional_trends"] = sql_with(cfg, "ms", extra=[("g", f"""
-    SELECT region, year, count(*) AS transactions, {RI('quantile_cont(price_eur, 0.5)')} AS median_price,
+    SELECT region, year, count(*) AS transactions, {RI('quantile_cont(CAST(price_eur AS DOUBLE), 0.5)')} AS median_price,
            {RI('avg(price_eur)')} AS avg_price, {RI('stddev_samp(price_eur)')} AS price_stddev
     FROM ms GROUP BY region, year""")]) + f"""
     SELECT *, {R(MOM('median_price', f'lag(median_price) OVER {W("region", "year")}'), 1)} AS yoy_growth_pct FROM g"""
@@ -380,7 +404,7 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
     w6 = W("county", "sale_month", "ROWS BETWEEN 5 PRECEDING AND CURRENT ROW")
     q["monthly_momentum_sql"] = sql_with(cfg, "ms", extra=[("g", """
     SELECT county, CAST(date_trunc('month', date_of_sale) AS DATE) AS sale_month,
-           quantile_cont(price_eur, 0.5) AS median
+           quantile_cont(CAST(price_eur AS DOUBLE), 0.5) AS median
     FROM ms GROUP BY county, CAST(date_trunc('month', date_of_sale) AS DATE)""")]) + f"""
     SELECT county, sale_month, {RI('median')} AS median_price, {RI(f'avg(median) OVER {w6}')} AS rolling_6m_avg,
            {R(MOM('median', f'lag(median, 3) OVER {W("county", "sale_month")}'), 1)} AS momentum_3m_pct
@@ -391,7 +415,7 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
     q["velocity_annual"] = sql_with(cfg, "ms", extra=[("vel", _velocity_cte())]) + "SELECT * FROM vel"
     wm = W("county, month", "year")
     q["velocity_monthly"] = sql_with(cfg, "ms", extra=[("g", """
-    SELECT county, year, month, count(*) AS volume, quantile_cont(price_eur, 0.5) AS median
+    SELECT county, year, month, count(*) AS volume, quantile_cont(CAST(price_eur AS DOUBLE), 0.5) AS median
     FROM ms GROUP BY county, year, month""")]) + f"""
     SELECT county, year, month, volume, {RI('median')} AS median_price,
            {R(MOM('volume', f'lag(volume) OVER {wm}'), 1)} AS vol_yoy_pct,
@@ -402,7 +426,7 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
     q["new_vs_secondhand"] = sql_with(cfg, "ms", extra=[("bt", _by_type_cte()), ("nvs", _nvs_cte())]) + \
         "SELECT * FROM nvs"
     q["new_build_premium_vat"] = sql_with(cfg, "ms", extra=[("t", """
-    SELECT county, year, vat_exclusive, quantile_cont(price_eur, 0.5) AS median
+    SELECT county, year, vat_exclusive, quantile_cont(CAST(price_eur AS DOUBLE), 0.5) AS median
     FROM ms GROUP BY county, year, vat_exclusive""")]) + f"""
     SELECT county, year,
            {R('(max(CASE WHEN vat_exclusive THEN median END) - max(CASE WHEN NOT vat_exclusive THEN median END)) / nullif(max(CASE WHEN NOT vat_exclusive THEN median END), 0) * 100.0', 1)}
@@ -432,7 +456,7 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
     SELECT year, month, n AS transactions, {RI('median')} AS median_price, {MONTH_NAME('month')} AS month_name,
            {R('median / avg(median) OVER (PARTITION BY year) * 100.0', 1)} AS price_seasonal_index,
            {R('n / avg(n) OVER (PARTITION BY year) * 100.0', 1)} AS vol_seasonal_index
-    FROM (SELECT year, month, count(*) AS n, quantile_cont(price_eur, 0.5) AS median FROM ms GROUP BY year, month) g"""
+    FROM (SELECT year, month, count(*) AS n, quantile_cont(CAST(price_eur AS DOUBLE), 0.5) AS median FROM ms GROUP BY year, month) g"""
     q["seasonality"] = sql_with(cfg, "ms", extra=[("sea", sea)]) + "SELECT * FROM sea"
     q["seasonal_pattern"] = sql_with(cfg, "ms", extra=[("sea", sea)]) + f"""
     SELECT month, avg_price_index, avg_vol_index, {MONTH_NAME('month')} AS month_name,
@@ -443,9 +467,9 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
 
     q["price_distribution"] = sql_with(cfg, "ms") + f"""
     SELECT county, year, count(*) AS count, {R('avg(price_eur)')} AS mean, {R('stddev_samp(price_eur)')} AS std,
-           {R('min(price_eur)')} AS min, {R('quantile_cont(price_eur, 0.1)')} AS p10,
-           {R('quantile_cont(price_eur, 0.25)')} AS p25, {R('quantile_cont(price_eur, 0.5)')} AS median,
-           {R('quantile_cont(price_eur, 0.75)')} AS p75, {R('quantile_cont(price_eur, 0.9)')} AS p90,
+           {R('min(price_eur)')} AS min, {R('quantile_cont(CAST(price_eur AS DOUBLE), 0.1)')} AS p10,
+           {R('quantile_cont(CAST(price_eur AS DOUBLE), 0.25)')} AS p25, {R('quantile_cont(CAST(price_eur AS DOUBLE), 0.5)')} AS median,
+           {R('quantile_cont(CAST(price_eur AS DOUBLE), 0.75)')} AS p75, {R('quantile_cont(CAST(price_eur AS DOUBLE), 0.9)')} AS p90,
            {R('max(price_eur)')} AS max
     FROM ms GROUP BY county, year"""
 
@@ -494,7 +518,7 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
     SELECT *, {R(MOM('median_price', f'lag(median_price) OVER {W("county", "year")}'), 1)} AS yoy_growth_pct
     FROM (SELECT t.county, t.year, t.transactions, t.median_price, a.years_salary_to_buy, a.monthly_rent_estimate,
                  s.supply_ratio, s.supply_deficit
-          FROM (SELECT county, year, count(*) AS transactions, {RI('quantile_cont(price_eur, 0.5)')} AS median_price
+          FROM (SELECT county, year, count(*) AS transactions, {RI('quantile_cont(CAST(price_eur AS DOUBLE), 0.5)')} AS median_price
                 FROM ms WHERE county IN ({places}) GROUP BY county, year) t
           JOIN aff a ON t.county = a.county AND t.year = a.year
           JOIN sd s ON t.county = s.county AND t.year = s.year) j"""
@@ -559,7 +583,7 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
     FROM mpv p JOIN vel v ON p.county = v.county AND p.year = v.year"""
     q["premium_by_zone"] = sql_with(cfg, "ms", extra=[("z", f"""
     SELECT zone, year, count(*) AS n,
-           quantile_cont(price_eur, 0.5) FILTER (vat_exclusive) AS fresh, quantile_cont(price_eur, 0.5) FILTER (NOT vat_exclusive) AS old
+           quantile_cont(CAST(price_eur AS DOUBLE), 0.5) FILTER (vat_exclusive) AS fresh, quantile_cont(CAST(price_eur AS DOUBLE), 0.5) FILTER (NOT vat_exclusive) AS old
     FROM (SELECT *, {ZONE} AS zone FROM (SELECT *, {POSTCODE} AS postcode FROM ms WHERE county = '{cfg.focus_place}') p
           WHERE postcode IS NOT NULL) d
     GROUP BY zone, year""")]) + f"""

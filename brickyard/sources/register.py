@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..config import Config, DEFAULT
 from ..functions import cleaning as C
+from . import schemas
 from .synthetic import TX_COLUMNS
 
 log = logging.getLogger(__name__)
@@ -42,6 +43,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def path_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a file or of a folder's files."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def resolve_headers(columns: Sequence[str]) -> dict[str, str]:
     """raw header -> canonical name; the first alias present wins."""
     mapping: dict[str, str] = {}
@@ -91,6 +98,10 @@ def regions_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "county string, region string")
 
 
+#: Why a record is left out, in the order they are looked at.
+REASONS = ("malformed record", "unreadable date", "unreadable price", "no place", "price out of range", "not a full-market sale", "unknown place")
+
+
 def judged(df: DataFrame, cfg: Config = DEFAULT, regions: DataFrame | None = None) -> DataFrame:
     """Canonical string columns of one year -> canonical columns and ``reject``, why a row is left out (null: kept)."""
     cols = set(df.columns)
@@ -110,13 +121,9 @@ def judged(df: DataFrame, cfg: Config = DEFAULT, regions: DataFrame | None = Non
         regions = regions_table(df.sparkSession)
     d, price = F.col("date_of_sale"), F.col("price_eur")
     unread = d.isNull() | price.isNull() | F.col("county").isNull()
-    reason = (F.when(F.col("__broken") & unread, F.lit("malformed record"))
-               .when(d.isNull(), F.lit("unreadable date"))
-               .when(price.isNull(), F.lit("unreadable price"))
-               .when(F.col("county").isNull(), F.lit("no place"))
-               .when((price <= F.lit(cfg.min_price)) | (price >= F.lit(cfg.max_price)), F.lit("price out of range"))
-               .when(~F.col("__market"), F.lit("not a full-market sale"))
-               .when(F.col("region").isNull(), F.lit("unknown place")))
+    tests = (F.col("__broken") & unread, d.isNull(), price.isNull(), F.col("county").isNull(),
+             (price <= F.lit(cfg.min_price)) | (price >= F.lit(cfg.max_price)), ~F.col("__market"), F.col("region").isNull())
+    reason = F.coalesce(*[F.when(test, F.lit(name)) for name, test in zip(REASONS, tests, strict=True)])
     return (typed.join(F.broadcast(regions), "county", "left")  # 26 fixed rows
                  .select("*", F.lit(False).alias("not_full_market"),
                          F.year(d).cast("int").alias("year"), F.month(d).cast("int").alias("month"),
@@ -129,18 +136,23 @@ def standardise(df: DataFrame, cfg: Config = DEFAULT, regions: DataFrame | None
     return judged(df, cfg, regions).where(F.col("reject").isNull()).drop("reject")
 
 
-def _years_of(spark: SparkSession, directory: str, years: Iterable[int]) -> list[tuple[int, DataFrame]]:
-    """(year, canonical strings) of the years that are there and have the required columns."""
+def _years_of(spark: SparkSession, directory: str, years: Iterable[int]) -> list[tuple[int, str, DataFrame | None]]:
+    """(year, status, canonical strings): None for a file that isn't there or lacks a required column."""
     frames = []
     for y in years:
         path = register_path(directory, y)
         if not path_exists(spark, path):
             log.warning("%s not found; skipped", path)
+            frames.append((y, "missing", None))
             continue
-        raw = read_register_file(spark, path)
-        if raw is not None:
-            frames.append((y, raw))
-    if not frames:
+        raw = read_register_csv(spark, path)
+        canon = canonical(raw, path)
+        if canon is None:
+            lacks = [c for c in REQUIRED if c not in resolve_headers(raw.columns).values()]
+            frames.append((y, f"lacks {', '.join(lacks)}", None))
+        else:
+            frames.append((y, "read", canon))
+    if not any(f is not None for _, _, f in frames):
         raise FileNotFoundError(f"no readable register files for {list(years)} in {directory}")
     return frames
 
@@ -153,36 +165,41 @@ def read_register(spark: SparkSession, directory: str, years: Iterable[int],
                   cfg: Config = DEFAULT) -> DataFrame:
     """All available years, cleaned and unioned; missing or malformed years are skipped."""
     regions = regions_table(spark)
-    return union_years(standardise(raw, cfg, regions) for _, raw in _years_of(spark, directory, years))
+    return union_years(standardise(raw, cfg, regions) for _, _, raw in _years_of(spark, directory, years) if raw is not None)
+
+
+def load_manifest(spark: SparkSession, directory: str, years: Iterable[int], cfg: Config = DEFAULT) -> DataFrame:
+    """One row per file: file_year, status (read, missing, lacks ...), bytes, records, kept and a column per reason.
+
+    Every record of a file that is read is kept or counted under one reason: records = kept + the reasons.
+    """
+    regions, names = regions_table(spark), [r.replace(" ", "_").replace("-", "_") for r in REASONS]
+    parts = []
+    for y, status, raw in _years_of(spark, directory, years):
+        size = None if status == "missing" else path_bytes(spark, register_path(directory, y))
+        head = (F.lit(y).alias("file_year"), F.lit(status).alias("status"), F.lit(size).cast("bigint").alias("bytes"))
+        if raw is None:
+            parts.append(spark.range(1).select(*head, *[F.lit(None).cast("bigint").alias(c) for c in ("records", "kept", *names)]))
+            continue
+        reject = F.col("reject")
+        parts.append(judged(raw, cfg, regions).agg(F.count(F.lit(1)).alias("records"), F.count(F.when(reject.isNull(), F.lit(1))).alias("kept"),
+                                                   *[F.count(F.when(reject == r, F.lit(1))).alias(c) for r, c in zip(REASONS, names, strict=True)])
+                     .select(*head, "records", "kept", *names))
+    return union_years(parts)
 
 
 def register_rejects(spark: SparkSession, directory: str, years: Iterable[int], cfg: Config = DEFAULT) -> DataFrame:
     """(file_year, reject, n) of all records: the reasons why rows were left out, and null for the rows kept."""
     regions = regions_table(spark)
     return union_years(judged(raw, cfg, regions).groupBy("reject").agg(F.count(F.lit(1)).alias("n"))
-                       .select(F.lit(y).alias("file_year"), "reject", "n") for y, raw in _years_of(spark, directory, years))
-
-
-TRANSACTIONS_SCHEMA = T.StructType([
-    T.StructField("date_of_sale", T.DateType()),
-    T.StructField("county", T.StringType()),
-    T.StructField("region", T.StringType()),
-    T.StructField("price_eur", T.DoubleType()),
-    T.StructField("property_type", T.StringType()),
-    T.StructField("not_full_market", T.BooleanType()),
-    T.StructField("vat_exclusive", T.BooleanType()),
-    T.StructField("year", T.IntegerType()),
-    T.StructField("month", T.IntegerType()),
-    T.StructField("quarter", T.StringType()),
-    T.StructField("eircode", T.StringType()),
-])
+                       .select(F.lit(y).alias("file_year"), "reject", "n") for y, _, raw in _years_of(spark, directory, years) if raw is not None)
 
 
 def read_transactions(spark: SparkSession, path: str) -> DataFrame:
     """The clean table written by ``sinks.write_clean_table`` (partition pruning on ``year``), or a clean CSV."""
     if path.rstrip("/").endswith(".csv"):
         return read_transactions_csv(spark, path)
-    return spark.read.schema(TRANSACTIONS_SCHEMA).parquet(path)
+    return spark.read.schema(schemas.TRANSACTIONS).parquet(path)
 
 
 def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -195,27 +212,21 @@ def read_transactions_csv(spark: SparkSession, path: str) -> DataFrame:
     missing = [c for c in (*REQUIRED, "region") if c not in raw.columns]
     if missing:
         raise ValueError(f"{path}: missing column(s) {missing}")
-    types = {f.name: f for f in TRANSACTIONS_SCHEMA.fields}
+    types = {f.name: f for f in schemas.TRANSACTIONS.fields}
     d = _strict(types["date_of_sale"], path)
     absent = {"not_full_market": F.lit(False), "vat_exclusive": F.lit(None).cast("boolean"), "eircode": F.lit(None).cast("string"),
               "property_type": F.lit(C.UNKNOWN_TYPE), "year": F.year(d).cast("int"), "month": F.month(d).cast("int"), "quarter": C.quarter_label(d)}
-    flags = ("not_full_market", "vat_exclusive")
-    return raw.select(*[(absent[c] if c not in raw.columns else C.yes_no(c) if c in flags else _strict(types[c], path)).alias(c) for c in TX_COLUMNS])
+    # the tables' default of both flags is FALSE; an empty VAT flag stays unknown, as the register leaves it
+    flags = {"not_full_market": F.lit(False), "vat_exclusive": F.lit(None).cast("boolean")}
+    return raw.select(*[(absent[c] if c not in raw.columns else _flag(c, flags[c], path) if c in flags else _strict(types[c], path)).alias(c) for c in TX_COLUMNS])
 
 
-AFFORDABILITY_SCHEMA = T.StructType([
-    T.StructField("county", T.StringType()), T.StructField("region", T.StringType()),
-    T.StructField("year", T.IntegerType()), T.StructField("median_price", T.DoubleType()),
-    T.StructField("avg_annual_wage", T.DoubleType()), T.StructField("years_salary_to_buy", T.DoubleType()),
-    T.StructField("monthly_rent_estimate", T.DoubleType()), T.StructField("price_to_income_ratio", T.DoubleType()),
-    T.StructField("population", T.LongType()),
-])
-SUPPLY_SCHEMA = T.StructType([
-    T.StructField("county", T.StringType()), T.StructField("region", T.StringType()),
-    T.StructField("year", T.IntegerType()), T.StructField("new_completions", T.LongType()),
-    T.StructField("estimated_demand", T.LongType()), T.StructField("supply_deficit", T.LongType()),
-    T.StructField("supply_ratio", T.DoubleType()), T.StructField("supply_deficit_pct", T.DoubleType()),
-])
+def _flag(name: str, blank: F.Column, path: str) -> F.Column:
+    """A yes/no column in any of its spellings, t and f included; blanks are ``blank``, anything else fails the job."""
+    text = F.upper(F.trim(F.col(name)))
+    error = F.raise_error(F.concat(F.lit(f"{path}: column {name} has an unreadable value: "), F.col(name))).cast("boolean")
+    return (F.when(text.isNull() | text.isin(*[m.upper() for m in MISSING]), blank).when(text.isin(*C.TRUE_EXPORT), F.lit(True))
+             .when(text.isin(*C.FALSE_EXPORT), F.lit(False)).otherwise(error))
 
 
 def read_dimension_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -235,19 +246,14 @@ def _strict(field: T.StructField, path: str) -> F.Column:
     """The field's value; an unreadable one fails the job, as a silent NULL would move scores and ranks."""
     text = F.when(~F.trim(F.col(field.name)).isin(*MISSING), F.trim(F.col(field.name)))
     value = text.try_cast(field.dataType)
+    if isinstance(field.dataType, T.IntegerType):
+        # whole numbers may come as 3.0, as some writers put a column that once had gaps
+        wide = text.try_cast("decimal(38,6)")
+        value = F.coalesce(value, F.when(wide == F.floor(wide), wide.try_cast(field.dataType)))
     error = F.raise_error(F.concat(F.lit(f"{path}: column {field.name} has an unreadable value: "), text))
     return F.when(text.isNotNull() & value.isNull(), error.cast(field.dataType)).otherwise(value)
 
 
-SCORE_COLUMNS = ("median_price_base", "median_price_latest", "price_growth_pct", "rental_yield_est_pct", "years_salary_to_buy",
-                 "supply_deficit_pct", "growth_score", "supply_score", "yield_score", "affordability_score", "composite_investment_score")
-SCORES_SCHEMA = T.StructType([
-    T.StructField("county", T.StringType()), T.StructField("region", T.StringType()),
-    *[T.StructField(c, T.DoubleType()) for c in SCORE_COLUMNS],
-    T.StructField("investment_tier", T.StringType()), T.StructField("rank", T.IntegerType()),
-])
-
-
 def read_scores_csv(spark: SparkSession, path: str, cfg: Config = DEFAULT) -> DataFrame:
     """A stored investment_scores table; columns named after a year or a span of years are accepted too."""
     raw = spark.read.option("header", True).csv(path)
@@ -255,7 +261,7 @@ def read_scores_csv(spark: SparkSession, path: str, cfg: Config = DEFAULT) -> Da
     dated = {f"median_price_{cfg.base_year}": "median_price_base", f"median_price_{cfg.latest_year}": "median_price_latest",
              f"price_growth_{span}yr_pct": "price_growth_pct"}
     raw = raw.withColumnsRenamed({a: b for a, b in dated.items() if b not in raw.columns})
-    missing = [f.name for f in SCORES_SCHEMA.fields if f.name not in raw.columns]
+    missing = [f.name for f in schemas.INVESTMENT_SCORES.fields if f.name not in raw.columns]
     if missing:
         raise ValueError(f"{path}: missing column(s) {missing}")
-    return raw.select(*[_strict(f, path).alias(f.name) for f in SCORES_SCHEMA.fields])
+    return raw.select(*[_strict(f, path).alias(f.name) for f in schemas.INVESTMENT_SCORES.fields])

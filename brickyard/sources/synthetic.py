@@ -13,6 +13,7 @@ text (CTEs, used by the DuckDB oracle).
 | date_of_sale     | o_orderdate as a date                                          |
 | not_full_market  | o_orderpriority = '4-NOT SPECIFIED'                            |
 | new build        | o_orderstatus = 'F' (vat_exclusive, property_type)             |
+| property kind    | o_orderkey % 4 (property_type)                                 |
 | eircode          | 'D' + 2-digit (o_custkey % 24 + 1) + ' X', 24th code 'D6W X'    |
 
 Scale notes: the order -> customer join is the only large join (a
@@ -30,8 +31,10 @@ from ..functions.numeric import round_half_away, safe_div, sql_round
 
 # ---------------------------------------------------------------------------
 # Property-type texts of the register, used for synthetic rows.
-NEW_TYPE_TEXT = "New Dwelling house /Apartment"
-SECOND_TYPE_TEXT = "Second-Hand Dwelling house /Apartment"
+NEW_TYPE_TEXT = "New "
+SECOND_TYPE_TEXT = "Second-Hand "
+# Most texts name both kinds; some sources tell them apart (by sale key modulo 4).
+KIND_TEXTS = ("Dwelling house /Apartment", "Apartment", "Dwelling house", "Dwelling house /Apartment")
 # ---------------------------------------------------------------------------
 NOT_FULL_PRIORITY = "4-NOT SPECIFIED"
 NEW_STATUS = "F"
@@ -76,8 +79,9 @@ def sales(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
         d.alias("date_of_sale"),
         F.col("county"),
         F.col("region"),
-        F.col("o_totalprice").alias("price_eur"),
-        F.when(is_new, F.lit(NEW_TYPE_TEXT)).otherwise(F.lit(SECOND_TYPE_TEXT)).alias("property_type"),
+        F.col("o_totalprice").cast("decimal(12,2)").alias("price_eur"),
+        F.concat(F.when(is_new, F.lit(NEW_TYPE_TEXT)).otherwise(F.lit(SECOND_TYPE_TEXT)),
+                 F.get(F.array(*map(F.lit, KIND_TEXTS)), (F.col("o_orderkey") % 4).cast("int"))).alias("property_type"),
         (F.col("o_orderpriority") == F.lit(NOT_FULL_PRIORITY)).alias("not_full_market"),
         is_new.alias("vat_exclusive"),
         F.year(d).cast("int").alias("year"),
@@ -154,12 +158,13 @@ def supply_demand_from(keyed_ms: DataFrame) -> DataFrame:
 def sql_ctes(cfg: Config = DEFAULT) -> dict[str, str]:
     """name -> CTE body.  ``tx`` = sales with keys, ``ms`` = market sales, ``aff``, ``sd``."""
     r1 = lambda e: sql_round(e, 1)
+    kinds = ", ".join(f"'{k}'" for k in KIND_TEXTS)
     tx = f"""
     SELECT o.o_orderkey AS sale_key, n.n_nationkey AS place_key,
            CAST(o.o_orderdate AS DATE) AS date_of_sale, n.n_name AS county, r.r_name AS region,
-           o.o_totalprice AS price_eur,
+           CAST(o.o_totalprice AS DECIMAL(12,2)) AS price_eur,
            CASE WHEN o.o_orderstatus = '{NEW_STATUS}' THEN '{NEW_TYPE_TEXT}' ELSE '{SECOND_TYPE_TEXT}' END
-             AS property_type,
+             || [{kinds}][o.o_orderkey % 4 + 1] AS property_type,
            o.o_orderpriority = '{NOT_FULL_PRIORITY}' AS not_full_market,
            o.o_orderstatus = '{NEW_STATUS}' AS vat_exclusive,
            CAST(year(o.o_orderdate) AS INTEGER) AS year,
@@ -183,7 +188,7 @@ def sql_ctes(cfg: Config = DEFAULT) -> dict[str, str]:
            {sql_round('a.median_price / nullif(a.avg_annual_wage, 0)', 2)} AS price_to_income_ratio,
            CAST(p.population AS BIGINT) AS population
     FROM (SELECT county, region, place_key, year,
-                 {sql_round('quantile_cont(price_eur, 0.5)', 0)} AS median_price,
+                 {sql_round('quantile_cont(CAST(price_eur AS DOUBLE), 0.5)', 0)} AS median_price,
                  {wage} AS avg_annual_wage
           FROM ms GROUP BY county, region, place_key, year) a
     LEFT JOIN (SELECT c_nationkey, count(*) * {POPULATION_PER_CUSTOMER} AS population

@@ -7,7 +7,7 @@ from brickyard.functions import labels as L
 from brickyard.functions.numeric import round_half_away, round_int
 from brickyard.functions.windows import momentum, rolling_mean, series, truncated_average_rank
 from brickyard.operators.scalars import min_max_scores
-from brickyard.plans.market import postcode
+from brickyard.functions.cleaning import postcode
 
 
 def _one(spark, rows, schema, expr):

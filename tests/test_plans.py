@@ -8,6 +8,15 @@ SF = "/root/testdata/sf0.001"
 NAMES = ["market_pulse", "monthly_momentum", "heat_index", "register_cleaning", "commuter_belt", "tier_summary"]
 
 
+@pytest.fixture(autouse=True)
+def whole_plans(spark):
+    """Plans are printed in full."""
+    old = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+    yield
+    spark.conf.set("spark.sql.maxMetadataStringLength", old)
+
+
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -25,10 +34,9 @@ def _orders_scan(plan: str) -> str:
 
 def test_price_filter_pushed_and_columns_pruned(spark):
     from brickyard.config import TEST
-    from brickyard.plans import catalog
-    df = catalog.queries(TEST, load_once=False)["market_pulse"](spark, SF)
-    df.collect()
-    scan = _orders_scan(df._jdf.queryExecution().executedPlan().toString())
+    from brickyard.sources.tables import DerivedSources
+    df = DerivedSources(spark, SF, TEST).ms().select("county", "price_eur")
+    scan = _orders_scan(_plan(df))
     pushed = scan.split("PushedFilters: [")[1].split("]")[0]
     assert "GreaterThan(o_totalprice,10000.0)" in pushed and "LessThan(o_totalprice,5000000.0)" in pushed
     assert "o_orderpriority" in pushed                         # the market-sale filter reaches the scan too
@@ -36,6 +44,18 @@ def test_price_filter_pushed_and_columns_pruned(spark):
     assert "o_orderstatus" not in read and "o_orderkey" not in read     # unused columns are not read
 
 
+def test_profiles_read_the_sales_twice_and_never_sort_a_group_of_them(spark):
+    """Two scans for all profiles: the histogram's and the one behind the quantiles."""
+    from brickyard.config import TEST
+    from brickyard.plans import profiles as P
+    from brickyard.sources.tables import stored_for
+    src = stored_for(spark, SF, TEST)
+    hist = P.histogram(src.tx(), TEST)
+    assert _plan(hist).count("FileScan parquet") == 1 and _plan(hist).count("Exchange") == 1
+    p = _plan(P.profiles(src.tx(), TEST, src.histogram()))
+    assert p.count("price_eur:decimal(12,2)") == 1
+
+
 def test_every_order_names_existing_columns(spark):
     from brickyard.plans import catalog
     for name, keys in catalog.ORDER.items():

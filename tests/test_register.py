@@ -6,7 +6,7 @@ import os
 import pytest
 
 from brickyard.plans.ingest import load_profile
-from brickyard.sources import register as R
+from brickyard.sources import register as R, schemas
 
 HEAD_2020 = "Date of Sale (dd/mm/yyyy),Address,County,Eircode,Price (€),Not Full Market Price,VAT Exclusive," \
             "Description of Property\n"
@@ -156,10 +156,10 @@ def test_unreadable_dimension_values_fail(spark, tmpdir_path):
     good, bad = os.path.join(tmpdir_path, "good.csv"), os.path.join(tmpdir_path, "bad.csv")
     _write(good, head + "Cork,Munster,2020,1,2,1,0.500,NA\nKerry,Munster,2020,,2,1,0.5,50.0\n", "utf-8")
     _write(bad, head + "Cork,Munster,2020,1,2,1,0.5oo,50\n", "utf-8")
-    rows = R.read_dimension_csv(spark, good, R.SUPPLY_SCHEMA).orderBy("county").collect()
+    rows = R.read_dimension_csv(spark, good, schemas.SUPPLY_DEMAND).orderBy("county").collect()
     assert rows[0].supply_deficit_pct is None and rows[1].new_completions is None and rows[1].supply_deficit_pct == 50.0
     with pytest.raises(Exception, match="supply_ratio has an unreadable value"):
-        R.read_dimension_csv(spark, bad, R.SUPPLY_SCHEMA).collect()
+        R.read_dimension_csv(spark, bad, schemas.SUPPLY_DEMAND).collect()
 
 
 def test_clean_csv_equals_the_clean_table(spark, loaded, tmpdir_path):
@@ -167,7 +167,7 @@ def test_clean_csv_equals_the_clean_table(spark, loaded, tmpdir_path):
     columns = ["date_of_sale", "county", "region", "price_eur", "property_type", "vat_exclusive", "eircode"]
     loaded.select(columns).write.option("header", True).csv(path)
     back = R.read_transactions(spark, path)
-    assert back.schema.simpleString() == R.TRANSACTIONS_SCHEMA.simpleString()
+    assert back.schema.simpleString() == schemas.TRANSACTIONS.simpleString()
     key = lambda rows: sorted(map(str, rows))
     assert key(back.select(R.TX_COLUMNS).collect()) == key(loaded.select(R.TX_COLUMNS).collect())
 
@@ -197,3 +197,48 @@ def test_exact_ties_and_boundaries(spark):
                                 "county string, region string, year int, years_salary_to_buy double, median_price double")
     got = {r.county: (r.yrs_salary_deterioration, r.trend) for r in afford.affordability_deterioration(aff).collect()}
     assert got == {"A": (2.0, "Rapidly Worsening"), "B": (2.0, "Rapidly Worsening"), "C": (1.0, "Worsening"), "D": (0.9, "Stable")}
+
+
+def test_clean_csv_as_a_database_exports_it(spark, tmpdir_path):
+    """Booleans as t and f, a blank flag is the column's default: none of the three market sales is lost."""
+    path = os.path.join(tmpdir_path, "transactions.csv")
+    with open(path, "w") as f:
+        f.write("transaction_id,date_of_sale,county,region,price_eur,property_type,not_full_market,vat_exclusive,year,month,quarter\n"
+                "1,2020-03-05,Cork,Munster,250000.10,Second-Hand Apartment,f,t,2020,3,Q1\n2,2020-03-06,Cork,Munster,260000.00,New house,f,,2020,3,Q1\n"
+                "3,2020-03-07,Kerry,Munster,270000.5,,,f,2020,3,Q1\n4,2020-03-08,Kerry,Munster,280000,,t,f,2020,3,Q1\n")
+    rows = sorted(R.read_transactions(spark, path).where("not not_full_market").collect(), key=lambda r: r.date_of_sale)
+    assert [(str(r.price_eur), r.vat_exclusive) for r in rows] == [("250000.10", True), ("260000.00", None), ("270000.50", False)]
+
+
+def test_unknown_flag_of_a_clean_csv_fails(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "transactions.csv")
+    with open(path, "w") as f:
+        f.write("date_of_sale,county,region,price_eur,not_full_market\n2020-03-05,Cork,Munster,250000.10,perhaps\n")
+    with pytest.raises(Exception, match="not_full_market has an unreadable value: perhaps"):
+        R.read_transactions(spark, path).collect()
+
+
+def test_whole_numbers_of_a_dimension(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "sd.csv")
+    head = ",".join(f.name for f in schemas.SUPPLY_DEMAND.fields)
+    with open(path, "w") as f:
+        f.write(head + "\nCork,Munster,2020,400.0,1000,600,0.4,60.0\n")
+    assert R.read_dimension_csv(spark, path, schemas.SUPPLY_DEMAND).first().new_completions == 400
+    with open(path, "w") as f:
+        f.write(head + "\nCork,Munster,2020,400.5,1000,600,0.4,60.0\n")
+    with pytest.raises(Exception, match="new_completions has an unreadable value"):
+        R.read_dimension_csv(spark, path, schemas.SUPPLY_DEMAND).collect()
+
+
+def test_every_record_is_kept_or_counted(spark, register_dir):
+    rows = {r.file_year: r.asDict() for r in R.load_manifest(spark, register_dir, [2020, 2021, 2022, 2023, 2024]).collect()}
+    assert {y: r["status"] for y, r in rows.items()} == {2020: "read", 2021: "read", 2022: "read", 2023: "missing", 2024: "lacks county"}
+    reasons = [k for k in rows[2020] if k not in ("file_year", "status", "bytes", "records", "kept")]
+    for y in (2020, 2021, 2022):
+        assert rows[y]["records"] == rows[y]["kept"] + sum(rows[y][k] for k in reasons)
+        assert rows[y]["bytes"] == os.path.getsize(os.path.join(register_dir, f"PPR-{y}.csv"))
+    assert rows[2020]["records"] == len(ROWS_2020) and rows[2020]["price_out_of_range"] == 3 and rows[2020]["unknown_place"] == 1 and rows[2020]["no_place"] == 1
+    assert rows[2020]["not_a_full_market_sale"] == 2 and rows[2020]["unreadable_date"] == 1 and rows[2020]["unreadable_price"] == 1
+    assert rows[2023]["bytes"] is None and rows[2024]["records"] is None
+    clean = R.read_register(spark, register_dir, [2020, 2021, 2022, 2023, 2024])
+    assert clean.count() == sum(rows[y]["kept"] for y in (2020, 2021, 2022))
