@@ -29,6 +29,10 @@ class Config:
     # --- SQL new-build premium job ------------------------------------------
     new_build_min_sales: int = 10          # HAVING count(new) > this
 
+    # --- latest complete month ----------------------------------------------
+    # A month is complete if it has sales on at least this share of the days that the median month has.
+    complete_share: float = 0.8
+
     # --- mortgage stress test -----------------------------------------------
     stress_rate: float = 0.06
     lti_limit: float = 4.0
@@ -47,16 +51,10 @@ class Config:
     # --- top-k reports ------------------------------------------------------
     top_k: int = 5
 
-    # --- exact quantile operator --------------------------------------------
-    # Broadcast the set of target buckets only below this many rows; above it
-    # the semi-join shuffles (AQE then splits skewed partitions).
-    quantile_broadcast_rows: int = 1_000_000
-    # Most rows one task ranks for one quantile target; bigger ranges are refined.
-    quantile_max_range_rows: int = 2_000_000
-    # Exact PERCENTILE_CONT (two bounded passes).  False opts in to one-pass
-    # sketches (percentile_approx, rank error <= 1 / approx_accuracy); never implicit.
+    # --- quantiles ------------------------------------------------------------
+    # Exact PERCENTILE_CONT (two reads).  False opts in to interpolation within the
+    # histogram's buckets (one read, 0.2 % of the value); never implicit.
     exact_quantiles: bool = True
-    approx_accuracy: int = 10_000
 
     def with_(self, **kw) -> "Config":
         return replace(self, **kw)

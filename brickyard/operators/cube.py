@@ -51,7 +51,7 @@ def histogram(rows: DataFrame, dims: Sequence[str]) -> DataFrame:
     return rows.withColumn("b", bucket(F.col("v"))).groupBy(*dims, "b").agg(
         F.count(F.lit(1)).alias("n"), F.sum(_off()).alias("s"), F.sum((_off() * _off()).cast("decimal(20,0)")).cast(WHOLE).alias("q"),
         F.min("v").alias("mn"), F.max("v").alias("mx"),
-        F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("day"))).alias("days"))
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("day"))).alias("days"))
 
 
 def rolled(hist: DataFrame, keys: Sequence[str]) -> DataFrame:

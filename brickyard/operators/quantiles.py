@@ -1,4 +1,6 @@
-"""Exact grouped quantiles (PERCENTILE_CONT) and moments without one-task groups.
+"""Exact grouped quantiles (PERCENTILE_CONT) and moments of doubles without one-task groups.
+
+Prices are whole cents and go through ``cube``; this operator serves columns of doubles.
 
 Spark's ``percentile`` keeps, per group, a map of every distinct value and
 merges a group's maps in one task: one heavy place (the capital may hold a
@@ -12,7 +14,7 @@ computes the same numbers with bounded state per task:
    windows add the running count, group totals and merged moments (Chan et
    al.).  Its size is groups x occupied buckets, not rows.  It is
    checkpointed (lineage cut; pass 2 does not recompute pass 1) while its
-   row count, group count and largest bucket are observed.
+   largest bucket is observed.
 2. **Targets.**  For each probability ``q`` with ``pos = (n - 1) * q``, the
    buckets holding ranks ``floor(pos)`` and ``ceil(pos)`` become target
    value ranges [bucket min, bucket max] with the rank wanted inside.
@@ -21,8 +23,8 @@ computes the same numbers with bounded state per task:
    its rows (partial-aggregated count/min/max), the sub-range holding the
    rank becomes the target; repeat until small or single-valued.
 4. **Resolve.**  A single-valued range is its own answer.  Otherwise the
-   range's rows (join on keys + level-0 bucket + ``lo <= v <= hi``;
-   broadcast when the observed target count allows) are de-duplicated into
+   range's rows (join on keys + level-0 bucket + ``lo <= v <= hi``, broadcast
+   only where Spark finds the targets small in bytes) are de-duplicated into
    (value, count) map-side and ranked: at most ``max_range_rows`` rows per
    range, whatever the group size.
 
@@ -39,7 +41,6 @@ from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 from ..session import materialize
 
 RES = 512.0  # buckets per unit of log1p(|v|)
-DEFAULT_BROADCAST_ROWS = 1_000_000
 DEFAULT_MAX_RANGE_ROWS = 2_000_000  # rows one task may rank for one target range
 
 
@@ -71,7 +72,7 @@ def _ns_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -
     return out if how == "left_semi" else out.drop(*[f"__r_{k}" for k in keys])
 
 
-def _in_ranges(base: DataFrame, ranges: DataFrame, keys: Sequence[str], v: str, broadcast: bool) -> DataFrame:
+def _in_ranges(base: DataFrame, ranges: DataFrame, keys: Sequence[str], v: str) -> DataFrame:
     """Rows of ``base`` inside one of the (disjoint) value ranges of their group and level-0 bucket.
 
     Equi-join on (keys, bucket) plus ``lo <= v <= hi``: a hot group is spread
@@ -79,8 +80,6 @@ def _in_ranges(base: DataFrame, ranges: DataFrame, keys: Sequence[str], v: str,
     """
     jk = list(keys) + ["__b"]
     r = _renamed(ranges, jk)
-    if broadcast:
-        r = F.broadcast(r)
     cond = _ns_cond(base, r, jk) & (base[v] >= r["__lo"]) & (base[v] <= r["__hi"])
     return base.join(r, cond, "inner").drop(*[f"__r_{k}" for k in jk])
 
@@ -116,7 +115,6 @@ def _check_quantiles(quantiles: Mapping[str, float], keys: Sequence[str]) -> Non
 
 def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
                     quantiles: Mapping[str, float] | None = None,
-                    broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
                     max_range_rows: int = DEFAULT_MAX_RANGE_ROWS,
                     sub_buckets: int = 4096, max_levels: int = 8) -> DataFrame:
     """One row per group of ``keys`` over the non-null ``value`` rows.
@@ -158,13 +156,10 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
                         (F.col("__m2") + F.col("__c") * F.pow(F.col("__s") / F.col("__c") - gmean, 2)).alias("__dev"))
                 .withColumn("__m2", F.sum("__dev").over(gw))
                 .drop("__dev"))
-    # Observed while the histogram is written (no extra job).  Safe under task or
-    # stage retries: "biggest" is a max, and an over-counted "groups" only makes
-    # the broadcast decision more conservative.
+    # Observed while the histogram is written (no extra job); a max is safe under task or stage retries.
     seen = Observation()
-    hist = materialize(hist.observe(seen, F.count(F.lit(1)).alias("rows"), F.max("__c").alias("biggest"),
-                                    F.count(F.when(F.col("__end") == F.col("n"), F.lit(1))).alias("groups")))
-    groups, biggest = seen.get["groups"], seen.get["biggest"] or 0
+    hist = materialize(hist.observe(seen, F.max("__c").alias("biggest")))
+    biggest = seen.get["biggest"] or 0
 
     stat_cols = ["n", "total", "min", "max", "__m2"]
 
@@ -195,10 +190,6 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
     targets = (t.where((F.col("__k") >= start) & (F.col("__k") < F.col("__end")))
                 .select(*keys, *stat_cols, "__b", "__q", "__side", "__frac", (F.col("__k") - start).alias("__r"),
                         F.col("__c").alias("__cnt"), F.col("__mn").alias("__lo"), F.col("__mx").alias("__hi")))
-    # one value range per target at most: 2 x len(quantiles) per group, a bound
-    # observed exactly while the histogram was written
-    small = 2 * len(quantiles) * groups <= broadcast_rows
-
     # refine any target range holding more than max_range_rows rows: split it into
     # sub_buckets linear sub-ranges (a partial-aggregated histogram of only its
     # rows), keep the sub-range holding the wanted rank, repeat; a range whose
@@ -208,7 +199,7 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
     while biggest > max_range_rows and level < max_levels and not targets.where(big_cond).isEmpty():
         big = targets.where(big_cond)
         ranges = big.select(*keys, "__b", "__lo", "__hi").distinct()
-        rows = _in_ranges(base, ranges, keys, v, small)
+        rows = _in_ranges(base, ranges, keys, v)
         sb = F.least(F.floor((F.col(v) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * F.lit(float(sub_buckets))),
                      F.lit(sub_buckets - 1))
         rk = [*keys, "__b", "__lo", "__hi"]
@@ -226,6 +217,8 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
                            F.col("__sc").alias("__cnt"), F.col("__smn").alias("__lo"), F.col("__smx").alias("__hi")))
         targets = materialize(targets.where(~big_cond).select(*tcols).unionByName(refined.select(*tcols)))
         level += 1
+    if level == max_levels and not targets.where(big_cond).isEmpty():
+        raise RuntimeError(f"a range still holds more than {max_range_rows} rows after {max_levels} refinements")
 
     # resolve: a single-valued range is its value; otherwise rank the range's
     # distinct values (de-duplicated map-side; at most max_range_rows of them)
@@ -234,11 +227,11 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
     if level == 0:
         # every range is a whole level-0 bucket: a semi-join on (keys, bucket) selects it
         needed = multi.select(*keys, "__b").distinct()
-        rows = _ns_join(base, F.broadcast(needed) if small else needed, [*keys, "__b"], "left_semi")
+        rows = _ns_join(base, needed, [*keys, "__b"], "left_semi")
         rk = [*keys, "__b"]
     else:
         ranges = multi.select(*keys, "__b", "__lo", "__hi").distinct()
-        rows = _in_ranges(base, ranges, keys, v, small)
+        rows = _in_ranges(base, ranges, keys, v)
         rk = [*keys, "__b", "__lo", "__hi"]
     vals = rows.groupBy(*rk, v).agg(F.count(F.lit(1)).alias("__vc"))
     vw = Window.partitionBy(*rk).orderBy(v).rowsBetween(Window.unboundedPreceding, 0)
@@ -261,10 +254,3 @@ def grouped_profile(df: DataFrame, keys: Sequence[str], value: str,
         aggs.append((lo + (hi - lo) * frac).alias(name))
     return finish(picked.groupBy(*keys).agg(*aggs))
 
-
-def profile(df: DataFrame, keys: Sequence[str], value: str, quantiles: Mapping[str, float] | None, cfg) -> DataFrame:
-    """The jobs' entry point: exact by default, approximate only when ``cfg.exact_quantiles`` is False."""
-    if cfg.exact_quantiles:
-        return grouped_profile(df, keys, value, quantiles, broadcast_rows=cfg.quantile_broadcast_rows,
-                               max_range_rows=cfg.quantile_max_range_rows)
-    return approx_profile(df, keys, value, quantiles, accuracy=cfg.approx_accuracy)

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import Config, TEST
+from ..operators.order import order_columns, with_ordinal
 from ..sources import schemas
 from ..sources.tables import DerivedSources
 from . import afford, findings, ingest, invest, market, supply
@@ -286,6 +287,62 @@ def _ti(src, cfg):
     return findings.top_investment(_card(src, cfg), cfg)
 
 
+# --- segments, complete months, ordered results, dimensions against facts --------
+@job("property_segments")
+def _seg(src, cfg):
+    return market.property_segments(src.segment_profile(), cfg)
+
+
+@job("segment_premium")
+def _segp(src, cfg):
+    return market.segment_premium(src.segment_profile(), cfg)
+
+
+@job("complete_months")
+def _months(src, cfg):
+    return market.complete_months(src.side(), cfg)
+
+
+@job("momentum_signals_complete")
+def _ms_complete(src, cfg):
+    return market.momentum_signals_complete(market.monthly_momentum(src.month_profile(), cfg), src.side(), cfg)
+
+
+@job("ordered_pulse")
+def _ordered_pulse(src, cfg):
+    return with_ordinal(_mp(src, cfg), ORDER["market_pulse"])
+
+
+@job("ordered_premium")
+def _ordered_premium(src, cfg):
+    return with_ordinal(_nbv(src, cfg), ORDER["new_build_premium_vat"])
+
+
+@job("ordered_growth")
+def _ordered_growth(src, cfg):
+    return with_ordinal(_mp(src, cfg).select("county", "year", "yoy_growth_pct"), ("-yoy_growth_pct", "county", "year"))
+
+
+@job("dimension_coverage")
+def _coverage(src, cfg):
+    return ingest.dimension_coverage(src.ms(), src.aff(), src.sd(), src.scores(), cfg)
+
+
+@job("stored_score_ranking")
+def _score_ranking(src, cfg):
+    return invest.risk_adjusted_ranking(ingest.scores_from_file(src.at_rest("investment_scores"), cfg), cfg)
+
+
+@job("stored_score_tiers")
+def _score_tiers(src, cfg):
+    return invest.tier_summary(ingest.scores_from_file(src.at_rest("investment_scores"), cfg), cfg)
+
+
+@job("typed_tables")
+def _typed(src, cfg):
+    return ingest.typed_tables({name: src.at_rest(name) for name in schemas.TABLES})
+
+
 # --- extensions: announced in the reference's text, not computed there ----------
 @job("price_volume_divergence")
 def _pvd(src, cfg):
@@ -326,6 +383,10 @@ ORDER: dict[str, tuple[str, ...]] = {
     "top_momentum": ("-momentum_3m", "county"), "top_unaffordable": ("-years_salary_to_buy", "county"),
     "top_heat": ("rank",), "postcode_spread": ("position", "-median_price", "postcode"),
     "price_volume_divergence": ("county", "year"), "premium_by_zone": ("zone", "year"), "market_direction": ("year",),
+    "property_segments": ("county", "year", "segment"), "segment_premium": ("-house_premium_pct", "county", "year"), "complete_months": ("sale_month",),
+    "momentum_signals_complete": ("county",), "ordered_pulse": ("ordinal",), "ordered_premium": ("ordinal",), "ordered_growth": ("ordinal",),
+    "dimension_coverage": ("dimension",), "stored_score_ranking": ("-risk_adj_return_score", "county"), "stored_score_tiers": ("-avg_score",),
+    "typed_tables": ("table_name", "position"),
     "top_premium": ("-new_build_premium_pct", "county"), "cannot_afford": ("county",), "top_investment": ("rank", "county"),
 }
 
@@ -335,12 +396,8 @@ UNSTORED = frozenset({"register_cleaning", "register_load", "register_manifest"}
 
 
 def ordered(name: str, df: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
     keys = ORDER.get(name)
-    if not keys:
-        return df
-    return df.orderBy(*[F.col(k[1:]).desc_nulls_first() if k.startswith("-") else F.col(k).asc_nulls_first()
-                        for k in keys])
+    return df.orderBy(*order_columns(keys)) if keys else df
 
 
 def queries(cfg: Config = TEST, load_once: bool = True) -> dict[str, Callable[[SparkSession, str], DataFrame]]:

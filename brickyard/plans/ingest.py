@@ -17,6 +17,58 @@ def load_profile(tx: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return P.load_profile(P.profiles(tx, cfg, hist, only=("all",)), hist)
 
 
+# ---------------------------------------------------------------------------
+# The stored tables: types, keys, files
+# ---------------------------------------------------------------------------
+
+def typed_tables(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, position, column_name, sql_type, filled, total): the columns as they are stored.
+
+    ``filled`` counts the values; ``total`` is the exact sum of a decimal column, as text with its scale.
+    """
+    from functools import reduce
+
+    parts = []
+    for name, df in tables.items():
+        fields = df.schema.fields
+        decimal = {f.name for f in fields if f.dataType.typeName() == "decimal"}
+        one = df.agg(*[F.count(f.name).alias(f"n_{f.name}") for f in fields], *[F.sum(c).cast("string").alias(f"s_{c}") for c in decimal])
+        each = F.array(*[F.struct(F.lit(k + 1).alias("position"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("sql_type"), F.col(f"n_{f.name}").alias("filled"),
+                                  (F.col(f"s_{f.name}") if f.name in decimal else F.lit(None).cast("string")).alias("total")) for k, f in enumerate(fields)])
+        parts.append(one.select(F.lit(name).alias("table_name"), F.inline(each)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def dimension_coverage(ms: DataFrame, aff: DataFrame, sd: DataFrame, scores: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """How the dimensions' keys meet those of the market sales, both ways.
+
+    The second pair keeps only the latest year of each side, as the scores do; a place with no sale, or a sale
+    without its dimension row, would drop out of an inner join in silence.
+    """
+    from ..operators.referential import key_coverage
+
+    latest = F.col("year") == F.lit(cfg.latest_year)
+    pairs = [("affordability", ms, aff, ("county", "year")), ("supply_demand", ms, sd, ("county", "year")), ("investment_scores", ms, scores, ("county",)),
+             ("affordability_latest", ms, aff.where(latest), ("county", "year")), ("sales_latest", ms.where(latest), aff, ("county", "year"))]
+    from functools import reduce
+    return reduce(DataFrame.unionByName, [key_coverage(f, d, k).select(F.lit(name).alias("dimension"), "*") for name, f, d, k in pairs])
+
+
+def scores_from_file(scores: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The scores written as a CSV with dated column names, as other systems hand them over, and read back strictly."""
+    from uuid import uuid4
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import register, schemas
+    from ..sources.sinks import write_result
+
+    span = cfg.latest_year - cfg.base_year
+    path = f"{ensure_checkpoint_dir(scores.sparkSession).rstrip('/')}/scores-{uuid4().hex}.csv"
+    write_result(scores.withColumnsRenamed({"median_price_base": f"median_price_{cfg.base_year}", "median_price_latest": f"median_price_{cfg.latest_year}",
+                                            "price_growth_pct": f"price_growth_{span}yr_pct"}), path)
+    return schemas.for_jobs(register.read_scores_csv(scores.sparkSession, path, cfg))
+
+
 # ---------------------------------------------------------------------------
 # Register cleaning over text derived from the customer table (oracle-checked)
 # ---------------------------------------------------------------------------

@@ -149,6 +149,20 @@ def momentum_signals(monthly: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
                   .withColumn("signal", L.momentum_signal("momentum_3m")))
 
 
+def complete_months(months: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """(sale_month, days_seen, complete): coverage of every month, judged by the days that the median month has sales on."""
+    m = months.where("profile = 'month'").select(F.make_date("year", "month", F.lit(1)).alias("sale_month"), F.col("days").alias("days_seen"))
+    usual = m.agg(F.percentile("days_seen", 0.5).alias("__usual"))  # one value a calendar month
+    return with_scalars(m, usual).select("sale_month", "days_seen", (F.col("days_seen") >= F.col("__usual") * F.lit(cfg.complete_share)).alias("complete"))
+
+
+def momentum_signals_complete(monthly: DataFrame, months: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The signals of the latest complete month: a month that has just begun says nothing about most places."""
+    latest = complete_months(months, cfg).where("complete").agg(F.max("sale_month").alias("__latest"))
+    return (with_scalars(monthly, latest).where(F.col("sale_month") == F.col("__latest")).drop("__latest")
+            .withColumn("signal", L.momentum_signal("momentum_3m")))
+
+
 # ---------------------------------------------------------------------------
 # P5 transaction velocity
 # ---------------------------------------------------------------------------
@@ -185,6 +199,24 @@ def property_type(tprof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
                     round_int("median").alias("median_price"))
 
 
+def property_segments(sprof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Apartments and houses per place-year, with those whose description tells neither: sales, share, price and growth."""
+    w, place = series(["county", "segment"], "year"), Window.partitionBy("county", "year")
+    return sprof.select("county", "region", "year", "segment", F.col("n").alias("transactions"),
+                        rnd(F.col("n") * F.lit(100.0) / F.sum("n").over(place), 1).alias("share_pct"),
+                        round_int("median").alias("median_price"), rnd(momentum("median", w, 1), 1).alias("yoy_growth_pct"))
+
+
+def segment_premium(sprof: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """What a house costs over an apartment, per place-year that has both."""
+    of = lambda name, c: F.max(F.when(F.col("segment") == name, F.col(c)))
+    p = sprof.groupBy("county", "year").agg(of(L.HOUSE, "median").alias("__house"), of(L.APARTMENT, "median").alias("__flat"),
+                                            of(L.HOUSE, "n").alias("house_sales"), of(L.APARTMENT, "n").alias("apartment_sales"))
+    return (p.where("__house is not null and __flat is not null")
+             .select("county", "year", "house_sales", "apartment_sales", round_int("__house").alias("house_median"), round_int("__flat").alias("apartment_median"),
+                     rnd((F.col("__house") - F.col("__flat")) * F.lit(100.0) / F.nullif(F.col("__flat"), F.lit(0.0)), 1).alias("house_premium_pct")))
+
+
 def new_vs_secondhand(by_type: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Pivot of ``property_type`` with explicit values; rows lacking either type are dropped."""
     pv = (by_type.groupBy("county", "region", "year")

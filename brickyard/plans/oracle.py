@@ -358,6 +358,33 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
     q["affordability_table"] = sql_with(cfg, "aff") + "SELECT * FROM aff"
     q["supply_demand_table"] = sql_with(cfg, "sd") + "SELECT * FROM sd"
 
+    # --- the stored tables ---
+    types = {"transactions": "date_of_sale date, county string, region string, price_eur decimal(12,2), property_type string, not_full_market boolean, vat_exclusive boolean, year int, month int, quarter string, eircode string",
+             "affordability": "county string, region string, year int, median_price decimal(12,2), avg_annual_wage decimal(10,2), years_salary_to_buy decimal(5,1), monthly_rent_estimate decimal(10,2), price_to_income_ratio decimal(5,2), population int",
+             "supply_demand": "county string, region string, year int, new_completions int, estimated_demand int, supply_deficit int, supply_ratio decimal(5,3), supply_deficit_pct decimal(5,1)",
+             "investment_scores": "county string, region string, median_price_base decimal(12,2), median_price_latest decimal(12,2), price_growth_pct decimal(5,1), rental_yield_est_pct decimal(5,2), years_salary_to_buy decimal(5,1),"
+                                  " supply_deficit_pct decimal(5,1), growth_score decimal(5,1), supply_score decimal(5,1), yield_score decimal(5,1), affordability_score decimal(5,1), composite_investment_score decimal(5,1),"
+                                  " investment_tier string, rank int"}
+    listed = []
+    for table, cte in (("transactions", "tx"), ("affordability", "aff"), ("supply_demand", "sd"), ("investment_scores", "inv")):
+        for k, column in enumerate(types[table].split(", ")):
+            name, kind = column.split(" ")
+            total = f"CAST(sum(CAST({name} AS {kind})) AS VARCHAR)" if kind.startswith("decimal") else "CAST(NULL AS VARCHAR)"
+            listed.append(f"SELECT '{table}' AS table_name, CAST({k + 1} AS INTEGER) AS position, '{name}' AS column_name, '{kind}' AS sql_type, count({name}) AS filled, {total} AS total FROM {cte}")
+    q["typed_tables"] = sql_with(cfg, "aff", "sd", extra=[("inv", _inv_cte(cfg))]) + "\nUNION ALL ".join(listed)
+
+    def covered(name: str, facts: str, dim: str, *keys: str) -> str:
+        on = " AND ".join(f"f.{k} IS NOT DISTINCT FROM d.{k}" for k in keys)
+        by = ", ".join(keys)
+        return f"""SELECT '{name}' AS dimension, count(f.n) AS fact_keys, count(d.n) AS dimension_keys, count(*) FILTER (d.n IS NULL) AS facts_without_dimension,
+            CAST(coalesce(sum(f.n) FILTER (d.n IS NULL), 0) AS BIGINT) AS fact_rows_without_dimension, count(*) FILTER (f.n IS NULL) AS dimension_without_facts,
+            count(*) FILTER (d.n > 1) AS repeated_dimension_keys
+            FROM (SELECT {by}, count(*) AS n FROM {facts} GROUP BY {by}) f FULL JOIN (SELECT {by}, count(*) AS n FROM {dim} GROUP BY {by}) d ON {on}"""
+    late = f"(SELECT * FROM {{}} WHERE year = {lt})"
+    q["dimension_coverage"] = sql_with(cfg, "aff", "sd", extra=[("inv", _inv_cte(cfg))]) + " UNION ALL ".join((
+        covered("affordability", "ms", "aff", "county", "year"), covered("supply_demand", "ms", "sd", "county", "year"), covered("investment_scores", "ms", "inv", "county"),
+        covered("affordability_latest", "ms", late.format("aff"), "county", "year"), covered("sales_latest", late.format("ms"), "aff", "county", "year")))
+
     # --- market ---
     w = W("county", "year")
     q["market_pulse"] = sql_with(cfg, "ms", extra=[("g", f"""
@@ -409,6 +436,11 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
     SELECT county, sale_month, {RI('median')} AS median_price, {RI(f'avg(median) OVER {w6}')} AS rolling_6m_avg,
            {R(MOM('median', f'lag(median, 3) OVER {W("county", "sale_month")}'), 1)} AS momentum_3m_pct
     FROM g"""
+    days = [("days", """SELECT CAST(date_trunc('month', date_of_sale) AS DATE) AS sale_month, CAST(count(DISTINCT date_of_sale) AS INTEGER) AS days_seen FROM ms GROUP BY 1"""),
+            ("cm", "SELECT sale_month, days_seen, days_seen >= (SELECT quantile_cont(days_seen, 0.5) FROM days) * CAST(0.8 AS DOUBLE) AS complete FROM days")]
+    q["complete_months"] = sql_with(cfg, "ms", extra=days) + "SELECT * FROM cm"
+    q["momentum_signals_complete"] = sql_with(cfg, "ms", extra=[*days, ("mm", _monthly_cte()), ("sig", _signals_cte().replace("(SELECT max(sale_month) FROM mm)", "(SELECT max(sale_month) FROM cm WHERE complete)"))]) + \
+        "SELECT * FROM sig"
     q["momentum_signals"] = sql_with(cfg, "ms", extra=[("mm", _monthly_cte()), ("sig", _signals_cte())]) + \
         "SELECT * FROM sig"
 
@@ -423,6 +455,16 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
     FROM g"""
 
     q["property_type"] = sql_with(cfg, "ms", extra=[("bt", _by_type_cte())]) + "SELECT * FROM bt"
+    kind = "CASE WHEN property_type LIKE '%Dwelling house' THEN 'House' WHEN property_type NOT LIKE '%house%' AND property_type LIKE '%Apartment' THEN 'Apartment' ELSE 'Unknown' END"
+    seg = [("seg", f"""SELECT county, region, year, segment, count(*) AS n, quantile_cont(CAST(price_eur AS DOUBLE), 0.5) AS median
+    FROM (SELECT *, {kind} AS segment FROM ms) s GROUP BY county, region, year, segment""")]
+    q["property_segments"] = sql_with(cfg, "ms", extra=seg) + f"""
+    SELECT county, region, year, segment, n AS transactions, {R('n * 100.0 / sum(n) OVER (PARTITION BY county, year)', 1)} AS share_pct, {RI('median')} AS median_price,
+           {R(MOM('median', f'lag(median) OVER {W("county, segment", "year")}'), 1)} AS yoy_growth_pct FROM seg"""
+    q["segment_premium"] = sql_with(cfg, "ms", extra=seg) + f"""
+    SELECT h.county, h.year, h.n AS house_sales, a.n AS apartment_sales, {RI('h.median')} AS house_median, {RI('a.median')} AS apartment_median,
+           {R('(h.median - a.median) * 100.0 / nullif(a.median, 0)', 1)} AS house_premium_pct
+    FROM seg h JOIN seg a ON a.county = h.county AND a.year = h.year AND h.segment = 'House' AND a.segment = 'Apartment'"""
     q["new_vs_secondhand"] = sql_with(cfg, "ms", extra=[("bt", _by_type_cte()), ("nvs", _nvs_cte())]) + \
         "SELECT * FROM nvs"
     q["new_build_premium_vat"] = sql_with(cfg, "ms", extra=[("t", """
@@ -624,4 +666,9 @@ def oracle_sql(cfg: Config = TEST) -> dict[str, str]:
     SELECT rank, county, composite_investment_score, investment_tier, median_price_latest, price_growth_pct,
            rental_yield_est_pct
     FROM inv ORDER BY rank ASC NULLS LAST, county LIMIT {cfg.top_k}"""
+    # --- the same rows in their order ---
+    for name, base, order in (("ordered_pulse", q["market_pulse"], "county, year"), ("ordered_premium", q["new_build_premium_vat"], "new_build_premium_pct DESC NULLS FIRST, county, year"),
+                              ("ordered_growth", f"SELECT county, year, yoy_growth_pct FROM ({q['market_pulse']})", "yoy_growth_pct DESC NULLS FIRST, county, year")):
+        q[name] = f"SELECT *, row_number() OVER (ORDER BY {order}) AS ordinal FROM ({base}) o"
+    q["stored_score_ranking"], q["stored_score_tiers"] = q["risk_adjusted_ranking"], q["tier_summary"]
     return q

@@ -27,7 +27,7 @@ def sales(n, seed=1):
         y, m = rng.choice([2020, 2021, 2022]), rng.randrange(1, 13)
         place = rng.choice(["Dublin", "Dublin", "Cork", "Kerry"])
         cents = rng.choice([25_000_000, rng.randrange(1_000_001, 499_999_999), 10_000_000 + rng.randrange(300)])
-        out.append((dt.date(y, m, rng.randrange(1, 29)), place, "L" if place == "Dublin" else "M", Decimal(cents) / 100, rng.choice(KINDS), rng.random() < 0.1,
+        out.append((dt.date(y, m, rng.choice([1, 2, 15, 28, 31 if m in (1, 3, 5, 7, 8, 10, 12) else 27])), place, "L" if place == "Dublin" else "M", Decimal(cents) / 100, rng.choice(KINDS), rng.random() < 0.1,
                     rng.choice([True, False, None]), y, m, f"Q{(m + 2) // 3}", rng.choice(["D4 X", "D6W X", None])))
     return out
 

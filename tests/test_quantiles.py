@@ -48,9 +48,13 @@ def _close(a, b):
     return abs(a - b) <= 1e-9 * max(1.0, abs(b))
 
 
-@pytest.mark.parametrize("broadcast_rows", [1_000_000, 0])
-def test_matches_quantile_cont(spark, frame, broadcast_rows):
-    got = grouped_profile(frame, ["g", "k"], "v", QS, broadcast_rows=broadcast_rows).collect()
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_matches_quantile_cont(spark, frame, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = grouped_profile(frame, ["g", "k"], "v", QS).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     ref = _reference(_data())
     assert len(got) == len(ref)
     for r in got:
@@ -103,10 +107,10 @@ def test_approx_profile_is_opt_in_and_close(spark, frame):
         assert e.min <= r.median <= e.max
 
 
-@pytest.mark.parametrize("max_range_rows,broadcast_rows", [(2, 1_000_000), (1, 0), (50, 1_000_000)])
-def test_refined_ranges_match(spark, frame, max_range_rows, broadcast_rows):
+@pytest.mark.parametrize("max_range_rows", [1, 2, 50])
+def test_refined_ranges_match(spark, frame, max_range_rows):
     """Target ranges above ``max_range_rows`` are split until small or single-valued; results unchanged."""
-    got = grouped_profile(frame, ["g", "k"], "v", QS, broadcast_rows=broadcast_rows,
+    got = grouped_profile(frame, ["g", "k"], "v", QS,
                           max_range_rows=max_range_rows, sub_buckets=4).collect()
     ref = _reference(_data())
     assert len(got) == len(ref)
