@@ -1,6 +1,8 @@
 """Command line: load registers, run every job, write one result directory per job.
 
     python -m brickyard load --register DIR --years 2020-2024 --out CLEAN_TABLE
+    python -m brickyard sync --register DIR --years 2020-2024 --affordability A.csv --supply S.csv --store DIR
+    python -m brickyard run  --store DIR --out DIR                            # the store's latest version
     python -m brickyard run  --transactions CLEAN_TABLE --affordability A.csv --supply S.csv --out DIR
     python -m brickyard run  --sf-dir /root/testdata/sf0.1 --out DIR          # the driver's tables
     python -m brickyard stream --landing DIR --out CLEAN_TABLE --checkpoint-location DIR [--continuous]
@@ -19,7 +21,8 @@ from .operators.scalars import require_unique
 from .session import ensure_checkpoint_dir, get_session
 from .sources.register import load_manifest, read_register
 from .sources.sinks import write_clean_table, write_result
-from .sources.tables import DerivedSources, RegisterSources
+from .sources.store import Store
+from .sources.tables import DerivedSources, RegisterSources, StoredSources, sync_registers
 
 
 def _years(text: str) -> list[int]:
@@ -36,8 +39,17 @@ def main(argv=None) -> int:
     ld.add_argument("--register", required=True)
     ld.add_argument("--years", default="2020-2024")
     ld.add_argument("--out", required=True)
+    sy = sub.add_parser("sync", help="bring a versioned store up to a folder of registers and the dimension files")
+    sy.add_argument("--register", required=True)
+    sy.add_argument("--years", default="2020-2024")
+    sy.add_argument("--affordability", required=True)
+    sy.add_argument("--supply", required=True)
+    sy.add_argument("--investment-scores")
+    sy.add_argument("--store", required=True)
+    sy.add_argument("--keep", type=int, default=2, help="versions that stay")
     rn = sub.add_parser("run", help="run jobs and write their results")
     rn.add_argument("--sf-dir")
+    rn.add_argument("--store", help="a store that sync keeps")
     rn.add_argument("--transactions")
     rn.add_argument("--affordability")
     rn.add_argument("--supply")
@@ -52,7 +64,7 @@ def main(argv=None) -> int:
     sm.add_argument("--continuous", action="store_true", help="keep polling (default: process what is there, stop)")
     rn.add_argument("--approx-quantiles", action="store_true",
                     help="one-pass quantile sketches instead of exact PERCENTILE_CONT (explicit opt-in)")
-    for p in (ld, rn, sm):
+    for p in (ld, rn, sm, sy):
         p.add_argument("--master")
         p.add_argument("--base-year", type=int)
         p.add_argument("--latest-year", type=int)
@@ -85,9 +97,18 @@ def main(argv=None) -> int:
         for r in load_manifest(spark, a.register, _years(a.years), cfg).orderBy("file_year").collect():  # a row per file
             print(", ".join(f"{k} {v}" for k, v in r.asDict().items() if v is not None and v != 0), file=sys.stderr)
         return 0
+    if a.cmd == "sync":
+        src = sync_registers(spark, a.register, _years(a.years), a.affordability, a.supply, a.store, configured(Config.register()), a.investment_scores, a.keep)
+        print(f"version {src.manifest['version']}: {sum(v['rows'] for v in src.manifest['slices'].values())} sales in {len(src.manifest['slices'])} files", file=sys.stderr)
+        return 0
     if a.sf_dir:
         cfg = configured(TEST)
         src = DerivedSources(spark, a.sf_dir, cfg)
+    elif a.store:
+        cfg = configured(Config.register())
+        src = StoredSources(Store(spark, a.store, cfg))
+        if src.manifest is None or src.manifest["config"] != src.store.config_key():
+            ap.error(f"{a.store} holds no version for these parameters; run sync")
     else:
         cfg = configured(Config.register())
         src = RegisterSources(spark, a.transactions, a.affordability, a.supply, cfg, a.investment_scores)

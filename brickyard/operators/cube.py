@@ -19,7 +19,7 @@ at the ranks around ``pos``: PERCENTILE_CONT.  In this form a median is rounded
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -60,94 +60,74 @@ def rolled(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
                                         F.bit_or("days").alias("days"))
 
 
-def _equal(left: Sequence[str], right: Sequence[str]) -> Column:
-    """Null-safe equality (a NULL value is a cell of its own, as in GROUP BY)."""
-    cond = F.lit(True)
-    for a, b in zip(left, right, strict=True):
-        cond = cond & F.col(a).eqNullSafe(F.col(b))
-    return cond
-
-
-def _as(df: DataFrame, names: Sequence[str], prefix: str) -> DataFrame:
-    return df.withColumnsRenamed({c: prefix + c for c in names})
-
-
 def profiles(rows: DataFrame, hist: DataFrame, dims: Sequence[str], sets: Column, keys: Sequence[str],
-             quantiles: Column, names: Mapping[str, float], scale: int = 100, exact: bool = True) -> DataFrame:
+             quantiles: Column, names: Sequence[str], scale: int = 100, exact: bool = True) -> DataFrame:
     """One row per group: keys, n, total, mean, min, max, stddev, days and one column per quantile.
 
-    ``sets`` gives a cell's groups (an array of structs of ``keys``), ``quantiles`` the names of those wanted
-    for a group (an array of strings over ``keys``), ``names`` all of them with their probability.  Values are whole
+    ``sets`` gives a cell's groups (an array of structs of ``keys``), ``quantiles`` those wanted for a group (an array of
+    (name, p) structs over ``keys``), ``names`` all of their names.  Dimensions and keys hold no NULLs.  Values are whole
     numbers in 1/``scale``; ``total`` is an exact decimal, the others are doubles in units.  Not
     ``exact``: quantiles are interpolated within their bucket, without a further read of the rows.
     """
     keys, dims = list(keys), list(dims)
     each = hist.select(F.explode(sets).alias("k"), "b", *COUNTS).select("k.*", "b", *COUNTS)
+    stats = materialize(_moments(each, keys, scale))
+    if not names:
+        return stats
     group = Window.partitionBy(*keys)
     upto = group.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-    b, n = F.col("b").cast(WHOLE), F.col("n").cast("decimal(18,0)")
-    g = (rolled(each, keys)
-         .withColumn("total", F.sum((b * n).cast(WHOLE) + F.col("s")).over(group).cast(WHOLE))
-         .withColumn("all", F.sum("n").over(group)).withColumn("end", F.sum("n").over(upto))
-         .withColumn("c", F.round(F.col("total") / F.col("all").cast("decimal(18,0)")).cast("decimal(19,0)")))
-    away = F.col("b").cast("decimal(19,0)") - F.col("c")
-    # sum of (v - c)^2 over a bucket, from its sums around b
-    square = F.col("q") + (F.col("s").cast("decimal(19,0)") * away * 2).cast(WHOLE) + (away * away).cast(WHOLE) * F.col("n").cast("decimal(18,0)")
-    g = (g.withColumn("dev", F.sum(square.cast(WHOLE)).over(group).cast(WHOLE)).withColumn("least", F.min("mn").over(group)).withColumn("most", F.max("mx").over(group))
-         .withColumn("seen", F.bit_or("days").over(group)))
-    stats = ["all", "total", "c", "dev", "least", "most", "seen"]
-    g = materialize(g.select(*keys, *stats, "b", "n", "mn", "mx", "end"))
-
-    probability = F.create_map(*[F.lit(x) for pair in names.items() for x in pair]) if names else None
-    picked = None
-    if names:
-        pos = (F.col("all") - 1) * F.col("p")
-        targets = (g.select("*", F.explode(quantiles).alias("name")).withColumn("p", probability[F.col("name")])
-                   .withColumn("pos", pos).withColumn("frac", F.col("pos") - F.floor("pos"))
-                   .select("*", F.explode(F.array(F.struct(F.lit(False).alias("upper"), F.floor("pos").alias("rank")),
-                                                  F.struct(F.lit(True).alias("upper"), F.ceil("pos").alias("rank")))).alias("t")).select("*", "t.*")
-                   .withColumn("rank", F.col("rank") - (F.col("end") - F.col("n"))).where((F.col("rank") >= 0) & (F.col("rank") < F.col("n")))
-                   .select(*keys, "b", "name", "upper", "frac", "rank", "n", "mn", "mx"))
-        one = targets.where("mn = mx").select(*keys, "name", "upper", "frac", F.col("mn").cast("double").alias("x"))
-        more = targets.where("mn < mx")
-        if exact:
-            found = _ranked(rows, hist, dims, sets, keys, more)
-        else:
-            found = more.select(*keys, "name", "upper", "frac", (F.col("mn") + (F.col("mx") - F.col("mn")) * (F.col("rank") + 0.5) / F.col("n")).alias("x"))
-        # in units before they are interpolated: the form that SQL and pandas compute
-        both = one.unionByName(found).withColumn("x", F.col("x") / F.lit(float(scale)))
-        at = lambda q, side: F.max(F.when((F.col("name") == q) & (F.col("upper") == side), F.col("x")))
-        frac = lambda q: F.max(F.when(F.col("name") == q, F.col("frac")))
-        picked = both.groupBy(*keys).agg(*[(at(q, False) * (F.lit(1.0) - frac(q)) + at(q, True) * frac(q)).alias(q) for q in names])
-    unit = F.lit(float(scale))
-    count = F.col("all").cast("double")
-    # distance of the exact mean from c, below one in size
-    shift = (F.col("total") - F.col("c") * F.col("all").cast("decimal(18,0)")).cast("double") / count
-    out = g.where(F.col("end") == F.col("all")).select(
-        *keys, F.col("all").alias("n"), (F.col("total") / F.lit(scale).cast("decimal(3,0)")).cast("decimal(38,2)").alias("total"),
-        (F.col("total").cast("double") / count / unit).alias("mean"), (F.col("least") / unit).alias("min"), (F.col("most") / unit).alias("max"),
-        F.when(F.col("all") > 1, F.sqrt(F.greatest(F.col("dev").cast("double") - count * shift * shift, F.lit(0.0)) / (count - 1)) / unit).alias("stddev"),
-        F.bit_count("seen").cast("int").alias("days"))
-    if picked is None:
-        return out
-    right = _as(picked, keys, "r_")
-    return out.join(right, _equal(keys, ["r_" + k for k in keys]), "left").drop(*["r_" + k for k in keys])
+    g = (each.groupBy(*keys, "b").agg(F.sum("n").alias("n"), F.min("mn").alias("mn"), F.max("mx").alias("mx"))
+         .withColumn("all", F.sum("n").over(group)).withColumn("end", F.sum("n").over(upto)))
+    # the ranks around a quantile's position; a bucket that holds one of them is a target
+    asked = g.select("*", F.inline(quantiles)).withColumn("pos", (F.col("all") - 1) * F.col("p")).withColumn("low", F.floor("pos"))
+    start = F.col("end") - F.col("n")
+    asked = asked.where((F.ceil("pos") >= start) & (F.col("low") < F.col("end"))).withColumn("f", F.col("pos") - F.col("low"))
+    sides = F.array(F.struct(F.lit(False).alias("upper"), F.col("low").alias("at")), F.struct(F.lit(True).alias("upper"), F.ceil("pos").alias("at")))
+    targets = (asked.select("*", F.inline(sides)).where((F.col("at") >= start) & (F.col("at") < F.col("end")))
+               .select(*keys, "b", "name", "upper", "f", (F.col("at") - start).alias("rank"), "n", "mn", "mx"))
+    targets = materialize(targets)
+    one = targets.where("mn = mx").select(*keys, "name", "upper", "f", F.col("mn").cast("double").alias("x"))
+    more = targets.where("mn < mx")
+    if exact:
+        found = _ranked(rows, hist, dims, sets, keys, more)
+    else:
+        found = more.select(*keys, "name", "upper", "f", (F.col("mn") + (F.col("mx") - F.col("mn")) * (F.col("rank") + 0.5) / F.col("n")).alias("x"))
+    # in units before they are interpolated: the form that SQL and pandas compute
+    both = one.unionByName(found).withColumn("x", F.col("x") / F.lit(float(scale)))
+    at = lambda q, side: F.max(F.when((F.col("name") == q) & (F.col("upper") == side), F.col("x")))
+    part = lambda q: F.max(F.when(F.col("name") == q, F.col("f")))
+    picked = both.groupBy(*keys).agg(*[(at(q, False) * (F.lit(1.0) - part(q)) + at(q, True) * part(q)).alias(q) for q in names])
+    return stats.join(picked, keys, "left")
+
+
+def _moments(each: DataFrame, keys: list[str], scale: int) -> DataFrame:
+    """Exact sums of every group, and what follows from them."""
+    b, n, s = F.col("b").cast("decimal(19,0)"), F.col("n").cast("decimal(18,0)"), F.col("s").cast("decimal(19,0)")
+    squares = F.col("q") + (b * s * 2).cast(WHOLE) + ((b * b).cast(WHOLE) * n).cast(WHOLE)  # of the values, from those around b
+    t = each.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(((b * n).cast(WHOLE) + s).cast(WHOLE)).cast(WHOLE).alias("t"), F.sum(squares.cast(WHOLE)).cast(WHOLE).alias("v"),
+                                F.min("mn").alias("least"), F.max("mx").alias("most"), F.bit_or("days").alias("seen"))
+    unit, count, n = F.lit(float(scale)), F.col("n").cast("double"), F.col("n").cast("decimal(18,0)")
+    # squares around the whole number c next to the mean, still exact; the mean is less than one away from it
+    t = t.withColumn("c", F.round(F.col("t") / n).cast("decimal(19,0)"))
+    around = F.col("v") - (F.col("c") * F.col("t") * 2).cast(WHOLE) + ((F.col("c") * F.col("c")).cast(WHOLE) * n).cast(WHOLE)
+    shift = (F.col("t") - (F.col("c") * n).cast(WHOLE)).cast("double") / count
+    return t.select(*keys, "n", (F.col("t") / F.lit(scale).cast("decimal(3,0)")).cast("decimal(38,2)").alias("total"), (F.col("t").cast("double") / count / unit).alias("mean"),
+                    (F.col("least") / unit).alias("min"), (F.col("most") / unit).alias("max"),
+                    F.when(F.col("n") > 1, F.sqrt(F.greatest(around.cast("double") - count * shift * shift, F.lit(0.0)) / (count - 1)) / unit).alias("stddev"),
+                    F.bit_count("seen").cast("int").alias("days"))
 
 
 def _ranked(rows: DataFrame, hist: DataFrame, dims: list[str], sets: Column, keys: list[str], targets: DataFrame) -> DataFrame:
     """The values at the targets' ranks, from one read of the rows."""
     at = [*keys, "b"]
-    asked = _as(targets.select(*at).distinct(), at, "a_")
-    cells = hist.where("mn < mx").select(*dims, "b", F.explode(sets).alias("k")).select(*dims, "b", F.col("k"), *[F.col(f"k.{k}").alias(f"k_{k}") for k in keys])
-    cond = _equal([f"k_{k}" for k in keys] + ["b"], [f"a_{k}" for k in at])
+    asked = targets.select(*at).distinct()
+    groups = lambda df, *more: df.select(*more, F.explode(sets).alias("k")).select(*more, "k.*")
     # cells with one value need no read; the others only where a target lies in their bucket
-    needed = _as(cells.join(asked, cond, "left_semi").select(*dims, "b").distinct(), [*dims, "b"], "w_")
-    read = rows.select(*dims, "v").withColumn("b", bucket(F.col("v")))
-    read = read.join(needed, _equal([*dims, "b"], [f"w_{c}" for c in (*dims, "b")]), "left_semi").groupBy(*dims, "b", "v").agg(F.count(F.lit(1)).alias("m"))
+    cells = hist.where("mn < mx").select(*[F.col(d).alias(f"d_{d}") for d in dims], "b", F.explode(sets).alias("k")).select(*[f"d_{d}" for d in dims], "b", "k.*")
+    needed = cells.join(asked, at, "left_semi").select(*[F.col(f"d_{d}").alias(d) for d in dims], "b").distinct()
+    read = rows.select(*dims, "v").withColumn("b", bucket(F.col("v"))).join(needed, [*dims, "b"], "left_semi").groupBy(*dims, "b", "v").agg(F.count(F.lit(1)).alias("m"))
     single = hist.where("mn = mx").select(*dims, "b", F.col("mn").alias("v"), F.col("n").alias("m"))
-    values = read.unionByName(single).select(F.explode(sets).alias("k"), "b", "v", "m").select("k.*", "b", "v", "m")
-    values = (values.join(asked, _equal(at, [f"a_{k}" for k in at]), "left_semi").groupBy(*at, "v").agg(F.sum("m").alias("m"))
-              .withColumn("upto", F.sum("m").over(Window.partitionBy(*at).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))))
-    right = _as(values, at, "v_")
-    return (targets.join(right, _equal(at, [f"v_{k}" for k in at]) & (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("m")))
-            .select(*keys, "name", "upper", "frac", F.col("v").cast("double").alias("x")))
+    values = groups(read.unionByName(single), "b", "v", "m").join(asked, at, "left_semi").groupBy(*at, "v").agg(F.sum("m").alias("m"))
+    values = values.withColumn("upto", F.sum("m").over(Window.partitionBy(*at).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+    return (targets.join(values, at).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("m")))
+            .select(*keys, "name", "upper", "f", F.col("v").cast("double").alias("x")))

@@ -27,10 +27,15 @@ def cents(price) -> Column:
 
 
 def cells(tx: DataFrame, cfg: Config = DEFAULT, *more: str) -> DataFrame:
-    """The transactions as cells (with further columns) with their price in cents and their day."""
+    """The transactions as cells (with further columns) with their price in cents and their day.
+
+    No dimension is NULL: an unknown flag is no market sale, an unknown text is ''.
+    """
     focus = F.col("county") == F.lit(cfg.focus_place)
-    return tx.select(*more, "not_full_market", "county", "region", "year", "month", F.coalesce(F.col("vat_exclusive").cast("string"), F.lit("unknown")).alias("vat"),
-                     L.property_class("property_type").alias("segment"), F.when(focus, postcode("eircode")).alias("postcode"),
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return tx.select(*more, F.coalesce("not_full_market", F.lit(True)).alias("not_full_market"), blank(F.col("county")).alias("county"),
+                     blank(F.col("region")).alias("region"), "year", "month", F.coalesce(F.col("vat_exclusive").cast("string"), F.lit("unknown")).alias("vat"),
+                     L.property_class("property_type").alias("segment"), blank(F.when(focus, postcode("eircode"))).alias("postcode"),
                      F.day("date_of_sale").alias("day"), cents("price_eur").alias("v")).where("v is not null")
 
 
@@ -45,8 +50,6 @@ def type_label() -> Column:
 
 def _sets(cfg: Config, only) -> Column:
     """The groups of a cell.  Keys that a breakdown doesn't use are '' or 0."""
-    place = F.coalesce("county", F.lit(""))
-
     def row(name, place="", region="", part="", year=True, month=False):
         text = lambda v: v if isinstance(v, Column) else F.lit(v)
         return F.struct(F.lit(name).alias("profile"), text(place).alias("place"), text(region).alias("region"), text(part).alias("part"),
@@ -55,9 +58,9 @@ def _sets(cfg: Config, only) -> Column:
     region, focus, code = F.col("region"), F.col("county") == F.lit(cfg.focus_place), F.col("postcode")
     market = {"place_year": row("place_year", F.col("county"), region), "place_month": row("place_month", F.col("county"), region, month=True),
               "place_type": row("place_type", F.col("county"), region, type_label()), "place_segment": row("place_segment", F.col("county"), region, F.col("segment")),
-              "focus": row("focus", F.when(focus, F.lit("focus")).otherwise(F.lit("rest"))), "region": row("region", F.coalesce(region, F.lit(""))),
-              "month": row("month", month=True), "vat": row("vat", place, part=F.col("vat")),
-              "postcode": F.when(code.isNotNull(), row("postcode", code)), "zone": F.when(code.isNotNull(), row("zone", L.zone(code), part=F.col("vat")))}
+              "focus": row("focus", F.when(focus, F.lit("focus")).otherwise(F.lit("rest"))), "region": row("region", region),
+              "month": row("month", month=True), "vat": row("vat", F.col("county"), part=F.col("vat")),
+              "postcode": F.when(code != "", row("postcode", code)), "zone": F.when(code != "", row("zone", L.zone(code), part=F.col("vat")))}
     sold = F.array(*[v for k, v in market.items() if k in only]) if any(k in only for k in market) else None
     sold = sold if sold is None else F.filter(sold, lambda s: s.isNotNull())
     every = F.array(row("all", year=False))
@@ -67,7 +70,8 @@ def _sets(cfg: Config, only) -> Column:
 
 
 def _wanted() -> Column:
-    all_of, median = F.array(*map(F.lit, QUANTILES)), F.array(F.lit("median"))
+    of = lambda names: F.array(*[F.struct(F.lit(n).alias("name"), F.lit(QUANTILES[n]).alias("p")) for n in names])
+    all_of, median = of(QUANTILES), of(["median"])
     return F.when(F.col("profile") == "place_year", all_of).otherwise(median)
 
 
@@ -79,28 +83,32 @@ def profiles(tx: DataFrame, cfg: Config = DEFAULT, hist: DataFrame | None = None
     from ..session import materialize
 
     hist = materialize(histogram(tx, cfg)) if hist is None else hist
-    return cube.profiles(cells(tx, cfg), hist, DIMS, _sets(cfg, only), KEYS, _wanted(), QUANTILES, exact=cfg.exact_quantiles)
+    return cube.profiles(cells(tx, cfg), hist, DIMS, _sets(cfg, only), KEYS, _wanted(), list(QUANTILES), exact=cfg.exact_quantiles)
+
+
+def _places(p: DataFrame, name: str) -> DataFrame:
+    return p.where(F.col("profile") == name).withColumnRenamed("place", "county").withColumn("region", F.nullif("region", F.lit("")))
 
 
 def place_year(p: DataFrame) -> DataFrame:
     """(county, region, year) -> n, total, mean, min, max, stddev, p10 ... p90."""
-    return p.where("profile = 'place_year'").withColumnRenamed("place", "county").drop("profile", "part", "month", "days")
+    return _places(p, "place_year").drop("profile", "part", "month", "days")
 
 
 def place_month(p: DataFrame) -> DataFrame:
     """(county, region, sale_month, year, month) -> n, total, median, ..."""
-    p = p.where("profile = 'place_month'").withColumnRenamed("place", "county").drop("profile", "part")
+    p = _places(p, "place_month").drop("profile", "part")
     return p.withColumn("sale_month", F.make_date("year", "month", F.lit(1)))
 
 
 def place_type(p: DataFrame) -> DataFrame:
     """(county, region, year, type_label) -> n, median, ..."""
-    return p.where("profile = 'place_type'").withColumnsRenamed({"place": "county", "part": "type_label"}).drop("profile", "month")
+    return _places(p, "place_type").withColumnRenamed("part", "type_label").drop("profile", "month")
 
 
 def place_segment(p: DataFrame) -> DataFrame:
     """(county, region, year, segment) -> n, median, ..."""
-    return p.where("profile = 'place_segment'").withColumnsRenamed({"place": "county", "part": "segment"}).drop("profile", "month")
+    return _places(p, "place_segment").withColumnRenamed("part", "segment").drop("profile", "month")
 
 
 def load_profile(p: DataFrame, hist: DataFrame) -> DataFrame:

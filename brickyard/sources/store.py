@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..config import Config
 from ..operators import cube
 from ..plans import profiles as P
+from ..session import materialize
 from . import schemas
 from .synthetic import TX_COLUMNS
 
@@ -111,8 +112,10 @@ class Store:
         return self._read("transactions", loads).drop("slice", "load") if keyed else self._read("transactions", loads, schemas.TRANSACTIONS).select(*TX_COLUMNS)
 
     def histogram(self, m: dict) -> DataFrame:
-        """The sales' histogram by cell, merged over the slices."""
-        return cube.rolled(self._read("histogram", {f"slice={s}": v["load"] for s, v in m["slices"].items()}).drop("slice", "load"), P.DIMS)
+        """The sales' histogram by cell, merged over the slices where they share a year."""
+        found = self._read("histogram", {f"slice={s}": v["load"] for s, v in m["slices"].items()}).drop("slice", "load")
+        years = [y for v in m["slices"].values() for y in v["years"]]
+        return found if len(years) == len(set(years)) else materialize(cube.rolled(found, P.DIMS))
 
     def profiles(self, m: dict) -> DataFrame:
         loads = {f"of={y}": load for y, load in m["profiles"].items()}
@@ -122,37 +125,38 @@ class Store:
         return self.spark.read.parquet(f"{self.root}/{name}/load={m['tables'][name]}")
 
     # -- writer ---------------------------------------------------------------
-    def sync(self, sources: Mapping[str, str], load: Callable[[list[str]], DataFrame], tables: Callable[["Store", dict], Iterable[tuple[str, DataFrame]]] | None = None,
-             inputs: str = "") -> dict:
+    def sync(self, sources: Mapping[str, str] | None, load: Callable[[list[str] | None], DataFrame], tables: Callable[["Store", dict], Iterable[tuple[str, DataFrame]]] | None = None,
+             inputs: str = "", old: dict | None = None) -> dict:
         """Bring the store to ``sources`` (slice -> fingerprint) and return its manifest.
 
         ``load`` gives the clean sales of some slices with a column ``slice``; ``tables`` the further tables to
         store, given the new version; ``inputs`` is the fingerprint of what else they depend on.
+        ``sources`` None: everything is loaded, and the slices are those found.  ``old`` is the version to go on from (default: the latest).
         """
-        old = self.manifest()
+        old = old or self.manifest()
         same = old is not None and old["config"] == self.config_key()
         before = old["slices"] if same else {}
-        changed = sorted(s for s, f in sources.items() if s not in before or before[s]["source"] != f)
-        gone = sorted(s for s in before if s not in sources)
-        if same and not changed and not gone and old["inputs"] == inputs:
+        changed = None if sources is None else sorted(s for s, f in sources.items() if s not in before or before[s]["source"] != f)
+        gone = sorted(s for s in before if sources is None or s not in sources)
+        if same and changed == [] and not gone and old["inputs"] == inputs:
             return old
         this = "v" + uuid.uuid4().hex[:12]
         m = {"version": (old["version"] if old else 0) + 1, "load": this, "created": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "config": self.config_key(), "inputs": inputs,
-             "slices": {s: v for s, v in before.items() if s in sources and s not in changed}, "profiles": dict(old["profiles"]) if same else {}, "tables": {}}
-        touched = {y for s in (*changed, *gone) if s in before for y in before[s]["years"]}
-        if changed:
+             "slices": {s: v for s, v in before.items() if sources and s in sources and s not in changed}, "profiles": dict(old["profiles"]) if same else {}, "tables": {}}
+        touched = {y for s in (*(changed or ()), *gone) if s in before for y in before[s]["years"]}
+        if changed != []:
             self._write_sales(load(changed), this)
             counts = self.spark.read.parquet(f"{self.root}/histogram").where((F.col("load") == this)).groupBy("slice", "year").agg(F.sum("n").alias("n")).collect()  # slices x calendar years
             rows: dict[str, dict[int, int]] = {}
             for r in counts:
                 rows.setdefault(str(r["slice"]), {})[r["year"]] = r["n"]
-            for s in changed:
+            for s in rows if changed is None else changed:
                 if s in rows:  # a slice without clean sales has no files
-                    m["slices"][s] = {"load": this, "source": sources[s], "years": sorted(rows[s]), "rows": sum(rows[s].values())}
+                    m["slices"][s] = {"load": this, "source": sources[s] if sources else "", "years": sorted(rows[s]), "rows": sum(rows[s].values())}
                     touched |= set(rows[s])
         if not m["slices"]:
             raise ValueError("no slice holds clean sales")
-        if changed or gone or not same:
+        if changed != [] or gone or not same:
             self._write_profiles(m, sorted(touched), this)
         for name, df in tables(self, m) if tables else ():  # a later table may read an earlier one
             df.write.parquet(f"{self.root}/{name}/load={this}")

@@ -124,9 +124,18 @@ def materialize(spark: SparkSession, sf_dir: str, root: str, cfg: Config = DEFAU
     old = store.manifest()
     if old is not None and old["inputs"] == inputs and old["config"] == store.config_key():
         return StoredSources(store, sf_dir, old)
-    # a first load has nothing to compare with: its slices are found while they are written
-    sales = S.sales(spark, sf_dir, cfg).withColumn("slice", F.col("year").cast("string"))
-    sources = year_sources(sales.drop("slice"))
+    plain = S.sales(spark, sf_dir, cfg)
+    sales = plain.withColumn("slice", F.col("year").cast("string"))
+    if old is None or old["config"] != store.config_key():
+        sources = None  # nothing to compare with
+    else:
+        sources = year_sources(plain)
+        # a first load has left its rows' fingerprint to be taken from the stored rows
+        late = {s for s, v in old["slices"].items() if not v["source"]}
+        if late:
+            had = year_sources(store.transactions(old, keyed=True).where(F.col("year").isin(*map(int, late))).select(*plain.columns))
+            for s in late:
+                old["slices"][s]["source"] = had[s]
 
     def dimensions(s: Store, m: dict):
         src = StoredSources(s, sf_dir, m)
@@ -136,7 +145,7 @@ def materialize(spark: SparkSession, sf_dir: str, root: str, cfg: Config = DEFAU
         yield "supply_demand", schemas.at_rest(S.supply_demand_from(keyed), schemas.SUPPLY_DEMAND)
         yield "investment_scores", schemas.at_rest(DerivedSources.scores(src), schemas.INVESTMENT_SCORES)
 
-    m = store.sync(sources, lambda years: sales.where(F.col("slice").isin(*years)), dimensions, inputs)
+    m = store.sync(sources, lambda years: sales if years is None else sales.where(F.col("slice").isin(*years)), dimensions, inputs, old)
     return StoredSources(store, sf_dir, m)
 
 

@@ -50,7 +50,7 @@ def test_run_all_jobs_from_stored_tables(spark, tmpdir_path):
     assert main(["run", "--transactions", tx, "--affordability", aff, "--supply", sd, "--out", out]) == 0
     written = sorted(os.path.basename(p) for p in glob.glob(os.path.join(out, "*")))
     assert "market_pulse" in written and "investment_scorecard" in written and "register_cleaning" not in written
-    assert len(written) == 49
+    assert len(written) == 60
     pulse = spark.read.option("header", True).csv(os.path.join(out, "market_pulse"))
     assert pulse.count() == 20
     heat = spark.read.option("header", True).csv(os.path.join(out, "heat_index")).collect()
@@ -72,3 +72,24 @@ def test_cli_load_registers(spark, tmpdir_path):
     assert main(["load", "--register", reg, "--years", "2020-2022", "--out", out]) == 0
     got = sorted((r.county, r.region, r.price_eur, r.vat_exclusive) for r in read_transactions(spark, out).collect())
     assert got == [("Cork", "Munster", 250000.0, False), ("Dublin", "Leinster", 410000.0, True)]
+
+
+def test_cli_sync_and_run_from_the_store(spark, tmpdir_path):
+    from brickyard.sources.store import Store
+    reg, store, out = (os.path.join(tmpdir_path, x) for x in ("ppr", "store", "out"))
+    os.makedirs(reg)
+    aff, sd = os.path.join(tmpdir_path, "aff.csv"), os.path.join(tmpdir_path, "sd.csv")
+    head = ["Date of Sale (dd/mm/yyyy)", "County", "Price", "VAT Exclusive", "Description of Property"]
+    for y in range(2020, 2025):
+        _write_csv(os.path.join(reg, f"PPR-{y}.csv"), head, [(d.strftime("%d/%m/%Y"), c, f"{p:,.2f}", "Yes" if new else "No", t) for d, c, _, p, t, _, new, yy, *_ in _sales() if yy == y])
+    _write_csv(aff, ["county", "region", "year", "median_price", "avg_annual_wage", "years_salary_to_buy", "monthly_rent_estimate", "price_to_income_ratio", "population"],
+               [(c, r, y, 200000, 40000, 5.0, 900, 5.0, 100000) for c, r in PLACES for y in range(2020, 2025)])
+    _write_csv(sd, ["county", "region", "year", "new_completions", "estimated_demand", "supply_deficit", "supply_ratio", "supply_deficit_pct"],
+               [(c, r, y, 400, 1000, 600, 0.4, 60.0) for c, r in PLACES for y in range(2020, 2025)])
+    sync = ["sync", "--register", reg, "--affordability", aff, "--supply", sd, "--store", store]
+    assert main(sync) == 0 and main(sync) == 0
+    assert Store(spark, store, None).versions() == [1]
+    assert main(["run", "--store", store, "--out", out, "--jobs", "market_pulse,heat_index,load_profile,segment_premium"]) == 0
+    pulse = spark.read.option("header", True).csv(os.path.join(out, "market_pulse"))
+    assert pulse.count() == 20 and sum(int(r.transaction_count) for r in pulse.collect()) == len(_sales())
+    assert spark.read.option("header", True).csv(os.path.join(out, "load_profile")).first().years == "2020,2021,2022,2023,2024"

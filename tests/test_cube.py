@@ -114,7 +114,7 @@ def test_wide_values_and_single_values(spark):
     rows = spark.createDataFrame([("a", v, 1) for v in values] + [("b", 7, 2)], "g string, v bigint, day int")
     hist = cube.histogram(rows, ["g"])
     sets, names = F.array(F.struct(F.col("g").alias("k"))), {"low": 0.03, "median": 0.5, "top": 1.0}
-    got = {r.k: r for r in cube.profiles(rows, hist, ["g"], sets, ["k"], F.array(*map(F.lit, names)), names, scale=1).collect()}
+    got = {r.k: r for r in cube.profiles(rows, hist, ["g"], sets, ["k"], F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in names.items()]), list(names), scale=1).collect()}
     want = sorted(values)
     for name, p in names.items():
         pos = (len(want) - 1) * p

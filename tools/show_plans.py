@@ -19,14 +19,15 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from brickyard.config import TEST  # noqa: E402
 from brickyard.plans import catalog  # noqa: E402
 from brickyard.session import ensure_checkpoint_dir, get_session  # noqa: E402
-from brickyard.sources.tables import DerivedSources, materialize  # noqa: E402
+from brickyard.plans import profiles as P  # noqa: E402
+from brickyard.sources.tables import materialize  # noqa: E402
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
-    names = sys.argv[2:] or ["shared:place_year_profile", "market_pulse", "focus_vs_rest", "heat_index",
+    names = sys.argv[2:] or ["profiles", "market_pulse", "focus_vs_rest", "heat_index",
                              "commuter_belt"]
     spark = get_session("local[8]", 8)
     ensure_checkpoint_dir(spark)
@@ -35,9 +36,8 @@ def main():
     out_dir = os.path.join(ROOT, "docs", "plans")
     os.makedirs(out_dir, exist_ok=True)
     for name in names:
-        if name.startswith("shared:"):       # a shared aggregate, computed from the stored sales
-            name = name.split(":", 1)[1]
-            df = DerivedSources.shared(src, name)
+        if name == "profiles":       # all price profiles, from the stored histogram and one read of the sales
+            df = P.profiles(src.tx(), TEST, src.histogram())
         else:
             df = jobs[name]()
         df.collect()
