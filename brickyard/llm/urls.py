@@ -16,7 +16,7 @@ is joined to the cuts of its runs and to the weights of its tokens.  So a task h
 frequent run or token is met once a block, and only sums go to the driver.
 
 Nulls and ties: a null url, or one without ``://``, has an empty host and path and gets the verdict of
-no tokens (the prior's, allow).  Null page ids and repeated rows come back as they came.  Null html has
+no tokens (the prior's: that of most urls).  Null page ids and repeated rows come back as they came.  Null html has
 no words.  Extra columns are ignored.  An empty input gives an empty result.
 """
 
@@ -101,13 +101,33 @@ def parts(host: str, path: str) -> list[str]:
     return PARTS.findall(f"{host} {path}".lower())
 
 
+def without_tags(html: str) -> str:
+    """The text with a space for each tag, and for each script and style with its content; in one pass, whatever is left open."""
+    out, at, close = [], 0, {"script": 0, "style": 0}
+    while True:
+        start = html.find("<", at)
+        end = html.find(">", start) if start >= 0 else -1
+        if end < 0:
+            out.append(html[at:])
+            return " ".join(out)
+        out.append(html[at:start])
+        at = end + 1
+        for name in close:
+            if html.startswith(name, start + 1):
+                # where the next closing tag is; once there is none, none is looked for again
+                if 0 <= close[name] < start + 1 + len(name):
+                    close[name] = html.find(f"</{name}>", start + 1 + len(name))
+                if close[name] >= 0:
+                    at = close[name] + len(name) + 3
+
+
 def _words(batches):
     counts: Counter[str] = Counter()
-    word, tag = re.compile(rf"{LETTERS}{{2,}}"), re.compile(r"<script.*?</script>|<style.*?</style>|<[^>]*>", re.S)
+    word = re.compile(rf"{LETTERS}{{2,}}")
     for batch in batches:
         for html in batch.column(0):
             if html.is_valid:
-                counts.update(word.findall(tag.sub(" ", html.as_py()).lower()))
+                counts.update(word.findall(without_tags(html.as_py()).lower()))
         if len(counts) > 200_000:
             yield _counted(counts)
             counts.clear()
@@ -232,8 +252,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, names: Seq
     cuts = stored(_by_block(runs, known).select("block", "part", "word", "n").mapInArrow(_cut(total), "part string, tokens array<string>"), "cuts")
     cut = asked.join(cuts, "part").select("block", "part", F.col("tokens").alias("cut"))
     seen = stored(_by_block(urls, cut).mapInArrow(_tokens(frozenset(names)), f"block int, page_id {kind}, host string, path string, tokens array<string>, blocked boolean"), "tokens")
-    n = [r["count"] for r in seen.groupBy("blocked").count().collect()] + [0, 0]
-    prior = math.log((min(n[:2]) + 1) / (max(n[:2]) + 1))
+    n = {r["blocked"]: r["count"] for r in seen.groupBy("blocked").count().collect()}
+    prior = math.log((n.get(True, 0) + 1) / (n.get(False, 0) + 1))
     # every token's counts in blocked and other urls
     one = F.col("blocked").cast("long")
     counts = (seen.select(F.explode("tokens").alias("token"), one.alias("b"), (1 - one).alias("a"))

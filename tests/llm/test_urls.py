@@ -85,7 +85,7 @@ def plain_odds(rows):
     known = {*a, *b}
     extra = 0.5 * (len(known) + 1)
     weight = {t: math.log((b[t] + 0.5) / (b.total() + extra)) - math.log((a[t] + 0.5) / (a.total() + extra)) for t in known}
-    prior = math.log((min(sum(bad), len(bad) - sum(bad)) + 1) / (max(sum(bad), len(bad) - sum(bad)) + 1))
+    prior = math.log((sum(bad) + 1) / (len(bad) - sum(bad) + 1))
     return [prior + sum(weight[t] for t in o) for o in own]
 
 
@@ -107,3 +107,27 @@ def test_odd_rows_and_empty_table(spark):
     assert urls.judge(table(spark, [])).collect() == []
     got = urls.judge(table(spark, [(None, "http://a.org/x", None), (1, None, ""), (1, None, ""), (2, "http://a.com/" + "long" * 20_000, None)])).collect()
     assert len(got) == 4 and {r.verdict for r in got} == {"allow"}
+
+
+def test_prior_is_by_class(spark):
+    """Where most urls are blocked the prior says block: 30 against 2."""
+    rows = [(k, f"http://casino{k}.info", None) for k in range(30)] + [(100, "http://garden.info", None), (101, "http://", None)]
+    got = {r.page_id: r for r in urls.judge(table(spark, rows)).collect()}
+    assert math.isclose(got[101].log_odds, math.log(31 / 3)) and got[101].verdict == "block"
+    for (k, *_), odds in zip(rows, plain_odds(rows), strict=True):
+        assert math.isclose(got[k].log_odds, odds, abs_tol=1e-9)
+
+
+def test_tags_are_taken_out_in_one_pass():
+    import random
+    import time
+
+    tag = re.compile(r"<script.*?</script>|<style.*?</style>|<[^>]*>", re.S)
+    rng, bits = random.Random(6), ["<", ">", "<script", "</script>", "<style", "</style>", "script", "a", " ", "/", "<p>", "\n"]
+    for _ in range(4000):
+        html = "".join(rng.choices(bits, k=rng.randrange(1, 16)))
+        assert urls.without_tags(html) == tag.sub(" ", html), html
+    for html in ("<" * 2_000_000, "<script" * 300_000, "<script>" * 250_000, "<style><" * 250_000):
+        began = time.process_time()
+        urls.without_tags(html)
+        assert time.process_time() - began < 5
