@@ -281,5 +281,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, shar
     idf = np.log(1 + (n - df + 0.5) / (df + 0.5)).astype(np.float32)
     stats = sc.broadcast((starts.value, idf, max(length / max(n, 1), 1.0)))
     shards = max(1, -(-coded.count() // shard_docs))
-    routed = coded.repartitionByRange(shards, "route", "h").withColumn("shard", F.spark_partition_id().cast("long"))
+    # dealt by row in the end, so that rows equal in all else don't stay together
+    routed = coded.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(shards, "route", "h", "row")
+    routed = routed.drop("row").withColumn("shard", F.spark_partition_id().cast("long"))
     return stored(routed.mapInArrow(_pack(stats, window, query_terms, bits), PIECE), "pieces")

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from brickyard.llm import packing
@@ -94,3 +95,11 @@ def test_fast_ids_equal_the_library(spark):
 
 def test_empty_table(docs):
     assert packing.pack(docs([]), PATH).collect() == []
+
+
+def test_equal_rows_are_dealt_over_the_shards(spark, words):
+    """A third of all rows and more may be equal: no shard gets them all."""
+    rows = [(None, "")] * 6000 + [(k, words(k, 30)) for k in range(600)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH, shard_docs=512).select((F.col("sequence_id") / 2**32).cast("long").alias("shard"))
+    sizes = [r["count"] for r in out.groupBy("shard").count().collect()]
+    assert sum(sizes) >= 6600 and len(sizes) >= 10 and max(sizes) < 2.5 * 512
