@@ -233,8 +233,8 @@ def _search(kind: str, k: int):
     return run
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 16384, rows_per_part: int = 2048, most_parts: int = 256,
-           mass: float = 0.96, least: float = 0.25, goal: float = 0.96, block: int = 8192, seed: int = 23) -> DataFrame:
+def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 16384, rows_per_part: int = 2048, most_parts: int = 512,
+           mass: float = 0.96, least: float = 0.0, goal: float = 0.96, block: int = 8192, seed: int = 23) -> DataFrame:
     """One row per query and neighbour found: query_id, rank, vec_id, score.  ``is_query`` is a condition on the rows."""
     spark, n = vectors.sparkSession, partitions(vectors)
     kind = "float32" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "float64"
