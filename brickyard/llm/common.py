@@ -133,14 +133,19 @@ def pairs_within(starts: np.ndarray, n: int, at_once: int = 200_000):
         lo = hi
 
 
-def read_vectors(batches, kind: str):
-    """(id, digest, vector bytes) with null bytes for vectors that take no part."""
+def read_vectors(batches, kind: str, any_size: bool = False):
+    """(id, digest, vector bytes) with null bytes for vectors that take no part.
+
+    ``any_size``: also those whose squares are too large or too small for a double.
+    """
     for batch in batches:
         digest, raw = [], []
         for v in batch.column(1):
             v = v.values.to_numpy(zero_copy_only=False).astype(kind) if v.is_valid and len(v) and not v.values.null_count else None
             wide = None if v is None else v.astype(float)
-            if wide is None or not np.isfinite(wide).all() or not wide.any() or not 0 < (wide * wide).sum() < np.inf:
+            with np.errstate(over="ignore", under="ignore"):
+                fits = wide is not None and np.isfinite(wide).all() and wide.any() and (any_size or 0 < (wide * wide).sum() < np.inf)
+            if not fits:
                 raw.append(None)
                 digest.append(None)
             else:
@@ -150,10 +155,14 @@ def read_vectors(batches, kind: str):
                                          names=["vec_id", "digest", "raw"])
 
 
-def by_length(raw, kind: str):
-    """(rows, their vectors in double precision) for each length of vector."""
+def by_length(raw, kind: str, scaled: bool = False):
+    """(rows, their vectors in double precision) for each length of vector.
+
+    ``scaled``: by a power of two each, so that the largest component is below 1; angles stay exactly the same.
+    """
     raw = raw.to_pylist()
     sizes = np.array([len(r) for r in raw])
     for size in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == size)
-        yield at, np.frombuffer(b"".join(raw[k] for k in at), kind).reshape(len(at), -1).astype(float)
+        vectors = np.frombuffer(b"".join(raw[k] for k in at), kind).reshape(len(at), -1).astype(float)
+        yield at, np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1))[1][:, None]) if scaled else vectors
