@@ -95,6 +95,7 @@ def _encode(path: str, starts, window: int, end: int, bits: int, seed: int):
     def run(batches):
         encoder, checked = Encoder(path), False
         counts, docs, length = np.zeros(1 << bits, np.int64), 0, 0
+        last = np.zeros(1 << bits, np.int32)  # each word's last place in the text at hand
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -113,7 +114,9 @@ def _encode(path: str, starts, window: int, end: int, bits: int, seed: int):
                     tails.append(ids[full * window :].tobytes())
                     words = terms(ids[full * window :].astype(np.int64), starts.value, bits)
                     if len(words):
-                        counts[np.unique(words)] += 1
+                        place = np.arange(len(words), dtype=np.int32)
+                        last[words] = place
+                        counts[words[last[words] == place]] += 1
                         docs, length = docs + 1, length + len(words)
                     route.append(int(((words + 1) * 0x9E3779B1 & 0xFFFFFFFF).min()) if len(words) else -1)
                     h.append(xxhash.xxh64_intdigest(f"{key}:{len(ids)}:{crc(ids)}", seed=seed) >> 1)
