@@ -71,7 +71,7 @@ def profiles(rows: DataFrame, hist: DataFrame, dims: Sequence[str], sets: Column
     """
     keys, dims = list(keys), list(dims)
     each = hist.select(F.explode(sets).alias("k"), "b", *COUNTS).select("k.*", "b", *COUNTS)
-    stats = materialize(_moments(each, keys, scale))
+    stats = _moments(each, keys, scale)
     if not names:
         return stats
     group = Window.partitionBy(*keys)
@@ -126,7 +126,8 @@ def _ranked(rows: DataFrame, hist: DataFrame, dims: list[str], sets: Column, key
     cells = hist.where("mn < mx").select(*[F.col(d).alias(f"d_{d}") for d in dims], "b", F.explode(sets).alias("k")).select(*[f"d_{d}" for d in dims], "b", "k.*")
     needed = cells.join(asked, at, "left_semi").select(*[F.col(f"d_{d}").alias(d) for d in dims], "b").distinct()
     read = rows.select(*dims, "v").withColumn("b", bucket(F.col("v"))).join(needed, [*dims, "b"], "left_semi").groupBy(*dims, "b", "v").agg(F.count(F.lit(1)).alias("m"))
-    single = hist.where("mn = mx").select(*dims, "b", F.col("mn").alias("v"), F.col("n").alias("m"))
+    # few buckets are asked for at all
+    single = hist.where("mn = mx").join(asked.select("b").distinct(), "b", "left_semi").select(*dims, "b", F.col("mn").alias("v"), F.col("n").alias("m"))
     values = groups(read.unionByName(single), "b", "v", "m").join(asked, at, "left_semi").groupBy(*at, "v").agg(F.sum("m").alias("m"))
     values = values.withColumn("upto", F.sum("m").over(Window.partitionBy(*at).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
     return (targets.join(values, at).where((F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("m")))
