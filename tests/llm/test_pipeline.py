@@ -33,7 +33,7 @@ def test_each_stage_against_its_operator(spark, steps):
     found = minhash.near_duplicates(before, words_each=5).collect()
     assert sorted(r.doc_id for r in after.collect()) == sorted(r.doc_id for r in found if r.kept)
     before, after = steps[2]
-    new = {r.doc_id: r.text for r in surrogates.replace(before).collect()}
+    new = {r.doc_id: r.text for r in surrogates.replace(before, surrogates.key_of(spark)).collect()}
     assert {r.doc_id: (r.text, r.n_chars) for r in after.collect()} == {i: (t, len(t)) for i, t in new.items()}
     before, after = steps[3]
     want = {r.doc_id: r.copies + (2 * r.part > r["size"]) for r in mixing.mix(before).collect()}
@@ -62,3 +62,15 @@ def test_odd_rows_pass_every_stage(spark, docs, words):
     empty = docs([])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).collect() == []
+
+
+def test_the_key_comes_from_the_settings(spark, docs):
+    """The same key gives the same surrogates in any application; values without letters or digits pass too."""
+    df = docs([(1, "password: ******** ok"), (2, "write ada.brook@firm.org or Mr. Stone")])
+    spark.conf.set(surrogates.KEY, "one")
+    try:
+        out = {r.doc_id: r.text for r in corpus_pipeline.replace_private(spark, df, SF).collect()}
+    finally:
+        spark.conf.unset(surrogates.KEY)
+    assert out == {r.doc_id: r.text for r in surrogates.replace(df, b"one").collect()}
+    assert "***" not in out[1] and out[1].endswith(" ok") and "Stone" not in out[2]
