@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,18 +32,50 @@ def small_batches(df: DataFrame, rows: int = 1000) -> None:
         df.sparkSession.conf.set(key, str(rows))
 
 
+#: Folders written by ``stored`` inside the open scopes of this thread, innermost last.
+_scopes = threading.local()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet below the session's checkpoint folder and read it back.
 
     The folder is shared (``spark.checkpoint.dir``), so what follows neither recomputes ``df`` nor
-    depends on the executors that made it.  Like checkpoints, the files live as long as the folder.
+    depends on the executors that made it.  Like checkpoints, the files live as long as the folder, or
+    as the innermost open ``scope``.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if getattr(_scopes, "open", None):
+        _scopes.open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession):
+    """Removes what ``stored`` wrote inside, however the block ends.
+
+    The list it gives is that of the folders; one that is taken off it stays.  A DataFrame that reads
+    a folder must have been written elsewhere before the block ends.
+    """
+    if not hasattr(_scopes, "open"):
+        _scopes.open = []
+    written: list[str] = []
+    _scopes.open.append(written)
+    try:
+        yield written
+    finally:
+        _scopes.open.pop()
+        remove(spark, written)
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def word_count(text):
     """Number of words of whole texts; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

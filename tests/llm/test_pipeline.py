@@ -74,3 +74,30 @@ def test_the_key_comes_from_the_settings(spark, docs):
         spark.conf.unset(surrogates.KEY)
     assert out == {r.doc_id: r.text for r in surrogates.replace(df, b"one").collect()}
     assert "***" not in out[1] and out[1].endswith(" ok") and "Stone" not in out[2]
+
+
+def test_a_run_leaves_only_its_result(spark):
+    import os
+
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
+    got = corpus_pipeline.run(spark, SF)
+    left = set(os.listdir(folder)) - before
+    assert [n.rsplit("-", 1)[0] for n in left] == ["packing"] and got.count() > 0
+
+
+def test_a_scope_removes_what_was_written_in_it(spark):
+    import os
+
+    from brickyard.llm.common import scope, stored
+
+    with pytest.raises(ZeroDivisionError):
+        with scope(spark) as files:
+            stored(spark.range(3), "lost")
+            with scope(spark) as inner:
+                kept = stored(spark.range(5), "kept")
+                path = inner.pop()
+            assert len(files) == 1 and os.path.isdir(files[0].removeprefix("file:"))
+            lost = files[0].removeprefix("file:")
+            1 / 0
+    assert not os.path.exists(lost) and os.path.isdir(path.removeprefix("file:")) and kept.count() == 5
