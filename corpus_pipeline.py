@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last
 return the columns that ``docs`` has, whatever they are called.  ``run`` writes every stage's result as
-Parquet to the shared checkpoint folder and reads it again.
+Parquet to the shared checkpoint folder and reads it again; a stage's own files go when it is done, and its
+result when the next one is.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brickyard.llm import minhash, mixing, packing, quality, surrogates
-from brickyard.llm.common import stored, table, word_count
+from brickyard.llm.common import remove, scope, stored, table, word_count
 from brickyard.llm.queries import TOKENIZER
 
 
@@ -91,7 +92,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scope(spark) as files:
+            docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            result = files.pop()  # the last folder written is the result
+        remove(spark, before)
+        before = [result]
     return docs
