@@ -150,18 +150,22 @@ def group_starts(rows, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def pairs_within(starts: np.ndarray, n: int, at_once: int = 200_000):
-    """All (x, y), x < y, of rows in the same group, as arrays of about ``at_once`` pairs."""
+def pairs_within(starts: np.ndarray, n: int, at_once: int = 200_000, runs: np.ndarray | None = None):
+    """All (x, y), x < y, of rows in the same group, as arrays of about ``at_once`` pairs.
+
+    ``runs``: where the runs inside the groups start; pairs of one run are left out.
+    """
     sizes = np.diff(np.append(starts, n))
     ends = np.repeat(starts + sizes, sizes)
-    rest = ends - np.arange(n) - 1
+    begin = np.arange(n) + 1 if runs is None else np.repeat(np.append(runs[1:], n), np.diff(np.append(runs, n)))
+    rest = ends - begin
     upto = np.cumsum(rest)
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + at_once)))
         r = rest[lo:hi]
         x = np.repeat(np.arange(lo, hi), r)
-        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(r) - r, r)
+        y = begin[x] + np.arange(len(x)) - np.repeat(np.cumsum(r) - r, r)
         if len(x):
             yield x, y
         lo = hi

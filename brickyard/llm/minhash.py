@@ -11,10 +11,13 @@ errors.  All pairs under the signature distance become candidates, without a cap
 the defaults (32 lanes, 8 chunks of 4, 1 error) the guarantee is 15 of 32 lanes and a pair of
 similarity 0.8 is missed with a chance of 0.181 ** 8, about one in a million.
 
-Cost.  Equal sets are one class from the start.  Buckets of one class go at once; the others are dealt
-out as (bucket, block, block) groups of at most two blocks of classes, whatever the bucket's size.
-A pair is looked at only in the first bucket that holds it.  A first pass over signatures names the
-classes that have a candidate pair; only their texts are read again, and their sets go only to
+Cost.  Equal sets are one class from the start.  In a bucket of more than ``crowd`` classes one class is the
+centre; every class there is first compared with the ``stars`` centres that it shares most
+buckets with, on full sets, so a large group of near copies is tied together by about one link each and sends
+each set about ``stars`` times.  From then on only pairs of classes that aren't tied yet matter: buckets that hold
+one tie only go at once; the others are dealt out as (bucket, block, block) groups of at most two blocks of
+classes, whatever the bucket's size.  A pair is looked at only in the first bucket that holds it.  A pass over
+signatures names the classes that have a candidate pair; only their texts are read again, and their sets go only to
 those buckets.  There a pair is compared only if its classes aren't linked in that bucket yet, and
 what comes out is links, not pairs.  Components of the links are found by distributed star steps.
 
@@ -130,8 +133,8 @@ def _file(lanes: int, chunk: int, errors: int):
                     key = key << BITS | sig[:, c]
                 keys[:, s] = key
             who = np.repeat(np.arange(len(sig)), len(compare))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(pa.array(who))],
-                                             names=["key", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(pa.array(who)), batch.column(2).take(pa.array(who))],
+                                             names=["key", "digest", "tie"])
     return run
 
 
@@ -141,7 +144,7 @@ def _candidates(table: pa.Table, sizes: np.ndarray, sig: np.ndarray, compare, di
     i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
     slot = table.column("key").to_numpy() >> (BITS * len(compare[0]))
     starts = group_starts(table, ["key", "i", "j"])
-    for x, y in pairs_within(starts, table.num_rows):
+    for x, y in pairs_within(starts, table.num_rows, runs=group_starts(table, ["key", "i", "j", "tie"])):
         ok = (i[x] == j[x]) | (block[x] != block[y])
         ok &= 100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])
         x, y = x[ok], y[ok]
@@ -162,12 +165,12 @@ def _needs(lanes: int, chunk: int, errors: int, distance: int, percent: int):
             named = np.zeros(table.num_rows, bool)
             for x, y in _candidates(table, sizes, sig, compare, distance, percent):
                 named[x] = named[y] = True
-            yield from table.filter(pa.array(named)).select(["key", "i", "j", "block", "digest", "cid"]).to_batches()
+            yield from table.filter(pa.array(named)).select(["key", "i", "j", "block", "digest", "cid", "tie"]).to_batches()
     return run
 
 
 def _fetch(words_each: int, lanes: int):
-    """(text, digest, cid, groups) -> a row with the set for each group."""
+    """(text, digest, cid, tie, groups) -> a row with the set for each group."""
     def run(batches):
         seen = WordHashes()
         for batch in batches:
@@ -178,12 +181,41 @@ def _fetch(words_each: int, lanes: int):
                 if not mine:
                     continue
                 sig = signatures([sets[k] for k in mine], lanes)
-                out = [(g["key"], g["i"], g["j"], g["block"], rows[k]["cid"], s.tobytes(), sets[k].tobytes())
+                out = [(g["key"], g["i"], g["j"], g["block"], rows[k]["cid"], rows[k]["tie"], s.tobytes(), sets[k].tobytes())
                        for k, s in zip(mine, sig, strict=True) for g in rows[k]["groups"]]
                 cols = list(zip(*out, strict=True))
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                                                 names=["key", "i", "j", "block", "cid", "sig", "set"])
+                                                 names=["key", "i", "j", "block", "cid", "tie", "sig", "set"])
+    return run
+
+
+def similar(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union of two sorted sets."""
+    if len(one) < len(two):
+        one, two = two, one
+    if 100 * len(two) < percent * len(one):
+        return False
+    at = np.searchsorted(one, two)
+    at[at == len(one)] = 0
+    both = int((one[at] == two).sum())
+    return 100 * both >= percent * (len(one) + len(two) - both)
+
+
+def _stars(percent: int):
+    """Links of centres to classes; a group's rows follow their centre's, which has block 1."""
+    def run(batches):
+        centre, cid = np.empty(0, np.uint64), 0
+        for batch in batches:
+            a, b = [], []
+            for block, own, raw in zip(batch.column("block").to_pylist(), batch.column("cid").to_pylist(), batch.column("set"), strict=True):
+                mine = np.frombuffer(raw.as_py(), np.uint64)
+                if block:
+                    centre, cid = mine, own
+                elif similar(centre, mine, percent):
+                    a.append(cid)
+                    b.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
     return run
 
 
@@ -195,7 +227,8 @@ def _confirm(lanes: int, chunk: int, errors: int, distance: int, percent: int):
             sets = [np.frombuffer(s, np.uint64) for s in table.column("set").to_pylist()]
             sizes = np.array([len(s) for s in sets])
             cid = table.column("cid").to_numpy()
-            root = list(range(len(sets)))
+            first = group_starts(table, ["key", "i", "j", "tie"])  # tied classes count as linked
+            root = np.repeat(first, np.diff(np.append(first, len(sets)))).tolist()
 
             def find(a: int, root=root) -> int:
                 while root[a] != a:
@@ -209,11 +242,7 @@ def _confirm(lanes: int, chunk: int, errors: int, distance: int, percent: int):
                     a, b = find(x), find(y)
                     if a == b:
                         continue
-                    one, two = (sets[x], sets[y]) if sizes[x] >= sizes[y] else (sets[y], sets[x])
-                    at = np.searchsorted(one, two)
-                    at[at == len(one)] = 0
-                    both = int((one[at] == two).sum())
-                    if 100 * both >= percent * (len(one) + len(two) - both):
+                    if similar(sets[x], sets[y], percent):
                         root[max(a, b)] = min(a, b)
                         links.append((x, y))
             if links:
@@ -223,7 +252,7 @@ def _confirm(lanes: int, chunk: int, errors: int, distance: int, percent: int):
 
 
 def near_duplicates(docs: DataFrame, words_each: int = 4, percent: int = 80, lanes: int = 32, chunk: int = 4,
-                    errors: int = 1, distance: int = 20, block: int = 2048) -> DataFrame:
+                    errors: int = 1, distance: int = 20, block: int = 2048, crowd: int = 64, stars: int = 2) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
     Links have 100 * intersection >= ``percent`` * union of their shingle sets.  ``distance`` is the most
@@ -234,28 +263,57 @@ def near_duplicates(docs: DataFrame, words_each: int = 4, percent: int = 80, lan
     method = (lanes, chunk, errors, distance, percent)
     small_batches(docs)
     n = partitions(docs)
-    sketch = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                    .mapInArrow(_sketch(words_each, lanes), "doc_id long, n_shingles long, digest binary, sig binary"), "sketch")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sketch = stored(texts.mapInArrow(_sketch(words_each, lanes), "doc_id long, n_shingles long, digest binary, sig binary"), "sketch")
     classes = stored(sketch.filter("digest is not null and doc_id is not null").groupBy("digest")
                      .agg(F.min("doc_id").alias("cid"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")),
-                     "classes")
-    filed = classes.select("digest", "sig").mapInArrow(_file(lanes, chunk, errors), "key long, digest binary")
-    shared = filed.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+                     "classes").withColumn("tie", F.col("cid"))
+
+    def filed() -> DataFrame:
+        return classes.select("digest", "sig", "tie").mapInArrow(_file(lanes, chunk, errors), "key long, digest binary, tie long")
+
+    def sent(wanted: DataFrame) -> DataFrame:
+        # by merge at every size: a broadcast here would only ever fit small inputs
+        return (texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("cid")).select("text", "digest", "cid", "tie", "groups")
+                .mapInArrow(_fetch(words_each, lanes), "key long, i int, j int, block int, cid long, tie long, sig binary, set binary"))
+
+    # crowded buckets: every class against the centres it shares most of them with
+    full = filed().groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("digest").alias("h"), "digest", "tie")).alias("centre")).filter(F.col("c") > crowd)
+    full = stored(full.select("key", F.col("centre.digest").alias("to"), F.col("centre.tie").alias("to_cid")), "crowded")
+    ties = None
+    if not full.isEmpty():
+        near = (filed().join(full, "key").filter("digest <> to").groupBy("digest", "tie").agg(F.collect_list(F.struct("to_cid", "to")).alias("to"))  # a bucket each
+                .withColumn("to", F.expr("transform(array_distinct(to), t -> struct(size(filter(to, u -> u = t)) as shared, t.to_cid, t.to))"))
+                .withColumn("to", F.explode(F.slice(F.sort_array("to", asc=False), 1, stars))).select("digest", F.col("tie").alias("cid"), "to.to_cid", "to.to"))
+        near = stored(near, "near")
+        count = near.groupBy("to_cid", "to").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("slices"))
+        zero = F.lit(0)
+        spokes = near.join(count.drop("to"), "to_cid").select("digest", "cid", F.struct(F.col("to_cid").alias("key"), F.pmod(F.xxhash64("digest"), F.col("slices")).cast("int").alias("i"),
+                                                                                        zero.alias("j"), zero.alias("block")).alias("group"))
+        hubs = count.select(F.col("to").alias("digest"), F.col("to_cid").alias("cid"), F.explode(F.sequence(zero, F.col("slices") - 1)).alias("i"), F.col("to_cid").alias("key"))
+        hubs = hubs.select("digest", "cid", F.struct("key", "i", zero.alias("j"), F.lit(1).alias("block")).alias("group"))
+        # a centre of very many slices comes as several rows
+        part = F.when(F.col("group.block") == 1, F.floor(F.col("group.i") / 1024)).otherwise(F.lit(-1))
+        wanted = spokes.unionByName(hubs).groupBy("digest", "cid", part.alias("part")).agg(F.collect_list("group").alias("groups")).withColumn("tie", F.col("cid"))
+        links = sent(wanted).repartition(n, "key", "i").sortWithinPartitions("key", "i", F.desc("block")).mapInArrow(_stars(percent), "a long, b long")
+        ties = stored(links, "ties")
+        tied = components(ties)
+        classes = stored(classes.drop("tie").join(tied, F.col("cid") == F.col("node"), "left")
+                         .select("digest", "cid", "n_shingles", "sig", F.coalesce("component", "cid").alias("tie")), "classes")
+    shared = filed().groupBy("key").agg(F.count("*").alias("c"), F.min("tie").alias("low"), F.max("tie").alias("high")).filter("low < high").select("key", "c")
     blocks = F.ceil(F.col("c") / F.lit(block)).cast("int")
-    member = (filed.join(shared, "key").withColumn("blocks", blocks)
+    member = (filed().drop("tie").join(shared, "key").withColumn("blocks", blocks)
               .withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "digest"))
-    needs = (member.join(classes, "digest").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-             .select("key", "i", "j", "block", "digest", "cid", "n_shingles", "sig")
-             .mapInArrow(_needs(*method), "key long, i int, j int, block int, digest binary, cid long"))
-    wanted = stored(needs.groupBy("digest", "cid").agg(F.collect_list(F.struct("key", "i", "j", "block")).alias("groups")), "wanted")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # by merge at every size: a broadcast here would only ever fit small inputs
-    sets = (texts.join(wanted.hint("merge"), F.col("doc_id") == F.col("cid")).select("text", "digest", "cid", "groups")
-            .mapInArrow(_fetch(words_each, lanes), "key long, i int, j int, block int, cid long, sig binary, set binary"))
-    links = (sets.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    needs = (member.join(classes, "digest").repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "tie")
+             .select("key", "i", "j", "block", "digest", "cid", "tie", "n_shingles", "sig")
+             .mapInArrow(_needs(*method), "key long, i int, j int, block int, digest binary, cid long, tie long"))
+    wanted = stored(needs.groupBy("digest", "cid", "tie").agg(F.collect_list(F.struct("key", "i", "j", "block")).alias("groups")), "wanted")
+    links = (sent(wanted).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "tie")
              .mapInArrow(_confirm(*method), "a long, b long"))
+    if ties is not None:
+        links = links.unionAll(ties)
     found = components(links)
     ids = (classes.select(F.col("digest").alias("d"), "cid").join(found, F.col("cid") == F.col("node"), "left")
            .select("d", F.coalesce("component", "cid").alias("class_component")))

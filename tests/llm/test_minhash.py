@@ -82,3 +82,19 @@ def test_guarantee():
         b = a.copy()
         b[rng.choice(32, 15, replace=False)] += 1
         assert any((a[list(s)] == b[list(s)]).all() for s in compare)
+
+
+def test_crowded_buckets_are_tied_by_their_centres(docs, words):
+    """Groups of near copies, some too far from any centre, with blocks and slices smaller than the groups."""
+    rows = [(g * 1000 + c, edited(words(g, 120), c % 11, 100 * g + c)) for g in range(3) for c in range(70)]
+    want = brute(rows, 4)
+    assert len(set(want.values())) > 3
+    for how in ({"crowd": 3, "block": 16}, {"crowd": 8, "stars": 1, "block": 7}):
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(rows), **how).collect()} == want
+
+
+def test_pairs_of_a_run_are_left_out():
+    starts, runs = np.array([0, 5]), np.array([0, 2, 4, 5, 7])
+    got = [(int(x), int(y)) for xs, ys in minhash.pairs_within(starts, 8, at_once=3, runs=runs) for x, y in zip(xs, ys, strict=True)]
+    run = [0, 0, 1, 1, 2, 3, 3, 4]
+    assert sorted(got) == [(x, y) for x in range(8) for y in range(x + 1, 8) if (x < 5) == (y < 5) and run[x] != run[y]]
