@@ -18,7 +18,8 @@ unscaled rows.  Rows keep their length: the halving sees them lifted to (v, sqrt
 (q, 0) is theirs with q, and their network has the length as one more component.  ``recall`` measures a result against brute force.
 
 Nulls and ties: vectors that are null, empty, zero or hold null or non-finite components take no part, nor
-do rows without an id.  Vectors of another length than most of the sample are compared with none.
+do rows without an id.  Only vectors with as many components are compared; those of another number than most
+of the sample's are a part for each number, which their queries search whole, in blocks.
 A query is never its own neighbour; other rows with its id are the same row.  Repeated rows come once.
 Extra columns are ignored.  An empty input gives an empty result.
 """
@@ -177,7 +178,9 @@ def _route(model, kind: str, mass: float, least: float):
             sent: list = [None] * batch.num_rows
             query = batch.column("query").to_pylist()
             for at, vectors in by_length(batch.column("raw"), kind):
-                if vectors.shape[1] != size:
+                if vectors.shape[1] != size:  # a part of its own, searched exactly
+                    for row in at.tolist():
+                        own[row], sent[row] = -vectors.shape[1], [-vectors.shape[1]] if query[row] else []
                     continue
                 best = rows(features(vectors, scale)).argmax(1)
                 p = asks(directions(vectors))
@@ -256,10 +259,9 @@ def search(vectors: DataFrame, is_query, k: int = 20, sample: int = 16384, rows_
     while parts * 2 <= min(total // rows_per_part, most_parts, max(1, len(learned) // 32)):
         parts *= 2
     model = spark.sparkContext.broadcast((learned.shape[1], *fit(learned, parts, goal=goal)))
-    routed = stored(rows.mapInArrow(_route(model, kind, mass, least), "vec_id long, raw binary, query boolean, own int, sent array<int>")
-                    .filter("own is not null"), "routed")
+    routed = stored(rows.mapInArrow(_route(model, kind, mass, least), "vec_id long, raw binary, query boolean, own int, sent array<int>"), "routed")
     asked = routed.filter("query").select("vec_id", "raw", F.explode("sent").alias("part"))
-    # blocks of a part's rows and of its queries; one row per part
+    # blocks of a part's rows and of its queries; one row per part and per other length
     counts = (routed.groupBy(F.col("own").alias("part")).agg(F.ceil(F.count("*") / block).alias("row_blocks"))
               .join(asked.groupBy("part").agg(F.ceil(F.count("*") / block).alias("ask_blocks")), "part"))
     counts = F.broadcast(spark.createDataFrame([tuple(int(v) for v in r) for r in counts.collect()], "part int, row_blocks int, ask_blocks int"))

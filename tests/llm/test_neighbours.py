@@ -35,7 +35,7 @@ def test_odd_rows_ties_and_blocks(spark):
     ids = [*range(len(x)), 2, None]
     for how in ({}, {"block": 2}):
         got = [tuple(r) for r in search(table(spark, rows, ids), k=4, every=11, **how).orderBy("query_id", "rank").collect()]
-        # lengths other than the usual one take no part; 2 is there twice and comes once
+        # 12 has another length than all others; 2 is there twice and comes once
         assert got == [(0, 1, 1, 2.0), (0, 2, 2, 2.0), (0, 3, 11, 1.0), (0, 4, 10, 0.0),
                        (11, 1, 10, 3.0), (11, 2, 1, 2.0), (11, 3, 2, 2.0), (11, 4, 0, 1.0)]
 
@@ -69,3 +69,14 @@ def test_recall_of_short_queries_where_lengths_differ(spark):
     short = asked[length[asked] < np.median(length[asked])]
     assert neighbours.recall(got, x.astype(float), ids, asked, 20) >= 0.9
     assert neighbours.recall(got, x.astype(float), ids, short, 20) >= 0.9
+
+
+def test_vectors_of_other_lengths_meet_their_like(spark):
+    rng = np.random.default_rng(6)
+    x = [rng.normal(size=4 if k % 7 else 3).astype(np.float32).tolist() for k in range(400)] + [[1.0, 2.0], [2.0, 1.0]]
+    for how in ({}, {"block": 16}):
+        got = search(table(spark, x), k=3, every=5, **how).collect()
+        for q in range(0, 402, 5):
+            like = [i for i in range(402) if len(x[i]) == len(x[q]) and i != q]
+            want = sorted(like, key=lambda i: (-float(np.dot(np.array(x[i], float), np.array(x[q], float))), i))[:3]
+            assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
