@@ -28,7 +28,6 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -63,22 +62,31 @@ class Encoder:
         if spec["model"].get("type", "BPE") == "BPE" and not spec.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space"):
             import tiktoken
 
-            letters, special = _byte_letters(), {t["content"] for t in spec["added_tokens"]}
+            letters, special = _byte_letters(), {t["content"]: t["id"] for t in spec["added_tokens"]}
             if special:
                 self.added = re.compile("|".join(map(re.escape, special)))
             ranks = {bytes(letters[c] for c in w): k for w, k in spec["model"]["vocab"].items() if w not in special}
-            self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+            self.fast = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens=special)
 
     def compare(self, texts: list[str]) -> None:
         """Keep the fast way only if it agrees with the library."""
-        if self.fast and [self(t) for t in texts] != [e.ids for e in self.slow.encode_batch(texts, add_special_tokens=False)]:
-            self.fast = None
+        if self.fast:
+            wanted = [e.ids for e in self.slow.encode_batch(texts, add_special_tokens=False)]
+            if [self(t) for t in texts] != wanted or [self.array(t).tolist() for t in texts] != wanted:
+                self.fast = None
 
     def __call__(self, text: str) -> list[int]:
         if self.fast and not (self.added and self.added.search(text)):
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 
+    def array(self, text: str) -> np.ndarray:
+        """The same ids as an array, where the fast way allows without a list of them."""
+        # a vocabulary without added tokens has nothing that tiktoken could look for
+        if self.fast and self.added and not self.added.search(text):
+            return self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.array(self(text), np.uint32)
+
 
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
@@ -105,9 +113,7 @@ def _encode(path: str, starts, window: int, end: int, bits: int, seed: int):
                     checked = True
                 total, crcs, tails, h, route = [], [], [], [], []
                 for key, text in zip(part.column(0).to_pylist(), texts, strict=True):
-                    own = array("I", encoder(text))
-                    own.append(end)
-                    ids = np.frombuffer(own, np.uint32)
+                    ids = np.append(encoder.array(text), np.uint32(end))
                     full = len(ids) // window
                     total.append(len(ids))
                     crcs.append([crc(ids[k * window : (k + 1) * window]) for k in range(full)])
@@ -172,60 +178,66 @@ def _frequencies(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(term, np.int64)), pa.array(np.frombuffer(n, np.int64))], names=["term", "n"])
 
 
-def bm25(words: np.ndarray, idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75) -> tuple[np.ndarray, np.ndarray]:
-    """(terms, weights) of a tail."""
-    own, n = np.unique(words, return_counts=True)
-    return own, idf[own] * n * (k1 + 1) / (n + k1 * (1 - b + b * len(words) / mean))
+def postings(words: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(term, tail, weight) of each term of each tail by BM25, by term and tail."""
+    length = np.array([len(w) for w in words], np.int64)
+    bits = max(len(words) - 1, 1).bit_length()
+    key = np.sort(np.concatenate(words) << bits | np.repeat(np.arange(len(words)), length)) if len(words) else np.empty(0, np.int64)
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    n, key = np.diff(np.append(at, len(key))), key[at]
+    term, tail = key >> bits, key & (1 << bits) - 1
+    return term, tail, idf[term] * n * (k1 + 1) / (n + k1 * (1 - b + b * length[tail] / mean))
 
 
 def fill_windows(tails: list[np.ndarray], words: list[np.ndarray], order: np.ndarray, idf: np.ndarray, mean: float, window: int, query_terms: int):
     """Sequences of (tail, start, length) that use every id of the tails once."""
-    rows = [bm25(w, idf, mean) for w in words]
-    doc = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    token = np.concatenate([r[0] for r in rows]) if rows else np.empty(0, np.int64)
-    weight = np.concatenate([r[1] for r in rows]) if rows else np.empty(0)
-    by = np.lexsort((doc, token))
-    doc, token, weight = doc[by], token[by], weight[by]
-    start, rest = np.zeros(len(tails), np.int64), np.array([len(t) for t in tails], np.int64)
-    place = np.empty(len(tails), np.int64)
-    place[order] = np.arange(len(order))
+    # from here on a tail is its place in the order, so that what is sorted by score alone ties by the order
+    names = order.tolist()
+    token, doc, weight = postings([words[d] for d in names], idf, mean)
+    by = np.argsort(doc, kind="stable")
+    own = np.searchsorted(doc[by], np.arange(len(names) + 1))
+    start, rest = np.zeros(len(names), np.int64), np.array([len(tails[d]) for d in names], np.int64)
     at = 0
     while True:
-        while at < len(order) and not rest[order[at]]:
+        while at < len(names) and not rest[at]:
             at += 1
-        if at == len(order):
+        if at == len(names):
             return
         pieces, space = [], window
 
         def take(d: int) -> None:
             nonlocal space
             n = min(space, int(rest[d]))
-            pieces.append((d, int(start[d]), n))
+            pieces.append((names[d], int(start[d]), n))
             start[d] += n
             rest[d] -= n
             space -= n
 
-        first = order[at]
+        first = at
         take(first)
         if space:
-            tokens, w = rows[first]
-            tokens = tokens[np.argsort(-w, kind="stable")[:query_terms]]
-            lo, hi = np.searchsorted(token, tokens), np.searchsorted(token, tokens, side="right")
-            hits = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)]) if len(tokens) else np.empty(0, int)
-            score = np.bincount(doc[hits], weight[hits], minlength=len(tails)) if len(hits) else np.zeros(len(tails))
-            found = np.flatnonzero((score > 0) & (rest > 0))
-            found = found[np.lexsort((place[found], -score[found]))]
-            for d in found.tolist():
-                if rest[d] <= space:
-                    take(d)
-                if not space:
-                    break
-            for d in found.tolist() if space else ():
-                if rest[d] and space:
-                    take(d)
-        while space and at < len(order):  # no neighbour is left: the next seeds
-            if rest[order[at]]:
-                take(order[at])
+            mine = by[own[first] : own[first + 1]]
+            tokens = token[mine[np.argsort(-weight[mine], kind="stable")[:query_terms]]]
+            lists = [slice(*ends) for ends in zip(np.searchsorted(token, tokens).tolist(), np.searchsorted(token, tokens, side="right").tolist(), strict=True)]
+            if lists:
+                score = np.bincount(np.concatenate([doc[x] for x in lists]), np.concatenate([weight[x] for x in lists]), minlength=len(names))
+                found = np.flatnonzero((score > 0) & (rest > 0))
+                found = found[np.argsort(-score[found], kind="stable")]
+                length, k = rest[found], 0
+                while space:
+                    fits = length[k:] <= space
+                    step = int(fits.argmax()) if len(fits) else 0
+                    if not len(fits) or not fits[step]:
+                        break
+                    take(int(found[k + step]))
+                    k += step + 1
+                if space:
+                    left = found[rest[found] > 0]
+                    if len(left):  # longer than the space, all of them
+                        take(int(left[0]))
+        while space and at < len(names):  # no neighbour is left: the next seeds
+            if rest[at]:
+                take(at)
             else:
                 at += 1
         yield pieces

@@ -103,3 +103,73 @@ def test_equal_rows_are_dealt_over_the_shards(spark, words):
     out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH, shard_docs=512).select((F.col("sequence_id") / 2**32).cast("long").alias("shard"))
     sizes = [r["count"] for r in out.groupBy("shard").count().collect()]
     assert sum(sizes) >= 6600 and len(sizes) >= 10 and max(sizes) < 2.5 * 512
+
+
+def test_ids_as_arrays_equal_the_library(spark):
+    """Ids come as arrays without a list of them; a difference there ends the fast way too."""
+    encoder = packing.Encoder(PATH)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    texts += ["", " ", "a  b\t\tc\n\n d", "I'll we've x", "日本語 русский ñ", "<|endoftext|>", "a <|endoftext|> b", "<|endoftext", "\0\x1f\x85"]
+    fast = encoder.fast
+    assert [encoder.array(t).tolist() for t in texts] == [encoder.slow.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder.compare(texts)
+    assert encoder.fast is fast
+    listed = []
+    fast.encode_ordinary = lambda t: listed.append(t) or []
+    assert encoder.array("a b").tolist() == ids_of("a b")[:-1].tolist() and not listed
+    del fast.encode_ordinary
+    fast.encode_to_numpy = lambda t, **kw: np.zeros(1, np.uint32)
+    encoder.compare(["some text"])
+    assert encoder.fast is None and encoder.array("a b").tolist() == ids_of("a b")[:-1].tolist()
+
+
+def plain_windows(tails, words, order, idf, mean, window, query_terms):
+    """The filling of windows tail by tail, one score at a time."""
+    weights = []
+    for w in words:
+        counts = {t: w.tolist().count(t) for t in sorted(set(w.tolist()))}
+        weights.append({t: float(idf[t] * np.int64(n) * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(w) / mean))) for t, n in counts.items()})
+    left, place, out = [len(t) for t in tails], {d: k for k, d in enumerate(order)}, []
+    while any(left):
+        pieces, space = [], window
+        seed = next(d for d in order if left[d])
+
+        def take(d):
+            nonlocal space
+            n = min(space, left[d])
+            pieces.append((d, len(tails[d]) - left[d], n))
+            left[d] -= n
+            space -= n
+
+        take(seed)
+        asked = sorted(weights[seed], key=lambda t: (-weights[seed][t], t))[:query_terms]
+        scores = {d: sum(weights[d].get(t, 0.0) for t in asked) for d in range(len(tails)) if left[d]}
+        ranked = sorted((d for d in scores if scores[d] > 0), key=lambda d: (-scores[d], place[d]))
+        for d in ranked:
+            if space and left[d] <= space:
+                take(d)
+        for d in ranked:
+            if space and left[d]:
+                take(d)
+        for d in order:
+            if space and left[d]:
+                take(d)
+        out.append(pieces)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_windows_equal_a_plain_loop(seed):
+    rng = np.random.default_rng(seed)
+    count = int(rng.integers(1, 60))
+    words = [rng.integers(0, 16, int(rng.integers(0, 12))) for _ in range(count)]
+    for k in range(1, count, 5):
+        words[k] = words[k - 1]  # equal scores go by the order
+    tails = [np.arange(max(len(w) * 2, int(rng.integers(0, 3)))) for w in words]
+    order = rng.permutation(count)
+    idf = np.log(1 + rng.integers(1, 9, 16)).astype(np.float32)
+    args = (tails, words, order, idf, 5.5, 32, 6)
+    got = list(packing.fill_windows(*args))
+    assert got == plain_windows(tails, words, order.tolist(), *args[3:])
+    term, tail, weight = packing.postings(words, idf, 5.5)
+    assert list(zip(term.tolist(), tail.tolist(), strict=True)) == sorted({(int(t), k) for k, w in enumerate(words) for t in w}) and len(weight) == len(term)
