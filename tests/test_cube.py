@@ -139,3 +139,45 @@ def test_no_rows(spark):
 def test_property_class(spark, text, want):
     from brickyard.functions.labels import property_class
     assert spark.createDataFrame([(text,)], "t string").select(property_class("t")).first()[0] == want
+
+
+def _text(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_null_groups_and_groups_without_quantiles(spark):
+    """A cell's NULL group is none; a group that wants no quantile keeps its row."""
+    rows = spark.createDataFrame([("a", v, 1) for v in (100, 5_000_000, 5_000_001, 70)] + [("b", 7, 2), ("b", 9, 2)], "g string, v bigint, day int")
+    key = lambda c: F.struct(c.alias("k"))
+    sets = F.array(key(F.col("g")), F.when(F.col("g") == "a", key(F.lit("only a"))))
+    wanted = F.when(F.col("k") == "b", F.array().cast("array<struct<name:string,p:double>>")).otherwise(F.array(F.struct(F.lit("median").alias("name"), F.lit(0.5).alias("p"))))
+    got = {r.k: r for r in cube.profiles(rows, cube.histogram(rows, ["g"]), ["g"], sets, ["k"], wanted, ["median"], scale=1).collect()}
+    assert set(got) == {"a", "only a", "b"}
+    assert got["a"].median == got["only a"].median == 2_500_050.0
+    assert (got["b"].n, str(got["b"].total), got["b"].median, got["b"].days) == (2, "16.00", None, 1)
+
+
+def test_shuffled_targets_give_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(sales(1500, seed=6), SCHEMA)
+    sent = sorted(map(repr, P.profiles(df, CFG).collect()))
+    monkeypatch.setattr(cube, "FEW", 0)
+    assert sorted(map(repr, P.profiles(df, CFG).collect())) == sent
+
+
+def test_sums_of_squares_are_exact_and_of_longs(spark):
+    """Squares close to 2^40 whose sum is beyond a long; no decimal is summed for each sale or each cell's group."""
+    off = 2**20 - 1
+    rows = spark.range(6_000).select(F.lit("a").alias("g"), F.lit(2**36 + off).cast("bigint").alias("v"), F.lit(1).alias("day"))
+    hist = cube.histogram(rows, ["g"])
+    assert int(hist.first().q) == 6_000 * off * off
+    many = hist.select("g", "b", *[F.col(c).alias(c) if c not in "nsq" else (F.col(c) * (2**20)).cast("decimal(38,0)" if c == "q" else "bigint").alias(c) for c in cube.COUNTS])
+    (r,) = cube.profiles(rows, many, ["g"], F.array(F.struct(F.col("g").alias("k"))), ["k"], F.array(), []).select("n", "stddev", "mean").collect()
+    assert (r.n, r.stddev, r.mean) == (6_000 * 2**20, 0.0, (2**36 + off) / 100)
+    assert "decimal(20,0)" not in _text(hist)
+
+
+def test_groups_and_patterns_are_made_once(spark):
+    df = spark.createDataFrame(sales(10), SCHEMA)
+    assert "lambdafunction" not in _text(P.histogram(df, CFG).select(F.explode(P._sets(CFG, P.NAMES))))
+    kinds = _text(df.select(P.L.property_class("property_type").alias("x")))
+    assert kinds.count("RLIKE") == 3  # one pattern, then the other in one of two branches
