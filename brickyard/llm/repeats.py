@@ -7,12 +7,18 @@ string.  A first pass only exchanges the minimizers' hashes, each once a chunk o
 are sent only for those that occur in two documents, and each once a chunk, whatever the number of its
 occurrences there.  A passage that a third of all documents share is one string a chunk.
 
+Buckets are ranges of the minimizers' hashes.  The smallest of many hashes is small, so it is mixed once
+more; else the first range would get most of them.  A bucket is compared in parts, smaller ranges of about
+``PART`` bytes of strings.
+
 Enhanced suffix array.  A bucket sorts the suffixes of its distinct strings, takes the common prefix lengths
 of neighbours and scans them with a stack: every interval of the common-prefix tree with at least
 ``least`` bytes is a repeat with all its occurrences.  It is kept as a maximal repeat if the bytes to the
 left of its occurrences differ (or are cut off by the string), for else a longer repeat one byte
 further left has the same occurrences.  A string without a rival in its bucket is a repeat by itself.
-Suffixes are compared over ``width`` bytes; longer repeats come as overlapping ones.
+Suffixes are compared over ``width`` bytes; longer repeats come as overlapping ones.  If a minimizer has
+very many strings, its suffixes are first dealt by a hash of their first ``least`` bytes: those that are alone
+with them are in no repeat, and each repeat has all its suffixes in one slice.
 
 Removal.  Each repeat goes back with its smallest doc_id, and a document loses what it shares with a
 smaller one.  Judged is the input, so removals don't depend on each other.
@@ -38,6 +44,10 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Texts are hashed in pieces of this many bytes, which bounds the memory of a very long one.
 PIECE = 1 << 20
+#: About so many bytes of strings of a bucket are compared at once.
+PART = 16 << 20
+_BUCKETED = "bucket int, chunk long, first int, n int, packed binary"
+_SENT = (np.uint64, np.int64, np.int64, np.int32)
 
 
 class Hasher:
@@ -60,9 +70,12 @@ class Hasher:
         return out
 
     def between(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (sums[end] - sums[start]) * self.down[start]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
+        return self.mixed((sums[end] - sums[start]) * self.down[start])
+
+    @staticmethod
+    def mixed(h: np.ndarray) -> np.ndarray:
+        """Another number for each number, evenly spread."""
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         return h ^ (h >> np.uint64(29))
 
     def strings(self, text: np.ndarray):
@@ -76,7 +89,7 @@ class Hasher:
             low = _sliding_min(self.between(sums, at, at + self.gram), span)
             start = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
             end = np.append(start[1:], len(low)) + least - 1
-            parts.append((low[start], self.between(sums, start, end), start + lo, end + lo))
+            parts.append((self.mixed(low[start]), self.between(sums, start, end), start + lo, end + lo))
         if not parts:
             return (np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 2
         return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
@@ -96,22 +109,70 @@ def suffix_repeats(strings: list[bytes], least: int, width: int):
     A repeat is (first, last, length): the sorted suffixes first..last share ``length`` bytes, and no
     more to the left.
     """
-    sizes = np.array([len(s) for s in strings])
-    count = sizes - least + 1
-    owner = np.repeat(np.arange(len(strings)), count)
-    offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    text = np.frombuffer(b"".join(strings) + bytes(width), np.uint8)
-    begin = np.cumsum(sizes) - sizes
-    length = np.minimum(sizes[owner] - offset, width)
-    grid = np.lib.stride_tricks.sliding_window_view(text, width)[begin[owner] + offset].copy()
-    grid[np.arange(width) >= length[:, None]] = 0
-    order = np.argsort(grid.view(f"S{width}").ravel(), kind="stable")
-    owner, offset, length, grid = owner[order], offset[order], length[order], grid[order]
-    differ = grid[1:] != grid[:-1]
-    common = np.where(differ.any(1), differ.argmax(1), width)
-    common = np.minimum(common, np.minimum(length[1:], length[:-1]))
-    left = np.where(offset > 0, text[begin[owner] + offset - 1].astype(np.int64), -1 - np.arange(len(owner)))
-    return owner, offset, _maximal(common, left, least, width)
+    return _Suffixes(strings, least, width).repeats()
+
+
+class _Suffixes:
+    """The suffixes of at least ``least`` bytes of some strings."""
+
+    def __init__(self, strings: list[bytes], least: int, width: int):
+        self.least, self.width = least, width
+        self.sizes = np.array([len(s) for s in strings])
+        count = self.sizes - least + 1
+        self.owner = np.repeat(np.arange(len(strings)), count)
+        self.offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        self.text = np.frombuffer(b"".join(strings) + bytes(width), np.uint8)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+
+    def repeats(self, some: np.ndarray | slice = slice(None), block: int = 1 << 16):
+        """What ``suffix_repeats`` gives, of some suffixes."""
+        owner, offset, width = self.owner[some], self.offset[some], self.width
+        at, length = self.begin[owner] + offset, np.minimum(self.sizes[owner] - offset, width)
+        view = np.lib.stride_tricks.sliding_window_view(self.text, width)
+        grid = np.empty((len(at), width), np.uint8)
+        for lo in range(0, len(at), block):
+            part = view[at[lo : lo + block]]
+            part[np.arange(width) >= length[lo : lo + block, None]] = 0
+            grid[lo : lo + block] = part
+        order = np.argsort(grid.view(f"S{width}").ravel(), kind="stable")
+        owner, offset, length, at = owner[order], offset[order], length[order], at[order]
+        common = np.empty(max(len(at) - 1, 0), np.int64)
+        for lo in range(0, len(common), block):
+            part = grid[order[lo : lo + block + 1]]
+            differ = part[1:] != part[:-1]
+            common[lo : lo + block] = np.where(differ.any(1), differ.argmax(1), width)
+        common = np.minimum(common, np.minimum(length[1:], length[:-1]))
+        left = np.where(offset > 0, self.text[at - 1].astype(np.int64), -1 - np.arange(len(owner)))
+        return owner, offset, _maximal(common, left, self.least, width)
+
+    def slices(self, at_once: int):
+        """The suffixes in slices of about ``at_once`` that have all rivals of theirs; of very many, those without a rival are left out."""
+        if len(self.owner) <= 4 * at_once:
+            yield slice(None)
+            return
+        hasher, codes = Hasher(self.least, self.least), np.empty(len(self.owner), np.uint64)
+        ends, lo, done = self.begin + self.sizes, 0, 0
+        while lo < len(ends):
+            hi = max(lo + 1, int(np.searchsorted(ends, self.begin[lo] + PIECE, side="right")))
+            start = np.flatnonzero(_window_starts(self.sizes[lo:hi], self.least))
+            codes[done : done + len(start)] = hasher.between(hasher.sums(self.text[self.begin[lo] : ends[hi - 1]]), start, start + self.least)
+            lo, done = hi, done + len(start)
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order]
+        first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        members = np.diff(np.append(first, len(order)))
+        order, members = order[np.repeat(members > 1, members)], members[members > 1]
+        upto, lo = np.append(0, np.cumsum(members)), 0
+        while lo < len(members):
+            hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + at_once, side="right")) - 1)
+            yield order[upto[lo] : upto[hi]]
+            lo = hi
+
+
+def _window_starts(sizes: np.ndarray, least: int) -> np.ndarray:
+    """For every byte of joined strings whether a window of its string starts there."""
+    rest = np.repeat(np.cumsum(sizes), sizes) - np.arange(sizes.sum())
+    return rest >= least
 
 
 def _maximal(common: np.ndarray, left: np.ndarray, least: int, width: int) -> np.ndarray:
@@ -145,7 +206,7 @@ def smallest(strings: list[bytes], docs: np.ndarray, lows: np.ndarray, least: in
     """For every window of every string the smallest document that holds it, through the maximal repeats.
 
     Returns them in the order of the strings, and where each string's windows begin.  ``docs`` has the smallest document with each string and ``lows`` its minimizer.  Strings that are alone with
-    their minimizer stand for themselves; the others are sorted in slices of whole minimizers.
+    their minimizer stand for themselves; the others are sorted in slices of whole minimizers, or of a minimizer's suffixes.
     """
     count = np.array([len(s) - least + 1 for s in strings])
     begin = np.cumsum(count) - count
@@ -159,26 +220,28 @@ def smallest(strings: list[bytes], docs: np.ndarray, lows: np.ndarray, least: in
         held.append(own)
         size += int(count[own].sum())
         if size >= at_once:
-            _spread(np.concatenate(held), strings, docs, begin, out, least, width)
+            _spread(np.concatenate(held), strings, docs, begin, out, least, width, at_once)
             held, size = [], 0
     if held:
-        _spread(np.concatenate(held), strings, docs, begin, out, least, width)
+        _spread(np.concatenate(held), strings, docs, begin, out, least, width, at_once)
     return out, begin
 
 
-def _spread(some: np.ndarray, strings: list[bytes], docs: np.ndarray, begin: np.ndarray, out: np.ndarray, least: int, width: int) -> None:
+def _spread(some: np.ndarray, strings: list[bytes], docs: np.ndarray, begin: np.ndarray, out: np.ndarray, least: int, width: int, at_once: int) -> None:
     """Lower the windows of some strings to the smallest document of each repeat that covers them."""
-    owner, offset, repeats = suffix_repeats([strings[k] for k in some], least, width)
-    if not len(repeats):
-        return
-    low, at = docs[some][owner], begin[some][owner] + offset
-    best = np.minimum.reduceat(np.append(low, 0), np.ravel(np.column_stack([repeats[:, 0], repeats[:, 1] + 1])))[::2]
-    members = repeats[:, 1] - repeats[:, 0] + 1
-    covers = repeats[:, 2] - least + 1
-    for which, member in _expanded(members):
-        suffix = repeats[which, 0] + member
-        for some_pairs, k in _expanded(covers[which]):
-            np.minimum.at(out, at[suffix[some_pairs]] + k, best[which[some_pairs]])
+    suffixes = _Suffixes([strings[k] for k in some], least, width)
+    for own in suffixes.slices(at_once):
+        owner, offset, repeats = suffixes.repeats(own)
+        if not len(repeats):
+            continue
+        low, at = docs[some][owner], begin[some][owner] + offset
+        best = np.minimum.reduceat(np.append(low, 0), np.ravel(np.column_stack([repeats[:, 0], repeats[:, 1] + 1])))[::2]
+        members = repeats[:, 1] - repeats[:, 0] + 1
+        covers = repeats[:, 2] - least + 1
+        for which, member in _expanded(members):
+            suffix = repeats[which, 0] + member
+            for some_pairs, k in _expanded(covers[which]):
+                np.minimum.at(out, at[suffix[some_pairs]] + k, best[which[some_pairs]])
 
 
 def _expanded(counts: np.ndarray, at_once: int = 250_000):
@@ -202,9 +265,9 @@ def _expanded(counts: np.ndarray, at_once: int = 250_000):
 
 
 class Chunk:
-    """The strings of a chunk's documents whose minimizer is in ``shared``, equal ones numbered once."""
+    """The strings of a chunk's documents, equal ones numbered once; ``shared``: only those whose minimizer the row has as shared."""
 
-    def __init__(self, row: dict, hasher: Hasher, shared: np.ndarray | None = None):
+    def __init__(self, row: dict, hasher: Hasher, shared: bool = False):
         self.docs, self.known = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["known"], bool)
         self.text = zstandard.decompress(row["text"]) if row["text"] else b""
         sizes = np.frombuffer(row["sizes"], np.int64)
@@ -215,14 +278,13 @@ class Chunk:
         with np.errstate(over="ignore"):
             for k in np.flatnonzero(self.known).tolist():
                 low, code, a, b = hasher.strings(whole[self.start[k] : self.end[k]])
-                if shared is not None and len(low):
-                    at = np.searchsorted(shared, low)
-                    at[at == len(shared)] = 0
-                    ok = shared[at] == low if len(shared) else np.zeros(len(low), bool)
-                    low, code, a, b = low[ok], code[ok], a[ok], b[ok]
                 parts.append((low, code, a + self.start[k], b + self.start[k], np.full(len(low), k)))
         empty = [(np.empty(0, np.uint64),) * 2 + (np.empty(0, np.int64),) * 3]
         self.low, code, self.a, self.b, self.doc = (np.concatenate(p) for p in zip(*(parts or empty), strict=True))
+        if shared:
+            values, place = np.unique(self.low, return_inverse=True)
+            ok = _shared_of(row, len(values))[place]
+            self.low, code, self.a, self.b, self.doc = (v[ok] for v in (self.low, code, self.a, self.b, self.doc))
         self.ids = self.docs[self.doc] if len(self.doc) else np.empty(0, np.int64)
         # one number for equal strings, in the order of minimizer, hash and length
         order = np.lexsort((self.ids, self.b - self.a, code, self.low))
@@ -268,142 +330,173 @@ def _chunks(chunk_bytes: int):
     return run
 
 
+def _rows(batch: pa.RecordBatch):
+    """The rows as dicts, one copied at a time: they are large."""
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _announce(gram: int, least: int, buckets: int):
-    """(bucket, chunk, minimizers, flags) for every chunk and bucket."""
+    """(bucket, chunk, first, n, packed minimizers and flags) for every chunk and bucket."""
     def run(batches):
         hasher = Hasher(gram, least)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 low, several = Chunk(row, hasher).minimizers()
-                yield _by_bucket(low, buckets, row["chunk"], {"low": low, "several": several})
+                yield _by_bucket(low, buckets, row["chunk"], [low, several])
     return run
 
 
-def _by_bucket(low: np.ndarray, buckets: int, chunk: int, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """A row for each bucket with the slices of the columns; ``low`` is sorted and buckets are its ranges."""
+def _by_bucket(low: np.ndarray, buckets: int, chunk: int, columns: list[np.ndarray], texts: list[bytes] | None = None) -> pa.RecordBatch:
+    """A row for each bucket with its slices of the columns; ``low`` is sorted and buckets are its ranges."""
     bounds = [(k << 64) // buckets for k in range(1, buckets)]
     cuts = [0, *np.searchsorted(low, np.array(bounds, np.uint64)).tolist(), len(low)]
-    some = [k for k in range(buckets) if cuts[k] < cuts[k + 1]]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()),
-         *(pa.array([zstandard.compress(v[cuts[k] : cuts[k + 1]].tobytes(), 1) for k in some], pa.binary()) for v in columns.values())],
-        names=["bucket", "chunk", *columns])
+    some = [(k, x, y) for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if x < y]
+    packed = [_packed([v[x:y] for v in columns], texts[x:y] if texts else ()) for _, x, y in some]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, *_ in some], pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array([x for _, x, _ in some], pa.int32()),
+                                       pa.array([y - x for _, x, y in some], pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "chunk", "first", "n", "packed"])
+
+
+def _packed(columns: list[np.ndarray], texts=()) -> bytes:
+    """Arrays of one length, each by first bytes, second bytes and so on, and texts."""
+    raw = (np.ascontiguousarray(v).view(np.uint8).reshape(len(v), v.itemsize).T.tobytes() for v in columns)
+    return zstandard.compress(b"".join([*raw, *texts]), 3 if texts else 1)
 
 
-def _loads(blob: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(blob), kind)
+def _unpacked(blob, n: int, *kinds) -> tuple:
+    """The arrays, and what follows them."""
+    raw, at, out = zstandard.decompress(blob), 0, []
+    for size in (np.dtype(k).itemsize for k in kinds):
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T))
+        at += n * size
+    return (*(v.view(k).ravel() for v, k in zip(out, kinds, strict=True)), memoryview(raw)[at:])
 
 
 def _agree(batches):
-    """(chunk, shared): each chunk's minimizers that occur in two documents or more."""
+    """(chunk, first, n, bits): which of each chunk's minimizers, from the first on, occur in two documents or more."""
     for table in whole_groups(batches, ["bucket"]):
         starts = group_starts(table, ["bucket"]).tolist()
         for lo, hi in zip(starts, [*starts[1:], table.num_rows], strict=True):
             t = table.slice(lo, hi - lo)
-            lows = [_loads(b, np.uint64) for b in t.column("low").to_pylist()]
+            lows, several = zip(*(_unpacked(b.as_buffer(), n.as_py(), np.uint64, bool)[:2] for b, n in zip(t.column("packed"), t.column("n"), strict=True)), strict=True)
             values, n = np.unique(np.concatenate(lows), return_counts=True)
             shared = n > 1
-            for own, several in zip(lows, t.column("several").to_pylist(), strict=True):
-                shared[np.searchsorted(values, own[_loads(several, bool)])] = True
-            values = values[shared]
-            for chunk, own in zip(t.column("chunk").to_pylist(), lows, strict=True):
-                own = own[np.isin(own, values, assume_unique=True)]
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([zstandard.compress(own.tobytes(), 1)], pa.binary())], names=["chunk", "shared"])
+            for own, twice in zip(lows, several, strict=True):
+                shared[np.searchsorted(values, own[twice])] = True
+            bits = [np.packbits(shared[np.searchsorted(values, own)]).tobytes() for own in lows]
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in ("chunk", "first", "n")), pa.array(bits, pa.binary())], names=["chunk", "first", "n", "bits"])
 
 
-def _shared_of(row: dict) -> np.ndarray:
-    parts = [_loads(b, np.uint64) for b in row["shared"] or ()]
-    return np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+def _shared_of(row: dict, n: int) -> np.ndarray:
+    """Which of the chunk's ``n`` minimizers, in their order, are shared."""
+    out = np.zeros(n, bool)
+    for r in row["shared"] or ():
+        out[r["first"] : r["first"] + r["n"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"])
+    return out
 
 
 def _send(gram: int, least: int, buckets: int):
-    """(bucket, chunk, numbers, sizes, smallest and largest doc, text) of a chunk's distinct shared strings."""
+    """(bucket, chunk, number of the first, n, packed minimizers, smallest doc, how far the largest is from it, sizes, text) of a chunk's distinct shared strings."""
     def run(batches):
         hasher = Hasher(gram, least)
         for batch in batches:
-            for row in batch.to_pylist():
-                c = Chunk(row, hasher, _shared_of(row))
+            for row in _rows(batch):
+                c = Chunk(row, hasher, shared=True)
                 if not len(c.first):
                     continue
                 at = c.order[c.first]
                 low, a, b = c.low[at], c.a[at], c.b[at]
                 ids = c.ids[c.order]
                 least_id, most_id = np.minimum.reduceat(ids, c.first), np.maximum.reduceat(ids, c.first)
-                sent = _by_bucket(low, buckets, row["chunk"], {"low": low, "size": (b - a).astype(np.int32), "least_id": least_id, "most_id": most_id,
-                                                               "number": np.arange(len(low), dtype=np.int32)})
-                cuts = np.cumsum([0, *(len(_loads(x, np.int32)) for x in sent.column("size").to_pylist())])
-                texts = [zstandard.compress(b"".join(c.text[s:e] for s, e in zip(a[x:y].tolist(), b[x:y].tolist(), strict=True)), 3)
-                         for x, y in zip(cuts, cuts[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays([*sent.columns, pa.array(texts, pa.binary())], names=[*sent.schema.names, "text"])
+                yield _by_bucket(low, buckets, row["chunk"], [low, least_id, most_id - least_id, (b - a).astype(np.int32)],
+                                 [c.text[s:e] for s, e in zip(a.tolist(), b.tolist(), strict=True)])
     return run
 
 
-def _compare(least: int, width: int):
-    """(chunk, number, start, end, doc): windows start..end of a chunk's string are in a smaller document."""
+def _compare(least: int, width: int, buckets: int):
+    """(chunk, n, packed doc, number, start, end): windows start..end of a chunk's string are in a smaller document."""
     def run(batches):
         for table in whole_groups(batches, ["bucket"]):
             starts = group_starts(table, ["bucket"]).tolist()
             for lo, hi in zip(starts, [*starts[1:], table.num_rows], strict=True):
-                rows = table.slice(lo, hi - lo).to_pylist()
-                strings: list[bytes] = []
-                place: dict[bytes, int] = {}
-                docs: list[int] = []
-                lows: list[int] = []
-                used = []
-                for r in rows:
-                    text, size = zstandard.decompress(r["text"]), _loads(r["size"], np.int32)
-                    ends = np.cumsum(size).tolist()
-                    ids, own = _loads(r["least_id"], np.int64).tolist(), _loads(r["low"], np.uint64).tolist()
-                    mine = np.empty(len(ends), np.int64)
-                    at = 0
-                    for k, end in enumerate(ends):
-                        s = text[at:end]
-                        at = end
-                        n = place.setdefault(s, len(strings))
-                        if n == len(strings):
-                            strings.append(s)
-                            docs.append(ids[k])
-                            lows.append(own[k])
-                        elif ids[k] < docs[n]:
-                            docs[n] = ids[k]
-                        mine[k] = n
-                    used.append(mine)
-                best, begin = smallest(strings, np.array(docs, np.int64), np.array(lows, np.uint64), least, width)
-                del strings, place, docs, lows
-                # runs of windows with the same smallest document
-                new = np.append(True, best[1:] != best[:-1])
-                new[begin] = True
-                run_at = np.flatnonzero(new)
-                run_end, value = np.append(run_at[1:], len(best)), best[run_at]
-                first = np.searchsorted(run_at, begin)
-                runs = np.diff(np.append(first, len(run_at)))
-                for r, mine in zip(rows, used, strict=True):
-                    most, number = _loads(r["most_id"], np.int64), _loads(r["number"], np.int32)
-                    n = runs[mine]
-                    which = np.repeat(np.arange(len(mine)), n)
-                    at = first[mine][which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-                    ok = value[at] < most[which]
-                    which, at = which[ok], at[ok]
-                    if len(at):
-                        base = begin[mine[which]]
-                        cols = (number[which], (run_at[at] - base).astype(np.int32), (run_end[at] - base).astype(np.int32), value[at])
-                        yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]], pa.int64()), *(pa.array([zstandard.compress(c.tobytes(), 1)], pa.binary()) for c in cols)],
-                                                         names=["chunk", "number", "start", "end", "doc"])
+                own = table.slice(lo, hi - lo)
+                rows = own.drop_columns("packed").to_pylist()
+                for r, blob in zip(rows, own.column("packed"), strict=True):
+                    r["packed"] = blob.as_buffer()
+                for bounds in _part_bounds(rows, buckets):
+                    yield from _compared(rows, bounds, least, width)
     return run
 
 
+def _part_bounds(rows: list[dict], buckets: int) -> list[tuple[int, int]]:
+    """(first, last) minimizer of the parts of a bucket."""
+    n = 1 + sum(zstandard.frame_content_size(r["packed"]) for r in rows) // PART
+    lo, hi = ((rows[0]["bucket"] + k << 64) // buckets for k in (0, 1))
+    cuts = [lo + (hi - lo) * k // n for k in range(n + 1)]
+    return [(x, y - 1) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
+def _compared(rows: list[dict], bounds: tuple[int, int], least: int, width: int):
+    """Batches of ``_compare`` for the strings of a bucket whose minimizers are within ``bounds``."""
+    used, text, sizes, ids, lows = [], [], [], [], []
+    for r in rows:
+        low, least_id, more, size, joined = _unpacked(r["packed"], r["n"], *_SENT)
+        x, y = np.searchsorted(low, np.uint64(bounds[0])), np.searchsorted(low, np.uint64(bounds[1]), side="right")
+        if x < y:
+            skip = size[:x].sum(dtype=np.int64)
+            used.append((r["chunk"], r["first"] + x, least_id[x:y] + more[x:y]))
+            sizes.append(size[x:y].copy())
+            text.append(bytes(joined[skip : skip + size[x:y].sum(dtype=np.int64)]))
+            ids.append(least_id[x:y].copy())
+            lows.append(low[x:y].copy())
+    if not used:
+        return
+    ends = np.cumsum(np.concatenate([[0], *sizes]), dtype=np.int64)
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(text))])
+    del text
+    numbered = whole.dictionary_encode()
+    place, strings = numbered.indices.to_numpy(), numbered.dictionary.to_pylist()
+    del whole, numbered
+    docs, low = np.full(len(strings), np.iinfo(np.int64).max), np.empty(len(strings), np.uint64)
+    np.minimum.at(docs, place, np.concatenate(ids))
+    low[place] = np.concatenate(lows)
+    del ids, lows
+    best, begin = smallest(strings, docs, low, least, width)
+    del strings
+    # runs of windows with the same smallest document
+    new = np.append(True, best[1:] != best[:-1])
+    new[begin] = True
+    run_at = np.flatnonzero(new)
+    run_end, value = np.append(run_at[1:], len(best)), best[run_at]
+    first = np.searchsorted(run_at, begin)
+    runs = np.diff(np.append(first, len(run_at)))
+    del best, new
+    done = 0
+    for chunk, number, most in used:
+        mine = place[done : done + len(most)]
+        done += len(most)
+        n = runs[mine]
+        which = np.repeat(np.arange(len(mine)), n)
+        at = first[mine][which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        ok = value[at] < most[which]
+        which, at = which[ok], at[ok]
+        if len(at):
+            base = begin[mine[which]]
+            found = [value[at], (number + which).astype(np.int32), (run_at[at] - base).astype(np.int32), (run_end[at] - base).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([len(at)], pa.int32()), pa.array([_packed(found)], pa.binary())], names=["chunk", "n", "packed"])
+
+
 def _remove(gram: int, least: int):
     """(doc_id, n_bytes, spans, kept) of a chunk's documents."""
     def run(batches):
         hasher = Hasher(gram, least)
         for batch in batches:
-            for row in batch.to_pylist():
-                c = Chunk(row, hasher, _shared_of(row))
+            for row in _rows(batch):
+                c = Chunk(row, hasher, shared=True)
                 gone = np.zeros(len(c.text) + 1, np.int32)
-                found = [[_loads(f[k], t) for k, t in (("number", np.int32), ("start", np.int32), ("end", np.int32), ("doc", np.int64))] for f in row["found"] or ()]
+                found = [_unpacked(f["packed"], f["n"], np.int64, np.int32, np.int32, np.int32)[:4] for f in row["found"] or ()]
                 if found:
-                    number, start, end, doc = (np.concatenate(v) for v in zip(*found, strict=True))
+                    doc, number, start, end = (np.concatenate(v) for v in zip(*found, strict=True))
                     by = np.argsort(number, kind="stable")
                     number, start, end, doc = number[by], start[by], end[by], doc[by]
                     at = np.searchsorted(number, c.number)
@@ -452,14 +545,14 @@ def remove_repeats(docs: DataFrame, least: int = 50, gram: int = 20, width: int
     if buckets is None:
         total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
         buckets = max(256, total // bucket_bytes)
-    said = chunks.mapInArrow(_announce(gram, least, buckets), "bucket int, chunk long, low binary, several binary")
-    shared = (said.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_agree, "chunk long, shared binary")
-              .groupBy("chunk").agg(F.collect_list("shared").alias("shared")))  # at most a piece for each bucket
+    said = chunks.mapInArrow(_announce(gram, least, buckets), _BUCKETED)
+    shared = (said.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_agree, "chunk long, first int, n int, bits binary")
+              .groupBy("chunk").agg(F.collect_list(F.struct("first", "n", "bits")).alias("shared")))  # at most a piece for each bucket
     shared = stored(shared, "shared")
     known = chunks.join(shared.hint("merge"), "chunk", "left")
-    sent = known.mapInArrow(_send(gram, least, buckets), "bucket int, chunk long, low binary, size binary, least_id binary, most_id binary, number binary, text binary")
+    sent = known.mapInArrow(_send(gram, least, buckets), _BUCKETED)
     found = (sent.repartition(n, "bucket").sortWithinPartitions("bucket")
-             .mapInArrow(_compare(least, width), "chunk long, number binary, start binary, end binary, doc binary")
-             .groupBy("chunk").agg(F.collect_list(F.struct("number", "start", "end", "doc")).alias("found")))
+             .mapInArrow(_compare(least, width, buckets), "chunk long, n int, packed binary")
+             .groupBy("chunk").agg(F.collect_list(F.struct("n", "packed")).alias("found")))
     return (known.join(found.hint("merge"), "chunk", "left")
             .mapInArrow(_remove(gram, least), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"))

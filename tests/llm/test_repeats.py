@@ -100,3 +100,69 @@ def test_expansion_in_parts():
             parts = list(repeats._expanded(counts, at_once))
             assert [(i, k) for a, b in parts for i, k in zip(a.tolist(), b.tolist(), strict=True)] == want
             assert all(len(a) <= at_once for a, _ in parts)
+
+
+def lowered(strings, ids):
+    """For every window of every string the smallest document with it."""
+    first = {}
+    for s, i in zip(strings, ids, strict=True):
+        for k in range(len(s) - 49):
+            first[s[k : k + 50]] = min(first.get(s[k : k + 50], i), i)
+    return [first[s[k : k + 50]] for s in strings for k in range(len(s) - 49)]
+
+
+def test_buckets_get_like_shares():
+    text = np.random.default_rng(3).integers(32, 127, 500_000).astype(np.uint8)
+    low = np.sort(repeats.Hasher(20, 50).strings(text)[0])
+    edges = np.array([(k << 64) // 64 for k in range(1, 64)], np.uint64)
+    sizes = np.diff([0, *np.searchsorted(low, edges).tolist(), len(low)])
+    assert sizes.max() < 1.5 * sizes.mean()
+
+
+def test_one_minimizer_with_many_strings_is_sorted_in_slices(monkeypatch):
+    rng = random.Random(5)
+    core, other = "the same forty-three bytes in all of strings", ["".join(rng.choices("abcd ", k=40)) for _ in range(12)]
+    strings = sorted({(rng.choice(other)[rng.randrange(30) :] + core + rng.choice(other)[: rng.randrange(8, 40)]).encode() for _ in range(400)} | {b"a" * n for n in range(60, 90)})
+    ids = np.array([rng.randrange(10**6) for _ in strings])
+    most, scan = [], repeats._maximal
+    monkeypatch.setattr(repeats, "PIECE", 700)
+    monkeypatch.setattr(repeats, "_maximal", lambda common, left, *how: most.append(len(left)) or scan(common, left, *how))
+    for at_once in (40, 10**6):
+        most.clear()
+        got, _ = repeats.smallest(strings, ids, np.zeros(len(strings), np.uint64), 50, 80, at_once=at_once)
+        assert got.tolist() == lowered(strings, ids.tolist())
+        windows = {s[k : k + 50]: 0 for s in strings for k in range(len(s) - 49)}
+        for s in strings:
+            for k in range(len(s) - 49):
+                windows[s[k : k + 50]] += 1
+        assert max(most) <= (max(40, *windows.values()) if at_once == 40 else 10**6)
+
+
+def test_a_bucket_is_compared_in_parts(words, monkeypatch):
+    import pyarrow as pa
+
+    texts = [words(k % 7, 60) + words(100 + k, 200) + words(50 + k % 3, 40) for k in range(60)]
+    hasher, sent = repeats.Hasher(20, 50), []
+    for number in range(3):
+        own = pa.RecordBatch.from_pydict({"doc_id": list(range(number, 60, 3)), "text": texts[number::3]})
+        row = next(iter(repeats._chunks(1 << 20)([own]))).to_pylist()[0] | {"chunk": number}
+        n = len(np.unique(repeats.Chunk(row, hasher).low))
+        row["shared"] = [{"first": 0, "n": n, "bits": np.packbits(np.ones(n, bool)).tobytes()}]
+        sent += list(repeats._send(20, 50, 2)([pa.RecordBatch.from_pylist([row])]))
+    buckets = [pa.RecordBatch.from_pylist([r for b in sent for r in b.to_pylist() if r["bucket"] == k], schema=sent[0].schema) for k in (0, 1)]
+
+    def found(batches):
+        out = []
+        for r in (r for b in batches for r in b.to_pylist()):
+            doc, number, start, end, _ = repeats._unpacked(r["packed"], r["n"], np.int64, np.int32, np.int32, np.int32)
+            out += [(r["chunk"], *x) for x in zip(doc.tolist(), number.tolist(), start.tolist(), end.tolist(), strict=True)]
+        return sorted(out)
+
+    sizes, inner = [], repeats.smallest
+    monkeypatch.setattr(repeats, "smallest", lambda strings, *how: sizes.append(sum(map(len, strings))) or inner(strings, *how))
+    whole = found(repeats._compare(50, 80, 2)(buckets))
+    assert whole and len(sizes) == 2
+    total, sizes[:] = sum(sizes), []
+    monkeypatch.setattr(repeats, "PART", 20_000)
+    assert found(repeats._compare(50, 80, 2)(buckets)) == whole
+    assert sum(sizes) == total and len(sizes) > 4 and max(sizes) < 30_000
